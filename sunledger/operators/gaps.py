@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,6 +12,11 @@ from ..schema import MAX_GAP_TARGET, MAX_GAP_WEATHER
 
 SITE = ["site"]
 MAX_HISTOGRAM_GAPS = 40
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def as_is(df: DataFrame) -> DataFrame:
+    return df
 
 
 def gap_runs(df: DataFrame, value: str, keys: Sequence[str] = SITE,
@@ -142,23 +147,28 @@ def fill_medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) ->
 
 def fill_weather(df: DataFrame, columns: Sequence[str], limit: int = MAX_GAP_WEATHER,
                  both: bool | Column = True, keys: Sequence[str] = SITE,
-                 order: str = "step") -> DataFrame:
-    """Interpolate, then hold the last filled value, then the median of what is known."""
+                 order: str = "step", stage: Stage = as_is) -> DataFrame:
+    """Interpolate, then hold the last filled value, then the median of what is known.
+
+    The filled rows are read by the medians and by the result; ``stage`` may write them.
+    """
     side = both if isinstance(both, Column) else F.lit(both)
     known = with_anchors(df, columns, keys, order)
     filled = known.withColumns({c: line_then_hold(c, order, limit, side) for c in columns})
-    return fill_medians(drop_anchors(filled, columns), columns, keys)
+    return fill_medians(stage(drop_anchors(filled, columns)), columns, keys)
 
 
 def impute(df: DataFrame, target: str, weather: Sequence[str], in_train: Column,
            target_limit: int = MAX_GAP_TARGET, weather_limit: int = MAX_GAP_WEATHER,
-           keys: Sequence[str] = SITE, order: str = "step", causal: bool = False) -> DataFrame:
+           keys: Sequence[str] = SITE, order: str = "step", causal: bool = False,
+           stage: Stage = as_is) -> DataFrame:
     """Fill the training block from both sides and the later block forward only.
 
     The blocks never see each other's rows. ``causal`` repeats the last target in the
     later block instead of drawing a line to a later reading. ``imputed`` marks a filled
     target; targets that stay unknown are kept as nulls so that the grid stays regular,
-    and are dropped once the features exist.
+    and are dropped once the features exist. ``stage`` may write the filled rows before
+    the medians and the result read them.
     """
     block, columns = [*keys, "_train"], [target, *weather]
     train = F.col("_train")
@@ -170,7 +180,7 @@ def impute(df: DataFrame, target: str, weather: Sequence[str], in_train: Column,
         "imputed": F.col(target).isNull() & line.isNotNull(), target: line,
         **{c: line_then_hold(c, order, weather_limit, train) for c in weather}}), columns)
     if weather:
-        filled = fill_medians(filled, weather, block)
+        filled = fill_medians(stage(filled), weather, block)
     return filled.drop("_train")
 
 

@@ -19,7 +19,7 @@ from ..functions import clock
 from ..operators import forecast, regimes, sky
 from ..operators.supervise import Boundaries, assign_split
 from ..plans.chunks import densify
-from ..session import scratch_path, use_utc
+from ..session import materialise, scratch_path, use_utc
 
 _STAGED: dict[tuple[str, str, str], str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,12 +59,26 @@ class Given:
     def telemetry(self) -> DataFrame:
         return self.readings().groupBy("site", "step").agg(F.avg("value").alias("pv_power_w"))
 
+    def gridded(self) -> DataFrame:
+        """Mean and sum of every bin on the gap-free grid of each site."""
+        def build() -> DataFrame:
+            bins = self.readings().groupBy("site", "step").agg(
+                F.avg("value").alias("mean"), F.sum("value").alias("total"))
+            return densify(bins, ["site"], "step")
+        return self.staged("gridded", build)
+
     def gappy(self) -> DataFrame:
-        return densify(self.telemetry(), ["site"], "step")
+        """Mean power per bin; empty bins are null."""
+        return self.gridded().select("site", "step", F.col("mean").alias("pv_power_w"))
 
     def dense(self) -> DataFrame:
-        sums = self.readings().groupBy("site", "step").agg(F.sum("value").alias("pv_power_w"))
-        return densify(sums, ["site"], "step").na.fill(0.0, ["pv_power_w"])
+        """Summed power per bin; empty bins are zero."""
+        return self.gridded().select("site", "step", F.coalesce("total", F.lit(0.0))
+                                     .alias("pv_power_w"))
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write an intermediate result that is read more than once."""
+        return materialise(df, "kept")
 
     def weather(self) -> DataFrame:
         return self.readings().groupBy("step").agg(

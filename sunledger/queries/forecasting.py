@@ -1 +1,324 @@
+"""Reference forecasts, regressors, scoring and importances."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import features, forecast, importance, supervise
+from ..plans.chunks import over_halo
+from .base import TABLES, Given, query
+
+
+@query("persistence_forecasts", """
+    SELECT site, horizon, origin_step, step, actual, reference_persistence, reference_smart_persistence
+    FROM supervised""", doubles="actual reference_persistence reference_smart_persistence")
+def persistence_forecasts(g: Given):
+    return g.supervised().select("site", "horizon", "origin_step", "step", "actual",
+                                 "reference_persistence", "reference_smart_persistence")
+
+
+@query("persistence_from_lag", """
+    SELECT site, step, lag(pv_power_w, 4) OVER (PARTITION BY site ORDER BY step) AS persistence
+    FROM dense""", doubles="persistence")
+def persistence_from_lag(g: Given):
+    return forecast.persistence_from_lag(g.dense(), lag=4).select("site", "step", "persistence")
+
+
+@query("smart_persistence_scores", """
+    SELECT site, horizon, split, count(*) AS n, sqrt(avg((reference_smart_persistence - actual) ** 2)) AS rmse
+    FROM supervised WHERE split IS NOT NULL GROUP BY site, horizon, split""", doubles="rmse")
+def smart_persistence_scores(g: Given):
+    e = F.col("reference_smart_persistence") - F.col("actual")
+    return g.supervised().where("split is not null").groupBy("site", "horizon", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"))
+
+
+@query("linear_fit_one_input", "SELECT site, horizon, slope, intercept, n_fit FROM fits",
+       doubles="slope intercept")
+def linear_fit_one_input(g: Given):
+    train = g.predictions("train").where("model = 'persistence'")
+    return forecast.simple_linear_fit(train, "reference_persistence", "actual",
+                                      ["site", "horizon"])
+
+
+TABLES["price_fit"] = """
+    SELECT *, (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) AS b1,
+           (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) AS b2
+    FROM (SELECT l_returnflag AS site, count(*) AS n_fit, covar_pop(l_quantity, l_extendedprice) AS sxy,
+            covar_pop(l_discount, l_extendedprice) AS szy, var_pop(l_quantity) AS sxx,
+            var_pop(l_discount) AS szz, covar_pop(l_quantity, l_discount) AS sxz,
+            avg(l_extendedprice) AS my, avg(l_quantity) AS mx, avg(l_discount) AS mz
+          FROM lineitem GROUP BY 1)"""
+
+
+@query("linear_fit_grouped", """
+    SELECT site, n_fit, my - b1 * mx - b2 * mz AS intercept, b1 AS per_quantity, b2 AS per_discount
+    FROM price_fit""", doubles="intercept per_quantity per_discount", digits=3)
+def linear_fit_grouped(g: Given):
+    rows = g.table("lineitem").withColumnRenamed("l_returnflag", "site")
+    fit = forecast.grouped_linear_fit(rows, ["l_quantity", "l_discount"], "l_extendedprice",
+                                      ["site"])
+    c = F.col("coefficients")
+    return fit.select("site", "n_fit", c[0].alias("intercept"), c[1].alias("per_quantity"),
+                      c[2].alias("per_discount"))
+
+
+FLAT_INPUTS = ["pv_power_w", "ghi", "solar_elevation"]
+
+
+def _training_rows(g: Given, lookback: int = 4):
+    """Flattened windows of every site with their one-hour label, assembled for Spark ML."""
+    rows = g.sky().select("site", "step", "split", "daylight", "rated_w", *FLAT_INPUTS)
+    flat = supervise.flatten_windows(rows, FLAT_INPUTS, lookback=lookback)
+    names = supervise.flat_names(FLAT_INPUTS, lookback)
+    labelled = supervise.build_target(flat, horizons={"1h": 4}, keys=["site", "split"],
+                                      carry_columns=["daylight"])
+    return g.keep(forecast.assemble(labelled, names)), names
+
+
+def _scored(rows, name: str, **settings):
+    model, out = forecast.fit_predict(
+        forecast.regressor(name, **settings), rows.where("split = 'train'"),
+        rows.where("split = 'test'"))
+    return model, out
+
+
+def _quality(scored, name: str):
+    e = F.col("predicted") - F.col("target")
+    return scored.groupBy("site").agg(
+        F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"),
+        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
+
+
+@query("linear_regression_windows")
+def linear_regression_windows(g: Given):
+    rows, _ = _training_rows(g)
+    return _quality(_scored(rows, "linear_regression")[1], "linear_regression")
+
+
+@query("random_forest_windows")
+def random_forest_windows(g: Given):
+    rows, _ = _training_rows(g)
+    scored = _scored(rows, "random_forest", numTrees=20, maxDepth=8)[1]
+    return _quality(scored, "random_forest")
+
+
+@query("gradient_boosting_windows")
+def gradient_boosting_windows(g: Given):
+    rows, _ = _training_rows(g)
+    scored = _scored(rows, "gradient_boosting", maxIter=10)[1]
+    return _quality(scored, "gradient_boosting")
+
+
+@query("boosted_sampled_windows")
+def boosted_sampled_windows(g: Given):
+    rows, _ = _training_rows(g)
+    scored = _scored(rows, "boosted_sampled", maxIter=5, maxDepth=4)[1]
+    return _quality(scored, "boosted_sampled")
+
+
+@query("tuned_forest")
+def tuned_forest(g: Given):
+    rows, _ = _training_rows(g)
+    grid = [dict(numTrees=5, maxDepth=3), dict(numTrees=5, maxDepth=6)]
+    best, table = forecast.tune("random_forest", grid, rows.where("split = 'train'"),
+                                rows.where("split = 'val'"))
+    scores = [(s["numTrees"], s["maxDepth"], mae, s == best[2]) for s, mae in table]
+    return g.spark.createDataFrame(
+        scores, "num_trees long, max_depth long, val_mae double, selected boolean")
+
+
+@query("prediction_frame", """
+    SELECT site, model, horizon, step, origin_step, actual, predicted, predicted - actual AS error,
+           abs(predicted - actual) AS abs_error
+    FROM predictions WHERE model = 'linear_regression'""",
+       doubles="actual predicted error abs_error")
+def prediction_frame(g: Given):
+    rows = g.supervised().where("split = 'test'").join(
+        forecast.simple_linear_fit(g.predictions("train").where("model = 'persistence'"),
+                                   "reference_persistence", "actual", ["site", "horizon"]),
+        ["site", "horizon"])
+    scored = rows.withColumn("predicted", F.col("intercept") + F.col("slope") * F.col(
+        "reference_persistence"))
+    return forecast.prediction_frame(scored, "linear_regression").select(
+        "site", "model", "horizon", "step", "origin_step", "actual", "predicted", "error",
+        "abs_error")
+
+
+@query("forest_importance")
+def forest_importance(g: Given):
+    rows, names = _training_rows(g)
+    model, _ = _scored(rows, "random_forest", numTrees=10, maxDepth=6)
+    return forecast.collapse_importance(forecast.importance_rows(model, names, g.spark))
+
+
+LAGGED = ["ghi", "temperature", "wind_speed"]
+
+
+@query("importance_collapsed", " UNION ALL ".join(f"""
+    SELECT site, '{c}' AS feature, sum(v) AS importance, sum(v) / any_value(total) AS relative_importance
+    FROM (SELECT site, abs(coalesce(corr(pv_power_w, l0), 0)) + abs(coalesce(corr(pv_power_w, l1), 0))
+                   + abs(coalesce(corr(pv_power_w, l2), 0)) AS v
+          FROM (SELECT site, pv_power_w, {c} AS l0, lag({c}, 1) OVER w AS l1, lag({c}, 2) OVER w AS l2
+                FROM sky WINDOW w AS (PARTITION BY site ORDER BY step)) GROUP BY site)
+    JOIN (SELECT site, sum(v) AS total FROM ({' UNION ALL '.join(f'''
+            SELECT site, abs(coalesce(corr(pv_power_w, l0), 0)) + abs(coalesce(corr(pv_power_w, l1), 0))
+                   + abs(coalesce(corr(pv_power_w, l2), 0)) AS v
+            FROM (SELECT site, pv_power_w, {d} AS l0, lag({d}, 1) OVER w AS l1, lag({d}, 2) OVER w AS l2
+                  FROM sky WINDOW w AS (PARTITION BY site ORDER BY step)) GROUP BY site''' for d in LAGGED)})
+          GROUP BY site) USING (site) GROUP BY site""" for c in LAGGED),
+       doubles="importance relative_importance")
+def importance_collapsed(g: Given):
+    """Absolute correlation per variable and lag, collapsed to one share per variable."""
+    rows = g.sky().select("site", "step", "pv_power_w", *LAGGED)
+    lagged = over_halo(rows, ["site"], "step",
+                       features.merged(*[features.lags(c, [0, 1, 2]) for c in LAGGED]), before=2)
+    one = lagged.groupBy("site").agg(*[
+        F.abs(F.coalesce(F.corr("pv_power_w", f"{c}_lag_{k}"), F.lit(0.0))).alias(f"{c}_{k}")
+        for c in LAGGED for k in range(3)])
+    per_step = one.select("site", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(k).alias("step"),
+                 F.col(f"{c}_{k}").alias("value")) for c in LAGGED for k in range(3)])))
+    return forecast.collapse_importance(per_step, ["site"])
+
+
+def _linear_scorer(df):
+    return df.withColumn("predicted", 1000.0 * F.col("l_quantity") + 9000.0 * F.col("l_discount")
+                         - 4000.0 * F.col("l_tax"))
+
+
+PERMUTED = {"quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax"}
+LINEAR = "(1000.0 * {q} + 9000.0 * {d} - 4000.0 * {t})"
+
+
+def _mix(expression: str) -> str:
+    """The same three squaring rounds in SQL."""
+    x = f"(({expression}) % 2147483647)"
+    for shift in (1_013_904_223, 715_827_883, 362_437_069):
+        x = f"(list_transform([{x}], lambda x: (x * x + x + {shift}) % 2147483647)[1])"
+    return x
+
+
+def _permutation_sql(keys: str, least: int) -> str:
+    part = f"{keys}, " if keys else ""
+    order = _mix("42 + (row_id % 2147483647) * 1000003 + ((r * 1000 + i) % 2147483647) * 7919")
+    return f"""
+    WITH base AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {part} 1) AS n_windows,
+                  avg(abs({LINEAR.format(q='l_quantity', d='l_discount', t='l_tax')} - actual))
+                    OVER (PARTITION BY {part} 1) AS baseline_mae,
+                  row_number() OVER (PARTITION BY {part} 1 ORDER BY row_id) AS pos FROM shipments)
+                  WHERE n_windows >= {least}),
+    donors AS (SELECT *, row_number() OVER (PARTITION BY {part} i, r ORDER BY
+                 {order} * 2147483648 + row_id % 2147483648) AS dpos
+               FROM base CROSS JOIN (VALUES (1, 'quantity'), (2, 'discount'), (3, 'tax')) f(i, feature)
+               CROSS JOIN (VALUES (0), (1), (2)) t(r)),
+    moved AS (SELECT {part.replace(keys, 'b.' + keys) if keys else ''} d.feature, d.r,
+                b.baseline_mae, b.n_windows,
+                avg(abs({LINEAR.format(q="CASE WHEN d.i = 1 THEN d.l_quantity ELSE b.l_quantity END",
+                                       d="CASE WHEN d.i = 2 THEN d.l_discount ELSE b.l_discount END",
+                                       t="CASE WHEN d.i = 3 THEN d.l_tax ELSE b.l_tax END")} - b.actual)) AS m
+              FROM base b JOIN donors d ON {'b.' + keys + ' = d.' + keys + ' AND' if keys else ''} b.pos = d.dpos
+              GROUP BY ALL),
+    table_ AS (SELECT {part} feature, baseline_mae, n_windows, avg(m - baseline_mae) AS mean_mae_increase,
+                 coalesce(stddev_samp(m - baseline_mae), 0) AS std_mae_increase, count(*) AS n_repeats
+               FROM moved GROUP BY ALL)
+    SELECT *, mean_mae_increase / baseline_mae AS relative_increase,
+           greatest(mean_mae_increase, 0) / sum(greatest(mean_mae_increase, 0)) OVER (PARTITION BY {part} 1)
+             AS relative_importance
+    FROM table_"""
+
+
+PERMUTATION_DOUBLES = ("baseline_mae mean_mae_increase std_mae_increase relative_increase "
+                       "relative_importance")
+
+
+@query("permutation_importance", _permutation_sql("", 0), doubles=PERMUTATION_DOUBLES, digits=4)
+def permutation_importance(g: Given):
+    return importance.permutation_importance(
+        g.shipments(), _linear_scorer, "row_id", "actual",
+        {f: [c] for f, c in PERMUTED.items()}, repeats=3)
+
+
+@query("permutation_by_condition", _permutation_sql("site", 400), doubles=PERMUTATION_DOUBLES,
+       digits=4)
+def permutation_by_condition(g: Given):
+    return importance.permutation_importance(
+        g.shipments(), _linear_scorer, "row_id", "actual",
+        {f: [c] for f, c in PERMUTED.items()}, repeats=3, keys=["site"], min_rows=400)
+
+
+@query("permutation_forest")
+def permutation_forest(g: Given):
+    """Importance of a fitted forest inside each regime, by the stored test rows."""
+    inputs = ["pv_power_w", "ghi", "solar_elevation"]
+    rows = supervise.build_target(g.sky().select("site", "step", "split", "regime", *inputs),
+                                  horizons={"1h": 4}, keys=["site", "split"])
+    model = forecast.regressor("random_forest", numTrees=5, maxDepth=5).fit(
+        forecast.assemble(rows.where("split = 'train'"), inputs))
+    test = rows.where("split = 'test' and regime <> 'Night'").withColumn(
+        "row_id", F.col("step") * 8 + F.pmod(F.crc32("site"), F.lit(8)))
+
+    def scorer(df):
+        return model.transform(forecast.assemble(df, inputs))
+
+    return importance.permutation_importance(
+        g.keep(test), scorer, "row_id", "target", {c: [c] for c in inputs}, repeats=2,
+        keys=["regime"], min_rows=100)
+
+
+@query("generation_levels", """
+    SELECT site, CASE WHEN actual / rated_w >= 0.35 THEN 'high_generation' ELSE 'low_generation' END AS level,
+           count(*) AS n, avg(actual) AS mean_actual
+    FROM predictions WHERE model = 'persistence' GROUP BY 1, 2""", doubles="mean_actual")
+def generation_levels(g: Given):
+    from ..functions.bands import generation_level
+    level = generation_level(F.col("actual"), F.col("rated_w"))
+    return g.predictions().where("model = 'persistence'").groupBy("site", level.alias("level")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("actual").alias("mean_actual"))
+
+
+@query("dependence_sample", f"""
+    SELECT row_id, actual, predicted, predicted - actual AS error, abs(predicted - actual) AS abs_error,
+           l_quantity
+    FROM shipments
+    ORDER BY {_mix("42 + (row_id % 2147483647) * 1000003")} * 2147483648 + row_id % 2147483648 LIMIT 2000""",
+       doubles="actual predicted error abs_error")
+def dependence_sample(g: Given):
+    return importance.dependence_sample(g.shipments(), "row_id", ["l_quantity"])
+
+
+@query("family_importance", """
+    SELECT site, CASE WHEN feature IN ('ghi', 'temperature', 'wind_speed') THEN 'weather'
+                      WHEN feature LIKE 'pv_%' THEN 'pv_history' ELSE 'solar_geometry' END AS feature_group,
+           sum(v) AS total_importance, count(*) AS n_variables
+    FROM (SELECT site, unnest(['ghi', 'temperature', 'wind_speed', 'solar_elevation', 'pv_power_w']) AS feature,
+                 unnest([avg(abs(ghi)), avg(abs(temperature)), avg(abs(wind_speed)),
+                         avg(abs(solar_elevation)), avg(abs(pv_power_w))]) AS v
+          FROM sky GROUP BY site) GROUP BY 1, 2""", doubles="total_importance")
+def family_importance(g: Given):
+    inputs = ["ghi", "temperature", "wind_speed", "solar_elevation", "pv_power_w"]
+    sizes = g.sky().groupBy("site").agg(*[F.avg(F.abs(c)).alias(c) for c in inputs])
+    table = sizes.select("site", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in inputs])))
+    return importance.group_importance(table, "value", ["site"])
+
+
+@query("importance_by_model", """
+    SELECT model, site AS feature, avg(abs(predicted - actual)) AS value FROM predictions
+    WHERE model <> 'smart_persistence' GROUP BY model, site""", doubles="value")
+def importance_by_model(g: Given):
+    def table(model: str):
+        e = F.abs(F.col("predicted") - F.col("actual"))
+        return g.predictions().where(F.col("model") == model).groupBy(
+            F.col("site").alias("feature")).agg(F.avg(e).alias("value"))
+    return importance.importance_frame({m: table(m) for m in ("persistence", "linear_regression")})
+
+
+@query("top_features", """
+    SELECT site AS feature, horizon, avg(abs(predicted - actual)) AS mae FROM forecasts
+    WHERE split IS NOT NULL GROUP BY 1, 2 ORDER BY mae DESC, feature LIMIT 10""", doubles="mae")
+def top_features(g: Given):
+    e = F.abs(F.col("predicted") - F.col("actual"))
+    table = g.predictions(None).where("split is not null").groupBy(
+        F.col("site").alias("feature"), "horizon").agg(F.avg(e).alias("mae"))
+    return importance.top_features(table, 10, "mae")

@@ -1,32 +1,20 @@
-"""Repeatable pseudo-random integers from plain integer arithmetic.
+"""Repeatable pseudo-random integers from a digest of their inputs.
 
-Any engine with 64-bit integers gives the same numbers, whatever the partitioning, so
-a lost task that runs again draws what it drew before.
+The numbers depend on the inputs alone, not on partitioning, so a lost task that runs
+again draws what it drew before, and any engine with MD5 draws the same.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-MODULUS = 2_147_483_647
-_WEIGHTS = (1_000_003, 7_919, 104_729)
-_SHIFTS = (1_013_904_223, 715_827_883, 362_437_069)
+HEX_DIGITS = 15
 
 
 def draw(seed: int, *parts: Column) -> Column:
-    """Integer in [0, MODULUS): three rounds of x -> x*x + x + c over mixed inputs."""
-    x = F.lit(seed).cast("long")
-    for weight, part in zip(_WEIGHTS, parts):
-        x = x + F.pmod(part.cast("long"), F.lit(MODULUS)) * F.lit(weight)
-    x = x % F.lit(MODULUS)
-    for shift in _SHIFTS:
-        x = (x * x + x + F.lit(shift)) % F.lit(MODULUS)
-    return x
-
-
-def shuffled_order(seed: int, row: Column, *parts: Column) -> Column:
-    """Sortable 62-bit number that puts rows into a pseudo-random order."""
-    return draw(seed, row, *parts) * F.lit(2**31) + F.pmod(row.cast("long"), F.lit(2**31))
+    """Integer in [0, 2**60)."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, HEX_DIGITS), 16, 10).cast("long")
 
 
 ORDER_CHUNK = 2**50

@@ -29,10 +29,10 @@ def t_critical(degrees: Column) -> Column:
     d = degrees.cast("double")
     tail = (z + (z**3 + z) / (4 * d) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * d * d)
             + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * d * d * d))
-    out = F.when(degrees < 1, F.lit(0.0))
-    for k, value in T_CRITICAL_975.items():
-        out = out.when(degrees == k, F.lit(value))
-    return out.otherwise(tail)
+    table = F.array(*[F.lit(v) for v in T_CRITICAL_975.values()])
+    return (F.when(degrees < 1, F.lit(0.0))
+            .when(degrees <= len(T_CRITICAL_975), F.get(table, (degrees - 1).cast("int")))
+            .otherwise(tail))
 
 
 def sample_skewness(value: Column) -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..plans.chunks import CHUNK_STEPS, over_halo
 from ..schema import HORIZONS, SMART_MAX_RATIO, SMART_MIN_CLEAR
@@ -189,10 +189,7 @@ def importance_rows(model, names: Sequence[str], spark) -> DataFrame:
 
 def collapse_importance(per_step: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Importance per variable over all its steps, with its share of the total."""
-    keys = [*keys, "_all"]
-    per_step = per_step.withColumn("_all", F.lit(0))
     totals = per_step.groupBy(*keys, "feature").agg(F.sum("value").alias("importance"))
-    whole = per_step.groupBy(*keys).agg(F.sum("value").alias("_total"))
-    joined = totals.join(whole, keys)
-    share = F.when(F.col("_total") > 0, F.col("importance") / F.col("_total")).otherwise(F.lit(0.0))
-    return joined.withColumn("relative_importance", share).drop("_total", "_all")
+    whole = F.sum("importance").over(Window.partitionBy(*keys))  # one row per variable
+    share = F.when(whole > 0, F.col("importance") / whole).otherwise(F.lit(0.0))
+    return totals.withColumn("relative_importance", share)

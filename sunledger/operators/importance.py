@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.draws import ORDER_CHUNK, shuffled_order
-from ..plans.chunks import with_position
+from ..functions.draws import ORDER_CHUNK, draw
+from ..plans.chunks import once, with_position
 
 Scorer = Callable[[DataFrame], DataFrame]
 CONDITION_SIZE, REGIME_SIZE = 400, 500
@@ -31,8 +31,7 @@ def shuffled_pairs(rows: DataFrame, row_id: str, groups: Mapping[str, Sequence[s
             "repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
 
     plain = fan(with_position(rows, keys, row_id, "_pos"))
-    donors = fan(rows).withColumn("_order", shuffled_order(
-        seed, F.col(row_id), F.col("repeat") * 1000 + index))
+    donors = once(fan(rows), {"_order": draw(seed, F.col(row_id), F.col("repeat"), index)})
     donors = with_position(donors.select(*test, "_order", *[F.col(c).alias(f"_d_{c}")
                                                             for c in columns]),
                            test, "_order", "_pos", ORDER_CHUNK)
@@ -52,26 +51,25 @@ def permutation_importance(rows: DataFrame, scorer: Scorer, row_id: str, actual:
     generation level); conditions below ``min_rows`` are left out.
     """
     keys = [*keys, "_all"]
-    rows = rows.withColumn("_all", F.lit(0))
     gap = F.abs(F.col("predicted") - F.col(actual))
-    base = scorer(rows).groupBy(*keys).agg(F.avg(gap).alias("baseline_mae"),
-                                           F.count(F.lit(1)).alias("n_windows"))
-    base = base.where(F.col("n_windows") >= min_rows)
-    shuffled = shuffled_pairs(rows, row_id, groups, repeats, keys, seed)
+    scored = scorer(rows.withColumn("_all", F.lit(0))).withColumn("_base", gap)
+    shuffled = shuffled_pairs(scored.drop("predicted"), row_id, groups, repeats, keys, seed)
+    # every row is in every (feature, repeat) once, so the baseline needs no join
     per_repeat = scorer(shuffled).groupBy(*keys, "feature", "repeat").agg(
-        F.avg(gap).alias("_mae")).join(base, keys)
-    delta = F.col("_mae") - F.col("baseline_mae")
-    table = per_repeat.groupBy(*keys, "feature", "baseline_mae", "n_windows").agg(
-        F.avg(delta).alias("mean_mae_increase"),
+        F.avg(gap).alias("_mae"), F.avg("_base").alias("_base"),
+        F.count(F.lit(1)).alias("n_windows")).where(F.col("n_windows") >= min_rows)
+    delta = F.col("_mae") - F.col("_base")
+    table = per_repeat.groupBy(*keys, "feature", "n_windows").agg(
+        F.avg("_base").alias("baseline_mae"), F.avg(delta).alias("mean_mae_increase"),
         F.coalesce(F.stddev_samp(delta), F.lit(0.0)).alias("std_mae_increase"),
         F.count(F.lit(1)).alias("n_repeats"))
     gain = F.greatest(F.col("mean_mae_increase"), F.lit(0.0))
-    totals = table.groupBy(*keys).agg(F.sum(gain).alias("_total"))
-    return table.join(totals, keys).withColumns({
+    total = F.sum(gain).over(Window.partitionBy(*keys))  # one row per feature
+    return table.withColumns({
         "relative_increase": F.when(F.col("baseline_mae") > 0,
                                     F.col("mean_mae_increase") / F.col("baseline_mae")),
-        "relative_importance": gain / F.when(F.col("_total") > 0, F.col("_total"))
-        .otherwise(F.lit(1.0))}).drop("_total", "_all")
+        "relative_importance": gain / F.when(total > 0, total).otherwise(F.lit(1.0)),
+    }).drop("_all")
 
 
 def dependence_sample(rows: DataFrame, row_id: str, features: Sequence[str], n: int = 2000,
@@ -79,8 +77,8 @@ def dependence_sample(rows: DataFrame, row_id: str, features: Sequence[str], n:
                       predicted: str = "predicted") -> DataFrame:
     """A repeatable sample of ``n`` rows: inputs at the origin with the signed error."""
     error = F.col(predicted) - F.col(actual)
-    return (rows.withColumns({"_order": shuffled_order(seed, F.col(row_id)), "error": error,
-                              "abs_error": F.abs(error)})
+    ordered = once(rows, {"_order": draw(seed, F.col(row_id))})
+    return (ordered.withColumns({"error": error, "abs_error": F.abs(error)})
             .orderBy("_order").limit(n)
             .select(row_id, actual, predicted, "error", "abs_error", *features))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.draws import draw
 from ..functions.stats import two_sided_p
-from ..plans.chunks import CHUNK_STEPS, over_halo, running_sum, with_position
+from ..plans.chunks import CHUNK_STEPS, once, over_halo, running_sum, with_position
 from ..plans.ranks import ranked_values
 from ..schema import BLOCK_LENGTHS, BLOCK_STEPS, CONFIDENCE, RESAMPLES
 
@@ -64,7 +64,7 @@ def resample_sums(df: DataFrame, keys: Sequence[str], values: Mapping[str, Colum
     start = draw(seed, F.col("resample"), F.col("_b"), F.col("block_length")) % (
         F.col("n") - F.col("_len") + 1)
     size = F.least(F.col("_len"), F.col("n") - F.col("_b") * F.col("_len"))
-    ends = drawn.withColumns({"_s": start, "_size": size}).select(
+    ends = once(drawn, {"_s": start, "_size": size}).select(
         *keys, "block_length", "resample", "n", F.inline(F.array(
             F.struct((F.col("_s") + F.col("_size")).alias("_pos"), F.lit(1.0).alias("_sign")),
             F.struct(F.col("_s").alias("_pos"), F.lit(-1.0).alias("_sign")))))
@@ -201,12 +201,16 @@ def holm(df: DataFrame, p: str = "p_value", family: Sequence[str] = ("loss",),
 
 
 def signed_rank(df: DataFrame, value: str = "d", keys: Sequence[str] = (*RUN, "loss"),
-                least: int = 6) -> DataFrame:
+                least: int = 6, decimals: int | None = None) -> DataFrame:
     """Wilcoxon signed-rank test and matched-pairs rank-biserial effect.
 
     Zero differences are dropped, ties share their average rank, and the normal
     approximation carries the tie correction. Below ``least`` pairs the test is null.
+    ``decimals`` treats differences that agree to so many places as tied, so that noise
+    in the last bits of computed forecasts breaks no tie.
     """
+    if decimals is not None:
+        df = df.withColumn(value, F.round(value, decimals))
     size = df.groupBy(*keys).agg(F.count(value).alias("n_all"))
     d = F.col(value)
     ranked = ranked_values(
@@ -274,7 +278,7 @@ def effective_sample_size(profile: DataFrame, keys: Sequence[str] = RUN,
 def compare_models(errors: DataFrame, keys: Sequence[str] = RUN,
                    family: Sequence[str] = ("loss",), n_resamples: int = RESAMPLES,
                    block: int = BLOCK_STEPS, horizon: int = 1, seed: int = 42,
-                   order: str = "step") -> DataFrame:
+                   order: str = "step", rank_decimals: int | None = None) -> DataFrame:
     """Skill interval, Diebold-Mariano with Holm, and signed ranks for all runs and losses."""
     skill = bootstrap_skill(errors, keys=keys, n_resamples=n_resamples, block=block, seed=seed,
                             order=order).select(
@@ -284,7 +288,7 @@ def compare_models(errors: DataFrame, keys: Sequence[str] = RUN,
     test_keys = [*keys, "loss"]
     dm = holm(diebold_mariano(rows, keys=test_keys, horizon=horizon, order=order),
               family=family, tie=keys)
-    ranks = signed_rank(rows, keys=test_keys).select(
+    ranks = signed_rank(rows, keys=test_keys, decimals=rank_decimals).select(
         *test_keys, F.col("statistic").alias("wilcoxon_statistic"),
         F.col("p_value").alias("wilcoxon_p"), "effect_size_rank_biserial", "n_pairs")
     return dm.join(ranks, test_keys, "left").join(skill, list(keys), "left")

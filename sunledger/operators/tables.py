@@ -39,12 +39,11 @@ def overall_comparison(registry: DataFrame, horizon: str = "1h", feature_spec: s
     row, arrival = F.struct(*registry.columns), F.struct(*ARRIVAL)
     preferred = F.when(F.col("experiment_group") == group, arrival)
     models = rows.groupBy("model").agg(
-        F.min_by(row, preferred).alias("_wanted"), F.min_by(row, arrival).alias("_any"),
-        F.lit(1).alias("_table"))
-    any_wanted = models.groupBy("_table").agg(
-        F.max(F.col("_wanted").isNotNull()).alias("_present"))
-    chosen = F.when(F.col("_present"), F.col("_wanted")).otherwise(F.col("_any"))
-    return (models.join(any_wanted, "_table").select(chosen.alias("_row"))
+        F.min_by(row, preferred).alias("_wanted"), F.min_by(row, arrival).alias("_any"))
+    # the window spans one row per model
+    present = F.max(F.col("_wanted").isNotNull()).over(Window.partitionBy(F.lit(1)))
+    chosen = F.when(present, F.col("_wanted")).otherwise(F.col("_any"))
+    return (models.select(chosen.alias("_row"))
             .where(F.col("_row").isNotNull()).select("_row.*")
             .withColumn("model_rank", model_rank()))
 

@@ -183,48 +183,46 @@ def importance_collapsed(g: Given):
 
 
 def _linear_scorer(df):
-    return df.withColumn("predicted", 1000.0 * F.col("l_quantity") + 9000.0 * F.col("l_discount")
-                         - 4000.0 * F.col("l_tax"))
+    return df.withColumn("predicted", 0.1 * F.col("visitor") + 2.0 * F.col("hour")
+                         - 0.5 * F.col("kind"))
 
 
-PERMUTED = {"quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax"}
-LINEAR = "(1000.0 * {q} + 9000.0 * {d} - 4000.0 * {t})"
+PERMUTED = ["visitor", "hour", "kind"]
+LINEAR = "(0.1 * {q} + 2.0 * {d} - 0.5 * {t})"
 
 
-def _mix(expression: str) -> str:
-    """The same three squaring rounds in SQL."""
-    x = f"(({expression}) % 2147483647)"
-    for shift in (1_013_904_223, 715_827_883, 362_437_069):
-        x = f"(list_transform([{x}], lambda x: (x * x + x + {shift}) % 2147483647)[1])"
-    return x
+def draw_sql(seed: int, *parts: str) -> str:
+    text = " || ':' || ".join([f"'{seed}'", *[f"({p})::VARCHAR" for p in parts]])
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
 
 
 def _permutation_sql(keys: str, least: int) -> str:
     part = f"{keys}, " if keys else ""
-    order = _mix("42 + (row_id % 2147483647) * 1000003 + ((r * 1000 + i) % 2147483647) * 7919")
+    order = draw_sql(42, "row_id", "r", "i")
     return f"""
     WITH base AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {part} 1) AS n_windows,
-                  avg(abs({LINEAR.format(q='l_quantity', d='l_discount', t='l_tax')} - actual))
+                  avg(abs({LINEAR.format(q='visitor', d='hour', t='kind')} - actual))
                     OVER (PARTITION BY {part} 1) AS baseline_mae,
-                  row_number() OVER (PARTITION BY {part} 1 ORDER BY row_id) AS pos FROM shipments)
+                  row_number() OVER (PARTITION BY {part} 1 ORDER BY row_id) AS pos FROM visits)
                   WHERE n_windows >= {least}),
     donors AS (SELECT *, row_number() OVER (PARTITION BY {part} i, r ORDER BY
-                 {order} * 2147483648 + row_id % 2147483648) AS dpos
-               FROM base CROSS JOIN (VALUES (1, 'quantity'), (2, 'discount'), (3, 'tax')) f(i, feature)
+                 {order}) AS dpos
+               FROM base CROSS JOIN (VALUES (1, 'visitor'), (2, 'hour'), (3, 'kind')) f(i, feature)
                CROSS JOIN (VALUES (0), (1), (2)) t(r)),
     moved AS (SELECT {part.replace(keys, 'b.' + keys) if keys else ''} d.feature, d.r,
                 b.baseline_mae, b.n_windows,
-                avg(abs({LINEAR.format(q="CASE WHEN d.i = 1 THEN d.l_quantity ELSE b.l_quantity END",
-                                       d="CASE WHEN d.i = 2 THEN d.l_discount ELSE b.l_discount END",
-                                       t="CASE WHEN d.i = 3 THEN d.l_tax ELSE b.l_tax END")} - b.actual)) AS m
+                avg(abs({LINEAR.format(q="CASE WHEN d.i = 1 THEN d.visitor ELSE b.visitor END",
+                                       d="CASE WHEN d.i = 2 THEN d.hour ELSE b.hour END",
+                                       t="CASE WHEN d.i = 3 THEN d.kind ELSE b.kind END")} - b.actual)) AS m
               FROM base b JOIN donors d ON {'b.' + keys + ' = d.' + keys + ' AND' if keys else ''} b.pos = d.dpos
               GROUP BY ALL),
     table_ AS (SELECT {part} feature, baseline_mae, n_windows, avg(m - baseline_mae) AS mean_mae_increase,
                  coalesce(stddev_samp(m - baseline_mae), 0) AS std_mae_increase, count(*) AS n_repeats
                FROM moved GROUP BY ALL)
     SELECT *, mean_mae_increase / baseline_mae AS relative_increase,
-           greatest(mean_mae_increase, 0) / sum(greatest(mean_mae_increase, 0)) OVER (PARTITION BY {part} 1)
-             AS relative_importance
+           CASE WHEN sum(greatest(mean_mae_increase, 0)) OVER (PARTITION BY {part} 1) > 0
+                THEN greatest(mean_mae_increase, 0) / sum(greatest(mean_mae_increase, 0)) OVER (PARTITION BY {part} 1)
+                ELSE 0 END AS relative_importance
     FROM table_"""
 
 
@@ -235,16 +233,14 @@ PERMUTATION_DOUBLES = ("baseline_mae mean_mae_increase std_mae_increase relative
 @query("permutation_importance", _permutation_sql("", 0), doubles=PERMUTATION_DOUBLES, digits=4)
 def permutation_importance(g: Given):
     return importance.permutation_importance(
-        g.shipments(), _linear_scorer, "row_id", "actual",
-        {f: [c] for f, c in PERMUTED.items()}, repeats=3)
+        g.visits(), _linear_scorer, "row_id", "actual", {c: [c] for c in PERMUTED}, repeats=3)
 
 
 @query("permutation_by_condition", _permutation_sql("site", 400), doubles=PERMUTATION_DOUBLES,
        digits=4)
 def permutation_by_condition(g: Given):
     return importance.permutation_importance(
-        g.shipments(), _linear_scorer, "row_id", "actual",
-        {f: [c] for f, c in PERMUTED.items()}, repeats=3, keys=["site"], min_rows=400)
+        g.visits(), _linear_scorer, "row_id", "actual", {c: [c] for c in PERMUTED}, repeats=3, keys=["site"], min_rows=400)
 
 
 @query("permutation_forest")
@@ -259,7 +255,7 @@ def permutation_forest(g: Given):
         "row_id", F.col("step") * 8 + F.pmod(F.crc32("site"), F.lit(8)))
 
     def scorer(df):
-        return model.transform(forecast.assemble(df, inputs))
+        return model.transform(forecast.assemble(df, inputs)).drop("features")
 
     return importance.permutation_importance(
         g.keep(test), scorer, "row_id", "target", {c: [c] for c in inputs}, repeats=2,
@@ -279,12 +275,12 @@ def generation_levels(g: Given):
 
 @query("dependence_sample", f"""
     SELECT row_id, actual, predicted, predicted - actual AS error, abs(predicted - actual) AS abs_error,
-           l_quantity
-    FROM shipments
-    ORDER BY {_mix("42 + (row_id % 2147483647) * 1000003")} * 2147483648 + row_id % 2147483648 LIMIT 2000""",
+           visitor
+    FROM (SELECT *, 0.1 * visitor + 2.0 * hour - 0.5 * kind AS predicted FROM visits)
+    ORDER BY {draw_sql(42, "row_id")} LIMIT 2000""",
        doubles="actual predicted error abs_error")
 def dependence_sample(g: Given):
-    return importance.dependence_sample(g.shipments(), "row_id", ["l_quantity"])
+    return importance.dependence_sample(_linear_scorer(g.visits()), "row_id", ["visitor"])
 
 
 @query("family_importance", """

@@ -1 +1,343 @@
+"""Result tables from the run registry, the canonical matrix, and cross-site transfer."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import conformal, strata, tables, transfer
+from .base import PANEL, PRIMARY, RUN_HORIZONS, RUN_MODELS, RUN_SPECS, TABLES, Given, query
+from .evaluation import DAYS, STRATA_DOUBLES, stratified_sql
+
+ARRIVAL = "recorded_at, run_no"
+RANKS = {m: i for i, m in enumerate(RUN_MODELS)}
+MODEL_RANK = "CASE model " + " ".join(f"WHEN '{m}' THEN {i}" for m, i in RANKS.items()) + " ELSE 99 END"
+VALUES = "rmse mae nrmse_capacity r2 skill_vs_persistence_rmse train_seconds"
+SHOWN = ["experiment_id", "model", "horizon", "feature_spec", "seed", *VALUES.split()]
+
+
+@query("registry_upsert", "SELECT experiment_id, run_no, rmse, train_seconds FROM registry",
+       doubles="rmse train_seconds")
+def registry_upsert(g: Given):
+    return g.registry().select("experiment_id", "run_no", "rmse", "train_seconds")
+
+
+@query("overall_comparison", f"""
+    SELECT {', '.join(SHOWN)}, {MODEL_RANK} AS model_rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY {ARRIVAL}) AS rn FROM registry
+          WHERE horizon = '1h' AND feature_spec = 'full' AND experiment_group = 'B_ml_vs_dl')
+    WHERE rn = 1""", doubles=VALUES, ints="model_rank seed")
+def overall_comparison(g: Given):
+    return tables.overall_comparison(g.registry()).select(*SHOWN, "model_rank")
+
+
+@query("overall_without_group", f"""
+    SELECT {', '.join(SHOWN)}, {MODEL_RANK} AS model_rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY {ARRIVAL}) AS rn FROM registry
+          WHERE horizon = '6h' AND feature_spec = 'full')
+    WHERE rn = 1""", doubles=VALUES, ints="model_rank seed")
+def overall_without_group(g: Given):
+    return tables.overall_comparison(g.registry(), "6h", group="absent").select(
+        *SHOWN, "model_rank")
+
+
+@query("horizon_comparison", f"""
+    SELECT {', '.join(SHOWN)}, experiment_group AS source_group, {MODEL_RANK} AS model_rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY model, horizon ORDER BY
+                   CASE experiment_group WHEN 'C_horizons' THEN 0 ELSE 1 END, {ARRIVAL}) AS rn FROM registry
+          WHERE feature_spec = 'full' AND experiment_group IN ('C_horizons', 'B_ml_vs_dl'))
+    WHERE rn = 1""", doubles=VALUES, ints="model_rank seed")
+def horizon_comparison(g: Given):
+    return tables.horizon_comparison(g.registry()).select(*SHOWN, "source_group", "model_rank")
+
+
+@query("seasonal_comparison", f"""
+    SELECT *, {MODEL_RANK} AS model_rank FROM ({stratified_sql(['season', 'regime'])})
+    WHERE stratum_type = 'season'""", doubles=STRATA_DOUBLES, ints="model_rank")
+def seasonal_comparison(g: Given):
+    table = strata.stratified_table(strata.build_strata(g.predictions()), ["season", "regime"])
+    return tables.ranked_strata(table, ["season"])
+
+
+PCT = ["rmse_vs_full_pct", "mae_vs_full_pct", "nrmse_capacity_vs_full_pct"]
+
+
+@query("feature_ablation", f"""
+    SELECT {', '.join('e.' + c for c in SHOWN)}, 100 * (e.rmse - f.rmse) / f.rmse AS rmse_vs_full_pct,
+           100 * (e.mae - f.mae) / f.mae AS mae_vs_full_pct,
+           100 * (e.nrmse_capacity - f.nrmse_capacity) / f.nrmse_capacity AS nrmse_capacity_vs_full_pct
+    FROM registry e LEFT JOIN (
+        SELECT * FROM registry WHERE experiment_group = 'E_feature_ablation' AND feature_spec = 'full'
+        QUALIFY row_number() OVER (PARTITION BY model ORDER BY {ARRIVAL}) = 1) f USING (model)
+    WHERE e.experiment_group = 'E_feature_ablation'""", doubles=VALUES + " " + " ".join(PCT), ints="seed")
+def feature_ablation(g: Given):
+    return tables.feature_ablation(g.registry()).select(*SHOWN, *PCT)
+
+
+@query("feature_regimes", f"""
+    SELECT {', '.join(SHOWN)}, CASE feature_spec WHEN 'pv_only' THEN 0 WHEN 'weather_only' THEN 1
+             WHEN 'pv_weather' THEN 2 WHEN 'pv_weather_solar' THEN 3 WHEN 'full' THEN 4 ELSE 99 END AS regime_rank
+    FROM registry WHERE experiment_group = 'N_feature_regimes'
+    QUALIFY row_number() OVER (PARTITION BY model, feature_spec ORDER BY {ARRIVAL}) = 1""",
+       doubles=VALUES, ints="regime_rank seed")
+def feature_regimes(g: Given):
+    return tables.feature_regimes(g.registry()).select(*SHOWN, "regime_rank")
+
+
+@query("composite_ablation", f"""
+    WITH runs AS (SELECT * FROM registry WHERE experiment_group = 'B_ml_vs_dl' AND feature_spec = 'full'
+        QUALIFY row_number() OVER (PARTITION BY horizon, model ORDER BY {ARRIVAL}) = 1)
+    SELECT c.horizon, c.model AS composite, b.model AS backbone, c.rmse AS composite_rmse,
+           b.rmse AS backbone_rmse, c.rmse - b.rmse AS rmse_change_w,
+           100 * (c.rmse - b.rmse) / b.rmse AS rmse_change_pct, c.mae AS composite_mae
+    FROM runs c LEFT JOIN (SELECT * FROM runs WHERE model IN ('lstm', 'gru')
+        QUALIFY row_number() OVER (PARTITION BY horizon ORDER BY rmse, model DESC) = 1) b USING (horizon)
+    WHERE c.model IN ('cnn_lstm', 'attention_lstm', 'transformer')""",
+       doubles="composite_rmse backbone_rmse rmse_change_w rmse_change_pct composite_mae")
+def composite_ablation(g: Given):
+    table = tables.composite_ablation(g.registry(), ["cnn_lstm", "attention_lstm", "transformer"],
+                                      ["lstm", "gru"])
+    return table.select("horizon", "composite", "backbone", "composite_rmse", "backbone_rmse",
+                        "rmse_change_w", "rmse_change_pct", "composite_mae")
+
+
+@query("computational_cost", f"""
+    SELECT model, horizon, train_seconds, nrmse_capacity, train_seconds > 0 AS requires_training,
+           coalesce(nrmse_capacity < min(nrmse_capacity) OVER (ORDER BY train_seconds, nrmse_capacity, model,
+               horizon ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS pareto_optimal
+    FROM (SELECT * FROM registry WHERE feature_spec = 'full'
+          QUALIFY row_number() OVER (PARTITION BY model, horizon ORDER BY {ARRIVAL}) = 1)""",
+       doubles="train_seconds nrmse_capacity")
+def computational_cost(g: Given):
+    return tables.computational_cost(g.registry()).select(
+        "model", "horizon", "train_seconds", "nrmse_capacity", "requires_training",
+        "pareto_optimal")
+
+
+@query("dataset_statistics", """
+    SELECT site, unnest(['records', 'maximum observed power', 'mean power (all steps)',
+             'mean power (daylight)', 'daylight fraction', 'zero-power fraction (daylight)', 'ghi mean',
+             'ghi missing', 'clear_sky_index mean', 'clear_sky_index missing', 'train split size',
+             'val split size', 'test split size', 'rated capacity', 'capacity factor']) AS quantity,
+           unnest([count(*)::DOUBLE, max(pv_power_w), avg(pv_power_w), avg(pv_power_w) FILTER (daylight),
+             avg(daylight::INT), avg((pv_power_w <= 0)::INT) FILTER (daylight), avg(ghi),
+             avg((ghi IS NULL)::INT), avg(clear_sky_index), avg((clear_sky_index IS NULL)::INT),
+             count(*) FILTER (split = 'train'), count(*) FILTER (split = 'val'),
+             count(*) FILTER (split = 'test'), any_value(rated_w),
+             avg(pv_power_w) / any_value(rated_w)]) AS value
+    FROM sky GROUP BY site""", doubles="value")
+def dataset_statistics(g: Given):
+    rows = g.sky().drop("rated_w")
+    return tables.dataset_statistics(rows, g.stations(), ["ghi", "clear_sky_index"])
+
+
+def _labels(column: str, where: str = "true") -> str:
+    return f"array_to_string(list_sort(list(DISTINCT {column}) FILTER ({where})), ', ')"
+
+
+@query("registry_summary", f"""
+    SELECT count(*) AS n_experiments, {_labels('experiment_group')} AS groups, {_labels('model')} AS models,
+           {_labels('horizon')} AS horizons, {_labels('feature_spec')} AS feature_specs,
+           count(*) FILTER (rmse IS NULL) AS n_errors_recorded,
+           arg_min(experiment_id, (nrmse_capacity, recorded_at, run_no)) AS best_nrmse_capacity_run,
+           arg_min(experiment_id, (rmse, recorded_at, run_no)) AS best_rmse_run,
+           min(nrmse_capacity) AS best_nrmse_capacity, min(rmse) AS best_rmse
+    FROM registry""", doubles="best_nrmse_capacity best_rmse")
+def registry_summary(g: Given):
+    return tables.registry_summary(g.registry())
+
+
+@query("models_beating_persistence", f"""
+    SELECT model, skill_vs_persistence_rmse
+    FROM (SELECT * FROM registry WHERE horizon = '1h' AND feature_spec = 'full'
+            AND experiment_group = 'B_ml_vs_dl'
+          QUALIFY row_number() OVER (PARTITION BY model ORDER BY {ARRIVAL}) = 1)
+    WHERE skill_vs_persistence_rmse > 0""", doubles="skill_vs_persistence_rmse")
+def models_beating_persistence(g: Given):
+    return tables.beating_persistence(tables.overall_comparison(g.registry()))
+
+
+SEEDS = ["mae", "rmse", "nrmse_capacity", "r2", "skill_vs_persistence_rmse"]
+T95 = ("CASE count(*) WHEN 1 THEN 0 WHEN 2 THEN 12.7062047362 WHEN 3 THEN 4.3026527297 WHEN 4 THEN 3.1824463053 "
+       "WHEN 5 THEN 2.7764451052 WHEN 6 THEN 2.5705818356 WHEN 7 THEN 2.4469118511 WHEN 8 THEN 2.3646242516 "
+       "WHEN 9 THEN 2.3060041352 WHEN 10 THEN 2.2621571628 WHEN 11 THEN 2.2281388520 WHEN 12 THEN 2.2009851601 "
+       "WHEN 13 THEN 2.1788128297 WHEN 14 THEN 2.1603686565 WHEN 15 THEN 2.1447866879 WHEN 16 THEN 2.1314495456 "
+       "WHEN 17 THEN 2.1199052992 WHEN 18 THEN 2.1098155778 WHEN 19 THEN 2.1009220402 WHEN 20 THEN 2.0930240544 "
+       "WHEN 21 THEN 2.0859634473 WHEN 22 THEN 2.0796138447 WHEN 23 THEN 2.0738730679 WHEN 24 THEN 2.0686576104 "
+       "WHEN 25 THEN 2.0638985616 WHEN 26 THEN 2.0595385528 WHEN 27 THEN 2.0555294386 WHEN 28 THEN 2.0518305165 "
+       "WHEN 29 THEN 2.0484071418 WHEN 30 THEN 2.0452296421 END")
+
+
+def _seed_sql(m: str) -> str:
+    std = f"coalesce(stddev_samp({m}), 0)"
+    half = f"{T95} * {std} / sqrt(count(*))"
+    return (f"avg({m}) AS {m}_mean, {std} AS {m}_std, avg({m}) - {half} AS {m}_ci_low, "
+            f"avg({m}) + {half} AS {m}_ci_high, min({m}) AS {m}_min, max({m}) AS {m}_max")
+
+
+SEED_DOUBLES = " ".join(f"{m}_{s}" for m in SEEDS for s in ("mean", "std", "ci_low", "ci_high", "min", "max"))
+
+
+@query("multiseed_summary", f"""
+    SELECT model, horizon, count(DISTINCT seed) AS n_seeds,
+           array_to_string(list_transform(list_sort(list(DISTINCT seed)), lambda s: s::VARCHAR), ', ') AS seeds,
+           {', '.join(_seed_sql(m) for m in SEEDS)}
+    FROM registry WHERE experiment_group = 'M_multiseed' GROUP BY model, horizon""", doubles=SEED_DOUBLES)
+def multiseed_summary(g: Given):
+    return tables.multiseed_summary(g.registry())
+
+
+QUESTION = ("CASE experiment_group WHEN 'B_ml_vs_dl' THEN 'RQ1' WHEN 'C_horizons' THEN 'RQ2' "
+            "WHEN 'E_feature_ablation' THEN 'RQ4' WHEN 'M_multiseed' THEN 'RQ1' ELSE '' END")
+TABLES["folds"] = """
+    SELECT 'within_site' AS protocol, t.site AS test_site, t.site AS site FROM stations t
+    UNION ALL SELECT 'cross_site', t.site, 'click' FROM stations t WHERE t.site <> 'click'
+    UNION ALL SELECT 'leave_one_site_out', t.site, s.site FROM stations t JOIN stations s ON s.site <> t.site"""
+TABLES["fold_fits"] = """
+    SELECT protocol, test_site, horizon, count(*) AS n_fit,
+           regr_slope(actual, reference_persistence) AS slope,
+           regr_intercept(actual, reference_persistence) AS intercept
+    FROM folds JOIN supervised USING (site) WHERE split = 'train' GROUP BY protocol, test_site, horizon"""
+TABLES["transfer_scored"] = """
+    SELECT protocol, 'linear_regression' AS model, horizon, test_site, count(*) AS n, avg(abs(e)) AS mae,
+           sqrt(avg(e * e)) AS rmse, sqrt(avg(e * e)) / max(rated_w) AS nrmse_capacity, avg(e) AS bias,
+           sqrt(avg(p * p)) AS persistence_rmse, 1 - sqrt(avg(e * e)) / sqrt(avg(p * p))
+             AS skill_vs_persistence_rmse
+    FROM (SELECT f.protocol, f.horizon, f.test_site, s.rated_w, s.reference_persistence - s.actual AS p,
+                 f.intercept + f.slope * s.reference_persistence - s.actual AS e
+          FROM fold_fits f JOIN supervised s ON s.site = f.test_site AND s.horizon = f.horizon
+          WHERE s.split = 'test' AND s.daylight)
+    GROUP BY protocol, horizon, test_site"""
+
+
+TABLES["matrix"] = f"""
+    SELECT experiment_id, {QUESTION} AS research_question, experiment_group,
+           'within_site_chronological' AS protocol, model, horizon, 'click' AS site,
+           'all_daylight' AS weather_regime, 'all' AS season, feature_spec AS feature_regime, seed,
+           n_test AS n_observations, rmse, skill_vs_persistence_rmse AS skill_vs_persistence,
+           train_seconds AS train_time_seconds, 'executed' AS status
+    FROM registry
+    UNION ALL
+    SELECT concat_ws('_', 'S', site, model, stratum_type, replace(stratum, ' ', '_'), horizon), 'RQ3',
+           'D_regimes/G_seasonal', 'within_site_chronological', model, horizon, site,
+           CASE WHEN stratum_type = 'regime' THEN stratum ELSE 'all_daylight' END,
+           CASE WHEN stratum_type = 'season' THEN stratum ELSE 'all' END, 'full', 42, n, rmse,
+           skill_vs_persistence_rmse, NULL, 'executed'
+    FROM ({stratified_sql(['regime', 'season'])})
+    UNION ALL
+    SELECT concat('K_', site, '_', model, '_a', alpha::VARCHAR, '_', scope), 'RQ7', 'K_uncertainty', NULL,
+           model, horizon, site, NULL, 'all', 'full', NULL, n, NULL, NULL, NULL, 'executed'
+    FROM (SELECT site, model, horizon, alpha, scope, count(*) AS n
+          FROM intervals, LATERAL (SELECT 'evaluation_all_steps' AS scope
+                                   UNION ALL SELECT 'evaluation_daylight' WHERE daylight) GROUP BY ALL)
+    UNION ALL
+    SELECT concat_ws('_', 'J', protocol, model, horizon, replace(test_site, ' ', '_')), 'RQ6', 'J_cross_site',
+           protocol, model, horizon, test_site, 'all_daylight', 'all', 'full', NULL, n, rmse,
+           skill_vs_persistence_rmse, NULL, 'executed'
+    FROM transfer_scored"""
+
+
+def _transfer_scores(g: Given):
+    rows = g.predictions(None).where("model = 'persistence'").drop("model", "predicted")
+    fits = transfer.pooled_simple_fits(rows.where("split = 'train'"), PANEL, PRIMARY,
+                                       "reference_persistence", "actual")
+    return transfer.transfer_scores(transfer.transfer_predictions(
+        rows.where("split = 'test'"), fits, "reference_persistence"))
+
+
+@query("fold_table", """
+    SELECT protocol, test_site, count(*) AS n_train_sites, string_agg(site, ', ' ORDER BY site) AS train_sites
+    FROM folds WHERE site IN (SELECT event_type FROM events) GROUP BY protocol, test_site""")
+def fold_table(g: Given):
+    return transfer.fold_table(g.readings(), PANEL, PRIMARY)
+
+
+@query("pooled_scalers", """
+    SELECT protocol, test_site, 'pv_power_w' AS "column", count(pv_power_w) AS n_rows,
+           avg(pv_power_w) AS mean, stddev_pop(pv_power_w) AS std
+    FROM folds JOIN sky USING (site) WHERE split = 'train' GROUP BY protocol, test_site
+    UNION ALL
+    SELECT protocol, test_site, 'ghi', count(ghi), avg(ghi), stddev_pop(ghi)
+    FROM folds JOIN sky USING (site) WHERE split = 'train' GROUP BY protocol, test_site""",
+       doubles="mean std", ints="n_rows")
+def pooled_scalers(g: Given):
+    return transfer.pooled_scalers(g.sky().where("split = 'train'"), PANEL, PRIMARY,
+                                   ["pv_power_w", "ghi"])
+
+
+@query("pooled_fits", "SELECT protocol, test_site, horizon, n_fit, slope, intercept FROM fold_fits",
+       doubles="slope intercept", ints="n_fit")
+def pooled_fits(g: Given):
+    rows = g.predictions("train").where("model = 'persistence'")
+    return transfer.pooled_simple_fits(rows, PANEL, PRIMARY, "reference_persistence", "actual")
+
+
+TRANSFER = ["n", "mae", "rmse", "nrmse_capacity", "bias", "persistence_rmse",
+            "skill_vs_persistence_rmse"]
+
+
+@query("transfer_scores", f"SELECT protocol, model, horizon, test_site, {', '.join(TRANSFER)} FROM transfer_scored",
+       doubles=" ".join(TRANSFER[1:]))
+def transfer_scores(g: Given):
+    return _transfer_scores(g).select("protocol", "model", "horizon", "test_site", *TRANSFER)
+
+
+@query("transfer_table", f"""
+    SELECT protocol, model, horizon, test_site, train_sites, {', '.join(TRANSFER)}
+    FROM transfer_scored JOIN (SELECT protocol, test_site, string_agg(site, ', ' ORDER BY site) AS train_sites
+                               FROM folds GROUP BY protocol, test_site) USING (protocol, test_site)
+    """, doubles=" ".join(TRANSFER[1:]))
+def transfer_table(g: Given):
+    table = transfer.transfer_table(_transfer_scores(g),
+                                    transfer.fold_table(g.readings(), PANEL, PRIMARY))
+    return table.select("protocol", "model", "horizon", "test_site", "train_sites", *TRANSFER)
+
+
+def _matrix(g: Given):
+    rows = strata.build_strata(g.predictions())
+    return tables.build_matrix([
+        tables.matrix_from_registry(g.registry(), PRIMARY),
+        tables.matrix_from_strata(strata.stratified_table(rows, ["regime", "season"])),
+        tables.matrix_from_coverage(conformal.coverage_table(g.predictions(), days=DAYS)),
+        tables.matrix_from_transfer(_transfer_scores(g))])
+
+
+MATRIX = ["experiment_id", "research_question", "experiment_group", "protocol", "model", "horizon",
+          "site", "weather_regime", "season", "feature_regime", "seed", "n_observations", "rmse",
+          "skill_vs_persistence", "train_time_seconds", "status"]
+
+
+@query("result_matrix", f"SELECT {', '.join(MATRIX)} FROM matrix",
+       doubles="rmse skill_vs_persistence train_time_seconds", ints="seed n_observations")
+def result_matrix(g: Given):
+    return _matrix(g).select(*MATRIX)
+
+
+@query("matrix_by_group", """
+    SELECT experiment_group, research_question, count(*) AS n_rows, count(rmse) AS n_scored,
+           avg(rmse) AS mean_rmse FROM matrix GROUP BY 1, 2""", doubles="mean_rmse")
+def matrix_by_group(g: Given):
+    return _matrix(g).groupBy("experiment_group", "research_question").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("rmse").alias("n_scored"),
+        F.avg("rmse").alias("mean_rmse"))
+
+
+@query("matrix_coverage", f"""
+    SELECT count(*) AS rows, count(*) FILTER (status = 'executed') AS executed_rows,
+           {_labels('research_question', "research_question <> ''")} AS research_questions,
+           {_labels('experiment_group')} AS groups, {_labels('horizon')} AS horizons,
+           {_labels('model')} AS models, {_labels('site')} AS sites
+    FROM matrix""")
+def matrix_coverage(g: Given):
+    return tables.matrix_coverage(_matrix(g))
+
+
+@query("missing_runs", f"""
+    SELECT m AS model, h AS horizon, f AS feature_spec, s AS seed
+    FROM (SELECT unnest({RUN_MODELS}) AS m), (SELECT unnest({RUN_HORIZONS}) AS h),
+         (SELECT unnest({RUN_SPECS}) AS f), (SELECT unnest(range(10)) AS s)
+    WHERE (m, h, f, s) NOT IN (SELECT (model, horizon, feature_spec, seed) FROM registry)""", ints="seed")
+def missing_runs(g: Given):
+    declared = tables.declared_runs(g.spark, model=RUN_MODELS, horizon=RUN_HORIZONS,
+                                    feature_spec=RUN_SPECS, seed=list(range(10)))
+    return tables.missing_runs(declared.withColumn("seed", F.col("seed").cast("long")),
+                               g.registry())

@@ -240,13 +240,29 @@ def signed_rank(df: DataFrame, value: str = "d", keys: Sequence[str] = (*RUN, "l
 def autocorrelation(df: DataFrame, value: str = "d", max_lag: int = 96,
                     keys: Sequence[str] = RUN, order: str = "step",
                     chunk_steps: int = CHUNK_STEPS) -> DataFrame:
-    """Autocorrelation at every lag up to ``max_lag`` (null beyond the series)."""
-    sums = lagged_products(df, value, max_lag, keys, order, chunk_steps)
-    rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"s{k}").alias("_s"))
-                     for k in range(max_lag + 1)])
-    out = sums.select(*keys, "n", "s0", F.inline(rows))
-    value = F.when((F.col("lag") < F.col("n")) & (F.col("s0") > 0), F.col("_s") / F.col("s0"))
-    return out.select(*keys, "n", "lag", value.alias("autocorrelation"),
+    """Autocorrelation at every lag up to ``max_lag`` (null beyond the series).
+
+    Each row carries the last ``max_lag`` values; their products are summed per lag on
+    the map side, so what is shuffled is one number per key, lag and task.
+    """
+    means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(value).alias("n"))
+    rows = with_position(df.select(*keys, order, value), keys, order, "_pos", chunk_steps)
+    rows = rows.join(means, list(keys)).withColumn("_c", F.col(value) - F.col("_mean"))
+
+    def recent(w: WindowSpec) -> dict[str, Column]:
+        return {"_recent": F.collect_list("_c").over(w.rowsBetween(-max_lag, 0))}
+
+    rows = over_halo(rows, keys, "_pos", recent, before=max_lag, chunk_steps=chunk_steps)
+    sums = rows.select(*keys, "n", "_c", F.posexplode(F.reverse("_recent")).alias("lag", "_then"))
+    sums = sums.groupBy(*keys, "n", "lag").agg(F.sum(F.col("_c") * F.col("_then")).alias("_s"))
+    whole = F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(Window.partitionBy(*keys))
+    found = sums.withColumn("_whole", whole)  # one row per lag
+    lags = found.groupBy(*keys, "n").agg(F.max("_whole").alias("_whole")).withColumn(
+        "lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag))))
+    out = lags.join(found.select(*keys, "lag", "_s"), [*keys, "lag"], "left")
+    ratio = F.when((F.col("lag") < F.col("n")) & (F.col("_whole") > 0),
+                   F.coalesce("_s", F.lit(0.0)) / F.col("_whole"))
+    return out.select(*keys, "n", "lag", ratio.alias("autocorrelation"),
                       (F.col("lag") * 15 / 60.0).alias("lag_hours"))
 
 

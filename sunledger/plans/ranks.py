@@ -23,7 +23,12 @@ def value_bucket(value: Column) -> Column:
 
 def distinct_counts(df: DataFrame, keys: Sequence[str], value: str,
                     extra: Mapping[str, Column] | None = None) -> DataFrame:
-    return (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
+    # the ranks and the bucket totals both read this; stating every null filter here gives
+    # both the same plan, so that Spark shuffles the values once
+    known = F.col(value).isNotNull() & value_bucket(F.col(value)).isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    return (df.where(known).groupBy(*keys, value)
             .agg(F.count(F.lit(1)).alias("ties"),
                  *[e.alias(n) for n, e in (extra or {}).items()])
             .withColumn(BUCKET, value_bucket(F.col(value))))

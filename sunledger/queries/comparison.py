@@ -179,7 +179,7 @@ def rank_sql(source: str, keys: str) -> str:
            CASE WHEN n >= 6 THEN (w_plus - w_minus) / (w_plus + w_minus) ELSE 0 END AS effect_size_rank_biserial,
            n::BIGINT AS n_pairs, (n_all - n)::BIGINT AS n_zero_differences
     FROM (SELECT {keys}, count(*) AS n_all FROM {source} GROUP BY {keys})
-    LEFT JOIN (SELECT {keys}, sum(rank) FILTER (d > 0) AS w_plus, sum(rank) FILTER (d < 0) AS w_minus,
+    LEFT JOIN (SELECT {keys}, coalesce(sum(rank) FILTER (d > 0), 0) AS w_plus, coalesce(sum(rank) FILTER (d < 0), 0) AS w_minus,
                  count(*)::DOUBLE AS n, sum(t * t - 1) AS ties
                FROM (SELECT {keys}, d, rank() OVER (PARTITION BY {keys} ORDER BY abs(d))
                        + (count(*) OVER (PARTITION BY {keys}, abs(d)) - 1) / 2.0 AS rank,

@@ -32,7 +32,7 @@ def scan_predictions(spark: SparkSession, path: str | list[str], groups: Sequenc
     The winner is found on run names alone, so forecasts of the other runs are dropped by
     a join on the name and never sorted.
     """
-    rows = spark.read.parquet(path)
+    rows = spark.read.parquet(*([path] if isinstance(path, str) else path))
     rows = rows.select("*", run_name(F.col("_metadata.file_path")).alias("_run"))
     rows = rows.withColumns(stem_parts(F.col("_run")))
     if groups is not None:

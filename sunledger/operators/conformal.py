@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.ranks import order_statistics
+from ..plans.summaries import sized
 from ..schema import CALIBRATION_DAYS, MIN_CONFORMAL_ROWS, STEP_SECONDS
 
 RUN = ["site", "model", "horizon"]
@@ -36,7 +37,7 @@ def split_calibration(predictions: DataFrame, days: float = CALIBRATION_DAYS,
     """Mark the first ``days`` of every run as calibration."""
     start = predictions.groupBy(*keys).agg(F.min(order).alias("_start"))
     reach = int(round(days * 86400 / STEP_SECONDS))
-    return predictions.join(start, list(keys)).withColumn(
+    return predictions.join(sized(start), list(keys)).withColumn(
         "is_calibration", F.col(order) < F.col("_start") + reach).drop("_start")
 
 
@@ -58,8 +59,8 @@ def interval_frame(predictions: DataFrame, alphas: Sequence[float] = (0.1,),
         "_residual", F.abs(F.col("predicted") - F.col("actual")))
     widths = conformal_quantiles(residuals, "_residual", alphas, keys)
     width = F.col("interval_half_width_w")
-    out = (split.where("not is_calibration").join(_usable(split, keys, least), list(keys))
-           .join(widths, list(keys)))
+    bounds = _usable(split, keys, least).join(widths, list(keys))
+    out = split.where("not is_calibration").join(sized(bounds), list(keys))
     return out.withColumns({"lower": F.col("predicted") - width,
                             "upper": F.col("predicted") + width}).withColumn(
         "inside", F.col("actual").between(F.col("lower"), F.col("upper")))

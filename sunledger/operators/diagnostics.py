@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import clock
 from ..plans.ranks import quantiles
+from ..plans.summaries import sized
 
 RUN = ["site", "model", "horizon"]
 
@@ -18,7 +19,7 @@ def daily_mae(predictions: DataFrame, n_days: int = 14, keys: Sequence[str] = RU
     start = predictions.groupBy(*keys).agg(F.min(order).alias("_start"))
     date = F.to_date(clock.instant(F.col(order)))
     first = F.to_date(clock.instant(F.col("_start")))
-    rows = predictions.join(start, list(keys)).where("daylight")
+    rows = predictions.join(sized(start), list(keys)).where("daylight")
     rows = rows.withColumn("day_index", F.date_diff(date, first)).where(
         F.col("day_index") < n_days).drop("_start")
     return rows.groupBy(*keys, "day_index").agg(
@@ -35,7 +36,7 @@ def equal_width_bin(value: Column, low: Column, high: Column, bins: int) -> Colu
 def with_bins(df: DataFrame, value: str, bins: int, keys: Sequence[str]) -> DataFrame:
     edges = df.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"),
                                   F.count(value).alias("_n"))
-    return df.where(F.col(value).isNotNull()).join(edges, list(keys)).withColumn(
+    return df.where(F.col(value).isNotNull()).join(sized(edges), list(keys)).withColumn(
         "bin", equal_width_bin(F.col(value), F.col("_low"), F.col("_high"), bins))
 
 

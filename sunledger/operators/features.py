@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from ..functions import clock
 from ..plans.chunks import CHUNK_STEPS, over_halo
+from ..plans.summaries import sized
 from ..schema import (MODEL_INPUTS, ROLLING_WINDOWS, TARGET_LAGS, WEATHER_COLUMNS, WEATHER_INPUTS,
                       WEATHER_ROLLING_WINDOWS)
 
@@ -129,6 +130,6 @@ def drop_warm_up(df: DataFrame, history: int, keys: Sequence[str] = SITE,
     """Drop the first ``history`` grid rows of every series, add season and year."""
     start = df.groupBy(*keys).agg(F.min(order).alias("_start"))
     time = clock.instant(F.col(order))
-    return (df.join(start, list(keys)).where(F.col(order) >= F.col("_start") + history)
+    return (df.join(sized(start), list(keys)).where(F.col(order) >= F.col("_start") + history)
             .drop("_start")
             .withColumns({"season": clock.season(time, title=False), "year": F.year(time)}))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.chunks import carry
 from ..plans.ranks import quantiles
+from ..plans.summaries import sized
 from ..schema import MAX_GAP_TARGET, MAX_GAP_WEATHER
 
 SITE = ["site"]
@@ -140,7 +141,7 @@ def fill_medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) ->
     wide = medians.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_variable") == c, F.col("_median"))).alias(f"_m_{c}")
         for c in columns])
-    return (df.join(wide, list(keys), "left")
+    return (df.join(sized(wide), list(keys), "left")
             .withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in columns})
             .drop(*[f"_m_{c}" for c in columns]))
 

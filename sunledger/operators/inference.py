@@ -15,6 +15,7 @@ from ..functions.draws import draw
 from ..functions.stats import two_sided_p
 from ..plans.chunks import CHUNK_STEPS, once, over_halo, running_sum, with_position
 from ..plans.ranks import ranked_values
+from ..plans.summaries import sized
 from ..schema import BLOCK_LENGTHS, BLOCK_STEPS, CONFIDENCE, RESAMPLES
 
 RUN = ["site", "model", "horizon"]
@@ -143,7 +144,7 @@ def lagged_products(df: DataFrame, value: str, max_lag: int, keys: Sequence[str]
     """Per key: n, mean and the centred autocovariance sums ``s0 .. s<max_lag>``."""
     means = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
     rows = with_position(df.select(*keys, order, value), keys, order, "_pos", chunk_steps)
-    rows = rows.join(means, list(keys)).withColumn("_c", F.col(value) - F.col("mean"))
+    rows = rows.join(sized(means), list(keys)).withColumn("_c", F.col(value) - F.col("mean"))
 
     def delayed(w: WindowSpec) -> dict[str, Column]:
         return {f"_l{k}": F.lag("_c", k).over(w) for k in range(1, max_lag + 1)}
@@ -247,7 +248,7 @@ def autocorrelation(df: DataFrame, value: str = "d", max_lag: int = 96,
     """
     means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(value).alias("n"))
     rows = with_position(df.select(*keys, order, value), keys, order, "_pos", chunk_steps)
-    rows = rows.join(means, list(keys)).withColumn("_c", F.col(value) - F.col("_mean"))
+    rows = rows.join(sized(means), list(keys)).withColumn("_c", F.col(value) - F.col("_mean"))
 
     def recent(w: WindowSpec) -> dict[str, Column]:
         return {"_recent": F.collect_list("_c").over(w.rowsBetween(-max_lag, 0))}

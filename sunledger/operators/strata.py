@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 from ..functions import bands, clock, scores
 from ..functions.stats import skill
 from ..plans.chunks import CHUNK_STEPS, over_halo
+from ..plans.summaries import sized
 from ..schema import MIN_STRATUM_SIZE, RAMP_FRACTION
 
 RUN = ["site", "model", "horizon"]
@@ -22,7 +23,7 @@ def add_ramp_flag(df: DataFrame, keys: Sequence[str] = RUN, value: str = "actual
     if capacity is None:
         peak = F.max(F.abs(value))
         peaks = df.groupBy(*keys).agg(F.when(peak > 0, peak).otherwise(F.lit(1.0)).alias("_peak"))
-        df = df.join(peaks, list(keys))
+        df = df.join(sized(peaks), list(keys))
     limit = fraction * F.col(capacity or "_peak")
 
     def ramp(w: WindowSpec) -> dict[str, Column]:

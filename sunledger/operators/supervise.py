@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from ..functions import clock
 from ..plans.chunks import CHUNK_STEPS, over_halo, with_position
+from ..plans.summaries import sized
 from ..schema import EPS, HORIZONS, LOOKBACK_STEPS, STEP_SECONDS
 
 SITE = ["site"]
@@ -138,7 +139,7 @@ def scaler_row(scalers: DataFrame, columns: Sequence[str],
 
 def apply_scalers(df: DataFrame, scalers: DataFrame, columns: Sequence[str],
                   keys: Sequence[str] = SITE, invert: bool = False) -> DataFrame:
-    wide = scaler_row(scalers, columns, keys)
+    wide = sized(scaler_row(scalers, columns, keys))
 
     def scaled(c: str) -> Column:
         mean, std = F.col(f"_scale_{c}.mean"), F.col(f"_scale_{c}.std")
@@ -161,7 +162,7 @@ def window_origins(df: DataFrame, horizon_steps: int, lookback: int = LOOKBACK_S
     lost = 2 * horizon_steps if truncated_target else horizon_steps
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     start = F.col("pos") - lookback
-    rows = with_position(df.select(*keys, order), keys, order).join(sizes, list(keys))
+    rows = with_position(df.select(*keys, order), keys, order).join(sized(sizes), list(keys))
     return (rows.where((start >= 0) & (F.col("pos") + lost <= F.col("_n"))
                        & (F.pmod(start, F.lit(stride)) == 0))
             .select(*keys, order, start.alias("start_row"), (F.col("pos") - 1).alias("origin_row"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scores
 from ..functions.stats import skill
+from ..plans.summaries import sized
 from ..schema import EPS
 
 PROTOCOLS = ("within_site", "cross_site", "leave_one_site_out")
@@ -102,7 +103,7 @@ def transfer_predictions(test: DataFrame, fits: DataFrame, x: str,
                          model: str = "linear_regression") -> DataFrame:
     """Score every held-out row under every protocol that tests its site."""
     rows = test.withColumnRenamed("site", "test_site")
-    return rows.join(fits, ["test_site", *keys]).withColumns({
+    return rows.join(sized(fits), ["test_site", *keys]).withColumns({
         "model": F.lit(model), "predicted": F.col("intercept") + F.col("slope") * F.col(x)})
 
 

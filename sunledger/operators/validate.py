@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.stats import sample_kurtosis, sample_skewness
 from ..plans.chunks import carry, dense_grid
 from ..plans.ranks import quantiles
+from ..plans.summaries import sized
 from ..schema import CAPACITY_HIGH, CAPACITY_LOW
 
 SITE = ["site"]
@@ -221,7 +222,7 @@ def outlier_profile(df: DataFrame, value: str, keys: Sequence[str] = SITE) -> Da
         "lower_fence": F.col("q1") - 1.5 * F.col("iqr"),
         "upper_fence": F.col("q3") + 1.5 * F.col("iqr")})
     constant = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"]
-    return df.join(fences, list(keys)).groupBy(*keys).agg(
+    return df.join(sized(fences), list(keys)).groupBy(*keys).agg(
         F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
         *[F.max(c).alias(c) for c in constant],
         F.count_if(v > F.col("upper_fence")).alias("n_above"),

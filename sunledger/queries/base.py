@@ -19,6 +19,7 @@ from ..functions import clock
 from ..operators import forecast, regimes, sky
 from ..operators.supervise import Boundaries, assign_split
 from ..plans.chunks import densify
+from ..plans.summaries import sized
 from ..session import materialise, scratch_path, use_utc
 
 _STAGED: dict[tuple[str, str, str], str] = {}
@@ -134,11 +135,11 @@ class Given:
         return rows if split is None else rows.where(F.col("split") == split)
 
     def build_forecasts(self) -> DataFrame:
-        rows = self.supervised()
+        rows = self.keep(self.supervised())
         fits = forecast.simple_linear_fit(
             rows.where("split = 'train'"), "reference_persistence", "actual", ["site", "horizon"])
         return forecast.fan_out(
-            rows.join(fits.drop("n_fit"), ["site", "horizon"]), {
+            rows.join(sized(fits.drop("n_fit")), ["site", "horizon"]), {
                 "persistence": F.col("reference_persistence"),
                 "smart_persistence": F.col("reference_smart_persistence"),
                 "linear_regression": F.col("intercept") + F.col("slope") * F.col(

@@ -12,19 +12,19 @@ from sunledger.functions import clock
 
 
 def test_station_files(spark, tmp_path):
-    (tmp_path / "LSK North.csv").write_text(
+    (tmp_path / "Roof North.csv").write_text(
         "Time,power(W)\n2021-06-01 00:00:00,1\n2021-06-01 00:00:00,3\n2021/6/1 0:15,x\nnever,5\n")
-    (tmp_path / "CYT (Station 1).csv").write_text("Time,power(W)\n2021-06-01 00:00,7.5\n")
+    (tmp_path / "Yard (Station 1).csv").write_text("Time,power(W)\n2021-06-01 00:00,7.5\n")
     scanned = raw.scan_power_raw(spark, str(tmp_path))
     got = {(r.site, r.Time): r.pv_power_w for r in raw.power_series(scanned).select(
         "site", F.col("Time").cast("string").alias("Time"), "pv_power_w").collect()}
-    assert got == {("LSK North", "2021-06-01 00:00:00"): 2.0,
-                   ("LSK North", "2021-06-01 00:15:00"): None,
-                   ("CYT (Station 1)", "2021-06-01 00:00:00"): 7.5}
+    assert got == {("Roof North", "2021-06-01 00:00:00"): 2.0,
+                   ("Roof North", "2021-06-01 00:15:00"): None,
+                   ("Yard (Station 1)", "2021-06-01 00:00:00"): 7.5}
     bad = raw.unparsed_times(scanned).collect()
-    assert [(r.site, r.n_unparsed, r.example) for r in bad] == [("LSK North", 1, "never")]
-    issues = raw.station_issues(spark, ["LSK North", "SQ1"], scanned)
-    assert [r.message for r in issues.collect()] == ["station SQ1 could not be loaded"]
+    assert [(r.site, r.n_unparsed, r.example) for r in bad] == [("Roof North", 1, "never")]
+    issues = raw.station_issues(spark, ["Roof North", "Yard 2"], scanned)
+    assert [r.message for r in issues.collect()] == ["station Yard 2 could not be loaded"]
 
 
 def test_weather_by_position(spark, tmp_path):
@@ -41,25 +41,25 @@ def test_weather_by_position(spark, tmp_path):
 
 def test_station_metadata_and_lookup(spark, tmp_path):
     (tmp_path / "meta.ttl").write_text('''@prefix brick: <x> .
-pvsystem:LSK_North a brick:PV_Generation_System ;
+pvsystem:Roof_North a brick:PV_Generation_System ;
   brick:latitude 22.33 ;
   brick:longitude 114.26 ;
   brick:hasLocation [ brick:value "Roof" ] ;
   ext:altitude [ a ext:H ; brick:value 80 ] ;
   ext:ratedPowerOutput [ a ext:P ;
      brick:value 55.0 ] .
-pvsystem:CYT__Station_1_ a brick:PV_Generation_System ;
+pvsystem:Yard__Station_1_ a brick:PV_Generation_System ;
   brick:latitude 22.3 .
 ''')
     stations = raw.scan_stations(spark, str(tmp_path / "meta.ttl"))
     r = {s.brick_name: s for s in stations.collect()}
-    assert r["LSK_North"].rated_w == 55000.0 and r["LSK_North"].altitude_m == 80.0
-    assert r["LSK_North"].location == "Roof" and r["CYT__Station_1_"].rated_kw is None
-    names = spark.createDataFrame([("lsk north",), ("CYT (Station 1)",), ("Nowhere",)], "site string")
+    assert r["Roof_North"].rated_w == 55000.0 and r["Roof_North"].altitude_m == 80.0
+    assert r["Roof_North"].location == "Roof" and r["Yard__Station_1_"].rated_kw is None
+    names = spark.createDataFrame([("roof north",), ("Yard (Station 1)",), ("Nowhere",)], "site string")
     got = {x.site: (x.brick_name, x.metadata_found, x.slug)
            for x in raw.lookup_stations(names, stations).collect()}
-    assert got == {"lsk north": ("LSK_North", True, "lsk_north"),
-                   "CYT (Station 1)": ("CYT__Station_1_", True, "cyt_station_1"),
+    assert got == {"roof north": ("Roof_North", True, "roof_north"),
+                   "Yard (Station 1)": ("Yard__Station_1_", True, "yard_station_1"),
                    "Nowhere": (None, False, "nowhere")}
 
 

@@ -1,7 +1,7 @@
 """Headline queries on the given tables; prints one JSON line.
 
 Prepared rows and forecasts are written once, timed under their own names, and read by
-the evaluation queries, as in normal use. Each query is warmed by nothing and run once.
+the evaluation queries, as in normal use. Each query runs once, without a warm-up run.
 """
 
 from __future__ import annotations

@@ -54,7 +54,7 @@ def fingerprint(hashes: np.ndarray, block: int = 65_536) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed 64-bit integer."""
+    """``doc_id, th, fp``: hash of the text, and the fingerprint as a signed 64-bit integer."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -62,11 +62,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             ids = batch.column("doc_id")
             fps = [fingerprint(shingle_hashes(t, shingle)) for t in batch.column("text").to_pylist()]
             fps = np.array(fps, np.uint64).view(np.int64)
-            yield record_batch({"doc_id": ids, "fp": fps}, pa.schema(
-                [("doc_id", ids.type), ("fp", pa.int64())]))
+            yield record_batch({"doc_id": ids, "th": batch.column("th"), "fp": fps}, pa.schema(
+                [("doc_id", ids.type), ("th", pa.int64()), ("fp", pa.int64())]))
 
-    return docs.select("doc_id", raw("text").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), raw("text").alias("text")) \
+        .mapInArrow(run, f"doc_id {kind}, th bigint, fp bigint")
 
 
 def _ones(x: np.ndarray) -> np.ndarray:
@@ -207,7 +207,7 @@ def _choose(n: int, r: int):
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS,
                     per_block: int = 20_000) -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest id reachable over links, per document."""
+    """``doc_id, th, fp, component_id``: the smallest id reachable over links, per document."""
     marked = kept(fingerprints(docs, shingle), "fingerprints")
     distinct = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = kept(components(near_links(distinct.select("fp"), bits, per_block)), "roots")
@@ -215,16 +215,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS,
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The row of smallest id of every component, all columns; of rows that repeat that id the
-    one of smallest text stays, and rows of a component without any id all stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), bits=bits)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    return left
+    return marked.join(named, "fp").select("doc_id", "th", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """The row of smallest id of every component, all columns. Rows that repeat both id and text
+    stay or go together; a component whose ids are all null stays whole."""
+    found = near_duplicates(docs.select("doc_id", "text"), shingle, bits)
+    gone = found.where(F.col("component_id").isNotNull()
+                       & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & F.xxhash64(
+        docs["text"]).eqNullSafe(F.col("_gone_th")), "left_anti")
 
 
 def op2_simhash(spark, sf_dir):

@@ -74,8 +74,8 @@ def ratios(rows: DataFrame, n_toxic: int, n_other: int, max_features: int) -> di
     return {r["gram"]: r["ratio"] for r in best.toLocalIterator()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_features: int = 10_000,
-        regularisation: float = 0.0001) -> tuple[dict[str, float], float]:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_features: int = 3_000,
+        regularisation: float = 0.001) -> tuple[dict[str, float], float]:
     """Weight of each n-gram (coefficient times ratio) and intercept."""
     rows = kept(labelled(docs, labels, "toxic", max_rows), "labelled")
     n = rows.agg(F.count(F.lit(1)).alias("all"), F.sum("label").alias("toxic")).first()

@@ -73,7 +73,7 @@ def targets(docs: DataFrame, weights: Sequence[float], max_epochs: int) -> DataF
 
 
 def mix(docs: DataFrame, size: Column | None = None, weights: Sequence[float] = WEIGHTS,
-        max_epochs: int = 3, seed: int = 42, rows_per_range: int = 100_000) -> DataFrame:
+        max_epochs: int = 3, seed: int = 42, rows_per_range: int = 10_000) -> DataFrame:
     """All rows of ``docs`` with ``size, source_size, target, taken``."""
     carried = [c for c in docs.columns if c.lower() not in RESULT]
     size = F.regexp_count("text", F.lit(WORD)) if size is None else size

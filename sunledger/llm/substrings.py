@@ -196,8 +196,8 @@ def _repeated(key: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (n[at] > 1) | marked[at]
 
 
-def repeated_windows(window: int):
-    """Decide the levels of one bucket; word ranges that go, by document key."""
+def repeated_windows(window: int, homes: int):
+    """Decide the levels of one bucket; word ranges that go, packed by home of the document."""
     half = -(-window // 2)
     seed = -(-half // 2)
 
@@ -238,19 +238,38 @@ def repeated_windows(window: int):
         last.append(start + step[tail] + 1 if len(head) else head)
         owner.append(run[of[head]] if len(head) else head)
         first, last, owner = map(np.concatenate, (first, last, owner))
-        k1, k2 = c["k1"][owner], c["k2"][owner]
-        order = np.lexsort((first, k2, k1))
-        k1, k2 = k1[order], k2[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-        ranges = np.stack([first[order], last[order] - 1 + window], 1).astype(np.int32).ravel()
-        cuts = np.append(2 * np.flatnonzero(new), len(ranges)).astype(np.int32)
-        return pa.table({"k1": k1[new], "k2": k2[new],
-                         "ranges": pa.ListArray.from_arrays(cuts, pa.array(ranges))})
+        home = (c["k1"][owner].view(np.uint64) % np.uint64(homes)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        cuts = np.flatnonzero(np.diff(home[order])) + 1
+        out: dict[str, list] = {name: [] for name in _RANGES}
+        for own in np.split(order, cuts) if len(order) else []:
+            out["home"].append(int(home[own[0]]))
+            for name, values in (("k1", c["k1"][owner[own]]), ("k2", c["k2"][owner[own]]),
+                                 ("first", first[own]), ("last", last[own] - 1 + window)):
+                out[name].append(values.astype("i8" if name[0] == "k" else "u4").tobytes())
+        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (
+            pa.int32(), *[pa.binary()] * 4))], names=list(_RANGES))
 
     return decide
 
 
+_RANGES = ("home", "k1", "k2", "first", "last")
+
+
+def by_document(rows: pa.Table) -> pa.Table:
+    """The word ranges that go of every document of one home, as first, last, first, last ..."""
+    k1, k2 = (np.frombuffer(b"".join(rows.column(c).to_pylist()), "i8") for c in ("k1", "k2"))
+    first, last = (np.frombuffer(b"".join(rows.column(c).to_pylist()), "u4").astype(np.int32)
+                   for c in ("first", "last"))
+    order = np.lexsort((first, k2, k1))
+    k1, k2, ranges = k1[order], k2[order], np.stack([first[order], last[order]], 1).ravel()
+    new = np.ones(len(order), bool)
+    new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+    cuts = np.append(2 * np.flatnonzero(new), len(ranges)).astype(np.int32)
+    return pa.table({"k1": k1[new], "k2": k2[new],
+                     "ranges": pa.ListArray.from_arrays(cuts, pa.array(ranges))})
+
+
 def _without(batches):
     """Words, removed words and what is kept of every text, given its ranges."""
     for batch in batches:
@@ -264,7 +283,7 @@ def _without(batches):
                 left.append(b" ".join(words))
                 continue
             edge = np.zeros(len(words) + 1, np.int32)
-            pairs = np.array([x for part in ranges for x in part]).reshape(-1, 2)
+            pairs = np.array(ranges).reshape(-1, 2)
             np.add.at(edge, pairs[:, 0], 1)
             np.add.at(edge, pairs[:, 1], -1)
             stays = np.cumsum(edge[:-1]) == 0
@@ -291,10 +310,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seeds_per_bucket: int
         F.col("seed").isNotNull() & (F.col("n") >= limit)).toLocalIterator()],
         np.int64).view(np.uint64)
     buckets = max(1, -(-total // seeds_per_bucket))
+    homes = 2 * buckets
     ranges = (filed(rows.select("text", "k1", "k2"), frequent, buckets, window)
-              .groupBy("bucket").applyInArrow(repeated_windows(window),
-                                              "k1 bigint, k2 bigint, ranges array<int>")
-              .groupBy("k1", "k2").agg(F.collect_list("ranges").alias("ranges")))
+              .groupBy("bucket").applyInArrow(
+                  repeated_windows(window, homes),
+                  "home int, k1 binary, k2 binary, first binary, last binary")
+              .groupBy("home").applyInArrow(by_document,
+                                            "k1 bigint, k2 bigint, ranges array<int>"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges").mapInArrow(
         _without, f"doc_id {kind}, n_words bigint, n_removed bigint, kept binary")

@@ -116,8 +116,8 @@ def linear_prediction(inputs: Sequence[str], coefficients: str = "coefficients")
 
 
 # ---- fixed values: estimator settings of the study -------------------------
-FOREST = dict(numTrees=200, featureSubsetStrategy="0.3", maxDepth=20, minInstancesPerNode=1)
-BOOSTED = dict(maxIter=300, stepSize=0.05, maxDepth=3)
+FOREST = dict(numTrees=200, featureSubsetStrategy="0.3", maxDepth=30, minInstancesPerNode=1)
+BOOSTED = dict(maxIter=300, stepSize=0.05, maxDepth=3, minInstancesPerNode=20)
 BOOSTED_SAMPLED = dict(maxIter=400, stepSize=0.05, maxDepth=6, subsamplingRate=0.9,
                        featureSubsetStrategy="0.6")
 

@@ -190,9 +190,15 @@ def diebold_mariano(df: DataFrame, value: str = "d", keys: Sequence[str] = (*RUN
               "hln_statistic", "model_is_better")
 
 
-def holm(df: DataFrame, p: str = "p_value", family: Sequence[str] = ("loss",),
+def holm(df: DataFrame, p: str = "p_value",
+         family: Sequence[str] | None = None,
          out: str = "p_value_adjusted", tie: Sequence[str] = ()) -> DataFrame:
-    """Step-down adjusted p-values within a family of tests (one row per test)."""
+    """Step-down adjusted p-values within a family of tests (one row per test).
+
+    By default a family is one site, horizon and loss (of these the columns that exist), so
+    that a further site changes no other p-value.
+    """
+    family = family or [c for c in ("site", "horizon", "loss") if c in df.columns]
     ordered = Window.partitionBy(*family).orderBy(p, *tie)
     size = F.count(p).over(Window.partitionBy(*family))
     step = F.least((size - F.row_number().over(ordered) + 1) * F.col(p), F.lit(1.0))
@@ -293,7 +299,7 @@ def effective_sample_size(profile: DataFrame, keys: Sequence[str] = RUN,
 # ---- bundles ----------------------------------------------------------------------
 
 def compare_models(errors: DataFrame, keys: Sequence[str] = RUN,
-                   family: Sequence[str] = ("loss",), n_resamples: int = RESAMPLES,
+                   family: Sequence[str] | None = None, n_resamples: int = RESAMPLES,
                    block: int = BLOCK_STEPS, horizon: int = 1, seed: int = 42,
                    order: str = "step", rank_decimals: int | None = None) -> DataFrame:
     """Skill interval, Diebold-Mariano with Holm, and signed ranks for all runs and losses."""

@@ -53,7 +53,7 @@ def stratified_table(strata: DataFrame, types: Sequence[str] = STRATA,
     """Daylight metrics of every stratum of every run in one aggregation.
 
     The reference is rescored on the rows of the stratum. Strata below ``min_size``
-    rows are flagged and carry no metrics.
+    rows carry a flag; their metrics are those of the rows they have.
     """
     y, f, ref = F.col("actual"), F.col("predicted"), F.col(reference)
     labels = F.array(*[F.struct(F.lit(t).alias("stratum_type"),
@@ -67,7 +67,6 @@ def stratified_table(strata: DataFrame, types: Sequence[str] = STRATA,
         "nrmse_capacity": scores.relative(rmse, F.max(rated)), "r2": scores.r2(y, f),
         "smape": scores.smape(y, f), "bias": scores.bias(y, f),
         "persistence_rmse": ref_rmse, "skill_vs_persistence_rmse": skill(ref_rmse, rmse)}
-    enough = F.count(F.lit(1)) >= min_size
     return rows.groupBy(*keys, "stratum_type", "stratum").agg(
-        F.count(F.lit(1)).alias("n"), (~enough).alias("under_sampled"),
-        *[F.when(enough, c).alias(n) for n, c in metrics.items()])
+        F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) < min_size).alias("under_sampled"),
+        *[c.alias(n) for n, c in metrics.items()])

@@ -25,7 +25,9 @@ def distinct_counts(df: DataFrame, keys: Sequence[str], value: str,
                     extra: Mapping[str, Column] | None = None) -> DataFrame:
     # the ranks and the bucket totals both read this; stating every null filter here gives
     # both the same plan, so that Spark shuffles the values once
-    known = F.col(value).isNotNull() & value_bucket(F.col(value)).isNotNull()
+    # a value that is not a number, or has no bound, has no rank: it counts as null
+    known = (F.col(value).isNotNull() & value_bucket(F.col(value)).isNotNull()
+             & (F.abs(F.col(value).cast("double")) < F.lit(float("inf"))))
     for key in keys:
         known = known & F.col(key).isNotNull()
     return (df.where(known).groupBy(*keys, value)

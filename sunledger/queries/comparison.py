@@ -158,9 +158,9 @@ def diebold_mariano_bandwidth(g: Given):
 
 HOLM = f"""
     SELECT *, max(least((m - rank + 1) * p_value, 1.0)) OVER (
-             PARTITION BY loss ORDER BY rank ROWS UNBOUNDED PRECEDING) AS p_value_adjusted
-    FROM (SELECT *, row_number() OVER (PARTITION BY loss ORDER BY p_value, site, model, horizon) AS rank,
-                 count(*) OVER (PARTITION BY loss) AS m
+             PARTITION BY site, horizon, loss ORDER BY rank ROWS UNBOUNDED PRECEDING) AS p_value_adjusted
+    FROM (SELECT *, row_number() OVER (PARTITION BY site, horizon, loss ORDER BY p_value, site, model, horizon) AS rank,
+                 count(*) OVER (PARTITION BY site, horizon, loss) AS m
           FROM ({dm_sql('losses', 'site, model, horizon, loss', 1)}))"""
 
 
@@ -281,9 +281,9 @@ TABLES["ablated_losses"] = """
 
 @query("ablation_tests", f"""
     SELECT site, model, horizon, loss, statistic, p_value, max(least((m - rank + 1) * p_value, 1.0)) OVER (
-             PARTITION BY loss ORDER BY rank ROWS UNBOUNDED PRECEDING) AS p_value_adjusted
-    FROM (SELECT *, row_number() OVER (PARTITION BY loss ORDER BY p_value, site, model, horizon) AS rank,
-                 count(*) OVER (PARTITION BY loss) AS m
+             PARTITION BY site ORDER BY rank ROWS UNBOUNDED PRECEDING) AS p_value_adjusted
+    FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY p_value, site, model, horizon, loss) AS rank,
+                 count(*) OVER (PARTITION BY site) AS m
           FROM ({dm_sql('ablated_losses', 'site, model, horizon, loss', 1)}))""",
        doubles="statistic p_value p_value_adjusted")
 def ablation_tests(g: Given):
@@ -296,5 +296,6 @@ def ablation_tests(g: Given):
         *KEYS, "step", (F.col("predicted") - F.col("actual")).alias("error"),
         (F.col("predicted_other") - F.col("actual")).alias("reference_error"))
     dm = inference.diebold_mariano(inference.loss_rows(pairs))
-    return inference.holm(dm, tie=KEYS).select(
+    # all models, horizons and losses of a site are one family
+    return inference.holm(dm, family=["site"], tie=[*KEYS, "loss"]).select(
         *KEYS, "loss", "statistic", "p_value", "p_value_adjusted")

@@ -164,11 +164,10 @@ def stratified_sql(types: list[str], where: str = "daylight") -> str:
     long = " UNION ALL ".join(
         f"SELECT *, '{t}' AS stratum_type, {t}::VARCHAR AS stratum FROM strata WHERE {where}"
         for t in types)
-    guarded = ", ".join(f"CASE WHEN count(*) >= 200 THEN {e} END AS {n}"
-                        for n, e in STRATA_METRICS.items())
+    metrics = ", ".join(f"{e} AS {n}" for n, e in STRATA_METRICS.items())
     return f"""
     SELECT site, model, horizon, stratum_type, stratum, count(*) AS n, count(*) < 200 AS under_sampled,
-           {guarded}
+           {metrics}
     FROM ({long}) WHERE stratum IS NOT NULL GROUP BY site, model, horizon, stratum_type, stratum"""
 
 

@@ -209,7 +209,7 @@ def test_bands(spark):
     assert df.select(bands.generation_level(F.lit(0.35), F.lit(1.0))).first()[0] == "high_generation"
 
 
-def test_small_strata_carry_no_metrics(spark):
+def test_small_strata_carry_a_flag(spark):
     rows = [("a", "m", "1h", i, float(i % 5), 1.0, True, "Clear" if i < 250 else "Cloudy", 10.0, 2.0)
             for i in range(300)]
     df = spark.createDataFrame(rows, "site string, model string, horizon string, step long, "
@@ -217,7 +217,8 @@ def test_small_strata_carry_no_metrics(spark):
                                "rated_w double, reference_persistence double")
     out = {r.stratum: r for r in strata.stratified_table(
         strata.build_strata(df), ["regime"]).collect()}
-    assert out["Cloudy"].under_sampled and out["Cloudy"].mae is None and out["Cloudy"].n == 50
+    assert out["Cloudy"].under_sampled and out["Cloudy"].mae == pytest.approx(1.4)
+    assert out["Cloudy"].n == 50
     assert not out["Clear"].under_sampled and out["Clear"].mae == pytest.approx(1.4)
 
 
@@ -306,6 +307,13 @@ def test_holm(spark):
     assert got == pytest.approx([0.004, 0.06, 0.08, 0.9])
 
 
+def test_holm_families_do_not_mix(spark):
+    rows = [(s, "1h", "mae", p) for s, ps in (("a", (0.01, 0.04)), ("b", (0.02,))) for p in ps]
+    df = spark.createDataFrame(rows, "site string, horizon string, loss string, p_value double")
+    got = {(r.site, r.p_value): r.p_value_adjusted for r in inference.holm(df).collect()}
+    assert got == pytest.approx({("a", 0.01): 0.02, ("a", 0.04): 0.04, ("b", 0.02): 0.02})
+
+
 def test_signed_ranks(spark):
     d = [1.0, 2.0, 2.0, -3.0, 4.0, 5.0, 0.0]
     df = spark.createDataFrame([("a", x) for x in d], "site string, d double")

@@ -80,6 +80,13 @@ def test_quantiles_are_exact(table):
             assert got.loc[site, name] == pytest.approx(np.quantile(group.v, p), abs=1e-12)
 
 
+def test_values_without_a_number_have_no_rank(spark):
+    values = [-5.0, -4.0, 1.0, 2.0, 3.0, float("nan"), float("inf"), None]
+    df = spark.createDataFrame([("a", v) for v in values], "site string, v double")
+    row = ranks.quantiles(df, ["site"], "v", {"low": 0.0, "mid": 0.5, "top": 1.0}).first()
+    assert (row.n, row.low, row.mid, row.top) == (5, -5.0, 1.0, 3.0)
+
+
 def test_ranks_of_ties(table):
     pdf = table.toPandas().dropna()
     pdf["first"] = pdf.groupby("site").v.rank("min").astype(int)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 CHUNK_STEPS = 2048
 CHUNK = "_chunk"
+KEY = "_key"
 Build = Callable[[WindowSpec], Mapping[str, Column]]
 
 
@@ -50,65 +51,100 @@ def over_halo(df: DataFrame, keys: Sequence[str], order: str, *builds: Build,
     return out.where(chunk_of(order, chunk_steps) == F.col(CHUNK)).drop(CHUNK)
 
 
+def boxed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Put the keys into one struct. A struct is never null and equal structs may hold nulls,
+    so joins and filters on it keep the rows whose keys are null."""
+    return df.withColumn(KEY, F.struct(*keys) if keys else F.struct(F.lit(0))).drop(*keys)
+
+
+def unboxed(df: DataFrame, keys: Sequence[str], first: Sequence[str]) -> DataFrame:
+    """Undo ``boxed``: the columns named in ``first``, keys among them, then all others."""
+    names = {k.lower(): k for k in keys}
+    rest = [c for c in df.columns if c != KEY and c not in first]
+    return df.select(*[F.col(KEY)[names[c.lower()]].alias(c) if c.lower() in names else F.col(c)
+                       for c in (*first, *rest)])
+
+
 def carry(df: DataFrame, keys: Sequence[str], order: str,
           forward: Mapping[str, Column] | None = None,
           backward: Mapping[str, Column] | None = None, strict: bool = False,
-          chunk_steps: int = CHUNK_STEPS) -> DataFrame:
+          chunk_steps: int = CHUNK_STEPS, levels: int = 2) -> DataFrame:
     """Last known value at or before each row, and next known value at or after it.
 
-    ``strict`` leaves the row itself out.
+    ``strict`` leaves the row itself out. With ``levels`` above one the summaries of the
+    chunks are cut into chunks again, so that a long series is not one task there either.
     """
     near = 1 if strict else 0
     forward, backward = dict(forward or {}), dict(backward or {})
-    local = df.withColumns({
+    local = boxed(df.withColumns({
         CHUNK: chunk_of(order, chunk_steps),
         **{f"_f_{n}": e for n, e in forward.items()},
         **{f"_b_{n}": e for n, e in backward.items()},
-    })
+    }), keys)
 
     def known(name: str) -> Column:
         return F.when(F.col(name).isNotNull(), F.col(order))
 
-    edges = local.groupBy(*keys, CHUNK).agg(
+    edges = local.groupBy(KEY, CHUNK).agg(
         *[F.max_by(f"_f_{n}", known(f"_f_{n}")).alias(f"_f_{n}") for n in forward],
         *[F.min_by(f"_b_{n}", known(f"_b_{n}")).alias(f"_b_{n}") for n in backward])
-    chunks = Window.partitionBy(*keys).orderBy(CHUNK)
-    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
-    later = chunks.rowsBetween(1, Window.unboundedFollowing)
-    edges = edges.select(
-        *keys, CHUNK,
-        *[F.last(f"_f_{n}", True).over(earlier).alias(f"_fin_{n}") for n in forward],
-        *[F.first(f"_b_{n}", True).over(later).alias(f"_bin_{n}") for n in backward])
-    rows = Window.partitionBy(*keys, CHUNK).orderBy(order)
+    if levels > 1:
+        edges = carry(edges.select(F.col(KEY).alias("_outer"), F.col(CHUNK).alias("_at"),
+                                   *edges.columns[2:]), ["_outer"], "_at",
+                      {f"_fin_{n}": F.col(f"_f_{n}") for n in forward},
+                      {f"_bin_{n}": F.col(f"_b_{n}") for n in backward}, True, chunk_steps,
+                      levels - 1).withColumnsRenamed({"_outer": KEY, "_at": CHUNK})
+        edges = edges.drop(*[f"_f_{n}" for n in forward], *[f"_b_{n}" for n in backward])
+    else:
+        chunks = Window.partitionBy(KEY).orderBy(CHUNK)
+        earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
+        later = chunks.rowsBetween(1, Window.unboundedFollowing)
+        edges = edges.select(
+            KEY, CHUNK,
+            *[F.last(f"_f_{n}", True).over(earlier).alias(f"_fin_{n}") for n in forward],
+            *[F.first(f"_b_{n}", True).over(later).alias(f"_bin_{n}") for n in backward])
+    rows = Window.partitionBy(KEY, CHUNK).orderBy(order)
     upto = rows.rowsBetween(Window.unboundedPreceding, -near)
     onward = rows.rowsBetween(near, Window.unboundedFollowing)
-    out = local.join(edges, [*keys, CHUNK]).withColumns({
+    out = local.join(edges, [KEY, CHUNK]).withColumns({
         **{n: F.coalesce(F.last(f"_f_{n}", True).over(upto), F.col(f"_fin_{n}"))
            for n in forward},
         **{n: F.coalesce(F.first(f"_b_{n}", True).over(onward), F.col(f"_bin_{n}"))
            for n in backward},
     })
-    return out.drop(CHUNK, *[f"{p}{n}" for n in forward for p in ("_f_", "_fin_")],
-                    *[f"{p}{n}" for n in backward for p in ("_b_", "_bin_")])
+    out = out.drop(CHUNK, *[f"{p}{n}" for n in forward for p in ("_f_", "_fin_")],
+                   *[f"{p}{n}" for n in backward for p in ("_b_", "_bin_")])
+    return unboxed(out, keys, df.columns)
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: str,
-                values: Mapping[str, Column], chunk_steps: int = CHUNK_STEPS) -> DataFrame:
-    """Inclusive prefix sums along each key."""
-    local = df.withColumns({CHUNK: chunk_of(order, chunk_steps),
-                            **{f"_v_{n}": e for n, e in values.items()}})
-    totals = local.groupBy(*keys, CHUNK).agg(
-        *[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in values])
-    earlier = (Window.partitionBy(*keys).orderBy(CHUNK)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select(
-        *keys, CHUNK, *[F.sum(f"_v_{n}").over(earlier).alias(f"_s_{n}") for n in values])
-    upto = (Window.partitionBy(*keys, CHUNK).orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, 0))
-    out = local.join(totals, [*keys, CHUNK]).withColumns({
+                values: Mapping[str, Column], chunk_steps: int = CHUNK_STEPS,
+                strict: bool = False, levels: int = 2) -> DataFrame:
+    """Prefix sums along each key; ``strict`` leaves the row itself out.
+
+    With ``levels`` above one the totals of the chunks are cut into chunks again.
+    """
+    local = boxed(df.withColumns({CHUNK: chunk_of(order, chunk_steps),
+                                  **{f"_v_{n}": e for n, e in values.items()}}), keys)
+    totals = local.groupBy(KEY, CHUNK).agg(
+        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    if levels > 1:
+        totals = running_sum(totals.withColumnsRenamed({KEY: "_outer", CHUNK: "_at"}), ["_outer"],
+                             "_at", {f"_s_{n}": F.col(f"_t_{n}") for n in values}, chunk_steps,
+                             True, levels - 1).withColumnsRenamed({"_outer": KEY, "_at": CHUNK})
+        totals = totals.drop(*[f"_t_{n}" for n in values])
+    else:
+        earlier = (Window.partitionBy(KEY).orderBy(CHUNK)
+                   .rowsBetween(Window.unboundedPreceding, -1))
+        totals = totals.select(
+            KEY, CHUNK, *[F.sum(f"_t_{n}").over(earlier).alias(f"_s_{n}") for n in values])
+    upto = (Window.partitionBy(KEY, CHUNK).orderBy(order)
+            .rowsBetween(Window.unboundedPreceding, -1 if strict else 0))
+    out = local.join(totals, [KEY, CHUNK]).withColumns({
         n: F.coalesce(F.sum(f"_v_{n}").over(upto), F.lit(0))
         + F.coalesce(F.col(f"_s_{n}"), F.lit(0)) for n in values})
-    return out.drop(CHUNK, *[f"{p}{n}" for n in values for p in ("_v_", "_s_")])
+    out = out.drop(CHUNK, *[f"{p}{n}" for n in values for p in ("_v_", "_s_")])
+    return unboxed(out, keys, df.columns)
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: str, name: str = "pos",
@@ -132,4 +168,5 @@ def dense_grid(df: DataFrame, keys: Sequence[str], order: str,
 def densify(df: DataFrame, keys: Sequence[str], order: str,
             chunk_steps: int = CHUNK_STEPS) -> DataFrame:
     """Reindex to the regular grid; absent rows carry nulls."""
-    return dense_grid(df, keys, order, chunk_steps).join(df, [*keys, order], "left")
+    grid = boxed(dense_grid(df, keys, order, chunk_steps), keys)
+    return unboxed(grid.join(boxed(df, keys), [KEY, order], "left"), keys, [*keys, order])

@@ -2,8 +2,11 @@
 
 Rows are first reduced to distinct values with their counts, then split by a
 monotone function of the value, so that ranking happens inside many small buckets.
-Bucket totals give every bucket its starting rank. Nothing is sampled and no group
-is gathered in one place.
+A bucket is a relative width of one in a million (down to values of about 1e-12), so
+values that crowd together still spread. Bucket totals give every bucket its starting
+rank: buckets are summed up to regions of about a thousand, regions are ordered per
+group, buckets inside their region. Nothing is sampled and no group is gathered in one
+place. Groups are told apart by a struct of their keys, which keeps null keys.
 """
 
 from __future__ import annotations
@@ -12,45 +15,53 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS_PER_E_FOLD = 1000
-BUCKET = "_bucket"
+from .chunks import KEY, boxed, unboxed
+
+BUCKETS_PER_E_FOLD = float(1 << 20)
+UNIT = float(1 << 40)
+REGION_BITS = 10
+BUCKET, REGION = "_bucket", "_region"
 Position = Callable[[Column], Column]
 
 
 def value_bucket(value: Column) -> Column:
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(BUCKETS_PER_E_FOLD))
+    """Never falls as the value grows; never null, so that no filter is inferred from joins."""
+    size = F.log1p(F.abs(value.cast("double")) * F.lit(UNIT)) * F.lit(BUCKETS_PER_E_FOLD)
+    return F.coalesce(F.floor(F.signum(value) * size), F.lit(0))
 
 
 def distinct_counts(df: DataFrame, keys: Sequence[str], value: str,
                     extra: Mapping[str, Column] | None = None) -> DataFrame:
-    # the ranks and the bucket totals both read this; stating every null filter here gives
-    # both the same plan, so that Spark shuffles the values once
+    """``_key``, the value, ``ties`` and its bucket. The ranks and the bucket totals both read
+    this with the same filter, so that Spark shuffles the values once."""
     # a value that is not a number, or has no bound, has no rank: it counts as null
-    known = (F.col(value).isNotNull() & value_bucket(F.col(value)).isNotNull()
-             & (F.abs(F.col(value).cast("double")) < F.lit(float("inf"))))
-    for key in keys:
-        known = known & F.col(key).isNotNull()
-    return (df.where(known).groupBy(*keys, value)
+    known = F.col(value).isNotNull() & (F.abs(F.col(value).cast("double")) < F.lit(float("inf")))
+    return (boxed(df.where(known), keys).groupBy(KEY, value)
             .agg(F.count(F.lit(1)).alias("ties"),
                  *[e.alias(n) for n, e in (extra or {}).items()])
             .withColumn(BUCKET, value_bucket(F.col(value))))
 
 
-def bucket_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def bucket_offsets(counts: DataFrame) -> DataFrame:
     """Rows before each bucket and in the whole group."""
-    totals = counts.groupBy(*keys, BUCKET).agg(F.sum("ties").alias("_in"))
-    per_key = Window.partitionBy(*keys)
-    earlier = per_key.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.withColumns({
-        "_before": F.coalesce(F.sum("_in").over(earlier), F.lit(0)),
-        "n": F.sum("_in").over(per_key)})
-
-
-def rank_in_group(counts: DataFrame, offsets: DataFrame, keys: Sequence[str],
-                  value: str) -> DataFrame:
-    within = (Window.partitionBy(*keys, BUCKET).orderBy(value)
+    before = Window.unboundedPreceding, -1
+    totals = counts.groupBy(KEY, BUCKET).agg(F.sum("ties").alias("_in")).withColumn(
+        REGION, F.shiftright(BUCKET, REGION_BITS))
+    per_key = Window.partitionBy(KEY)
+    regions = totals.groupBy(KEY, REGION).agg(F.sum("_in").alias("_all")).select(
+        KEY, REGION, F.coalesce(F.sum("_all").over(per_key.orderBy(REGION).rowsBetween(*before)),
+                                F.lit(0)).alias("_start"),
+        F.sum("_all").over(per_key).alias("n"))
+    inside = Window.partitionBy(KEY, REGION).orderBy(BUCKET).rowsBetween(*before)
+    return totals.join(regions, [KEY, REGION]).select(
+        KEY, BUCKET, "_in", "n",
+        (F.col("_start") + F.coalesce(F.sum("_in").over(inside), F.lit(0))).alias("_before"))
+
+
+def rank_in_group(counts: DataFrame, offsets: DataFrame, value: str) -> DataFrame:
+    within = (Window.partitionBy(KEY, BUCKET).orderBy(value)
               .rowsBetween(Window.unboundedPreceding, -1))
-    return counts.join(offsets, [*keys, BUCKET]).withColumn(
+    return counts.join(offsets, [KEY, BUCKET]).withColumn(
         "first_rank",
         F.col("_before") + F.coalesce(F.sum("ties").over(within), F.lit(0)) + 1)
 
@@ -62,8 +73,8 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str,
     ``extra`` names further aggregates over the rows that share a value.
     """
     counts = distinct_counts(df, keys, value, extra)
-    out = rank_in_group(counts, bucket_offsets(counts, keys), keys, value)
-    return out.select(*keys, value, "ties", "first_rank", "n", *(extra or {}))
+    out = rank_in_group(counts, bucket_offsets(counts), value)
+    return unboxed(out.select(KEY, value, "ties", "first_rank", "n", *(extra or {})), keys, keys)
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
@@ -74,14 +85,14 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
     that hold a wanted rank are ranked.
     """
     counts = distinct_counts(df, keys, value)
-    offsets = bucket_offsets(counts, keys)
+    offsets = bucket_offsets(counts)
     wanted = F.array(*[
         F.struct(F.lit(name).alias("name"), (edge(at(F.col("n"))) + 1).alias("rank"),
                  F.lit(side).alias("side"))
         for name, at in positions.items() for side, edge in (("lo", F.floor), ("hi", F.ceil))])
     offsets = offsets.withColumn("_wanted", F.filter(wanted, lambda t: (
         t["rank"] > F.col("_before")) & (t["rank"] <= F.col("_before") + F.col("_in"))))
-    hits = (rank_in_group(counts, offsets.where(F.size("_wanted") > 0), keys, value)
+    hits = (rank_in_group(counts, offsets.where(F.size("_wanted") > 0), value)
             .withColumn("_t", F.explode("_wanted"))
             .where((F.col("_t.rank") >= F.col("first_rank"))
                    & (F.col("_t.rank") < F.col("first_rank") + F.col("ties"))))
@@ -90,7 +101,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
         return F.max(F.when((F.col("_t.name") == name) & (F.col("_t.side") == side),
                             F.col(value))).alias(f"_{side}_{name}")
 
-    edges = hits.groupBy(*keys).agg(
+    edges = hits.groupBy(KEY).agg(
         F.max("n").alias("n"),
         *[at_edge(name, side) for name in positions for side in ("lo", "hi")])
 
@@ -99,7 +110,8 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         return (low + share * (high - low)).alias(name)
 
-    return edges.select(*keys, "n", *[blend(name, at) for name, at in positions.items()])
+    out = edges.select(KEY, "n", *[blend(name, at) for name, at in positions.items()])
+    return unboxed(out, keys, keys)
 
 
 def at_share(p: float) -> Position:

@@ -17,4 +17,4 @@ def draw(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, HEX_DIGITS), 16, 10).cast("long")
 
 
-ORDER_CHUNK = 2**50
+ORDER_CHUNK = 2**40  # a million chunks of the range, which the helpers cut into chunks again

@@ -9,18 +9,26 @@ from pyspark.sql import Column, functions as F
 from ..schema import EPS, T_CRITICAL_975
 
 
-def error_function(x: Column) -> Column:
-    """Abramowitz and Stegun 7.1.26, absolute error below 1.5e-7."""
-    size = F.abs(x)
-    t = 1.0 / (1.0 + 0.3275911 * size)
-    series = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (
-        -1.453152027 + t * 1.061405429))))
-    return F.signum(x) * (1.0 - series * F.exp(-size * size))
-
-
 def two_sided_p(z: Column) -> Column:
-    """Probability of a standard normal beyond |z| on either side."""
-    return 1.0 - error_function(F.abs(z) / math.sqrt(2.0))
+    """Probability of a standard normal beyond |z| on either side.
+
+    Below 2.8 the sum of the rising series of the error function, beyond that the continued
+    fraction of the tail itself, so that small probabilities keep their digits.
+    """
+    size = F.abs(z.cast("double"))
+    half = size * size / 2.0
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(acc: Column, k: Column) -> Column:
+        term = acc["term"] * 2.0 * half / (2.0 * k + 1.0)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, add, lambda acc: acc["sum"])
+    near = 1.0 - size * math.sqrt(2.0 / math.pi) * F.exp(-half) * series
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1)), size,
+                           lambda acc, k: size + k / acc)
+    far = math.sqrt(2.0 / math.pi) * F.exp(-half) / fraction
+    return F.when(size < 2.8, near).when(size >= 2.8, far)
 
 
 def t_critical(degrees: Column) -> Column:

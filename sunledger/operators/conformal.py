@@ -41,25 +41,26 @@ def split_calibration(predictions: DataFrame, days: float = CALIBRATION_DAYS,
         "is_calibration", F.col(order) < F.col("_start") + reach).drop("_start")
 
 
-def _usable(split: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
+def _run_sizes(split: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
     sizes = split.groupBy(*keys).agg(
         F.count_if("is_calibration").alias("n_calibration"),
         F.count_if(F.col("is_calibration") & F.col("daylight")).alias("n_calibration_daylight"),
         F.count_if(~F.col("is_calibration")).alias("_n_evaluation"))
-    return sizes.where((F.col("n_calibration") >= least) & (F.col("_n_evaluation") >= least)
-                       ).drop("_n_evaluation")
+    return sizes.withColumn("under_sampled", F.least("n_calibration", "_n_evaluation") < least
+                            ).drop("_n_evaluation")
 
 
 def interval_frame(predictions: DataFrame, alphas: Sequence[float] = (0.1,),
                    days: float = CALIBRATION_DAYS, keys: Sequence[str] = RUN,
                    order: str = "step", least: int = MIN_CONFORMAL_ROWS) -> DataFrame:
-    """Bounds of every evaluation step; runs with too few rows on a side are left out."""
+    """Bounds of every evaluation step; ``under_sampled`` marks runs with fewer than ``least``
+    rows on a side."""
     split = split_calibration(predictions, days, keys, order)
     residuals = split.where("is_calibration").withColumn(
         "_residual", F.abs(F.col("predicted") - F.col("actual")))
     widths = conformal_quantiles(residuals, "_residual", alphas, keys)
     width = F.col("interval_half_width_w")
-    bounds = _usable(split, keys, least).join(widths, list(keys))
+    bounds = _run_sizes(split, keys, least).join(widths, list(keys), "left")
     out = split.where("not is_calibration").join(sized(bounds), list(keys))
     return out.withColumns({"lower": F.col("predicted") - width,
                             "upper": F.col("predicted") + width}).withColumn(
@@ -80,5 +81,6 @@ def coverage_table(predictions: DataFrame, alphas: Sequence[float] = (0.1, 0.2),
         F.avg(F.col("inside").cast("double")).alias("empirical_coverage"),
         F.count(F.lit(1)).alias("n"), F.max("n_calibration").alias("n_calibration"),
         F.max("n_calibration_daylight").alias("n_calibration_daylight"),
+        F.max("under_sampled").alias("under_sampled"),
     ).withColumns({"nominal_coverage": nominal,
                    "coverage_error": F.col("empirical_coverage") - nominal})

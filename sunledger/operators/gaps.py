@@ -12,7 +12,6 @@ from ..plans.summaries import sized
 from ..schema import MAX_GAP_TARGET, MAX_GAP_WEATHER
 
 SITE = ["site"]
-MAX_HISTOGRAM_GAPS = 40
 Stage = Callable[[DataFrame], DataFrame]
 
 
@@ -50,19 +49,16 @@ def gap_histogram(df: DataFrame, value: str, keys: Sequence[str] = SITE,
         F.count(F.lit(1)).alias("n_gaps"))
 
 
-def gap_length_map(histogram: DataFrame, keys: Sequence[str] = SITE,
-                   max_gaps: int = MAX_HISTOGRAM_GAPS) -> DataFrame:
-    """Histogram as a map per series, reduced to its number of lengths above ``max_gaps``.
+def gap_length_map(histogram: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
+    """Histogram as a map per series, from one aggregate.
 
-    At most ``max_gaps`` entries are ever gathered: longer histograms are excluded before.
+    The map has one entry per different length. Gaps of k different lengths cover at least
+    k * k / 2 steps, so a series of n steps has at most sqrt(2 n) entries.
     """
-    totals = histogram.groupBy(*keys).agg(F.sum("n_gaps").alias("n_gaps"),
-                                          F.count(F.lit(1)).alias("n_lengths"))
-    short = totals.where(F.col("n_gaps") <= max_gaps).select(*keys)
-    maps = histogram.join(short, list(keys), "left_semi").groupBy(*keys).agg(
+    return histogram.groupBy(*keys).agg(
+        F.sum("n_gaps").alias("n_gaps"), F.count(F.lit(1)).alias("n_lengths"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("length", "n_gaps"))))
         .alias("histogram"))
-    return totals.join(maps, list(keys), "left")
 
 
 def _anchor(column: str, order: str) -> Column:

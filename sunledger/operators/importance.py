@@ -10,7 +10,7 @@ from ..functions.draws import ORDER_CHUNK, draw
 from ..plans.chunks import once, with_position
 
 Scorer = Callable[[DataFrame], DataFrame]
-CONDITION_SIZE, REGIME_SIZE = 400, 500
+CONDITION_SIZE = 400
 
 
 def shuffled_pairs(rows: DataFrame, row_id: str, groups: Mapping[str, Sequence[str]],
@@ -43,12 +43,12 @@ def shuffled_pairs(rows: DataFrame, row_id: str, groups: Mapping[str, Sequence[s
 
 def permutation_importance(rows: DataFrame, scorer: Scorer, row_id: str, actual: str,
                            groups: Mapping[str, Sequence[str]], repeats: int = 10,
-                           keys: Sequence[str] = (), min_rows: int = 0,
+                           keys: Sequence[str] = (), min_rows: int = CONDITION_SIZE,
                            seed: int = 42) -> DataFrame:
     """Mean and spread of the MAE increase per feature, and its share of the positive total.
 
     ``scorer`` adds ``predicted`` to a frame. ``keys`` condition the shuffle (regime,
-    generation level); conditions below ``min_rows`` are left out.
+    generation level); ``under_sampled`` marks conditions below ``min_rows``.
     """
     keys = [*keys, "_all"]
     gap = F.abs(F.col("predicted") - F.col(actual))
@@ -57,7 +57,7 @@ def permutation_importance(rows: DataFrame, scorer: Scorer, row_id: str, actual:
     # every row is in every (feature, repeat) once, so the baseline needs no join
     per_repeat = scorer(shuffled).groupBy(*keys, "feature", "repeat").agg(
         F.avg(gap).alias("_mae"), F.avg("_base").alias("_base"),
-        F.count(F.lit(1)).alias("n_windows")).where(F.col("n_windows") >= min_rows)
+        F.count(F.lit(1)).alias("n_windows"))
     delta = F.col("_mae") - F.col("_base")
     table = per_repeat.groupBy(*keys, "feature", "n_windows").agg(
         F.avg("_base").alias("baseline_mae"), F.avg(delta).alias("mean_mae_increase"),
@@ -66,6 +66,7 @@ def permutation_importance(rows: DataFrame, scorer: Scorer, row_id: str, actual:
     gain = F.greatest(F.col("mean_mae_increase"), F.lit(0.0))
     total = F.sum(gain).over(Window.partitionBy(*keys))  # one row per feature
     return table.withColumns({
+        "under_sampled": F.col("n_windows") < min_rows,
         "relative_increase": F.when(F.col("baseline_mae") > 0,
                                     F.col("mean_mae_increase") / F.col("baseline_mae")),
         "relative_importance": gain / F.when(total > 0, total).otherwise(F.lit(1.0)),

@@ -208,11 +208,12 @@ def holm(df: DataFrame, p: str = "p_value",
 
 
 def signed_rank(df: DataFrame, value: str = "d", keys: Sequence[str] = (*RUN, "loss"),
-                least: int = 6, decimals: int | None = None) -> DataFrame:
+                few: int = 6, decimals: int | None = None) -> DataFrame:
     """Wilcoxon signed-rank test and matched-pairs rank-biserial effect.
 
     Zero differences are dropped, ties share their average rank, and the normal
-    approximation carries the tie correction. Below ``least`` pairs the test is null.
+    approximation carries the tie correction. Without any pair the test is null; ``few_pairs``
+    marks tests of fewer than ``few``, where the approximation is rough.
     ``decimals`` treats differences that agree to so many places as tied, so that noise
     in the last bits of computed forecasts breaks no tie.
     """
@@ -233,15 +234,16 @@ def signed_rank(df: DataFrame, value: str = "d", keys: Sequence[str] = (*RUN, "l
     n = F.col("n_pairs").cast("double")
     low = F.least("w_plus", "w_minus")
     variance = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0
-    z = (low - n * (n + 1) / 4.0) / F.sqrt(variance)
+    z = (low - n * (n + 1) / 4.0) / F.sqrt(F.when(variance > 0, variance))
     total = F.col("w_plus") + F.col("w_minus")
-    enough = F.col("n_pairs") >= least
+    enough = F.col("n_pairs") > 0
     return joined.select(
         *keys, F.when(enough, low).alias("statistic"),
         F.when(enough, two_sided_p(z)).alias("p_value"),
         F.when(enough & (total > 0), (F.col("w_plus") - F.col("w_minus")) / total)
         .otherwise(F.lit(0.0)).alias("effect_size_rank_biserial"),
-        "n_pairs", (F.col("n_all") - F.col("n_pairs")).alias("n_zero_differences"))
+        "n_pairs", (F.col("n_all") - F.col("n_pairs")).alias("n_zero_differences"),
+        (F.col("n_pairs") < few).alias("few_pairs"))
 
 
 def autocorrelation(df: DataFrame, value: str = "d", max_lag: int = 96,
@@ -262,13 +264,13 @@ def autocorrelation(df: DataFrame, value: str = "d", max_lag: int = 96,
     rows = over_halo(rows, keys, "_pos", recent, before=max_lag, chunk_steps=chunk_steps)
     sums = rows.select(*keys, "n", "_c", F.posexplode(F.reverse("_recent")).alias("lag", "_then"))
     sums = sums.groupBy(*keys, "n", "lag").agg(F.sum(F.col("_c") * F.col("_then")).alias("_s"))
-    whole = F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(Window.partitionBy(*keys))
-    found = sums.withColumn("_whole", whole)  # one row per lag
-    lags = found.groupBy(*keys, "n").agg(F.max("_whole").alias("_whole")).withColumn(
-        "lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag))))
-    out = lags.join(found.select(*keys, "lag", "_s"), [*keys, "lag"], "left")
-    ratio = F.when((F.col("lag") < F.col("n")) & (F.col("_whole") > 0),
-                   F.coalesce("_s", F.lit(0.0)) / F.col("_whole"))
+    # at most max_lag + 1 sums a key: one map instead of a join of the sums with themselves
+    by_lag = sums.groupBy(*keys, "n").agg(F.map_from_entries(
+        F.collect_list(F.struct("lag", "_s"))).alias("_sums"))
+    out = by_lag.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag))))
+    whole = F.col("_sums")[F.lit(0)]
+    ratio = F.when((F.col("lag") < F.col("n")) & (whole > 0),
+                   F.coalesce(F.col("_sums")[F.col("lag")], F.lit(0.0)) / whole)
     return out.select(*keys, "n", "lag", ratio.alias("autocorrelation"),
                       (F.col("lag") * 15 / 60.0).alias("lag_hours"))
 
@@ -277,23 +279,23 @@ def effective_sample_size(profile: DataFrame, keys: Sequence[str] = RUN,
                           limit: float = 0.05, max_lag: int | None = None) -> DataFrame:
     """Integrated autocorrelation time and the sample size it leaves.
 
-    Lags are summed up to the first one below ``limit``; all of them when none is. When
-    no lag reaches the limit the first lag alone counts.
+    Lags are summed up to the first one below ``limit``; all of the profile's when none is,
+    or the first ``max_lag`` of them. When no lag reaches the limit the first lag alone counts.
     """
     n = F.col("n")
-    top = F.least(F.lit(max_lag) if max_lag else F.least(F.lit(200), F.floor(n / 4)), n - 2)
+    top = F.least(F.lit(max_lag), n - 2) if max_lag else n - 2
     rows = profile.where((F.col("lag") >= 1) & (F.col("lag") <= top))
-    acf = F.col("autocorrelation")
-    cuts = rows.groupBy(*keys).agg(
-        F.min(F.when(F.abs(acf) < limit, F.col("lag"))).alias("_cut"),
-        F.count_if(F.abs(acf) >= limit).alias("_hits"))
-    counted = (F.when(F.col("_hits") == 0, F.col("lag") == 1)
-               .otherwise(F.col("_cut").isNull() | (F.col("lag") < F.col("_cut"))))
-    tau = F.greatest(F.lit(1.0), 1.0 + 2.0 * F.coalesce(F.sum(F.when(counted, acf)), F.lit(0.0)))
-    return (rows.join(cuts, list(keys)).groupBy(*keys, "n")
-            .agg(tau.alias("integrated_autocorrelation_time"))
-            .withColumn("effective_sample_size",
-                        F.col("n") / F.col("integrated_autocorrelation_time")))
+    lags = rows.groupBy(*keys, "n").agg(F.sort_array(F.collect_list(F.struct(
+        "lag", F.col("autocorrelation").alias("r")))).alias("_lags"))
+    cut = F.get(F.filter("_lags", lambda x: F.abs(x["r"]) < limit), F.lit(0))["lag"]
+    any_hit = F.exists("_lags", lambda x: F.abs(x["r"]) >= limit)
+    counted = F.filter("_lags", lambda x: F.when(any_hit, F.col("_cut").isNull() | (
+        x["lag"] < F.col("_cut"))).otherwise(x["lag"] == 1))
+    total = F.aggregate(counted, F.lit(0.0), lambda acc, x: acc + F.coalesce(x["r"], F.lit(0.0)))
+    tau = F.greatest(F.lit(1.0), 1.0 + 2.0 * total)
+    return lags.withColumn("_cut", cut).select(
+        *keys, "n", tau.alias("integrated_autocorrelation_time"),
+        (n / tau).alias("effective_sample_size"))
 
 
 # ---- bundles ----------------------------------------------------------------------
@@ -302,7 +304,15 @@ def compare_models(errors: DataFrame, keys: Sequence[str] = RUN,
                    family: Sequence[str] | None = None, n_resamples: int = RESAMPLES,
                    block: int = BLOCK_STEPS, horizon: int = 1, seed: int = 42,
                    order: str = "step", rank_decimals: int | None = None) -> DataFrame:
-    """Skill interval, Diebold-Mariano with Holm, and signed ranks for all runs and losses."""
+    """Skill interval, Diebold-Mariano with Holm, and signed ranks for all runs and losses.
+
+    Only steps that every model of a site and horizon has take part.
+    """
+    group = [k for k in keys if k != "model"]
+    models = errors.groupBy(*group).agg(F.count_distinct("model").alias("_all"))
+    stamps = errors.groupBy(*group, order).agg(F.count_distinct("model").alias("_here"))
+    whole = stamps.join(models, group).where(F.col("_here") == F.col("_all"))
+    errors = errors.join(whole.select(*group, order), [*group, order], "left_semi")
     skill = bootstrap_skill(errors, keys=keys, n_resamples=n_resamples, block=block, seed=seed,
                             order=order).select(
         *keys, F.col("point_estimate").alias("skill"), F.col("ci_low").alias("skill_low"),

@@ -48,7 +48,11 @@ def add_clearness(df: DataFrame, ghi: str = "ghi") -> DataFrame:
 
 def clear_sky_scale(df: DataFrame, in_train: Column, keys: Sequence[str] = SITE,
                     share: float = SCALE_QUANTILE, least: int = SCALE_MIN_ROWS) -> DataFrame:
-    """Scale of the clearness index per site from training daylight, with diagnostics."""
+    """Scale of the clearness index per site from training daylight, with diagnostics.
+
+    ``under_sampled`` marks fewer than ``least`` usable rows; the scale is still theirs.
+    ``is_default_scale`` marks a scale of 1.0 for want of rows or of a positive quantile.
+    """
     kt = "clear_sky_index_raw"
     wanted = in_train & F.col("daylight") & F.col(kt).isNotNull()
     stats = order_statistics(df.where(wanted), keys, kt, {
@@ -58,11 +62,13 @@ def clear_sky_scale(df: DataFrame, in_train: Column, keys: Sequence[str] = SITE,
     sites = df.groupBy(*keys).agg(
         F.max(used).alias("kt_max"),
         F.avg((used > 1.2).cast("double")).alias("fraction_above_1p2"))
-    enough = (F.col("n") >= least) & (F.col("_scale") > 1e-6)
+    positive = F.coalesce(F.col("_scale") > 1e-6, F.lit(False))
     out = sites.join(stats, list(keys), "left")
     return out.select(
-        *keys, F.when(enough, F.col("_scale")).otherwise(F.lit(1.0)).alias("scale"),
+        *keys, F.when(positive, F.col("_scale")).otherwise(F.lit(1.0)).alias("scale"),
         F.coalesce("n", F.lit(0)).alias("n_usable"),
+        (F.coalesce("n", F.lit(0)) < least).alias("under_sampled"),
+        (~positive).alias("is_default_scale"),
         F.coalesce((F.col("n") >= least) & F.col("_scale").between(0.95, 1.05), F.lit(False))
         .alias("calibrated"),
         "kt_p50", "kt_p90", "kt_p99", "kt_max", "fraction_above_1p2")

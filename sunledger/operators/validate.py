@@ -186,10 +186,13 @@ def issues_by_severity(issues: DataFrame) -> DataFrame:
 
 def raise_on_errors(issues: DataFrame, show: int = 20) -> None:
     """Fail when any error-level issue exists."""
-    found = issues.where("severity = 'error'").select("stage", "check", "message").take(show)
+    errors = issues.where("severity = 'error'").select("stage", "check", "message")
+    found = errors.take(show + 1)
     if found:
+        more = errors.count() - show if len(found) > show else 0
         raise ValueError("validation failed: " + "; ".join(
-            f"{r.stage}/{r.check}: {r.message}" for r in found))
+            f"{r.stage}/{r.check}: {r.message}" for r in found[:show])
+            + (f"; and {more} more" if more else ""))
 
 
 def assertions(facts: DataFrame, keys: Sequence[str],

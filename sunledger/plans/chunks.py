@@ -92,8 +92,8 @@ def carry(df: DataFrame, keys: Sequence[str], order: str,
         edges = carry(edges.select(F.col(KEY).alias("_outer"), F.col(CHUNK).alias("_at"),
                                    *edges.columns[2:]), ["_outer"], "_at",
                       {f"_fin_{n}": F.col(f"_f_{n}") for n in forward},
-                      {f"_bin_{n}": F.col(f"_b_{n}") for n in backward}, True, chunk_steps,
-                      levels - 1).withColumnsRenamed({"_outer": KEY, "_at": CHUNK})
+                      {f"_bin_{n}": F.col(f"_b_{n}") for n in backward}, True,
+                      min(chunk_steps, CHUNK_STEPS), levels - 1).withColumnsRenamed({"_outer": KEY, "_at": CHUNK})
         edges = edges.drop(*[f"_f_{n}" for n in forward], *[f"_b_{n}" for n in backward])
     else:
         chunks = Window.partitionBy(KEY).orderBy(CHUNK)
@@ -130,8 +130,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: str,
         *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
     if levels > 1:
         totals = running_sum(totals.withColumnsRenamed({KEY: "_outer", CHUNK: "_at"}), ["_outer"],
-                             "_at", {f"_s_{n}": F.col(f"_t_{n}") for n in values}, chunk_steps,
-                             True, levels - 1).withColumnsRenamed({"_outer": KEY, "_at": CHUNK})
+                             "_at", {f"_s_{n}": F.col(f"_t_{n}") for n in values},
+                             min(chunk_steps, CHUNK_STEPS), True, levels - 1).withColumnsRenamed({"_outer": KEY, "_at": CHUNK})
         totals = totals.drop(*[f"_t_{n}" for n in values])
     else:
         earlier = (Window.partitionBy(KEY).orderBy(CHUNK)

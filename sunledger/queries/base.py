@@ -123,7 +123,7 @@ class Given:
             "clear_sky_input": F.coalesce("clear_sky_index", F.lit(0.0)),
             "season": clock.season(clock.instant(F.col("step")), title=False)})
         rows = regimes.attach_regimes(rows, kt="clear_sky_input")
-        return rows.join(self.stations().select("site", "rated_w"), "site")
+        return rows.join(self.stations().select("site", "rated_w"), "site", "left")
 
     def supervised(self) -> DataFrame:
         """Label rows of every horizon with both reference forecasts."""
@@ -279,7 +279,7 @@ TABLES: dict[str, str] = {
                 c.solar_azimuth, c.solar_zenith, c.ghi_clear, c.daylight
               FROM dense d JOIN clear c USING (site, step) LEFT JOIN weather w ON w.step = d.step)""",
     "scales": """
-        SELECT site, CASE WHEN count(k) >= 100 AND quantile_cont(k, 0.99) > 1e-6
+        SELECT site, CASE WHEN quantile_cont(k, 0.99) > 1e-6
                           THEN quantile_cont(k, 0.99) ELSE 1.0 END AS scale, count(k) AS n_usable
         FROM (SELECT site, CASE WHEN split = 'train' AND daylight THEN clear_sky_index_raw END AS k
               FROM sunny) GROUP BY site""",

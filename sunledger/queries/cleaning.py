@@ -36,13 +36,14 @@ def gap_histogram(g: Given):
 
 @query("gap_length_map", f"""
     SELECT site, sum(n) AS n_gaps, count(*) AS n_lengths,
-           CASE WHEN sum(n) <= 40 THEN count(*) ELSE 0 END AS n_mapped
+           string_agg(length || ':' || n, ',' ORDER BY length) AS histogram
     FROM (SELECT site, length, count(*) AS n FROM ({RUNS}) GROUP BY site, length) GROUP BY site
-    """, ints="n_gaps n_mapped")
+    """, ints="n_gaps")
 def gap_length_map(g: Given):
     mapped = gaps.gap_length_map(gaps.gap_histogram(g.gappy(), "pv_power_w"))
-    return mapped.select("site", "n_gaps", "n_lengths", F.coalesce(
-        F.when(F.col("histogram").isNotNull(), F.size("histogram")), F.lit(0)).alias("n_mapped"))
+    entries = F.transform(F.map_entries("histogram"), lambda e: F.concat_ws(
+        ":", e["key"].cast("string"), e["value"].cast("string")))
+    return mapped.withColumn("histogram", F.concat_ws(",", entries))
 
 
 def _anchored(source: str, column: str, block: str) -> str:
@@ -267,7 +268,8 @@ def clearness(g: Given):
 
 
 @query("clear_sky_scale", """
-    SELECT s.site, scale, n_usable, n_usable >= 100 AND p99 BETWEEN 0.95 AND 1.05 AS calibrated,
+    SELECT s.site, scale, n_usable, n_usable < 100 AS under_sampled, coalesce(p99, 0) <= 1e-6 AS is_default_scale,
+           n_usable >= 100 AND p99 BETWEEN 0.95 AND 1.05 AS calibrated,
            p50 AS kt_p50, p90 AS kt_p90, p99 AS kt_p99, top AS kt_max, above AS fraction_above_1p2
     FROM scales s JOIN (
         SELECT site, quantile_cont(k, 0.5) AS p50, quantile_cont(k, 0.9) AS p90, quantile_cont(k, 0.99) AS p99,

@@ -44,17 +44,18 @@ def draws_sql(source: str, keys: str, sums: dict[str, str], resamples: int,
     cols = ", ".join(f"p.{k.strip()}" for k in keys.split(","))
     return f"""
     SELECT {cols}, p.block_length, p.resample, p.n, {inner}
-    FROM (SELECT *, {start} % (n - len + 1) AS s, least(len, n - b * len) AS size
+    FROM (SELECT * EXCLUDE (s, size), unnest(range(s + 1, s + size + 1)) AS at FROM (
+          SELECT *, {start} % (n - len + 1) AS s, least(len, n - b * len) AS size
           FROM (SELECT *, unnest(range((n + len - 1) // len)) AS b
                 FROM (SELECT {keys}, n, block_length, least(greatest(block_length, 1), n) AS len, resample
                       FROM (SELECT {keys}, count(*) AS n FROM {source} GROUP BY {keys})
                       CROSS JOIN (VALUES {listed}) v(block_length)
-                      CROSS JOIN (SELECT unnest(range({resamples})) AS resample)))) p
-    JOIN {source} e ON {on} AND e.pos > p.s AND e.pos <= p.s + p.size
+                      CROSS JOIN (SELECT unnest(range({resamples})) AS resample))))) p
+    JOIN {source} e ON {on} AND e.pos = p.at
     GROUP BY {cols}, p.block_length, p.resample, p.n"""
 
 
-METRIC_DRAWS = draws_sql("errors", "site, model, horizon", {"total": "e.error ** 2"}, 200, [96])
+METRIC_DRAWS = draws_sql("errors", "site, model, horizon", {"total": "e.error ** 2"}, 2000, [96])
 
 
 @query("bootstrap_rmse", f"""
@@ -65,11 +66,11 @@ METRIC_DRAWS = draws_sql("errors", "site, model, horizon", {"total": "e.error **
                                 FROM errors GROUP BY ALL) USING (site, model, horizon)
     GROUP BY site, model, horizon, point_estimate""", doubles="point_estimate ci_low ci_high se")
 def bootstrap_rmse(g: Given):
-    return inference.bootstrap_metric(_errors(g), n_resamples=200)
+    return inference.bootstrap_metric(_errors(g))
 
 
 SKILL_DRAWS = draws_sql("errors", "site, model, horizon",
-                        {"m": "e.error ** 2", "r": "e.reference_error ** 2"}, 500, [96])
+                        {"m": "e.error ** 2", "r": "e.reference_error ** 2"}, 2000, [96])
 SKILL = f"""
     SELECT site, model, horizon, point_estimate, quantile_cont(draw, 0.025) AS ci_low,
            quantile_cont(draw, 0.975) AS ci_high, count(draw) AS n_resamples, stddev_samp(draw) AS se
@@ -81,10 +82,10 @@ SKILL = f"""
 
 @query("bootstrap_skill", SKILL, doubles="point_estimate ci_low ci_high se")
 def bootstrap_skill(g: Given):
-    return inference.bootstrap_skill(_errors(g), n_resamples=500)
+    return inference.bootstrap_skill(_errors(g))
 
 
-BLOCKS = [1, 16, 48, 96]
+BLOCKS = [1, 16, 48, 96, 192, 384]
 
 
 @query("block_length_sensitivity", f"""
@@ -94,12 +95,12 @@ BLOCKS = [1, 16, 48, 96]
             quantile_cont(total / n, 0.975) AS ci_high, count(*) AS n_resamples,
             stddev_samp(total / n) AS se,
             quantile_cont(total / n, 0.975) - quantile_cont(total / n, 0.025) AS ci_width
-          FROM ({draws_sql('best_losses', 'site, horizon', {'total': 'e.d'}, 100, BLOCKS)})
+          FROM ({draws_sql('best_losses', 'site, horizon', {'total': 'e.d'}, 500, BLOCKS)})
           GROUP BY site, horizon, block_length)""",
        doubles="ci_low ci_high se ci_width block_hours relative_width")
 def block_length_sensitivity(g: Given):
     return inference.block_length_sensitivity(
-        _best_losses(g), keys=["site", "horizon"], blocks=BLOCKS, n_resamples=100)
+        _best_losses(g), keys=["site", "horizon"], blocks=BLOCKS, n_resamples=500)
 
 
 @query("loss_differentials", """
@@ -117,9 +118,10 @@ def loss_differentials(g: Given):
 
 
 def _p(z: str) -> str:
-    t = f"(1 / (1 + 0.3275911 * abs({z}) / sqrt(2)))"
-    return (f"(1 - (1 - {t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * "
-            f"(-1.453152027 + {t} * 1.061405429)))) * exp(-({z}) * ({z}) / 2)))")
+    """Twice the area beyond |z|, by Simpson's rule over ten units."""
+    return (f"(sqrt(2 / pi()) * exp(-({z}) * ({z}) / 2) * 0.01 / 3 * list_sum(list_transform(range(0, 1001), "
+            f"lambda i: CASE WHEN i % 1000 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END "
+            f"* exp(-i * 0.01 * (abs({z}) + i * 0.005)))))")
 
 
 def dm_sql(source: str, keys: str, horizon: int) -> str:
@@ -175,9 +177,9 @@ def rank_sql(source: str, keys: str) -> str:
     low, var = "least(w_plus, w_minus)", "(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0)"
     z = f"(({low} - n * (n + 1) / 4.0) / sqrt({var}))"
     return f"""
-    SELECT {keys}, CASE WHEN n >= 6 THEN {low} END AS statistic, CASE WHEN n >= 6 THEN {_p(z)} END AS p_value,
-           CASE WHEN n >= 6 THEN (w_plus - w_minus) / (w_plus + w_minus) ELSE 0 END AS effect_size_rank_biserial,
-           n::BIGINT AS n_pairs, (n_all - n)::BIGINT AS n_zero_differences
+    SELECT {keys}, CASE WHEN n > 0 THEN {low} END AS statistic, CASE WHEN n > 0 THEN {_p(z)} END AS p_value,
+           CASE WHEN n > 0 THEN (w_plus - w_minus) / (w_plus + w_minus) ELSE 0 END AS effect_size_rank_biserial,
+           n::BIGINT AS n_pairs, (n_all - n)::BIGINT AS n_zero_differences, n < 6 AS few_pairs
     FROM (SELECT {keys}, count(*) AS n_all FROM {source} GROUP BY {keys})
     LEFT JOIN (SELECT {keys}, coalesce(sum(rank) FILTER (d > 0), 0) AS w_plus, coalesce(sum(rank) FILTER (d < 0), 0) AS w_minus,
                  count(*)::DOUBLE AS n, sum(t * t - 1) AS ties
@@ -229,9 +231,9 @@ def acf_sql(max_lag: int) -> str:
 
 @query("autocorrelation", f"""
     SELECT site, horizon, n, lag, CASE WHEN lag < n AND s0 > 0 THEN s / s0 END AS autocorrelation,
-           lag * 15 / 60.0 AS lag_hours FROM ({acf_sql(48)})""", doubles="autocorrelation lag_hours")
+           lag * 15 / 60.0 AS lag_hours FROM ({acf_sql(192)})""", doubles="autocorrelation lag_hours")
 def autocorrelation(g: Given):
-    return inference.autocorrelation(_best_losses(g), max_lag=48, keys=["site", "horizon"])
+    return inference.autocorrelation(_best_losses(g), max_lag=192, keys=["site", "horizon"])
 
 
 @query("effective_sample_size", f"""
@@ -240,11 +242,11 @@ def autocorrelation(g: Given):
                 CASE WHEN hits = 0 THEN lag = 1 ELSE cut IS NULL OR lag < cut END), 0)) AS tau
           FROM (SELECT *, s / s0 AS r, min(CASE WHEN abs(s / s0) < 0.05 THEN lag END) OVER k AS cut,
                        count(*) FILTER (abs(s / s0) >= 0.05) OVER k AS hits
-                FROM ({acf_sql(100)}) WHERE lag >= 1 AND lag <= least(least(200, n // 4), n - 2)
+                FROM ({acf_sql(192)}) WHERE lag >= 1 AND lag <= n - 2
                 WINDOW k AS (PARTITION BY site, horizon)) GROUP BY site, horizon, n)""",
        doubles="integrated_autocorrelation_time effective_sample_size")
 def effective_sample_size(g: Given):
-    profile = inference.autocorrelation(_best_losses(g), max_lag=100, keys=["site", "horizon"])
+    profile = inference.autocorrelation(_best_losses(g), max_lag=192, keys=["site", "horizon"])
     return inference.effective_sample_size(profile, ["site", "horizon"])
 
 
@@ -258,7 +260,7 @@ def effective_sample_size(g: Given):
        doubles=DM_DOUBLES + " p_value_adjusted wilcoxon_statistic wilcoxon_p effect_size_rank_biserial "
                             "skill skill_low skill_high")
 def model_comparison(g: Given):
-    return inference.compare_models(g.keep(_errors(g)), n_resamples=500, rank_decimals=6)
+    return inference.compare_models(g.keep(_errors(g)), rank_decimals=6)
 
 
 @query("best_models", """

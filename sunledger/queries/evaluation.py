@@ -202,9 +202,9 @@ TABLES["intervals"] = """
     SELECT c.*, alpha, q AS interval_half_width_w, predicted - q AS lower, predicted + q AS upper,
            actual BETWEEN predicted - q AND predicted + q AS inside, n_calibration, n_calibration_daylight
     FROM calibrated c JOIN widths USING (site, model, horizon)
-    WHERE NOT is_calibration AND n_calibration >= 100
-      AND (site, model, horizon) IN (SELECT (site, model, horizon) FROM calibrated WHERE NOT is_calibration
-                                     GROUP BY site, model, horizon HAVING count(*) >= 100)"""
+    JOIN (SELECT site, model, horizon, least(count(*) FILTER (is_calibration), count(*) FILTER (NOT is_calibration))
+                   < 100 AS under_sampled FROM calibrated GROUP BY ALL) USING (site, model, horizon)
+    WHERE NOT is_calibration"""
 
 
 @query("conformal_widths", """
@@ -232,7 +232,7 @@ def calibration_split(g: Given):
 @query("coverage_table", """
     SELECT site, model, horizon, alpha, scope, max(interval_half_width_w) AS interval_half_width_w,
            avg(inside::INT) AS empirical_coverage, count(*) AS n, max(n_calibration) AS n_calibration,
-           max(n_calibration_daylight) AS n_calibration_daylight, 1 - alpha AS nominal_coverage,
+           max(n_calibration_daylight) AS n_calibration_daylight, bool_or(intervals.under_sampled) AS under_sampled, 1 - alpha AS nominal_coverage,
            avg(inside::INT) - (1 - alpha) AS coverage_error
     FROM intervals, LATERAL (SELECT 'evaluation_all_steps' AS scope
                              UNION ALL SELECT 'evaluation_daylight' WHERE daylight)
@@ -257,9 +257,9 @@ DATE = "make_timestamp({} * 900000000)::DATE"
     SELECT site, model, horizon, day_index, avg(abs({E})) AS mae, count(*) AS n
     FROM (SELECT *, {DATE.format('step')} - {DATE.format('min(step) OVER (PARTITION BY site, model, horizon)')}
             AS day_index FROM predictions)
-    WHERE daylight AND day_index < 5 GROUP BY site, model, horizon, day_index""", doubles="mae", ints="day_index")
+    WHERE daylight AND day_index < 14 GROUP BY site, model, horizon, day_index""", doubles="mae", ints="day_index")
 def daily_mae(g: Given):
-    return diagnostics.daily_mae(g.predictions(), 5)
+    return diagnostics.daily_mae(g.predictions(), 14)
 
 
 def _hist(source: str, value: str, keys: str, bins: int) -> str:

@@ -204,11 +204,11 @@ def _permutation_sql(keys: str, least: int) -> str:
                   avg(abs({LINEAR.format(q='visitor', d='hour', t='kind')} - actual))
                     OVER (PARTITION BY {part} 1) AS baseline_mae,
                   row_number() OVER (PARTITION BY {part} 1 ORDER BY row_id) AS pos FROM visits)
-                  WHERE n_windows >= {least}),
+                  ),
     donors AS (SELECT *, row_number() OVER (PARTITION BY {part} i, r ORDER BY
                  {order}) AS dpos
                FROM base CROSS JOIN (VALUES (1, 'visitor'), (2, 'hour'), (3, 'kind')) f(i, feature)
-               CROSS JOIN (VALUES (0), (1), (2)) t(r)),
+               CROSS JOIN (SELECT unnest(range(10)) AS r) t),
     moved AS (SELECT {part.replace(keys, 'b.' + keys) if keys else ''} d.feature, d.r,
                 b.baseline_mae, b.n_windows,
                 avg(abs({LINEAR.format(q="CASE WHEN d.i = 1 THEN d.visitor ELSE b.visitor END",
@@ -219,7 +219,7 @@ def _permutation_sql(keys: str, least: int) -> str:
     table_ AS (SELECT {part} feature, baseline_mae, n_windows, avg(m - baseline_mae) AS mean_mae_increase,
                  coalesce(stddev_samp(m - baseline_mae), 0) AS std_mae_increase, count(*) AS n_repeats
                FROM moved GROUP BY ALL)
-    SELECT *, mean_mae_increase / baseline_mae AS relative_increase,
+    SELECT *, n_windows < {least} AS under_sampled, mean_mae_increase / baseline_mae AS relative_increase,
            CASE WHEN sum(greatest(mean_mae_increase, 0)) OVER (PARTITION BY {part} 1) > 0
                 THEN greatest(mean_mae_increase, 0) / sum(greatest(mean_mae_increase, 0)) OVER (PARTITION BY {part} 1)
                 ELSE 0 END AS relative_importance
@@ -230,17 +230,17 @@ PERMUTATION_DOUBLES = ("baseline_mae mean_mae_increase std_mae_increase relative
                        "relative_importance")
 
 
-@query("permutation_importance", _permutation_sql("", 0), doubles=PERMUTATION_DOUBLES, digits=4)
+@query("permutation_importance", _permutation_sql("", 400), doubles=PERMUTATION_DOUBLES, digits=4)
 def permutation_importance(g: Given):
     return importance.permutation_importance(
-        g.visits(), _linear_scorer, "row_id", "actual", {c: [c] for c in PERMUTED}, repeats=3)
+        g.visits(), _linear_scorer, "row_id", "actual", {c: [c] for c in PERMUTED})
 
 
 @query("permutation_by_condition", _permutation_sql("site", 400), doubles=PERMUTATION_DOUBLES,
        digits=4)
 def permutation_by_condition(g: Given):
     return importance.permutation_importance(
-        g.visits(), _linear_scorer, "row_id", "actual", {c: [c] for c in PERMUTED}, repeats=3, keys=["site"], min_rows=400)
+        g.visits(), _linear_scorer, "row_id", "actual", {c: [c] for c in PERMUTED}, keys=["site"])
 
 
 @query("permutation_forest")
@@ -258,8 +258,8 @@ def permutation_forest(g: Given):
         return model.transform(forecast.assemble(df, inputs)).drop("features")
 
     return importance.permutation_importance(
-        g.keep(test), scorer, "row_id", "target", {c: [c] for c in inputs}, repeats=2,
-        keys=["regime"], min_rows=100)
+        g.keep(test), scorer, "row_id", "target", {c: [c] for c in inputs},
+        keys=["regime"])
 
 
 @query("generation_levels", """

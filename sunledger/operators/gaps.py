@@ -49,16 +49,21 @@ def gap_histogram(df: DataFrame, value: str, keys: Sequence[str] = SITE,
         F.count(F.lit(1)).alias("n_gaps"))
 
 
-def gap_length_map(histogram: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
+def gap_length_map(histogram: DataFrame, keys: Sequence[str] = SITE,
+                   max_gaps: int | None = None) -> DataFrame:
     """Histogram as a map per series, from one aggregate.
 
     The map has one entry per different length. Gaps of k different lengths cover at least
     k * k / 2 steps, so a series of n steps has at most sqrt(2 n) entries.
+    Only where ``max_gaps`` is given do series with more gaps get a null map.
     """
-    return histogram.groupBy(*keys).agg(
+    maps = histogram.groupBy(*keys).agg(
         F.sum("n_gaps").alias("n_gaps"), F.count(F.lit(1)).alias("n_lengths"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("length", "n_gaps"))))
         .alias("histogram"))
+    if max_gaps is None:
+        return maps
+    return maps.withColumn("histogram", F.when(F.col("n_gaps") <= max_gaps, F.col("histogram")))
 
 
 def _anchor(column: str, order: str) -> Column:

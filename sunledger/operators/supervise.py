@@ -80,14 +80,24 @@ def build_target(df: DataFrame, target: str = "pv_power_w",
     ``carry_columns`` are read at the label time as ``label_<name>``. Origins whose
     label does not exist are dropped. The table must be gap-free within ``keys``.
     """
+    out = over_halo(df, keys, order, _labels(target, horizons, carry_columns),
+                    after=max(horizons.values()), chunk_steps=chunk_steps)
+    return _per_horizon(out, horizons, carry_columns, order)
+
+
+def _labels(target: str, horizons: Mapping[str, int], carry_columns: Sequence[str]):
+    """Window build of one struct ``_h<steps>`` per horizon."""
     def ahead(w: WindowSpec) -> dict[str, Column]:
         def label(h: int) -> Column:
             fields = [F.lead(target, h).over(w).alias("target"),
                       *[F.lead(c, h).over(w).alias(f"label_{c}") for c in carry_columns]]
             return F.struct(*fields)
         return {f"_h{h}": label(h) for h in horizons.values()}
+    return ahead
+
 
-    out = over_halo(df, keys, order, ahead, after=max(horizons.values()), chunk_steps=chunk_steps)
+def _per_horizon(out: DataFrame, horizons: Mapping[str, int], carry_columns: Sequence[str],
+                 order: str) -> DataFrame:
     rows = F.array(*[
         F.struct(F.lit(name).alias("horizon"), F.lit(h).alias("target_lead_steps"),
                  F.lit(h * STEP_SECONDS / 3600.0).alias("target_lead_hours"),
@@ -173,14 +183,18 @@ def build_windows(df: DataFrame, features: Sequence[str], target: str = "pv_powe
                   horizons: Mapping[str, int] = HORIZONS, lookback: int = LOOKBACK_STEPS,
                   keys: Sequence[str] = SITE, label_columns: Sequence[str] = (),
                   order: str = "step", chunk_steps: int = CHUNK_STEPS) -> DataFrame:
-    """Lookback window per origin as an array of structs, oldest step first, with labels."""
+    """Lookback window per origin as an array of structs, oldest step first, with labels.
+
+    With the split among ``keys`` no window and no label crosses a split's border. Labels and
+    windows share one shuffle; the arrays are built last.
+    """
     def window(w: WindowSpec) -> dict[str, Column]:
         frame = w.rowsBetween(-(lookback - 1), 0)
         return {"window": F.collect_list(F.struct(*features)).over(frame)}
 
-    out = over_halo(df, keys, order, window, before=lookback - 1, chunk_steps=chunk_steps)
-    labelled = build_target(out, target, horizons, keys, label_columns, order, chunk_steps)
-    return labelled.where(F.size("window") == lookback)
+    out = over_halo(df, keys, order, _labels(target, horizons, label_columns), window,
+                    before=lookback - 1, after=max(horizons.values()), chunk_steps=chunk_steps)
+    return _per_horizon(out.where(F.size("window") == lookback), horizons, label_columns, order)
 
 
 def describe_windows(windows: DataFrame, keys: Sequence[str] = ("site", "horizon"),

@@ -180,15 +180,15 @@ def _question(group: Column) -> Column:
     return out
 
 
-def _matrix(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+def _matrix(df: DataFrame, source: str, values: Mapping[str, Column]) -> DataFrame:
     return df.select(*[e.alias(n) for n, e in values.items()],
-                     F.lit("executed").alias("status"))
+                     F.lit("executed").alias("status"), F.lit(source).alias("source"))
 
 
 def matrix_from_registry(registry: DataFrame, site: str, protocol: str =
                          "within_site_chronological") -> DataFrame:
     c = F.col
-    return _matrix(registry, {
+    return _matrix(registry, "registry", {
         "experiment_id": c("experiment_id"), "research_question": _question(c("experiment_group")),
         "experiment_group": c("experiment_group"), "protocol": F.lit(protocol),
         "model": c("model"), "horizon": c("horizon"), "site": F.lit(site),
@@ -205,7 +205,7 @@ def matrix_from_strata(stratified: DataFrame, seed: int = 42) -> DataFrame:
     kind, name = c("stratum_type"), c("stratum")
     identity = F.concat_ws("_", F.lit("S"), c("site"), c("model"), kind,
                            F.regexp_replace(name, " ", "_"), c("horizon"))
-    return _matrix(stratified, {
+    return _matrix(stratified, "stratified", {
         "experiment_id": identity, "research_question": F.lit("RQ3"),
         "experiment_group": F.lit("D_regimes/G_seasonal"),
         "protocol": F.lit("within_site_chronological"), "model": c("model"),
@@ -222,7 +222,7 @@ def matrix_from_transfer(transfer: DataFrame) -> DataFrame:
     c = F.col
     identity = F.concat_ws("_", F.lit("J"), c("protocol"), c("model"), c("horizon"),
                            F.regexp_replace("test_site", " ", "_"))
-    return _matrix(transfer, {
+    return _matrix(transfer, "cross_site", {
         "experiment_id": identity, "research_question": F.lit("RQ6"),
         "experiment_group": F.lit("J_cross_site"), "protocol": c("protocol"),
         "model": c("model"), "horizon": c("horizon"), "site": c("test_site"),
@@ -235,8 +235,8 @@ def matrix_from_transfer(transfer: DataFrame) -> DataFrame:
 def matrix_from_coverage(coverage: DataFrame) -> DataFrame:
     c = F.col
     identity = F.concat(F.lit("K_"), c("site"), F.lit("_"), c("model"), F.lit("_a"),
-                        c("alpha").cast("string"), F.lit("_"), c("scope"))
-    return _matrix(coverage, {
+                        c("alpha").cast("string"), F.lit("_"), c("scope"), F.lit("_"), c("horizon"))
+    return _matrix(coverage, "coverage", {
         "experiment_id": identity, "research_question": F.lit("RQ7"),
         "experiment_group": F.lit("K_uncertainty"), "model": c("model"),
         "horizon": c("horizon"), "site": c("site"), "season": F.lit("all"),
@@ -244,10 +244,21 @@ def matrix_from_coverage(coverage: DataFrame) -> DataFrame:
 
 
 def build_matrix(parts: Sequence[DataFrame]) -> DataFrame:
-    """Union of the sources in the canonical column order."""
+    """Union of the sources, always with all columns in the canonical order."""
     out = stack(parts)
-    return out.select(*[F.col(c) if c in out.columns else F.lit(None).alias(c)
-                        for c in MATRIX_COLUMNS if c in out.columns])
+    texts = MATRIX_COLUMNS[:11] + ["status", "source"]
+
+    def column(c: str) -> Column:
+        kind = "string" if c in texts else "bigint" if c in (
+            "seed", "n_observations", "n_parameters") else "double"
+        return (F.col(c) if c in out.columns else F.lit(None)).cast(kind).alias(c)
+
+    return out.select(*[column(c) for c in MATRIX_COLUMNS])
+
+
+def repeated_ids(matrix: DataFrame) -> DataFrame:
+    """Experiment ids that more than one row of the matrix carries."""
+    return matrix.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
 def matrix_coverage(matrix: DataFrame) -> DataFrame:

@@ -39,6 +39,7 @@ class Given:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = use_utc(spark), folder
+        self._stamp: tuple | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -94,13 +95,22 @@ class Given:
         lit = sky.add_clearness(sky.add_solar(power, self.stations()))
         return assign_split(lit, SPLITS)
 
+    def stamp(self) -> tuple:
+        """Files, sizes and times of the readings that all staged tables derive from."""
+        if self._stamp is None:
+            files = self.spark.read.format("binaryFile").load(f"{self.folder}/events.parquet")
+            row = files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"),
+                            F.sum(F.crc32("path"))).first()
+            self._stamp = tuple(map(str, row))
+        return self._stamp
+
     def staged(self, label: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table many queries read: written once per session to the shared folder.
 
         The study works the same way: prepared rows and forecasts are stored, evaluation
         reads them. A table that is gone is built again.
         """
-        key = (self.spark.sparkContext.applicationId, self.folder, label)
+        key = (self.spark.sparkContext.applicationId, self.folder, self.stamp(), label)
         if key in _STAGED:
             try:
                 return self.spark.read.parquet(_STAGED[key])

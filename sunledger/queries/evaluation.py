@@ -200,10 +200,10 @@ TABLES["widths"] = """
     GROUP BY site, model, horizon, alpha"""
 TABLES["intervals"] = """
     SELECT c.*, alpha, q AS interval_half_width_w, predicted - q AS lower, predicted + q AS upper,
-           actual BETWEEN predicted - q AND predicted + q AS inside, n_calibration, n_calibration_daylight
+           actual BETWEEN predicted - q AND predicted + q AS inside, n_calibration, n_calibration_daylight, few
     FROM calibrated c JOIN widths USING (site, model, horizon)
     JOIN (SELECT site, model, horizon, least(count(*) FILTER (is_calibration), count(*) FILTER (NOT is_calibration))
-                   < 100 AS under_sampled FROM calibrated GROUP BY ALL) USING (site, model, horizon)
+                   < 100 AS few FROM calibrated GROUP BY ALL) USING (site, model, horizon)
     WHERE NOT is_calibration"""
 
 
@@ -232,7 +232,7 @@ def calibration_split(g: Given):
 @query("coverage_table", """
     SELECT site, model, horizon, alpha, scope, max(interval_half_width_w) AS interval_half_width_w,
            avg(inside::INT) AS empirical_coverage, count(*) AS n, max(n_calibration) AS n_calibration,
-           max(n_calibration_daylight) AS n_calibration_daylight, bool_or(intervals.under_sampled) AS under_sampled, 1 - alpha AS nominal_coverage,
+           max(n_calibration_daylight) AS n_calibration_daylight, bool_or(few) AS under_sampled, 1 - alpha AS nominal_coverage,
            avg(inside::INT) - (1 - alpha) AS coverage_error
     FROM intervals, LATERAL (SELECT 'evaluation_all_steps' AS scope
                              UNION ALL SELECT 'evaluation_daylight' WHERE daylight)

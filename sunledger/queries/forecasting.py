@@ -66,10 +66,11 @@ def linear_fit_grouped(g: Given):
 FLAT_INPUTS = ["pv_power_w", "ghi", "solar_elevation"]
 
 
-def _training_rows(g: Given, lookback: int = 4):
+def _training_rows(g: Given, lookback: int = 24):
     """Flattened windows of every site with their one-hour label, assembled for Spark ML."""
-    rows = g.sky().select("site", "step", "split", "daylight", "rated_w", *FLAT_INPUTS)
-    flat = supervise.flatten_windows(rows, FLAT_INPUTS, lookback=lookback)
+    rows = g.sky().where("split IS NOT NULL").select("site", "step", "split", "daylight", "rated_w",
+                                                     *FLAT_INPUTS)
+    flat = supervise.flatten_windows(rows, FLAT_INPUTS, lookback, ["site", "split"])
     names = supervise.flat_names(FLAT_INPUTS, lookback)
     labelled = supervise.build_target(flat, horizons={"1h": 4}, keys=["site", "split"],
                                       carry_columns=["daylight"])

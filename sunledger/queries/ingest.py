@@ -170,3 +170,22 @@ def table_export(g: Given):
     return text.join(g.telemetry(), ["site", "step"]).select(
         "site", "step", (off <= 0.5000001 * unit).alias("within_half_digit"),
         (digits <= 6).alias("short_enough"))
+
+
+@query("power_header_issues", f"""
+    SELECT 'error' AS severity, check_ AS "check", message, 1::BIGINT AS n
+    FROM (VALUES ('column_position', 'column Time is column 2'), ('column_position', 'column power(W) is column 1'),
+                 ('required_column', 'column Time is not in the header')) t(check_, message)
+    WHERE EXISTS (SELECT 1 FROM events)""")
+def power_header_issues(g: Given):
+    """Readings written under the right, the swapped and a foreign header."""
+    rows = g.readings().select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Time"),
+                               F.col("value").alias("power(W)"))
+    layouts = {"right": rows, "swapped": rows.select("power(W)", "Time"),
+               "foreign": rows.withColumnRenamed("Time", "stamp")}
+    paths = []
+    for name, layout in layouts.items():
+        paths.append(scratch_path(g.spark, name))
+        layout.write.option("header", True).csv(paths[-1])
+    found = raw.header_issues(g.spark, paths, ["Time", "power(W)"])
+    return found.groupBy("severity", "check", "message").agg(F.lit(1).cast("long").alias("n"))

@@ -11,6 +11,7 @@ from ..schema import MODEL_INPUTS, ROLLING_WINDOWS, TARGET_LAGS
 from .base import TABLES, Given, query
 
 W = "PARTITION BY site ORDER BY step"
+W2 = "PARTITION BY site, split ORDER BY step"
 
 
 @query("rollup_mean", """
@@ -325,12 +326,14 @@ def window_counts_truncated(g: Given):
            l.regime AS label_regime, n AS n_steps, oldest, s AS window_sum
     FROM (SELECT *, count(*) OVER w AS n, first_value(pv_power_w) OVER w AS oldest,
                  sum(ghi) OVER w AS s FROM sky
-          WINDOW w AS ({W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) o
-    CROSS JOIN horizons JOIN sky l ON l.site = o.site AND l.step = o.step + h
+          WINDOW w AS ({W2} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) o
+    CROSS JOIN horizons JOIN sky l ON l.site = o.site AND l.split = o.split AND l.step = o.step + h
     WHERE n = 24""", doubles="target oldest window_sum", ints="n_steps")
 def lookback_windows(g: Given):
-    rows = g.sky().select("site", "step", "pv_power_w", "ghi", "regime")
-    windows = supervise.build_windows(rows, ["pv_power_w", "ghi"], label_columns=["regime"])
+    rows = g.sky().where("split IS NOT NULL").select("site", "split", "step", "pv_power_w", "ghi",
+                                                     "regime")
+    windows = supervise.build_windows(rows, ["pv_power_w", "ghi"], keys=["site", "split"],
+                                      label_columns=["regime"])
     total = F.aggregate("window.ghi", F.lit(0.0), lambda a, v: a + v)
     return windows.select(
         "site", "step", "horizon", "target_step", "target", "label_regime",
@@ -342,23 +345,24 @@ def lookback_windows(g: Given):
     SELECT o.site, horizon, count(*) AS n_samples, 24::BIGINT AS lookback_steps, min(o.step) AS first_origin,
            max(o.step) AS last_origin, min(l.step) AS first_target, max(l.step) AS last_target,
            avg(l.daylight::INT) AS daylight_fraction
-    FROM (SELECT *, row_number() OVER ({W}) AS rn FROM sky) o
-    CROSS JOIN horizons JOIN sky l ON l.site = o.site AND l.step = o.step + h
+    FROM (SELECT *, row_number() OVER ({W2}) AS rn FROM sky) o
+    CROSS JOIN horizons JOIN sky l ON l.site = o.site AND l.split = o.split AND l.step = o.step + h
     WHERE rn >= 24 GROUP BY o.site, horizon""", doubles="daylight_fraction")
 def window_description(g: Given):
-    rows = g.sky().select("site", "step", "pv_power_w", "daylight")
+    rows = g.sky().where("split IS NOT NULL").select("site", "split", "step", "pv_power_w",
+                                                     "daylight")
     return supervise.describe_windows(supervise.build_windows(
-        rows, ["pv_power_w"], label_columns=["daylight"]))
+        rows, ["pv_power_w"], keys=["site", "split"], label_columns=["daylight"]))
 
 
 @query("flattened_windows", f"""
-    SELECT site, step, lag(pv_power_w, 5) OVER w AS "pv_power_w@t-5", lag(ghi, 5) OVER w AS "ghi@t-5",
+    SELECT site, step, lag(pv_power_w, 23) OVER w AS "pv_power_w@t-23", lag(ghi, 23) OVER w AS "ghi@t-23",
            pv_power_w AS "pv_power_w@t", ghi AS "ghi@t"
-    FROM sky WINDOW w AS ({W}) QUALIFY row_number() OVER w >= 6""")
+    FROM sky WHERE split IS NOT NULL WINDOW w AS ({W2}) QUALIFY row_number() OVER w >= 24""")
 def flattened_windows(g: Given):
-    flat = supervise.flatten_windows(g.sky().select("site", "step", "pv_power_w", "ghi"),
-                                     ["pv_power_w", "ghi"], lookback=6)
+    rows = g.sky().where("split IS NOT NULL").select("site", "split", "step", "pv_power_w", "ghi")
+    flat = supervise.flatten_windows(rows, ["pv_power_w", "ghi"], keys=["site", "split"])
     return flat.select("site", "step", *[F.col(f"`{c}`") for c in (
-        "pv_power_w@t-5", "ghi@t-5", "pv_power_w@t", "ghi@t")])
+        "pv_power_w@t-23", "ghi@t-23", "pv_power_w@t", "ghi@t")])
 
 

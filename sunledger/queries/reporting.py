@@ -214,25 +214,25 @@ TABLES["matrix"] = f"""
            'within_site_chronological' AS protocol, model, horizon, 'click' AS site,
            'all_daylight' AS weather_regime, 'all' AS season, feature_spec AS feature_regime, seed,
            n_test AS n_observations, rmse, skill_vs_persistence_rmse AS skill_vs_persistence,
-           train_seconds AS train_time_seconds, 'executed' AS status
+           train_seconds AS train_time_seconds, 'executed' AS status, 'registry' AS source
     FROM registry
     UNION ALL
     SELECT concat_ws('_', 'S', site, model, stratum_type, replace(stratum, ' ', '_'), horizon), 'RQ3',
            'D_regimes/G_seasonal', 'within_site_chronological', model, horizon, site,
            CASE WHEN stratum_type = 'regime' THEN stratum ELSE 'all_daylight' END,
            CASE WHEN stratum_type = 'season' THEN stratum ELSE 'all' END, 'full', 42, n, rmse,
-           skill_vs_persistence_rmse, NULL, 'executed'
+           skill_vs_persistence_rmse, NULL, 'executed', 'stratified'
     FROM ({stratified_sql(['regime', 'season'])})
     UNION ALL
-    SELECT concat('K_', site, '_', model, '_a', alpha::VARCHAR, '_', scope), 'RQ7', 'K_uncertainty', NULL,
-           model, horizon, site, NULL, 'all', 'full', NULL, n, NULL, NULL, NULL, 'executed'
+    SELECT concat('K_', site, '_', model, '_a', alpha::VARCHAR, '_', scope, '_', horizon), 'RQ7', 'K_uncertainty', NULL,
+           model, horizon, site, NULL, 'all', 'full', NULL, n, NULL, NULL, NULL, 'executed', 'coverage'
     FROM (SELECT site, model, horizon, alpha, scope, count(*) AS n
           FROM intervals, LATERAL (SELECT 'evaluation_all_steps' AS scope
                                    UNION ALL SELECT 'evaluation_daylight' WHERE daylight) GROUP BY ALL)
     UNION ALL
     SELECT concat_ws('_', 'J', protocol, model, horizon, replace(test_site, ' ', '_')), 'RQ6', 'J_cross_site',
            protocol, model, horizon, test_site, 'all_daylight', 'all', 'full', NULL, n, rmse,
-           skill_vs_persistence_rmse, NULL, 'executed'
+           skill_vs_persistence_rmse, NULL, 'executed', 'cross_site'
     FROM transfer_scored"""
 
 
@@ -303,7 +303,7 @@ def _matrix(g: Given):
 
 MATRIX = ["experiment_id", "research_question", "experiment_group", "protocol", "model", "horizon",
           "site", "weather_regime", "season", "feature_regime", "seed", "n_observations", "rmse",
-          "skill_vs_persistence", "train_time_seconds", "status"]
+          "skill_vs_persistence", "train_time_seconds", "status", "source"]
 
 
 @query("result_matrix", f"SELECT {', '.join(MATRIX)} FROM matrix",

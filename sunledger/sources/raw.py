@@ -24,8 +24,11 @@ def file_stem(path: Column) -> Column:
 
 
 def scan_power_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All stations' power files in one scan; the site is a ``site=`` folder or the file name."""
-    files = spark.read.schema(POWER_CSV).option("header", True).csv(path)
+    """All stations' power files in one scan; the site is a ``site=`` folder or the file name.
+
+    A file whose header names other columns fails the scan; ``header_issues`` lists such files.
+    """
+    files = spark.read.schema(POWER_CSV).option("header", True).option("enforceSchema", False).csv(path)
     site = F.col("site") if "site" in files.columns else file_stem(F.col("_metadata.file_name"))
     return (files
             .select(site.cast("string").alias("site"),
@@ -33,6 +36,32 @@ def scan_power_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
                     parse_time(F.col("Time")).alias("Time")))
 
 
+def headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, header``: the first line of every file, from the block that starts it."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id()
+        .alias("at"), F.col("_metadata.file_block_start").alias("start"))
+    return lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+
+
+def header_issues(spark: SparkSession, path: str | list[str],
+                  expected: Sequence[str]) -> DataFrame:
+    """Errors for expected columns that a file lacks, and for those in another place."""
+    names = F.transform(F.split("header", ","), lambda c: F.lower(F.trim(c, F.lit(' "\r\ufeff'))))
+    wanted = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(i).alias("place"))
+                       for i, c in enumerate(expected, start=1)])
+    found = headers(spark, path).select("file", names.alias("names"), F.explode(wanted).alias("w"))
+    place = F.array_position("names", F.lower("w.name"))
+    wrong = found.withColumn("place", place).where(F.col("place") != F.col("w.place"))
+    absent = F.col("place") == 0
+    return wrong.select(
+        F.lit("error").alias("severity"), F.concat(F.lit("loader/"), file_stem(F.col("file")))
+        .alias("stage"),
+        F.when(absent, "required_column").otherwise("column_position").alias("check"),
+        F.concat(F.lit("column "), "w.name", F.when(absent, F.lit(" is not in the header")).otherwise(
+            F.concat(F.lit(" is column "), F.col("place").cast("string")))).alias("message"))
+
+
 def power_series(raw: DataFrame) -> DataFrame:
     """(site, Time, pv_power_w) with duplicate stamps averaged; unparsed stamps are left out
     here and reported by the checks on the raw table."""

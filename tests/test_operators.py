@@ -431,3 +431,62 @@ def test_largest_gap_is_a_run_length(spark):
     assert (r.n_expected, r.n_missing, r.largest_gap_steps) == (9001, 8996, 8993)
     s = validate.spacing_checks(df).first()
     assert (s.modal_steps, s.n_irregular, s.resolution_mismatch) == (1, 2, False)
+
+
+def test_tail_probabilities_keep_their_digits(spark):
+    from sunledger.functions.stats import two_sided_p
+    points = [0.0, 0.3, -1.0, 1.96, 2.79, 2.8, 2.81, -5.0, 9.0, 20.0, 37.0]
+    df = spark.createDataFrame([(z,) for z in points] + [(None,)], "z double")
+    got = {r["z"]: r["p"] for r in df.select("z", two_sided_p(F.col("z")).alias("p")).collect()}
+    assert got.pop(None) is None
+    for z, p in got.items():
+        assert p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=1e-10)
+
+
+def test_gap_map_has_every_length(spark):
+    from sunledger.operators import gaps
+    histogram = spark.createDataFrame([("a", k, 3) for k in range(1, 60)],
+                                      "site string, length long, n_gaps long")
+    row = gaps.gap_length_map(histogram).first()
+    assert row["n_gaps"] == 177 and row["histogram"] == {k: 3 for k in range(1, 60)}
+
+
+def test_short_runs_keep_their_intervals(spark):
+    from sunledger.operators import conformal
+    rows = [("a", "m", "1h", step, float(step % 7), 3.0, True) for step in range(120)]
+    df = spark.createDataFrame(
+        rows, "site string, model string, horizon string, step long, actual double, "
+              "predicted double, daylight boolean")
+    out = conformal.coverage_table(df, days=0.5).collect()
+    assert out and all(r["under_sampled"] and r["interval_half_width_w"] == 3.0 for r in out)
+
+
+def test_matrix_has_all_columns_and_unique_coverage_ids(spark):
+    from sunledger.operators import tables
+    from sunledger.schema import MATRIX_COLUMNS
+    coverage = spark.createDataFrame(
+        [("a", "m", h, 0.1, "evaluation_daylight", 5) for h in ("1h", "6h")],
+        "site string, model string, horizon string, alpha double, scope string, n long")
+    matrix = tables.build_matrix([tables.matrix_from_coverage(coverage)])
+    assert matrix.columns == MATRIX_COLUMNS and "void" not in dict(matrix.dtypes).values()
+    assert tables.repeated_ids(matrix).count() == 0
+
+
+def test_windows_end_at_the_split(spark):
+    from sunledger.operators import supervise
+    df = spark.range(40).select(F.lit("a").alias("site"), F.col("id").alias("step"), F.when(
+        F.col("id") < 20, "train").otherwise("test").alias("split"),
+        F.col("id").cast("double").alias("v"))
+    out = supervise.build_windows(df, ["v"], "v", {"x": 4}, 5, ["site", "split"], chunk_steps=6)
+    rows = out.collect()
+    assert sorted(r["step"] for r in rows) == [*range(4, 16), *range(24, 36)]
+    assert all([w["v"] for w in r["window"]] == [float(s) for s in range(r["step"] - 4, r["step"] + 1)]
+               and r["target"] == r["step"] + 4 for r in rows)
+
+
+def test_validation_error_says_how_many_are_left_out(spark):
+    from sunledger.operators import validate
+    issues = spark.createDataFrame([("error", "s", "c", f"m{i}") for i in range(25)],
+                                   "severity string, stage string, check string, message string")
+    with pytest.raises(ValueError, match="and 5 more"):
+        validate.raise_on_errors(issues)

@@ -112,3 +112,62 @@ def test_once_keeps_filters_off_the_expression(spark):
     assert sorted(r.id for r in df.collect()) == [5, 6, 7, 8, 9]
 
 
+
+
+def test_narrow_values_spread_over_buckets(spark):
+    df = spark.range(1_000_000).select(
+        (1000 + F.col("id") / 1_000_000).alias("wide"), (F.col("id") / 1e9).alias("small"))
+    got = df.select(F.count_distinct(ranks.value_bucket(F.col("wide"))).alias("wide"),
+                    F.count_distinct(ranks.value_bucket(F.col("small"))).alias("small")).first()
+    assert got["wide"] > 1000 and got["small"] > 100_000
+
+
+def test_buckets_never_fall(spark):
+    rng = random.Random(1)
+    values = sorted({rng.choice((-1, 1)) * 10 ** rng.uniform(-14, 300) for _ in range(3000)} | {0.0})
+    df = spark.createDataFrame(list(enumerate(values)), "i long, v double")
+    found = [r[0] for r in df.orderBy("i").select(ranks.value_bucket(F.col("v"))).collect()]
+    assert found == sorted(found)
+
+
+def test_ranks_of_a_hot_narrow_group_and_of_null_keys(spark):
+    rng = np.random.default_rng(5)
+    groups = {"hot": 1000 + rng.random(4000), None: np.round(rng.normal(size=300), 1),
+              "odd": np.array([-5.0, -4.0, 1.0, 2.0, 3.0])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs]
+    rows += [("odd", float("nan")), ("odd", float("inf")), ("odd", None)]
+    df = spark.createDataFrame(rows, "site string, v double").repartition(7)
+    got = {r["site"]: r for r in ranks.quantiles(df, ["site"], "v", {"q": 0.3, "m": 0.5}).collect()}
+    assert set(got) == set(groups)
+    for site, values in groups.items():
+        assert got[site]["n"] == len(values)
+        assert got[site]["q"] == pytest.approx(np.quantile(values, 0.3), rel=1e-12)
+        assert got[site]["m"] == pytest.approx(np.quantile(values, 0.5), rel=1e-12)
+
+
+def test_rows_with_null_keys_stay(spark):
+    rows = [("a", 1, 1.0), (None, 1, 2.0), (None, 3, None)]
+    df = spark.createDataFrame(rows, "site string, step long, v double")
+    carried = chunks.carry(df, ["site"], "step", {"last": F.col("v")}, chunk_steps=2)
+    assert carried.columns == ["site", "step", "v", "last"]
+    assert {(r["site"], r["step"], r["last"]) for r in carried.collect()} == {
+        ("a", 1, 1.0), (None, 1, 2.0), (None, 3, 2.0)}
+    summed = chunks.running_sum(df, ["site"], "step", {"s": F.col("v")}, chunk_steps=2)
+    assert {(r["site"], r["step"], r["s"]) for r in summed.collect()} == {
+        ("a", 1, 1.0), (None, 1, 2.0), (None, 3, 2.0)}
+    dense = chunks.densify(df, ["site"], "step", chunk_steps=2)
+    assert {(r["site"], r["step"], r["v"]) for r in dense.collect()} == {
+        ("a", 1, 1.0), (None, 1, 2.0), (None, 2, None), (None, 3, None)}
+
+
+def test_two_levels_of_chunks(spark):
+    """Chunks of two steps cut again into chunks of two: many summaries of summaries."""
+    df = spark.range(200).select(F.lit("s").alias("site"), "id",
+                                 F.when(F.col("id") % 37 == 5, F.col("id")).alias("v"))
+    out = chunks.carry(df, ["site"], "id", {"p": F.col("v")}, {"n": F.col("v")}, chunk_steps=2)
+    for r in out.collect():
+        past = [i for i in range(200) if i % 37 == 5 and i <= r["id"]]
+        later = [i for i in range(200) if i % 37 == 5 and i >= r["id"]]
+        assert (r["p"], r["n"]) == (past[-1] if past else None, later[0] if later else None)
+    total = chunks.running_sum(df, ["site"], "id", {"t": F.col("id")}, chunk_steps=2)
+    assert all(r["t"] == r["id"] * (r["id"] + 1) // 2 for r in total.collect())

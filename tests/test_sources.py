@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from sunledger.sources import raw, results
@@ -119,3 +120,16 @@ def test_streamed_rollup_equals_batch(spark, tmp_path):
     got = {(r.site, r.Time): r.x for r in spark.table("bins").collect()}
     want = {(r.site, r.Time): r.x for r in batch.collect()}
     assert got and all(want[k] == v for k, v in got.items()) and len(got) >= len(want) - 2
+
+
+def test_a_foreign_header_is_an_issue_and_no_reading(spark, tmp_path):
+    from sunledger.sources import raw
+    (tmp_path / "A.csv").write_text("Time,power(W)\n2024-01-01 00:00:00,5\n")
+    (tmp_path / "B.csv").write_text("Time,other\n2024-01-01 00:00:00,7\n")
+    (tmp_path / "C.csv").write_text("power(W),Time\n7,2024-01-01 00:00:00\n")
+    found = raw.header_issues(spark, str(tmp_path), ["Time", "power(W)"])
+    assert {(r["stage"], r["check"]) for r in found.collect()} == {
+        ("loader/B", "required_column"), ("loader/C", "column_position")}
+    assert raw.scan_power_raw(spark, str(tmp_path / "A.csv")).count() == 1
+    with pytest.raises(Exception, match="header"):
+        raw.scan_power_raw(spark, str(tmp_path / "B.csv")).collect()

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -38,12 +39,12 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "sec
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "xxxx", "****", "none",
                 "null", "true", "false", "todo", "redacted", "undefined")
 
-_TARGET = re.compile(r"""(?<![\w$.-])([A-Za-z_$][\w$.-]{0,100})["'\]]{0,2}[ \t]{0,8}(?::=|=>|[:=])[ \t]{0,8}""",
+_TARGET = re.compile(r"""(?<![\w$.-])([A-Za-z_$][\w$.-]*+)["'\]]{0,2}[ \t]*+(?::=|=>|[:=])[ \t]*+""",
                      re.ASCII)
-_TERM = re.compile(r'"((?:[^"\\\n]|\\.){0,4096})"' r"|'((?:[^'\\\n]|\\.){0,4096})'"
-                   r"|\$\{?([A-Za-z_]\w{0,100})\}?|([A-Za-z0-9+/_.=-]{1,4096})", re.ASCII)
-_JOIN = re.compile(r"[ \t]{0,8}[+.][ \t]{0,8}(?=[\"'$A-Za-z_])")
-_USE = re.compile(r"\$\{?([A-Za-z_]\w{0,100})\}?", re.ASCII)
+_TERM = re.compile(r'"((?:[^"\\\n]|\\.)*+)"' r"|'((?:[^'\\\n]|\\.)*+)'"
+                   r"|\$\{?([A-Za-z_]\w*+)\}?|([A-Za-z0-9+/_.=-]++)", re.ASCII)
+_JOIN = re.compile(r"[ \t]*+[+.][ \t]*+(?=[\"'$A-Za-z_])")
+_USE = re.compile(r"\$\{?([A-Za-z_]\w*+)\}?", re.ASCII)
 _PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
 
 
@@ -59,41 +60,71 @@ def literal_weight(value: str) -> float:
     low = value.lower()
     if len(value) < 8 or " " in value or any(p in low for p in PLACEHOLDERS):
         return 0.0
-    counts = [value.count(c) for c in set(value)]
-    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts)
+    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in Counter(value).values())
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, entropy / 4.0) * (0.4 if kinds == 1 else 0.8 if kinds == 2 else 1.0)
 
 
+class Bindings:
+    """Names and the values they were bound to, as a graph: a value has its own literals and
+    the values it was built from. Nothing is copied along a chain of assignments."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.names: dict[str, int] = {}
+        self.literals: list[list[tuple[int, int]]] = []
+        self.parts: list[list[int]] = []
+        self.reached: list[float] = []  # greatest weight that a value was visited with
+        self.found: dict[tuple[int, int], float] = {}
+
+    def bind(self, name: str, literals: list[tuple[int, int]], parts: list[int]) -> int:
+        self.literals.append(literals)
+        self.parts.append(parts)
+        self.reached.append(0.0)
+        self.names[name] = at = len(self.parts) - 1
+        return at
+
+    def report(self, value: int, weight: float, threshold: float) -> None:
+        """Score every literal behind a value. Weights are few and a value is visited again
+        for a greater one only, so the work is linear in the assignments of a text."""
+        todo = [value]
+        while todo:
+            at = todo.pop()
+            if self.reached[at] >= weight:
+                continue
+            self.reached[at] = weight
+            todo += self.parts[at]
+            for span in self.literals[at]:
+                score = weight * literal_weight(self.text[span[0]:span[1]])
+                if score >= threshold and score > self.found.get(span, 0.0):
+                    self.found[span] = score
+
+
 def sensitive_literals(text: str, threshold: float = 0.5) -> dict[tuple[int, int], float]:
     """Spans of literals that reach a sensitive name, with their scores."""
-    bound: dict[str, list[tuple[int, int]]] = {}
-    found: dict[tuple[int, int], float] = {}
+    bound = Bindings(text)
     at = 0
     while target := _TARGET.search(text, at):
-        at, pieces = target.end(), []
+        at, literals, used = target.end(), [], []
         while term := _TERM.match(text, at):
             at = term.end()
             double, single, reference, bare = term.groups()
-            if reference or bare in bound:
-                pieces += bound.get(reference or bare, [])
+            if reference or bare in bound.names:
+                used.append(reference or bare)
             elif bare is not None:
-                pieces.append(term.span(4))
+                literals.append(term.span(4))
             else:
-                pieces.append(term.span(1 if double is not None else 2))
-                for use in _USE.finditer(double or single or ""):
-                    pieces += bound.get(use[1], [])
+                literals.append(term.span(1 if double is not None else 2))
+                used += [use[1] for use in _USE.finditer(double or single or "")]
             if not (more := _JOIN.match(text, at)):
                 break
             at = more.end()
-        if pieces:
-            bound[target[1]] = pieces = pieces[:64]
-            weight = name_weight(target[1])
-            for span in pieces if weight else ():
-                score = weight * literal_weight(text[span[0]:span[1]])
-                if score >= threshold and score > found.get(span, 0.0):
-                    found[span] = score
-    return found
+        parts = [bound.names[name] for name in used if name in bound.names]
+        if literals or parts:
+            value = bound.bind(target[1], literals, parts)
+            if weight := name_weight(target[1]):
+                bound.report(value, weight, threshold)
+    return bound.found
 
 
 def spans_of(text: str) -> list[tuple[int, int, str, float]]:

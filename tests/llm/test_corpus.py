@@ -222,6 +222,18 @@ def test_secrets_follow_constants():
     assert found == {"q8Zr41xx"}
 
 
+def test_secrets_without_limits_on_lengths_or_chains():
+    """Long names and literals, a long chain of assignments, and linear time on odd texts."""
+    chain = 'a = "Zx9$kQ27LmPq"\n' + "".join(f'a = a + "w{i}"\n' for i in range(5000))
+    assert (5, 17) in secrets.sensitive_literals(chain + "db_password = a\n")
+    literal = "Ab9$" * 3000
+    text = f'my_{"x" * 300}_secret_key {" " * 50}= "{literal}"'
+    assert [text[a:b] for a, b in secrets.sensitive_literals(text)] == [literal]
+    for odd in ("a" * 200_000, 'a="' * 20_000, " " * 200_000, ("x" + " " * 1000) * 200):
+        secrets.sensitive_literals(odd)
+
+
+
 @pytest.mark.parametrize("block_words", [2_000_000, 15])
 def test_decontamination_against_all_windows(spark, docs, block_words):
     word = re.compile(rb"[0-9a-z\x80-\xff]+")

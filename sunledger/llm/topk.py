@@ -7,6 +7,11 @@ bound of a block already rules out every vector whose upper bound is smaller; th
 over all blocks rules out more. Exact vectors are read for the rest alone, best bound first,
 until no bound left can reach the k-th exact score.
 
+Copies do not pile up: of equal vectors only the k + 1 smallest ids can be among the k best of
+any query (one of them may be the query itself), so only they enter the file. A query with many
+candidates reads them in several groups, each until its own k best are certain, and the groups'
+results are ranked together.
+
 * Vectors that are null, or hold a null or non-finite component, and rows without an id take
   no part. Of rows that share an id the smallest vector is taken. Vectors are compared with
   those of their own length. Equal scores are ordered by id. Fewer candidates than k give all.
@@ -33,6 +38,12 @@ def whole_components(vectors: DataFrame, scale: int = 256) -> DataFrame:
                        .alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
+def without_copies(vectors: DataFrame, most: int) -> DataFrame:
+    """Of equal vectors the ``most`` smallest ids; each map task keeps no more than that."""
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    return vectors.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
+
+
 def slices(vectors: DataFrame, bits: int) -> DataFrame:
     """Per length and dimension, where the cells start and how wide they are."""
     spread = (vectors.select(F.size("v").alias("dim"), F.posexplode("v").alias("at", "c"))
@@ -90,8 +101,8 @@ def _bounded(k: int):
 def candidates(vectors: DataFrame, queries: Column, k: int, bits: int = BITS,
                query_rows: int = 2048, cell_rows: int = 4096) -> DataFrame:
     """``query_id, vec_id, lower, upper`` of every vector that the bounds do not rule out."""
-    file = kept(approximations(vectors, slices(vectors, bits)), "cells")
-    asked = file.where(queries)
+    file = kept(approximations(without_copies(vectors, k + 1), slices(vectors, bits)), "cells")
+    asked = vectors.where(queries).withColumn("dim", F.size("v"))
     n_asked, n = asked.count(), file.count()
     query_blocks, cell_blocks = -(-n_asked // query_rows) or 1, -(-n // cell_rows) or 1
 
@@ -126,30 +137,36 @@ def _until_certain(k: int):
             best = sorted([*best, (-sum(a * b for a, b in zip(q, v)), int(vec))])[:k]
         query = group.column("query_id")[0].as_py()
         return record_batch({
-            "query_id": [query] * len(best), "rank": list(range(1, len(best) + 1)),
-            "vec_id": [v for _, v in best], "score": [-s for s, _ in best]}, _RANKED)
+            "query_id": [query] * len(best), "vec_id": [v for _, v in best],
+            "score": [-s for s, _ in best]}, _SCORED)
     return lambda group: pa.Table.from_batches([read(group)])
 
 
-_RANKED = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()),
-                     ("score", pa.int64())])
+_SCORED = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, **blocks: int) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, rows_per_read: int = 2_000,
+          **blocks: int) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best inner products of each query."""
     whole = kept(whole_components(vectors), "vectors")
     near = kept(candidates(whole, queries, k, **blocks), "candidates")
     best = Window.partitionBy("query_id").orderBy(F.desc("lower"), "vec_id")
     floor = (near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == k)
              .select("query_id", F.col("lower").alias("_floor")))
-    near = (near.join(floor, "query_id", "left")
+    reads = near.groupBy("query_id").agg(
+        F.ceil(F.count(F.lit(1)) / rows_per_read).alias("_reads"))
+    near = (near.join(reads.join(floor, "query_id", "left"), "query_id")
             .where(F.col("_floor").isNull() | (F.col("upper") >= F.col("_floor")))
-            .select("query_id", "vec_id", "upper"))
+            .select("query_id", "vec_id", "upper",
+                    F.pmod(F.xxhash64("vec_id"), F.col("_reads")).alias("_read")))
     exact = (near.join(whole, "vec_id")
              .join(whole.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")),
                    "query_id"))
-    return exact.groupBy("query_id").applyInArrow(
-        _until_certain(k), "query_id bigint, rank int, vec_id bigint, score bigint")
+    scored = exact.groupBy("query_id", "_read").applyInArrow(
+        _until_certain(k), "query_id bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return (scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score"))
 
 
 def op8_exact_topk(spark, sf_dir):

@@ -264,11 +264,12 @@ def test_decontamination_against_all_windows(spark, docs, block_words):
     assert clean.columns == docs.columns and 0 < clean.count() < len(ROWS)
 
 
-@pytest.mark.parametrize("blocks", [{}, {"query_rows": 2, "cell_rows": 7}])
+@pytest.mark.parametrize("blocks", [{}, {"query_rows": 2, "cell_rows": 7, "rows_per_read": 3}])
 def test_top_k_against_all_products(spark, blocks):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6)]) for i in range(90)]
     rows[7] = (7, rows[50][1])
+    rows += [(i, rows[0][1]) for i in range(100, 160)]
     rows += [(200, None), (201, [1.0, None]), (202, [float("nan")] * 6), (203, []),
              (None, [0.1] * 6), (50, [9.0] * 6), (250, [1.0, 2.0]), (251, [3.0, 1.0])]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")

@@ -123,29 +123,29 @@ def candidates(vectors: DataFrame, queries: Column, k: int, bits: int = BITS,
 
 def _until_certain(k: int):
     """Read exact vectors by falling upper bound and stop when the k-th score is certain."""
-    def read(group: pa.Table) -> pa.Table:
+    def read(key, group: pa.Table, asked: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return _SCORED.empty_table()
         order = np.lexsort((group.column("vec_id").to_numpy(), -group.column("upper").to_numpy()))
         upper = group.column("upper").to_numpy()[order]
         ids = group.column("vec_id").to_numpy()[order]
-        asked, vectors = group.column("q"), group.column("v")
-        q = [int(c) for c in asked[0].as_py()]
+        q, vectors = asked.column("q")[0].as_py(), group.column("v")
         best: list[tuple[int, int]] = []
         for at, (bound, vec) in enumerate(zip(upper, ids)):
             if len(best) == k and bound < -best[-1][0]:
                 break
             v = vectors[int(order[at])].as_py()
             best = sorted([*best, (-sum(a * b for a, b in zip(q, v)), int(vec))])[:k]
-        query = group.column("query_id")[0].as_py()
-        return record_batch({
-            "query_id": [query] * len(best), "vec_id": [v for _, v in best],
-            "score": [-s for s, _ in best]}, _SCORED)
-    return lambda group: pa.Table.from_batches([read(group)])
+        return pa.Table.from_batches([record_batch({
+            "query_id": [key[0].as_py()] * len(best), "vec_id": [v for _, v in best],
+            "score": [-s for s, _ in best]}, _SCORED)])
+    return read
 
 
 _SCORED = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, rows_per_read: int = 2_000,
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, rows_per_read: int = 500,
           **blocks: int) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best inner products of each query."""
     whole = kept(whole_components(vectors), "vectors")
@@ -155,15 +155,19 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, rows_per_read: int =
              .select("query_id", F.col("lower").alias("_floor")))
     reads = near.groupBy("query_id").agg(
         F.ceil(F.count(F.lit(1)) / rows_per_read).alias("_reads"))
-    near = (near.join(reads.join(floor, "query_id", "left"), "query_id")
+    reads = kept(reads.join(floor, "query_id", "left"), "reads")
+    near = (near.join(reads, "query_id")
             .where(F.col("_floor").isNull() | (F.col("upper") >= F.col("_floor")))
             .select("query_id", "vec_id", "upper",
                     F.pmod(F.xxhash64("vec_id"), F.col("_reads")).alias("_read")))
-    exact = (near.join(whole, "vec_id")
-             .join(whole.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")),
-                   "query_id"))
-    scored = exact.groupBy("query_id", "_read").applyInArrow(
-        _until_certain(k), "query_id bigint, vec_id bigint, score bigint")
+    asked = whole.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).join(
+        reads.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_reads") - 1))
+                     .alias("_read")), "query_id")
+    # the vector of a query travels once for each of its reads
+    keys = ("query_id", "_read")
+    scored = near.join(whole, "vec_id").groupBy(*keys).cogroup(
+        asked.groupBy(*keys)).applyInArrow(
+            _until_certain(k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

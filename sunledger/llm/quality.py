@@ -57,20 +57,38 @@ def line_features(line: bytes, seen_before: bool) -> list[float]:
             float(short > 0.25), float(line[-1:] in (b".", b"!", b"?")), float(seen_before)]
 
 
-def document_lines(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every line with those of both neighbours, and the lengths."""
-    lines = (text or b"").split(b"\n")
+def own_features(lines: list[bytes], block: int = 10_000):
+    """Features of every line on its own, a block of lines at a time."""
     seen: set[bytes] = set()
-    own = []
-    for line in lines:
-        own.append(line_features(line.strip(_BLANK), line in seen))
-        seen.add(line)
-    own = np.array(own)
+    for at in range(0, len(lines), block):
+        own = []
+        for line in lines[at:at + block]:
+            own.append(line_features(line.strip(_BLANK), line in seen))
+            seen.add(line)
+        yield np.array(own)
+
+
+def document_lines(text: bytes | None) -> np.ndarray:
+    """Features of every line with those of both neighbours."""
+    own = np.vstack(list(own_features((text or b"").split(b"\n"))))
     edge = np.zeros((1, own.shape[1]))
-    border = np.zeros((len(lines), 3))
+    border = np.zeros((len(own), 3))
     border[:, 0], border[0, 1], border[-1, 2] = 1.0, 1.0, 1.0
-    full = np.hstack([border, own, np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge])])
-    return full, np.array([len(x) + 1.0 for x in lines])
+    return np.hstack([border, own, np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge])])
+
+
+def line_scores(text: bytes | None, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``document_lines(text) @ weights`` without the features of all lines at once, and the
+    lengths of the lines."""
+    lines = (text or b"").split(b"\n")
+    border, by_place = weights[:3], weights[3:].reshape(3, -1).T
+    own, ahead, behind = np.vstack([f @ by_place for f in own_features(lines)]).T
+    scores = own + border[0]
+    scores[0] += border[1]
+    scores[-1] += border[2]
+    scores[1:] += ahead[:-1]
+    scores[:-1] += behind[1:]
+    return scores, np.array([len(x) + 1.0 for x in lines])
 
 
 class Chains:
@@ -81,8 +99,11 @@ class Chains:
         starts = np.cumsum(sizes) - sizes
         order = np.argsort(-sizes, kind="stable")
         self.n, self.starts, sizes = int(sizes.sum()), starts[order], sizes[order]
-        active = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(int(sizes.max()))]
-        self.steps = [self.starts[:a] + t for t, a in enumerate(active)]
+        self.active = np.searchsorted(-sizes, -np.arange(int(sizes.max())), side="left")
+
+    def place(self, t: int) -> np.ndarray:
+        """The lines at place ``t`` of their documents, longest document first."""
+        return self.starts[:self.active[t]] + t
 
     def marginals(self, unary: np.ndarray, step: np.ndarray):
         """log Z, probability of good per line, expected counts of label pairs.
@@ -92,20 +113,24 @@ class Chains:
         """
         score = np.stack([np.zeros(self.n), unary], 1)
         ahead, back = score.copy(), np.zeros((self.n, 2))
-        for before, here in zip(self.steps, self.steps[1:]):
-            a = ahead[before[:len(here)]]
+        last = len(self.active) - 1
+        for t in range(last):
+            here = self.place(t + 1)
+            a = ahead[here - 1]
             ahead[here] += np.logaddexp(a[:, :1] + step[0], a[:, 1:] + step[1])
         pairs = np.zeros((2, 2))
         total = np.empty(len(self.starts))
         log_z = np.zeros(self.n)
-        for t, here in enumerate(self.steps):
-            ends = here[len(self.steps[t + 1]) if t + 1 < len(self.steps) else 0:]
-            total[len(here) - len(ends):len(here)] = np.logaddexp(*ahead[ends].T)
-        for t in range(len(self.steps) - 1, -1, -1):
-            here = self.steps[t]
+        for t in range(last + 1):
+            here = self.place(t)
+            longer = self.active[t + 1] if t < last else 0
+            if longer < len(here):
+                total[longer:len(here)] = np.logaddexp(*ahead[here[longer:]].T)
+        for t in range(last, -1, -1):
+            here = self.place(t)
             log_z[here] = total[:len(here)]
-            if t + 1 < len(self.steps):
-                after = self.steps[t + 1]
+            if t < last:
+                after = self.place(t + 1)
                 now = here[:len(after)]
                 b = (back[after] + score[after])[:, None, :] + step
                 back[now] = np.logaddexp(b[:, :, 0], b[:, :, 1])
@@ -149,7 +174,7 @@ def minimise(f, x: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndarray:
 
 def fit_field(texts: list[bytes], labels: list[int], ridge: float = 0.1) -> np.ndarray:
     """Line weights followed by the four scores of a label after a label."""
-    docs = [document_lines(t)[0] for t in texts]
+    docs = [document_lines(t) for t in texts]
     lines, chains = np.vstack(docs), Chains([len(d) for d in docs])
     good = np.repeat(np.array(labels, float), [len(d) for d in docs])
     counts = np.zeros((2, 2))
@@ -180,19 +205,33 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, shards: int =
     return np.mean([r["weights"] for r in fitted], axis=0) if fitted else np.zeros(0)
 
 
-def score_texts(texts: list[bytes | None], weights: np.ndarray) -> list[float]:
-    if not texts:
-        return []
+def score_texts(texts: list[bytes | None], weights: np.ndarray,
+                lines_at_once: int = 100_000) -> list[float]:
+    """Documents are walked together until they hold ``lines_at_once`` lines."""
     if not len(weights):
         return [0.5] * len(texts)
-    docs = [document_lines(t) for t in texts]
-    sizes = [len(d) for d, _ in docs]
-    unary = np.vstack([d for d, _ in docs]) @ weights[:-4]
-    _, good, _ = Chains(sizes).marginals(unary, weights[-4:].reshape(2, 2))
-    lengths = np.concatenate([n for _, n in docs])
-    starts = np.cumsum(sizes) - sizes
-    mean = np.add.reduceat(good * lengths, starts) / np.add.reduceat(lengths, starts)
-    return np.clip(mean, 0.0, 1.0).tolist()
+    scores: list[float] = []
+    docs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def walk() -> None:
+        sizes = [len(d) for d, _ in docs]
+        unary, lengths = (np.concatenate(part) for part in zip(*docs))
+        _, good, _ = Chains(sizes).marginals(unary, weights[-4:].reshape(2, 2))
+        starts = np.cumsum(sizes) - sizes
+        mean = np.add.reduceat(good * lengths, starts) / np.add.reduceat(lengths, starts)
+        scores.extend(np.clip(mean, 0.0, 1.0).tolist())
+        docs.clear()
+
+    held = 0
+    for text in texts:
+        docs.append(line_scores(text, weights[:-4]))
+        held += len(docs[-1][0])
+        if held >= lines_at_once:
+            walk()
+            held = 0
+    if docs:
+        walk()
+    return scores
 
 
 def quality(docs: DataFrame, weights: np.ndarray) -> Column:

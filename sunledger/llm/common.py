@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import materialise, use_utc
 
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_ROWS = 500
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; Arrow batches are kept short because a text may be very long."""
     use_utc(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -63,6 +64,12 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def aside(df: DataFrame, *read: str) -> tuple[DataFrame, dict[str, str]]:
+    """Give the columns that are not ``read`` names that meet no other, and say which."""
+    names = {c: c if c.lower() in read else f"c{i}__" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def labelled(docs: DataFrame, labels: DataFrame, target: str, max_rows: int) -> DataFrame:
     """``text`` (bytes) and ``label`` of training rows, about ``max_rows`` at most.
 

@@ -21,7 +21,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import kept, raw, record_batch, table
 
@@ -195,28 +195,39 @@ def blocks_of(windows: DataFrame, block_words: int):
 RESULT = ("n_words", "hit_words", "item_ids")
 
 
-def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
-                 block_words: int = 2_000_000) -> DataFrame:
-    """All rows of ``docs`` with ``n_words``, ``hit_words`` (positions from 0 of the words
-    inside item windows) and ``item_ids`` (as strings, sorted)."""
-    carried = [c for c in docs.columns if c.lower() not in RESULT]
-    rows = docs.select(*carried, raw("text").alias("_text"),
+def _searched(docs: DataFrame, items: DataFrame, window: int, shingle: int, block_words: int
+              ) -> tuple[DataFrame, dict[str, Column]]:
+    """``docs`` with ``_hits`` and ``_items``, and how to get its own columns back. The text
+    goes through the tasks once, as bytes."""
+    named = {c: "_text" if c.lower() == "text" else f"c{i}__" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[(F.col(c).cast("binary") if n == "_text" else docs[c]).alias(n)
+                         for c, n in named.items()],
                        F.array().cast("array<int>").alias("_hits"),
                        F.array().cast("array<string>").alias("_items"))
     for windows, owners in blocks_of(item_windows(items, window), block_words):
         prefixes = Prefixes(windows, shingle)
         prefixes.rank(run_counts(docs, prefixes))
         rows = mark_block(rows, prefixes, owners)
-    cleaned = F.regexp_count(F.col("_text").cast("string"),
+    return rows, {c: F.col(n).cast(docs.schema[c].dataType).alias(c) for c, n in named.items()}
+
+
+def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
+                 block_words: int = 2_000_000) -> DataFrame:
+    """All rows of ``docs`` with ``n_words``, ``hit_words`` (positions from 0 of the words
+    inside item windows) and ``item_ids`` (as strings, sorted)."""
+    rows, own = _searched(docs, items, window, shingle, block_words)
+    n_words = F.regexp_count(F.coalesce(F.col("_text").cast("string"), F.lit("")),
                              F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    return rows.select(*carried, cleaned.cast("long").alias("n_words"),
-                       F.col("_hits").alias("hit_words"), F.col("_items").alias("item_ids"))
+    return rows.select(*[v for c, v in own.items() if c.lower() not in RESULT],
+                       n_words.cast("long").alias("n_words"), F.col("_hits").alias("hit_words"),
+                       F.col("_items").alias("item_ids"))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW,
+                    shingle: int = SHINGLE, block_words: int = 2_000_000) -> DataFrame:
     """Rows of ``docs`` that hold no item window; the columns stay as they are."""
-    found = find_windows(docs.withColumn("_kept", F.struct(*docs.columns)), items)
-    return found.where(F.size("hit_words") == 0).select("_kept.*")
+    rows, own = _searched(docs, items, window, shingle, block_words)
+    return rows.where(F.size("_hits") == 0).select(*own.values())
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, kept, table
+from .common import WORD, aside, kept, table, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 RESULT = ("size", "source_size", "target", "taken")
@@ -75,11 +75,15 @@ def targets(docs: DataFrame, weights: Sequence[float], max_epochs: int) -> DataF
 def mix(docs: DataFrame, size: Column | None = None, weights: Sequence[float] = WEIGHTS,
         max_epochs: int = 3, seed: int = 42, rows_per_range: int = 10_000) -> DataFrame:
     """All rows of ``docs`` with ``size, source_size, target, taken``."""
-    carried = [c for c in docs.columns if c.lower() not in RESULT]
+    counted = unused(docs, "_size")
     size = F.regexp_count("text", F.lit(WORD)) if size is None else size
+    rows, names = aside(docs.withColumn(counted, F.coalesce(size, F.lit(0)).cast("long")),
+                        "doc_id", "text", "source")
+    carried = [F.col(n).alias(c) for c, n in names.items()
+               if c.lower() not in RESULT and c != counted]
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11)
-    rows = docs.withColumns({
-        "size": F.coalesce(size, F.lit(0)).cast("long"), "_source": F.col("source"),
+    rows = rows.withColumns({
+        "size": F.col(names[counted]), "_source": F.col("source"),
         "_key": key, "_tie": F.xxhash64("text", F.lit(seed))})
     by_source = kept(targets(rows, weights, max_epochs), "targets")
     budget = F.least(F.col("source_size") * max_epochs, F.floor(F.col("target") + 0.5))

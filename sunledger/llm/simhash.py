@@ -225,8 +225,8 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> Da
     gone = found.where(F.col("component_id").isNotNull()
                        & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & F.xxhash64(
-        docs["text"]).eqNullSafe(F.col("_gone_th")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & F.xxhash64(
+        docs["text"]).eqNullSafe(gone["_gone_th"]), "left_anti")
 
 
 def op2_simhash(spark, sf_dir):

@@ -43,7 +43,8 @@ ROWS += [ROWS[1], ROWS[1], (None, PASSAGE, "en", "a", 1), (None, None, None, Non
 @pytest.fixture(scope="module")
 def docs(spark):
     frame = spark.createDataFrame(ROWS, SCHEMA)
-    for name in ("size", "taken", "n_words", "_dropped", "score", "spans", "th", "_verdict"):
+    for name in ("size", "taken", "n_words", "_dropped", "score", "spans", "th", "_verdict",
+                 "_gone_id", "_split", "_source", "_of", "_key", "_text", "_hits", "_kept"):
         frame = frame.withColumn(name, F.lit("clash"))
     return frame
 

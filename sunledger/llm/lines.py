@@ -8,9 +8,9 @@ number; the earliest stays.
 Lines within one edit share a variant: one of them unchanged and the other with one character
 deleted, or both with one deleted. Every variant is emitted as a hashed key and equal keys are
 joined. Half of a variant is untouched by the deletion, so its key is the hash of that half and
-its length with the exclusive-or of the hashes of the other half's characters: each different
-character of that half gives one variant, whatever the position it is deleted at. Equal variants
-have equal keys; candidates are verified with the edit distance. Variants are emitted only for
+its length with the sum of the hashes of the other half's characters (their multiset): each
+different character of that half gives one variant, whatever the position it is deleted at. Equal
+variants have equal keys; candidates are verified with the edit distance. Variants are emitted only for
 halves that two different lines share, which the variants of duplicates always do.
 
 Equal lines are reduced to one row before anything else, by hash and partial aggregation, so a
@@ -86,9 +86,11 @@ def _variants(texts: DataFrame) -> DataFrame:
     """``h1, h2, first, key``: hashed variants of lines that share a half."""
     n, line = F.col("n"), F.col("line")
 
+    def hashed(char: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(char), 32)  # 32 bits: sums of a text stay in 64
+
     def bag(chars: Column) -> Column:
-        return F.aggregate(chars, F.lit(0).cast("bigint"),
-                           lambda acc, c: acc.bitwiseXOR(F.xxhash64(c)))
+        return F.aggregate(chars, F.lit(0).cast("bigint"), lambda acc, c: acc + hashed(c))
 
     def variants(side: str, role: int) -> Column:
         length = n - role
@@ -105,7 +107,7 @@ def _variants(texts: DataFrame) -> DataFrame:
             row = F.array(F.struct(head.alias("head"), bag(chars).alias("all"),
                                    F.array_distinct(chars).alias("chars")))
             keys = F.flatten(F.transform(row, lambda r: F.transform(r["chars"], lambda c: F.xxhash64(
-                r["head"], r["all"].bitwiseXOR(F.xxhash64(c))))))
+                r["head"], r["all"] - hashed(c)))))
         return F.when(F.col(f"{side}{role}"), keys).otherwise(F.array().cast("array<bigint>"))
 
     every = F.concat(*[variants(side, role) for role in (0, 1) for side in ("front", "rear")])
@@ -146,21 +148,22 @@ def with_dropped(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     gone = duplicate_lines(docs.select("doc_id", "text"), min_chars).select(
         F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th"),
         F.col("dropped").alias("_gone_lines"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id"))
-                       & (F.xxhash64(docs["text"]) == F.col("_gone_th")), "left")
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"])
+                       & (F.xxhash64(docs["text"]) == gone["_gone_th"]), "left")
     return joined.select(*[docs[c] for c in docs.columns], F.coalesce(
-        "_gone_lines", F.array().cast("array<int>")).alias(name))
+        gone["_gone_lines"], F.array().cast("array<int>")).alias(name))
 
 
 def without_duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """All rows and columns of ``docs``; the text has lost its duplicate lines."""
     rows = with_dropped(docs, min_chars)
     gone = rows.columns[-1]
-    split = once(rows, {"_split": F.split("text", "\n", -1)})
+    parts = unused(rows, "_split")
+    split = once(rows, {parts: F.split("text", "\n", -1)})
     # positions that stay, then their lines: linear in the lines of a document
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col(gone))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     text = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(
-        F.transform(stay, lambda i: F.get("_split", i)), "\n"))
+        F.transform(stay, lambda i: F.get(parts, i)), "\n"))
     return split.select(*[text.alias(c) if c == "text" else c for c in docs.columns])
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..operators import features, regimes, resample, supervise
+from ..operators import features, inputs, regimes, resample, supervise
 from ..plans.chunks import over_halo
-from ..schema import MODEL_INPUTS, ROLLING_WINDOWS, TARGET_LAGS
+from ..schema import INPUT_SETS, MODEL_INPUTS, ROLLING_WINDOWS, TARGET_LAGS
 from .base import TABLES, Given, query
 
 W = "PARTITION BY site ORDER BY step"
@@ -205,6 +205,21 @@ def feature_table(g: Given):
     return features.build_features(g.sky()).select("site", "step", *MODEL_INPUTS)
 
 
+SPECS = [*INPUT_SETS, "minimal"]
+CHOSEN = {s: inputs.select_inputs(MODEL_INPUTS, s) for s in SPECS}
+
+
+@query("input_set_rows", f"""
+    SELECT site, n_rows, unnest(sets, recursive := true)
+    FROM (SELECT site, count(*) AS n_rows, [{', '.join(f"""{{'feature_spec': '{s}', 'n_inputs': {len(own)},
+            'n_complete': count(*) FILTER (WHERE {' AND '.join(f'{c} IS NOT NULL' for c in own)})}}"""
+                                               for s, own in CHOSEN.items())}] AS sets
+          FROM featured GROUP BY site)""", ints="n_inputs")
+def input_set_rows(g: Given):
+    """What each input set keeps, and the rows that have all of it."""
+    return inputs.complete_rows(features.build_features(g.sky()), ["site"], CHOSEN)
+
+
 @query("warm_up_dropped", f"""
     SELECT site, count(*) AS n_rows, min(step) AS first_step,
            count(*) FILTER (pv_power_w_lag_96 IS NULL) AS n_incomplete, min(season) AS season,

@@ -28,6 +28,28 @@ MODEL_INPUTS = [
     "ghi_delta_1", "ghi_slope_1", "ghi_delta_4", "ghi_slope_4",
 ]
 
+# ---- fixed values: input families, and the families each input set leaves out ----
+INPUT_FAMILIES = {
+    "weather": [c for c in MODEL_INPUTS if c in WEATHER_INPUTS
+                or c.startswith(("ghi_", "temperature_"))],
+    "solar_geometry": ["solar_elevation", "sin_solar_elevation"],
+    "calendar": ["hour_sin", "hour_cos", "doy_sin", "doy_cos"],
+    "pv_history": [c for c in MODEL_INPUTS if c.startswith("pv_")],
+}
+INPUT_SETS = {
+    "pv_only": ["weather", "solar_geometry", "calendar"],
+    "weather_only": ["solar_geometry", "calendar", "pv_history"],
+    "pv_weather": ["solar_geometry", "calendar"],
+    "pv_weather_solar": ["calendar"],
+    "full": [],
+    "no_weather": ["weather"],
+    "no_solar_geometry": ["solar_geometry"],
+    "no_pv_history": ["pv_history"],
+    "no_calendar": ["calendar"],
+}
+MINIMAL_INPUTS = ["pv_power_w_lag_0", "pv_rolling_mean_4", "pv_rolling_mean_12",
+                  "pv_rolling_mean_24"]
+
 # ---- fixed values: cleaning -------------------------------------------------
 GHI_MIN, GHI_MAX = 0.0, 1200.0
 SPIKE_WINDOW, SPIKE_RATIO, SPIKE_SIGMA = 15, 1.8, 6.0

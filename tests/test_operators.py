@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunledger.functions import bands, clock, scores, solar, stats
-from sunledger.operators import (clean, conformal, features, forecast, gaps, importance, inference,
+from sunledger.operators import (clean, conformal, features, forecast, gaps, importance, inference, inputs,
                                  metrics, regimes, resample, sky, strata, supervise, tables,
                                  transfer, validate)
 from sunledger.functions.draws import draw
-from sunledger.schema import MODEL_INPUTS
+from sunledger.schema import INPUT_SETS, MODEL_INPUTS
 
 
 def series(spark, values, site="a", start=0, name="v"):
@@ -365,6 +365,45 @@ def test_grouped_least_squares(spark):
     assert r.coefficients == pytest.approx([3.0, 2.0, -1.0])
 
 
+def test_input_sets_split_the_families():
+    kept = {s: inputs.select_inputs(MODEL_INPUTS, s) for s in [*INPUT_SETS, "minimal"]}
+    assert {s: len(c) for s, c in kept.items()} == {
+        "pv_only": 15, "weather_only": 12, "pv_weather": 27, "pv_weather_solar": 29, "full": 33,
+        "no_weather": 21, "no_solar_geometry": 31, "no_pv_history": 18, "no_calendar": 29,
+        "minimal": 4}
+    assert all(c.startswith("pv_") for c in kept["pv_only"])
+    assert not any(c.startswith("pv_") for c in kept["weather_only"])
+    assert inputs.select_inputs(["extra", "clear_sky_index", "ghi"], "no_weather") == ["extra"]
+    assert inputs.select_inputs(["extra", "clear_sky_index", "ghi"], "minimal") == ["extra"]
+    assert inputs.select_inputs(["clear_sky_index", "ghi"], "pv_only") == ["clear_sky_index"]
+    with pytest.raises(KeyError):
+        inputs.select_inputs(MODEL_INPUTS, "unheard_of")
+
+
+def test_input_sets_fit_like_separate_regressions(spark):
+    rng = np.random.default_rng(3)
+    names = ["ghi", "hour_sin", "pv_power_w_lag_0"]
+    x = rng.normal(size=(60, 3))
+    y = 1 + x @ [2.0, -1.0, 0.5] + rng.normal(size=60)
+    site = [None if i % 3 == 0 else "a" for i in range(60)]
+    rows = [(s, *map(float, r), float(t)) for s, r, t in zip(site, x, y)] + [("a", None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, ", ".join(["site string", *[f"{c} double" for c in (*names, "y")]]))
+    fits = inputs.fit_input_sets(df, names, "y", ["site"], ["full", "no_calendar", "pv_only"])
+    got = {(r.site, r.feature_spec): r for r in fits.collect()}
+    assert len(got) == 6
+    for (s, spec), r in got.items():
+        own = [names.index(c) for c in inputs.select_inputs(names, spec)]
+        at = [i for i in range(60) if site[i] == s]
+        want = np.zeros(4)
+        want[[0, *[1 + i for i in own]]] = np.linalg.lstsq(
+            np.column_stack([np.ones(len(at)), x[at][:, own]]), y[at], rcond=None)[0]
+        assert r.n_fit == len(at) and r.n_inputs == len(own)
+        assert r.coefficients == pytest.approx(want)
+    p = df.limit(1).withColumn("coefficients", F.array(*map(F.lit, [1.0, 2.0, 0.0, 1.0])))
+    r = p.withColumn("p", inputs.predicted_by(names)).first()
+    assert r.p == pytest.approx(1 + 2 * r.ghi + r.pv_power_w_lag_0)
+
+
 def test_collapsed_shares(spark):
     rows = [(f"f{i % 3}", i // 3, float(i)) for i in range(12)]
     df = spark.createDataFrame(rows, "feature string, step int, value double")

@@ -221,7 +221,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS,
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """The row of smallest id of every component, all columns. Rows that repeat both id and text
     stay or go together; a component whose ids are all null stays whole."""
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, bits)
+    return survivors(docs, near_duplicates(docs.select("doc_id", "text"), shingle, bits))
+
+
+def survivors(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay; ``found`` has ``doc_id, th, component_id`` of each."""
     gone = found.where(F.col("component_id").isNotNull()
                        & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th"))

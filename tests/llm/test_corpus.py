@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sunledger.llm import (decontamination, langid, lines, mixing, quality, queries, secrets,
-                           simhash, substrings, topk, toxicity)
+                           similar, simhash, substrings, topk, toxicity)
 from tests.oracle import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
@@ -166,6 +166,58 @@ def test_trie_finds_every_component(spark, per_block):
     assert found == roots and len(links) < 2 * len(fps)  # a forest from each trie
 
 
+def five_word_sets(texts):
+    out = []
+    for text in texts:
+        words = WORD.findall(bytes(b + 32 if 65 <= b <= 90 else b for b in text))
+        out.append({b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+                   if words else set())
+    return out
+
+
+def near_copies():
+    """Documents in groups: copies with words changed here and there, about similarity 0.8."""
+    rng, rows = random.Random(11), []
+    for _ in range(12):
+        base = [f"{rng.choice(VOCABULARY)}{rng.randrange(400)}" for _ in range(rng.choice([30, 120, 300]))]
+        for _ in range(6):
+            words = list(base)
+            for _ in range(rng.randrange(1, 2 + len(words) // 40)):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(10 ** 6)}"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("sample", [20_000, 5])
+def test_similar_against_all_pairs(spark, sample):
+    rows = near_copies() + [(1000 + i, t) for i, t, *_ in ROWS if i is not None]
+    sets = five_word_sets([t for _, t in texts_of(rows)])
+    near = [(i, j) for i in range(len(sets)) for j in range(i)
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    roots = union_find(len(sets), near)
+    want = defaultdict(list)
+    for (i, _), root in zip(rows, roots):
+        want[root].append(i)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = defaultdict(list)
+    for r in similar.near_duplicates(frame, sample=sample).collect():
+        got[r["root"]].append(r["doc_id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert 12 < len(near) and len(set(roots)) < len(rows) - 12
+
+
+def test_stage_links_by_similarity(spark):
+    rows = near_copies()
+    fps = fingerprints_of([t for _, t in texts_of(rows)])
+    sets = five_word_sets([t for _, t in texts_of(rows)])
+    near = [(i, j) for i in range(len(sets)) for j in range(i)
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert any((fps[i] ^ fps[j]).bit_count() > 3 for i, j in near)  # out of reach of op2's settings
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()}
+    assert left == set(union_find(len(rows), near))
+
+
 @pytest.mark.parametrize("settings", [{}, {"seeds_per_bucket": 40, "frequent_from": 2}])
 def test_substrings_against_all_windows(docs, settings):
     words = [WORD.findall(t) for _, t in texts_of(ROWS)]

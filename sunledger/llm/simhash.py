@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import kept, raw, record_batch, table, unused
+from .common import aside, kept, raw, record_batch, table, unused
 from .components import components
 
 SHINGLE, BITS = 3, 3
@@ -207,30 +207,54 @@ def _choose(n: int, r: int):
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS,
                     per_block: int = 20_000) -> DataFrame:
-    """``doc_id, th, fp, component_id``: the smallest id reachable over links, per document."""
+    """``doc_id, th, fp, component_id, root``: the smallest id reachable over links, per document;
+    rows of one component share the root."""
     marked = kept(fingerprints(docs, shingle), "fingerprints")
     distinct = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = kept(components(near_links(distinct.select("fp"), bits, per_block)), "roots")
     linked = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "th", "fp", "component_id")
+    named = linked.join(smallest, "root").select("fp", "component_id", "root")
+    return marked.join(named, "fp").select("doc_id", "th", "fp", "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """The row of smallest id of every component, all columns. Rows that repeat both id and text
-    stay or go together; a component whose ids are all null stays whole."""
+    """One row of every component, all columns: see ``survivors``."""
     return survivors(docs, near_duplicates(docs.select("doc_id", "text"), shingle, bits))
 
 
 def survivors(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay; ``found`` has ``doc_id, th, component_id`` of each."""
-    gone = found.where(F.col("component_id").isNotNull()
-                       & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & F.xxhash64(
-        docs["text"]).eqNullSafe(gone["_gone_th"]), "left_anti")
+    """One row of ``docs`` of every component; ``found`` has ``doc_id, th, root`` of each row.
+
+    First by id, nulls last, then by the hash of the text, then by the hash of the whole row.
+    Rows equal in all of these are the same row, so any of them may stand for the others and a
+    task that is run again gives the same result.
+    """
+    texts = found.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
+    texts = kept(texts.withColumn("place", F.struct(F.col("doc_id").isNull().alias("last"),
+                                                    "doc_id", "th")), "texts")
+    first = kept(texts.groupBy("root").agg(F.min("place").alias("first")), "first")
+    judged = kept(texts.join(first, "root").select(
+        F.col("doc_id").alias("_of_id"), F.col("th").alias("_of_th"), "rows",
+        (F.col("place") == F.col("first")).alias("stays")), "judged")
+    rows, names = aside(docs, "doc_id", "text")
+    here = F.xxhash64("text")
+
+    def of(frame: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+        chosen = chosen.select("_of_id", "_of_th")
+        return frame.join(chosen, frame["doc_id"].eqNullSafe(chosen["_of_id"])
+                          & here.eqNullSafe(chosen["_of_th"]), how)
+
+    left = of(rows, judged.where("NOT stays"), "left_anti")
+    again = judged.where("stays AND rows > 1")
+    if not again.isEmpty():
+        hashed = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+        many = of(rows, again, "left_semi").select(
+            "doc_id", here.alias("th"), F.xxhash64(*hashed).alias("h"), F.struct("*").alias("row"))
+        one = many.groupBy("doc_id", "th").agg(F.min_by("row", "h").alias("row")).select("row.*")
+        left = of(left, again, "left_anti").unionByName(one)
+    return left.select(*[F.col(c).alias(old) for old, c in names.items()])
 
 
 def op2_simhash(spark, sf_dir):

@@ -218,6 +218,25 @@ def test_stage_links_by_similarity(spark):
     assert left == set(union_find(len(rows), near))
 
 
+@pytest.mark.parametrize("stage", [simhash.one_of_each, similar.one_of_each])
+def test_one_row_of_each_group_stays(spark, stage):
+    text, other = prose(40), prose(40)
+    rows = [(1, text, "a"), (1, text, "a"), (1, text, "b"), (2, text, "a"),  # repeated id and text
+            (5, other, "a"), (5, other.upper(), "a"), (None, other, "a"),  # near texts, one id
+            (None, PASSAGE, "a"), (None, PASSAGE, "b"), (None, PASSAGE.upper(), "a"),  # no ids
+            (9, None, "a"), (9, None, "a"), (None, "", "a")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, _of_id string") \
+        .withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    frame = frame.repartition(3)
+    got = stage(frame)
+    assert got.columns == frame.columns
+    left = [(r["doc_id"], (r["text"] or "").lower()) for r in got.collect()]
+    assert sorted(left, key=str) == sorted(
+        [(1, text), (5, other), (None, PASSAGE), (9, "")], key=str)
+    again = stage(frame.repartition(2))  # the choice does not depend on the order of the rows
+    assert rows_of(got, "doc_id", "text", "_of_id") == rows_of(again, "doc_id", "text", "_of_id")
+
+
 @pytest.mark.parametrize("settings", [{}, {"seeds_per_bucket": 40, "frequent_from": 2}])
 def test_substrings_against_all_windows(docs, settings):
     words = [WORD.findall(t) for _, t in texts_of(ROWS)]

@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
+from .conversations import op11_conversation_repair
 from .decontamination import OP7_SQL, op7_decontamination
 from .langid import op10_language_id
 from .lines import OP1_SQL, op1_line_dedup
@@ -16,6 +17,6 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup, "op4_quality": op4_quality, "op5_mix_sources": op5_mix_sources,
     "op6_secret_scan": op6_secret_scan, "op7_decontamination": op7_decontamination,
     "op8_exact_topk": op8_exact_topk, "op9_toxicity": op9_toxicity,
-    "op10_language_id": op10_language_id,
+    "op10_language_id": op10_language_id, "op11_conversation_repair": op11_conversation_repair,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op7_decontamination": OP7_SQL, "op8_exact_topk": OP8_SQL}

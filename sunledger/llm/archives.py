@@ -54,7 +54,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-record")
 CRAWL_DATE = "20240101000000"
 KEY_HEADER = "X-Page-Key"
-LEVEL = 3
+LEVEL, STEP = 3, 8192
 
 
 @dataclass
@@ -79,11 +79,15 @@ def members(content: bytes) -> Iterator[bytes]:
     if not content.startswith(b"\x1f\x8b"):
         yield content
         return
-    rest = content
-    while rest.startswith(b"\x1f\x8b"):
-        reader = zlib.decompressobj(31)
-        yield reader.decompress(rest)
-        rest = reader.unused_data
+    view, pos = memoryview(content), 0
+    while view[pos:pos + 2] == b"\x1f\x8b":
+        reader, parts = zlib.decompressobj(31), []
+        while not reader.eof and pos < len(view):  # in steps: what is left over is copied
+            step = view[pos:pos + STEP]
+            parts.append(reader.decompress(step))
+            pos += len(step)
+        pos -= len(reader.unused_data)
+        yield b"".join(parts)
 
 
 def member(data: bytes) -> bytes:

@@ -29,7 +29,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from itertools import accumulate
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import kept, raw, record_batch, table
 
 FOLDER = "/opt/tokenizers"
-CHARS = 1 << 20
+CHARS, SMALL = 1 << 20, 4096
 #: Fixed value: how a byte-level model of this kind cuts a text before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
@@ -103,7 +103,7 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
         self.width = len(self.b.bytes)
-        self.sizes = [list(map(len, side.bytes)) for side in (self.a, self.b)]
+        self.sizes = [np.array(list(map(len, side.bytes)), np.int64) for side in (self.a, self.b)]
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both sides of every text; none where a side does not spell the text."""
@@ -117,32 +117,40 @@ class Aligner:
 
     def cuts(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
         """Indexes behind the last token of every group, on both sides."""
-        ends = [{end: at for at, end in enumerate(accumulate(map(sizes.__getitem__, ids)), 1)}
+        ends = [dict(zip(np.cumsum(sizes[ids]).tolist(), range(1, len(ids) + 1)))
                 for sizes, ids in zip(self.sizes, (a, b))]
-        common = sorted(ends[0].keys() & ends[1].keys())
-        return [ends[0][c] for c in common], [ends[1][c] for c in common]
+        common = ends[0].keys() & ends[1].keys()
+        common = np.sort(np.fromiter(common, np.int64, len(common))).tolist()
+        return list(map(ends[0].__getitem__, common)), list(map(ends[1].__getitem__, common))
 
     def links(self, a, b, cut_a, cut_b) -> tuple[np.ndarray, np.ndarray]:
         """Different pairs (A id times the size of B, plus B id), and how often each is linked."""
         if not cut_a:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b, to_a, to_b = (np.array(x, np.int64) for x in (a, b, cut_a, cut_b))
+        ids_a, ids_b, to_a, to_b = (np.array(x, np.int64) for x in (a, b, cut_a, cut_b))
         from_a, from_b = np.append(0, to_a[:-1]), np.append(0, to_b[:-1])
         single = (to_a - from_a == 1) & (to_b - from_b == 1)
-        pairs = [a[from_a[single]] * self.width + b[from_b[single]]]
-        times = [np.ones(len(pairs[0]), np.int64)]
-        for i in np.flatnonzero(~single).tolist():
-            ids_a, n_a = np.unique(a[from_a[i]:to_a[i]], return_counts=True) if to_a[i] - from_a[i] > 1 \
-                else (a[from_a[i]:to_a[i]], _ONE)
-            ids_b, n_b = np.unique(b[from_b[i]:to_b[i]], return_counts=True) if to_b[i] - from_b[i] > 1 \
-                else (b[from_b[i]:to_b[i]], _ONE)
-            pairs.append(np.add.outer(ids_a * self.width, ids_b).ravel())
-            times.append(np.multiply.outer(n_a, n_b).ravel())
-        keys, place = np.unique(np.concatenate(pairs), return_inverse=True)
-        return keys, np.bincount(place, np.concatenate(times), len(keys)).astype(np.int64)
-
-
-_ONE = np.ones(1, np.int64)
+        wide, rest, heavy = self.width, [], Counter()
+        for i, m, k, n in zip(*(x[~single].tolist() for x in (from_a, to_a, from_b, to_b))):
+            if (m - i) * (n - k) <= SMALL:
+                rest += [x * wide + y for x in a[i:m] for y in b[k:n]]
+            else:  # by different ids
+                many = Counter(b[k:n])
+                for x, times in Counter(a[i:m]).items():
+                    for y, more in many.items():
+                        heavy[x * wide + y] += times * more
+        keys, times = np.unique(np.concatenate([ids_a[from_a[single]] * wide + ids_b[from_b[single]],
+                                                np.array(rest, np.int64)]), return_counts=True)
+        if heavy:
+            keys = np.concatenate([keys, np.fromiter(heavy, np.int64, len(heavy))])
+            times = np.concatenate([times, np.fromiter(heavy.values(), np.int64, len(heavy))])
+            keys, place = np.unique(keys, return_inverse=True)
+            summed = np.zeros(len(keys), np.int64)
+            np.add.at(summed, place, times)
+            times = summed
+        return keys, times
+
+
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
@@ -153,11 +161,21 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return _ALIGNERS[a_path, b_path]
 
 
+_DIGITS: list[str] = []
+
+
+def _decimal(ids: list[int]) -> list[str]:
+    top = max(ids, default=0)
+    if top >= len(_DIGITS):
+        _DIGITS.extend(map(str, range(len(_DIGITS), top + 1)))
+    return list(map(_DIGITS.__getitem__, ids))
+
+
 def groups_text(a: list[int], b: list[int], cut_a: list[int], cut_b: list[int]) -> str:
     """``a1,a2|b1;a3|b2,b3``: decimal ids of the groups in order."""
-    a, b = list(map(str, a)), list(map(str, b))
-    return ";".join(f"{a[i]}|{b[k]}" if m - i == 1 == n - k else f"{','.join(a[i:m])}|{','.join(b[k:n])}"
-                    for i, m, k, n in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b))
+    a, b = _decimal(a), _decimal(b)
+    return ";".join([f"{a[i]}|{b[k]}" if m - i == 1 == n - k else f"{','.join(a[i:m])}|{','.join(b[k:n])}"
+                     for i, m, k, n in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)])
 
 
 def _texts(batch):

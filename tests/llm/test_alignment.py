@@ -85,7 +85,7 @@ def test_alignment_against_plain_loops(spark, common):
              "<|endoftext|>", "½", "▁", "é", "ﬁ", "\x00", "\U0001f600", "<0x41>", "　", "\xa0"]
     rows = [(i, "".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 25))))
             for i in range(120)]
-    rows += [(200, None), (201, ""), (202, " "), (203, "x" * 3000), (204, "the tokens of " * 400), rows[0], rows[0],
+    rows += [(200, None), (201, ""), (202, " "), (203, "x" * 3000), (205, "\u7a7f" * 200), (204, "the tokens of " * 400), rows[0], rows[0],
              (None, "null id"), (None, None)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns(
         {c: F.lit("clash") for c in ("row", "pairs", "pair", "count", "n_a", "groups_sha256")})

@@ -35,6 +35,15 @@ def chunk_of(order: str, chunk_steps: int) -> Column:
     return F.floor(F.col(order) / F.lit(chunk_steps))
 
 
+def halo(df: DataFrame, order: str, before: int, after: int,
+         chunk_steps: int = CHUNK_STEPS) -> DataFrame:
+    """Every row once for each chunk that needs it: its own, and those that look ``before`` rows
+    back or ``after`` rows ahead to it."""
+    first = F.floor((F.col(order) - F.lit(after)) / F.lit(chunk_steps))
+    last = F.floor((F.col(order) + F.lit(before)) / F.lit(chunk_steps))
+    return df.withColumn(CHUNK, F.explode(F.sequence(first, last)))
+
+
 def over_halo(df: DataFrame, keys: Sequence[str], order: str, *builds: Build,
               before: int = 0, after: int = 0, chunk_steps: int = CHUNK_STEPS) -> DataFrame:
     """Add window columns whose frames reach ``before`` rows back and ``after`` ahead.
@@ -42,9 +51,7 @@ def over_halo(df: DataFrame, keys: Sequence[str], order: str, *builds: Build,
     Each build sees the columns of the builds before it; the reach must cover the
     sum of the nested frames. ``order`` is an integer position, unique per key.
     """
-    first = F.floor((F.col(order) - F.lit(after)) / F.lit(chunk_steps))
-    last = F.floor((F.col(order) + F.lit(before)) / F.lit(chunk_steps))
-    out = df.withColumn(CHUNK, F.explode(F.sequence(first, last)))
+    out = halo(df, order, before, after, chunk_steps)
     window = Window.partitionBy(*keys, CHUNK).orderBy(order)
     for build in builds:
         out = out.withColumns(dict(build(window)))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
 
@@ -17,3 +20,14 @@ def sized(summary: DataFrame) -> DataFrame:
     joined by shuffle, where adaptive execution splits a hot key.
     """
     return materialise(summary, "summary")
+
+
+def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+    """Join condition under which null keys meet null keys."""
+    return reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in keys], F.lit(True))
+
+
+def attached(rows: DataFrame, summary: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Rows with the columns of a per-key summary; rows whose key is null, or has no summary, stay."""
+    small = sized(summary)
+    return rows.join(small, same_keys(rows, small, keys), how).drop(*[small[k] for k in keys])

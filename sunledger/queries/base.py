@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import clock
-from ..operators import forecast, regimes, sky
+from ..operators import features, forecast, regimes, sky
 from ..operators.supervise import Boundaries, assign_split
 from ..plans.chunks import densify
 from ..plans.summaries import sized
@@ -135,6 +135,10 @@ class Given:
         rows = regimes.attach_regimes(rows, kt="clear_sky_input")
         return rows.join(self.stations().select("site", "rated_w"), "site", "left")
 
+    def featured(self) -> DataFrame:
+        """All model inputs beside the prepared columns, written once."""
+        return self.staged("featured", lambda: features.build_features(self.sky()))
+
     def supervised(self) -> DataFrame:
         """Label rows of every horizon with both reference forecasts."""
         return forecast.reference_forecasts(self.sky())

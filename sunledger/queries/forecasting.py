@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
-from ..operators import features, forecast, importance, supervise
+from ..operators import features, forecast, importance, metrics, supervise, tables, windowed
 from ..plans.chunks import over_halo
+from ..schema import FEATURE_REGIME_ORDER, LOOKBACK_STEPS, MODEL_INPUTS
 from .base import TABLES, Given, query
+from .preparation import SPECS
 
 
 @query("persistence_forecasts", """
@@ -91,10 +93,85 @@ def _quality(scored, name: str):
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
 
 
-@query("linear_regression_windows")
+def window_runs(g: Given, specs=("full",), inputs=MODEL_INPUTS, lookback=LOOKBACK_STEPS, test="test"):
+    """Least squares on the windows of every horizon and input set, and its forecasts."""
+    rows = g.featured().where("split IS NOT NULL")
+    return windowed.window_regression(rows, list(inputs), specs=specs, lookback=lookback, test=test,
+                                      carried=["daylight", "rated_w"])
+
+
+TABLES["window_rows"] = f"""
+    SELECT *, count(known) OVER (PARTITION BY site, split ORDER BY step ROWS BETWEEN {LOOKBACK_STEPS - 1} PRECEDING
+             AND CURRENT ROW) = {LOOKBACK_STEPS} AS whole
+    FROM (SELECT *, CASE WHEN {' AND '.join(f'{c} IS NOT NULL' for c in MODEL_INPUTS)} THEN 1 END AS known
+          FROM featured WHERE split IS NOT NULL)"""
+TABLES["window_labels"] = """
+    SELECT o.site, horizon, o.split, o.step AS origin_step, l.step, l.pv_power_w AS actual, l.daylight, o.ghi,
+           o.pv_rolling_mean_24 AS recent, o.pv_power_w
+    FROM window_rows o CROSS JOIN horizons JOIN window_rows l
+      ON l.site = o.site AND l.split = o.split AND l.step = o.step + h WHERE o.whole"""
+
+
+@query("linear_regression_windows", f"""
+    SELECT site, horizon, {len(MODEL_INPUTS)} AS n_inputs, count(*) FILTER (split = 'train') AS n_fit,
+           count(*) FILTER (split = 'test') AS n_scored,
+           avg(actual) FILTER (split = 'train') AS fitted_mean,
+           avg(actual * ghi) FILTER (split = 'train') / 100 AS fitted_by_ghi,
+           avg(actual * recent) FILTER (split = 'train') / 100 AS fitted_by_recent
+    FROM window_labels GROUP BY site, horizon HAVING count(*) FILTER (split = 'train') > 0""",
+       doubles="fitted_mean fitted_by_ghi fitted_by_recent", ints="n_inputs", digits=2)
 def linear_regression_windows(g: Given):
-    rows, _ = _training_rows(g)
-    return _quality(_scored(rows, "linear_regression")[1], "linear_regression")
+    """Fits on 24 steps of all 33 inputs at four horizons. Fitted values keep the mean of the labels
+    and their products with every input: what makes a fit least squares, and SQL can say it."""
+    rows = g.featured().where("split IS NOT NULL")
+    inputs = list(MODEL_INPUTS)
+    ready = g.keep(windowed.standardised(rows.select(
+        "site", "split", "step", "pv_power_w", F.col("ghi").alias("ghi_now"),
+        F.col("pv_rolling_mean_24").alias("recent_now"), *inputs), inputs, ["site"], F.col("split") == "train"))
+    sums = windowed.lagged_sums(ready.where("split = 'train'"), inputs, "pv_power_w")
+    fits = g.keep(windowed.fit_windows(sums, inputs))
+    fitted = windowed.predict_windows(ready, fits, inputs, "pv_power_w")
+    known = g.keep(fitted).join(ready.select("site", F.col("step").alias("origin_step"), "ghi_now", "recent_now"),
+                                ["site", "origin_step"])
+    train = F.col("split") == "train"
+
+    def moment(by: Column) -> Column:
+        return F.avg(F.when(train, F.col("predicted") * by))
+
+    return known.groupBy("site", "horizon").agg(
+        F.count_if(train).alias("n_fit"), F.count_if(F.col("split") == "test").alias("n_scored"),
+        moment(F.lit(1.0)).alias("fitted_mean"), (moment(F.col("ghi_now")) / 100).alias("fitted_by_ghi"),
+        (moment(F.col("recent_now")) / 100).alias("fitted_by_recent")) \
+        .join(fits.select("site", "horizon", "n_inputs"), ["site", "horizon"])
+
+
+def window_scores(g: Given):
+    """Point metrics of every input set per site and horizon, in daylight, as rows of a run log."""
+    fits, runs = window_runs(g, SPECS)
+    table = metrics.compute_all(runs.where("daylight"), ["site", "horizon", "feature_spec"], "rated_w")
+    return table.join(fits.select("site", "horizon", "feature_spec", "n_inputs", "n_fit", "rank"),
+                      ["site", "horizon", "feature_spec"])
+
+
+@query("window_input_sets")
+def window_input_sets(g: Given):
+    """Scores of every input set at 24 steps and four horizons: the ablation and the additive sets."""
+    return window_scores(g)
+
+
+@query("window_ablation")
+def window_ablation(g: Given):
+    """Leave-one-out input sets and additive ones as the result tables show them, from real runs."""
+    runs = window_scores(g).select(
+        F.concat_ws("__", "site", "horizon", "feature_spec").alias("experiment_id"),
+        F.concat_ws("@", F.lit("linear_regression"), "site", "horizon").alias("model"), "site", "horizon",
+        "feature_spec", F.col("n_inputs").alias("n_features"), "rmse", "mae",
+        F.col("nrmse_capacity"), "r2", F.lit("E_feature_ablation").alias("experiment_group"),
+        F.lit(42).alias("seed"), F.lit(None).cast("timestamp").alias("recorded_at"), F.lit(0).alias("run_no"))
+    return tables.feature_ablation(g.keep(runs)).withColumn(
+        "regime_rank", tables.rank_of(F.col("feature_spec"), FEATURE_REGIME_ORDER)).select(
+        "site", "horizon", "feature_spec", "n_features", "rmse", "mae", "nrmse_capacity", "r2", "rmse_vs_full_pct",
+        "mae_vs_full_pct", "nrmse_capacity_vs_full_pct", "regime_rank")
 
 
 @query("random_forest_windows")

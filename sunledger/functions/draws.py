@@ -6,6 +6,7 @@ again draws what it drew before, and any engine with MD5 draws the same.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 HEX_DIGITS = 15
@@ -18,3 +19,28 @@ def draw(seed: int, *parts: Column) -> Column:
 
 
 ORDER_CHUNK = 2**40  # a million chunks of the range, which the helpers cut into chunks again
+
+
+MIXERS = (6364136223846793005, 2862933555777941757, 3202034522624059733, 4354685564936845319)
+MASK = (1 << 64) - 1
+
+
+def mixed(seed: int, *parts: np.ndarray) -> np.ndarray:
+    """A number below 2^63 for every place of the (broadcast) integer arrays: their sum of multiples
+    modulo 2^64, with the high half folded onto the low one and multiplied, twice."""
+    z = np.uint64(seed)
+    with np.errstate(over="ignore"):
+        for factor, part in zip(MIXERS, parts):
+            z = z + part.astype(np.uint64) * np.uint64(factor)
+        for factor in MIXERS[:2]:
+            z = (z ^ (z >> np.uint64(32))) * np.uint64(factor)
+    return z >> np.uint64(1)
+
+
+def mixed_sql(seed: int, *parts: str) -> str:
+    """``mixed`` in SQL with 128-bit integers."""
+    z = " + ".join([f"{seed}", *[f"({p})::HUGEINT * {f} % {MASK + 1}" for f, p in zip(MIXERS, parts)]])
+    z = f"(({z}) % {MASK + 1})"
+    for factor in MIXERS[:2]:
+        z = f"(xor({z}, {z} >> 32) * {factor} % {MASK + 1})"
+    return f"({z} >> 1)::BIGINT"

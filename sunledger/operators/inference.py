@@ -1,21 +1,24 @@
 """Comparative statistics of serially correlated forecast errors.
 
 Inputs are rows with the key columns, an order column and error columns. Rows of a key
-may be any number: positions and prefix sums come from chunked plans, ranks from
-bucketed ones, and a resample is read from prefix sums instead of being built.
+may be any number: positions come from chunked plans, ranks from bucketed ones, and a resample
+is read from prefix sums, where the rows are, instead of being built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from ..functions.draws import draw
+from ..functions.draws import mixed
 from ..functions.stats import two_sided_p
-from ..plans.chunks import CHUNK_STEPS, once, over_halo, running_sum, with_position
+from ..plans.chunks import CHUNK_STEPS, over_halo, with_position
 from ..plans.ranks import ranked_values
-from ..plans.summaries import sized
+from ..plans.summaries import same_keys, sized
+from ..session import materialise
 from ..schema import BLOCK_LENGTHS, BLOCK_STEPS, CONFIDENCE, RESAMPLES
 
 RUN = ["site", "model", "horizon"]
@@ -40,38 +43,96 @@ def loss_rows(df: DataFrame, a: str = "error", b: str = "reference_error",
 
 # ---- moving-block bootstrap ---------------------------------------------------
 
+WHOLE_ROWS, MOST_PARTS = 1 << 16, 64
+
+
+def in_parts(df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Column],
+             back: int = 0, ahead: int = 0, whole_rows: int = WHOLE_ROWS) -> tuple[DataFrame, bool]:
+    """Rows with ``_order``, the values as doubles, the size ``n`` of their key and a ``_part``.
+
+    A key of up to ``whole_rows`` rows is one part. If any is longer (the second result), keys are
+    cut into parts of ``_long`` rows by position ``_pos``, at most 64, and a row goes to each part that
+    reaches ``back`` rows before its first or ``ahead`` rows behind its last one.
+    """
+    rows = df.select(*keys, F.col(order).alias("_order"), *[e.cast("double").alias(n) for n, e in values.items()])
+    sizes = sized(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    cut = (sizes.agg(F.max("n")).first()[0] or 0) > whole_rows
+    if cut:
+        rows = with_position(rows, keys, "_order", "_pos")
+    rows = rows.join(sizes, same_keys(rows, sizes, keys)).drop(*[sizes[k] for k in keys])
+    if not cut:
+        return rows.withColumn("_part", F.lit(0).cast("long")), False
+    parts = F.least(F.ceil(F.col("n") / whole_rows), F.lit(MOST_PARTS))
+    rows = rows.withColumn("_long", F.ceil(F.col("n") / parts))
+    low = F.floor((F.col("_pos") - 1 - ahead) / F.col("_long"))
+    high = F.floor((F.col("_pos") - 1 + back) / F.col("_long"))
+    last = F.floor((F.col("n") - 1) / F.col("_long"))
+    return rows.withColumn("_part", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, last)))), True
+
+
+def _part_of(key, table, cut: bool, names: Sequence[str]) -> tuple[int, int, int, int, list[np.ndarray]]:
+    """Size of the key, first and last (exclusive) own position, position of the first row, and values."""
+    n, at = table.column("n")[0].as_py(), np.argsort(table.column("_order").to_numpy(), kind="stable")
+    values = [table.column(c).to_numpy(zero_copy_only=False)[at] for c in names]
+    if not cut:
+        return n, 0, n, 0, values
+    size = table.column("_long")[0].as_py()
+    start = key[-1].as_py() * size
+    return n, start, min(n, start + size), table.column("_pos").to_numpy().min() - 1, values
+
+
+def _repeated(table, keys: Sequence[str], many: int) -> dict:
+    return {k: table.column(k).take(pa.array(np.zeros(many, np.int64))) for k in keys}
+
+
 def resample_sums(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column],
                   n_resamples: int = RESAMPLES, blocks: int | Sequence[int] = BLOCK_STEPS,
-                  seed: int = 42, order: str = "step",
-                  chunk_steps: int = CHUNK_STEPS) -> DataFrame:
+                  seed: int = 42, order: str = "step", whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """Sums of ``values`` over every moving-block resample of every key.
 
-    A block [s, s + len) contributes ``P[s + len] - P[s]`` of the prefix sum P, so each
-    block costs two lookups whatever its length. All values of a row share the same
-    blocks. Draws of one key are spread over tasks by resample, prefix rows by position.
+    The draws are numbers of their indices, so every task makes them for itself: no draw and no
+    resample is ever shuffled. A part (see ``in_parts``) adds up the blocks that start in it. What leaves
+    a part is one number per resample, block length and value, whatever the number of rows. All
+    values share the same blocks.
     """
-    lengths = [blocks] if isinstance(blocks, int) else list(blocks)
-    prefix = running_sum(df, keys, order, {"_pos": F.lit(1).cast("long"),
-                                           **{f"_p_{n}": e for n, e in values.items()}},
-                         chunk_steps).select(*keys, "_pos", *[f"_p_{n}" for n in values])
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    length = F.least(F.greatest(F.col("block_length"), F.lit(1)), F.col("n"))
-    plan = sizes.withColumn("block_length", F.explode(F.array(*[
-        F.lit(x).cast("long") for x in lengths]))).withColumn("_len", length).withColumn(
-        "resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_resamples - 1).cast("long"))))
-    plan = plan.repartition(*[F.col(k) for k in keys], F.col("block_length"), F.col("resample"))
-    n_blocks = F.ceil(F.col("n") / F.col("_len"))
-    drawn = plan.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-    start = draw(seed, F.col("resample"), F.col("_b"), F.col("block_length")) % (
-        F.col("n") - F.col("_len") + 1)
-    size = F.least(F.col("_len"), F.col("n") - F.col("_b") * F.col("_len"))
-    ends = once(drawn, {"_s": start, "_size": size}).select(
-        *keys, "block_length", "resample", "n", F.inline(F.array(
-            F.struct((F.col("_s") + F.col("_size")).alias("_pos"), F.lit(1.0).alias("_sign")),
-            F.struct(F.col("_s").alias("_pos"), F.lit(-1.0).alias("_sign")))))
-    return ends.join(prefix, [*keys, "_pos"]).groupBy(
-        *keys, "block_length", "resample", "n").agg(
-        *[F.sum(F.col("_sign") * F.col(f"_p_{n}")).alias(n) for n in values])
+    lengths = sorted({max(1, b) for b in ([blocks] if isinstance(blocks, int) else blocks)})
+    named = {f"_p_{n}": e for n, e in values.items()}
+    rows, cut = in_parts(df, keys, order, named, ahead=lengths[-1] - 1, whole_rows=whole_rows)
+    kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+    columns, labels = list(named), list(values)
+    outs = ["block_length", "resample", "n", *labels]
+
+    def draw_part(key, table):
+        n, start, stop, _, own = _part_of(key, table, cut, columns)
+        sums = [np.append(0.0, np.cumsum(v)) for v in own]
+        out = {c: [] for c in outs}
+        for length in lengths:
+            size = min(length, n)
+            many = -(-n // size)
+            block = np.arange(many)
+            spans = np.minimum(size, n - block * size)
+            at_once = max(1, (1 << 20) // many)
+            for low in range(0, n_resamples, at_once):
+                resample = np.arange(low, min(low + at_once, n_resamples))
+                begin = (mixed(seed, resample[:, None], block[None, :], np.array(length))
+                         % np.uint64(n - size + 1)).astype(np.int64)
+                here = (begin >= start) & (begin < stop)
+                # a block that starts elsewhere counts from its start to its start
+                begin = np.where(here, begin - start, 0)
+                end = begin + np.where(here, spans, 0)
+                out["resample"].append(resample)
+                out["block_length"].append(np.full(len(resample), length))
+                out["n"].append(np.full(len(resample), n))
+                for name, total in zip(labels, sums):
+                    out[name].append((total[end] - total[begin]).sum(axis=1))
+        many = len(lengths) * n_resamples
+        return pa.table({**_repeated(table, keys, many), **{c: np.concatenate(v) for c, v in out.items()}})
+
+    drawn = rows.groupBy(*keys, "_part").applyInArrow(draw_part, ", ".join(
+        [*kinds, "block_length bigint", "resample bigint", "n bigint", *[f"`{v}` double" for v in labels]]))
+    if not cut:
+        return drawn
+    return drawn.groupBy(*keys, "block_length", "resample", "n").agg(*[F.sum(v).alias(v) for v in labels])
 
 
 ERROR_SUMS = {"rmse": lambda e: e * e, "mae": lambda e: F.abs(e), "bias": lambda e: e}
@@ -246,32 +307,50 @@ def signed_rank(df: DataFrame, value: str = "d", keys: Sequence[str] = (*RUN, "l
         (F.col("n_pairs") < few).alias("few_pairs"))
 
 
+FFT_ROWS = 1 << 14
+
+
+def lag_sums(values: np.ndarray, first: int, max_lag: int) -> np.ndarray:
+    """Sums of v[t] v[t - k] over t from ``first`` on, for k = 0 .. max_lag, by overlap-save: blocks
+    of rows and the ``max_lag`` rows before them, correlated as products of their transforms."""
+    out = np.zeros(max_lag + 1)
+    width = 1 << int(np.ceil(np.log2(max(FFT_ROWS, 2 * max_lag) + max_lag)))
+    step = width - max_lag
+    padded = np.append(np.zeros(max_lag), values)
+    for low in range(first, len(values), step):
+        own = values[low:low + step]
+        with_past = padded[low:low + len(own) + max_lag]  # from max_lag rows before ``low``
+        size = min(width, 1 << int(np.ceil(np.log2(len(with_past) + max_lag + 1))))
+        corr = np.fft.irfft(np.conj(np.fft.rfft(own, size)) * np.fft.rfft(with_past, size), size)
+        out += corr[max_lag::-1]
+    return out
+
+
 def autocorrelation(df: DataFrame, value: str = "d", max_lag: int = 96,
                     keys: Sequence[str] = RUN, order: str = "step",
-                    chunk_steps: int = CHUNK_STEPS) -> DataFrame:
-    """Autocorrelation at every lag up to ``max_lag`` (null beyond the series).
-
-    Each row carries the last ``max_lag`` values; their products are summed per lag on
-    the map side, so what is shuffled is one number per key, lag and task.
-    """
-    means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(value).alias("n"))
-    rows = with_position(df.select(*keys, order, value), keys, order, "_pos", chunk_steps)
-    rows = rows.join(sized(means), list(keys)).withColumn("_c", F.col(value) - F.col("_mean"))
-
-    def recent(w: WindowSpec) -> dict[str, Column]:
-        return {"_recent": F.collect_list("_c").over(w.rowsBetween(-max_lag, 0))}
-
-    rows = over_halo(rows, keys, "_pos", recent, before=max_lag, chunk_steps=chunk_steps)
-    sums = rows.select(*keys, "n", "_c", F.posexplode(F.reverse("_recent")).alias("lag", "_then"))
-    sums = sums.groupBy(*keys, "n", "lag").agg(F.sum(F.col("_c") * F.col("_then")).alias("_s"))
-    # at most max_lag + 1 sums a key: one map instead of a join of the sums with themselves
-    by_lag = sums.groupBy(*keys, "n").agg(F.map_from_entries(
-        F.collect_list(F.struct("lag", "_s"))).alias("_sums"))
-    out = by_lag.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag))))
-    whole = F.col("_sums")[F.lit(0)]
-    ratio = F.when((F.col("lag") < F.col("n")) & (whole > 0),
-                   F.coalesce(F.col("_sums")[F.col("lag")], F.lit(0.0)) / whole)
-    return out.select(*keys, "n", "lag", ratio.alias("autocorrelation"),
+                    whole_rows: int = WHOLE_ROWS) -> DataFrame:
+    """Autocorrelation at every lag up to ``max_lag`` (null beyond the series); null values count
+    as the mean. What leaves a part of a series is one sum per lag."""
+    means = sized(df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(value).alias("_known")))
+    rows = df.select(*keys, order, value).join(means, same_keys(df, means, keys)).drop(*[means[k] for k in keys])
+    centred = {"_c": F.coalesce(F.col(value) - F.col("_mean"), F.lit(0.0)), "_n": F.col("_known")}
+    parts, cut = in_parts(rows, keys, order, centred, back=max_lag, whole_rows=whole_rows)
+    kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+
+    def lags_of(key, table):
+        _, start, _, begin, (own, known) = _part_of(key, table, cut, ["_c", "_n"])
+        return pa.table({**_repeated(table, keys, max_lag + 1),
+                         "n": np.full(max_lag + 1, int(known[0])), "lag": np.arange(max_lag + 1),
+                         "_s": lag_sums(own, start - begin, max_lag)})
+
+    sums = parts.groupBy(*keys, "_part").applyInArrow(lags_of, ", ".join(
+        [*kinds, "n bigint", "lag bigint", "_s double"]))
+    if cut:
+        sums = sums.groupBy(*keys, "n", "lag").agg(F.sum("_s").alias("_s"))
+    # at most max_lag + 1 sums a key
+    whole = F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(Window.partitionBy(*keys))
+    ratio = F.when((F.col("lag") < F.col("n")) & (whole > 0), F.col("_s") / whole)
+    return sums.select(*keys, "n", "lag", ratio.alias("autocorrelation"),
                       (F.col("lag") * 15 / 60.0).alias("lag_hours"))
 
 
@@ -304,7 +383,8 @@ def compare_models(errors: DataFrame, keys: Sequence[str] = RUN,
                    family: Sequence[str] | None = None, n_resamples: int = RESAMPLES,
                    block: int = BLOCK_STEPS, horizon: int = 1, seed: int = 42,
                    order: str = "step", rank_decimals: int | None = None) -> DataFrame:
-    """Skill interval, Diebold-Mariano with Holm, and signed ranks for all runs and losses.
+    """Skill interval, Diebold-Mariano with Holm, and signed ranks for all runs and losses, with
+    both significances and whether the two losses agree.
 
     Only steps that every model of a site and horizon has take part.
     """
@@ -324,9 +404,59 @@ def compare_models(errors: DataFrame, keys: Sequence[str] = RUN,
     ranks = signed_rank(rows, keys=test_keys, decimals=rank_decimals).select(
         *test_keys, F.col("statistic").alias("wilcoxon_statistic"),
         F.col("p_value").alias("wilcoxon_p"), "effect_size_rank_biserial", "n_pairs")
+    # one row a model and loss: whether both losses say the same before and after the correction
+    run = Window.partitionBy(*keys)
+    dm = dm.withColumns({
+        "significant_holm": F.col("p_value_adjusted") < 0.05,
+        "losses_agree": F.min("significant").over(run) == F.max("significant").over(run)})
     return dm.join(ranks, test_keys, "left").join(skill, list(keys), "left")
 
 
+def best_differentials(predictions: DataFrame, family: Sequence[str] = ("site", "horizon"),
+                       baseline: str = "persistence", order: str = "step") -> DataFrame:
+    """Of the best model of each family its ``error`` and its loss differentials against the
+    baseline, as rows of ``series`` and ``d``. The best is that of the lowest RMSE."""
+    rows = predictions.where(F.col("model") != baseline)
+    best = sized(best_run(rows, family).select(*family, F.col("best_model").alias("_best")))
+    e, r = F.col("predicted") - F.col("actual"), F.col("reference_persistence") - F.col("actual")
+    listed = F.array(*[F.struct(F.lit(n).alias("series"), d.alias("d")) for n, d in {
+        "error": e, **{n: loss_difference(e, r, n) for n in LOSSES}}.items()])
+    return rows.join(best, same_keys(rows, best, family) & (F.col("model") == F.col("_best"))).select(
+        *[rows[k] for k in family], "model", order, F.inline(listed))
+
+
+def ablation_statistics(runs: DataFrame, keys: Sequence[str] = RUN, spec: str = "feature_spec",
+                        full: str = "full", n_resamples: int = RESAMPLES, block: int = BLOCK_STEPS,
+                        seed: int = 42, order: str = "step", family: Sequence[str] = ("site",)
+                        ) -> DataFrame:
+    """Every reduced input set against the same model with all inputs, on the same steps.
+
+    ``runs`` holds ``actual`` and ``predicted`` per key, input set and step. Skill and the paired
+    test take the full run as the reference, so 0 means that what was left out adds nothing.
+    Holm's family is all comparisons of a site.
+    """
+    each = [*keys, spec]
+    whole = runs.where(F.col(spec) == full).select(
+        *keys, order, (F.col("predicted") - F.col("actual")).alias("reference_error"))
+    errors = materialise(runs.where(F.col(spec) != full).select(
+        *each, order, (F.col("predicted") - F.col("actual")).alias("error")).join(
+        whole, [*keys, order]), "paired")
+
+    def rmse(e: str) -> Column:
+        return F.sqrt(F.avg(F.col(e) * F.col(e)))
+
+    points = errors.groupBy(*each).agg(F.count(F.lit(1)).alias("n_daylight"), rmse("error").alias("rmse"),
+                                       rmse("reference_error").alias("full_rmse"))
+    skill = bootstrap_skill(errors, keys=each, n_resamples=n_resamples, block=block, seed=seed, order=order).select(
+        *each, F.col("point_estimate").alias("skill"), F.col("ci_low").alias("skill_low"),
+        F.col("ci_high").alias("skill_high"))
+    dm = holm(diebold_mariano(loss_rows(errors, losses=["mae"]), keys=each, order=order), family=family, tie=each)
+    out = points.join(skill, each).join(dm.select(*each, "statistic", "p_value", "lag_1_autocorrelation",
+                                                  "p_value_adjusted"), each)
+    return out.withColumn("rmse_increase_pct", F.when(
+        F.col("full_rmse") > 0, 100.0 * (F.col("rmse") / F.col("full_rmse") - 1.0)))
+
+
 def best_run(predictions: DataFrame, family: Sequence[str], model: str = "model") -> DataFrame:
     """Model with the lowest RMSE of each family."""
     e = F.col("predicted") - F.col("actual")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import mixed_sql
 from ..operators import inference
 from .base import TABLES, Given, query
-from .forecasting import draw_sql
+from .forecasting import SPECS, window_runs
 
 KEYS = ["site", "model", "horizon"]
 TABLES["errors"] = """
@@ -18,9 +19,16 @@ TABLES["losses"] = """
     SELECT site, model, horizon, step, pos, 'mae' AS loss, abs(error) - abs(reference_error) AS d FROM errors
     UNION ALL SELECT site, model, horizon, step, pos, 'rmse', error ** 2 - reference_error ** 2 FROM errors"""
 TABLES["rank_losses"] = "SELECT * REPLACE (round(d, 6) AS d) FROM losses"
+TABLES["best_of"] = """
+    SELECT site, horizon, arg_min(model, (rmse, model)) AS model
+    FROM (SELECT site, horizon, model, sqrt(avg(error ** 2)) AS rmse FROM errors GROUP BY ALL) GROUP BY site, horizon"""
 TABLES["best_losses"] = """
-    SELECT site, horizon, step, d, row_number() OVER (PARTITION BY site, horizon ORDER BY step) AS pos
-    FROM losses WHERE loss = 'mae' AND model = 'linear_regression'"""
+    SELECT site, horizon, model, series, step, d, row_number() OVER (PARTITION BY site, horizon, series ORDER BY step) AS pos
+    FROM (SELECT site, horizon, model, step, unnest(['error', 'mae', 'rmse']) AS series,
+            unnest([error, abs(error) - abs(reference_error), error ** 2 - reference_error ** 2]) AS d
+          FROM errors JOIN best_of USING (site, horizon, model))"""
+TABLES["best_differentials"] = "SELECT * FROM best_losses WHERE series <> 'error'"
+BEST_KEYS = ["site", "horizon", "model", "series"]
 
 
 def _errors(g: Given):
@@ -30,15 +38,14 @@ def _errors(g: Given):
 
 
 def _best_losses(g: Given):
-    rows = inference.loss_rows(_errors(g).where("model = 'linear_regression'"), losses=["mae"])
-    return rows.select("site", "horizon", "step", "d")
+    return inference.best_differentials(g.predictions().where("daylight"))
 
 
 def draws_sql(source: str, keys: str, sums: dict[str, str], resamples: int,
               blocks: list[int]) -> str:
     """Every resample by summing the rows of its blocks, one by one."""
     listed = ", ".join(f"({b}::BIGINT)" for b in blocks)
-    start = draw_sql(42, "resample", "b", "block_length")
+    start = mixed_sql(42, "resample", "b", "block_length")
     inner = ", ".join(f"sum({e}) AS {n}" for n, e in sums.items())
     on = " AND ".join(f"e.{k.strip()} = p.{k.strip()}" for k in keys.split(","))
     cols = ", ".join(f"p.{k.strip()}" for k in keys.split(","))
@@ -90,17 +97,17 @@ BLOCKS = [1, 16, 48, 96, 192, 384]
 
 @query("block_length_sensitivity", f"""
     SELECT *, block_length * 15 / 60.0 AS block_hours, ci_width / max(ci_width) OVER (
-             PARTITION BY site, horizon) AS relative_width
-    FROM (SELECT site, horizon, block_length, quantile_cont(total / n, 0.025) AS ci_low,
+             PARTITION BY site, horizon, model, series) AS relative_width
+    FROM (SELECT site, horizon, model, series, block_length, quantile_cont(total / n, 0.025) AS ci_low,
             quantile_cont(total / n, 0.975) AS ci_high, count(*) AS n_resamples,
             stddev_samp(total / n) AS se,
             quantile_cont(total / n, 0.975) - quantile_cont(total / n, 0.025) AS ci_width
-          FROM ({draws_sql('best_losses', 'site, horizon', {'total': 'e.d'}, 500, BLOCKS)})
-          GROUP BY site, horizon, block_length)""",
+          FROM ({draws_sql('best_differentials', 'site, horizon, model, series', {'total': 'e.d'}, 500, BLOCKS)})
+          GROUP BY site, horizon, model, series, block_length)""",
        doubles="ci_low ci_high se ci_width block_hours relative_width")
 def block_length_sensitivity(g: Given):
     return inference.block_length_sensitivity(
-        _best_losses(g), keys=["site", "horizon"], blocks=BLOCKS, n_resamples=500)
+        _best_losses(g).where("series <> 'error'"), keys=BEST_KEYS, blocks=BLOCKS, n_resamples=500)
 
 
 @query("loss_differentials", """
@@ -222,36 +229,37 @@ def acf_sql(max_lag: int) -> str:
     lags = ", ".join(f"lag(c, {k}) OVER w AS l{k}" for k in range(1, max_lag + 1))
     sums = ", ".join(f"coalesce(sum(c * l{k}), 0)" for k in range(1, max_lag + 1))
     return f"""
-    SELECT site, horizon, n, unnest(range({max_lag + 1})) AS lag, unnest(v) AS s, s0
-    FROM (SELECT site, horizon, count(*) AS n, sum(c * c) AS s0, [sum(c * c), {sums}] AS v
-          FROM (SELECT *, {lags} FROM (SELECT *, d - avg(d) OVER (PARTITION BY site, horizon) AS c
+    SELECT site, horizon, model, series, n, unnest(range({max_lag + 1})) AS lag, unnest(v) AS s, s0
+    FROM (SELECT site, horizon, model, series, count(*) AS n, sum(c * c) AS s0, [sum(c * c), {sums}] AS v
+          FROM (SELECT *, {lags} FROM (SELECT *, d - avg(d) OVER (PARTITION BY site, horizon, series) AS c
                                        FROM best_losses)
-                WINDOW w AS (PARTITION BY site, horizon ORDER BY pos)) GROUP BY site, horizon)"""
+                WINDOW w AS (PARTITION BY site, horizon, series ORDER BY pos)) GROUP BY site, horizon, model, series)"""
 
 
 @query("autocorrelation", f"""
-    SELECT site, horizon, n, lag, CASE WHEN lag < n AND s0 > 0 THEN s / s0 END AS autocorrelation,
+    SELECT site, horizon, model, series, n, lag, CASE WHEN lag < n AND s0 > 0 THEN s / s0 END AS autocorrelation,
            lag * 15 / 60.0 AS lag_hours FROM ({acf_sql(192)})""", doubles="autocorrelation lag_hours")
 def autocorrelation(g: Given):
-    return inference.autocorrelation(_best_losses(g), max_lag=192, keys=["site", "horizon"])
+    return inference.autocorrelation(_best_losses(g), max_lag=192, keys=BEST_KEYS)
 
 
 @query("effective_sample_size", f"""
-    SELECT site, horizon, n, tau AS integrated_autocorrelation_time, n / tau AS effective_sample_size
-    FROM (SELECT site, horizon, n, greatest(1, 1 + 2 * coalesce(sum(r) FILTER (
+    SELECT site, horizon, model, series, n, tau AS integrated_autocorrelation_time, n / tau AS effective_sample_size
+    FROM (SELECT site, horizon, model, series, n, greatest(1, 1 + 2 * coalesce(sum(r) FILTER (
                 CASE WHEN hits = 0 THEN lag = 1 ELSE cut IS NULL OR lag < cut END), 0)) AS tau
           FROM (SELECT *, s / s0 AS r, min(CASE WHEN abs(s / s0) < 0.05 THEN lag END) OVER k AS cut,
                        count(*) FILTER (abs(s / s0) >= 0.05) OVER k AS hits
                 FROM ({acf_sql(192)}) WHERE lag >= 1 AND lag <= n - 2
-                WINDOW k AS (PARTITION BY site, horizon)) GROUP BY site, horizon, n)""",
+                WINDOW k AS (PARTITION BY site, horizon, series)) GROUP BY site, horizon, model, series, n)""",
        doubles="integrated_autocorrelation_time effective_sample_size")
 def effective_sample_size(g: Given):
-    profile = inference.autocorrelation(_best_losses(g), max_lag=192, keys=["site", "horizon"])
-    return inference.effective_sample_size(profile, ["site", "horizon"])
+    profile = inference.autocorrelation(_best_losses(g), max_lag=192, keys=BEST_KEYS)
+    return inference.effective_sample_size(profile, BEST_KEYS)
 
 
 @query("model_comparison", f"""
-    SELECT d.* EXCLUDE (rank, m), r.statistic AS wilcoxon_statistic, r.p_value AS wilcoxon_p,
+    SELECT d.* EXCLUDE (rank, m), p_value_adjusted < 0.05 AS significant_holm,
+           count(DISTINCT significant) OVER (PARTITION BY site, model, horizon) = 1 AS losses_agree, r.statistic AS wilcoxon_statistic, r.p_value AS wilcoxon_p,
            r.effect_size_rank_biserial, r.n_pairs, s.point_estimate AS skill, s.ci_low AS skill_low,
            s.ci_high AS skill_high
     FROM ({HOLM}) d LEFT JOIN ({rank_sql('rank_losses', 'site, model, horizon, loss')}) r
@@ -271,33 +279,55 @@ def best_models(g: Given):
     return inference.best_run(g.predictions().where("daylight"), ["site", "horizon"])
 
 
+ABLATION_INPUTS = ["ghi", "pv_power_w_lag_0"]
+TABLES["ablation_rows"] = """
+    SELECT o.site, horizon, o.split, l.step, l.pv_power_w AS y, l.daylight, o.ghi AS x, o.pv_power_w AS z
+    FROM sky o CROSS JOIN horizons JOIN sky l ON l.site = o.site AND l.split = o.split AND l.step = o.step + h"""
+TABLES["ablation_fits"] = """
+    SELECT *, (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) AS bx, (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) AS bz
+    FROM (SELECT site, horizon, covar_pop(x, y) AS sxy, covar_pop(z, y) AS szy, var_pop(x) AS sxx, var_pop(z) AS szz,
+            covar_pop(x, z) AS sxz, avg(y) AS my, avg(x) AS mx, avg(z) AS mz
+          FROM ablation_rows WHERE split = 'train' GROUP BY site, horizon)"""
 TABLES["ablated"] = """
-    SELECT site, 'reduced' AS model, horizon, step, reference_persistence * 0.5 + 40 - actual AS error,
-           predicted - actual AS reference_error,
-           row_number() OVER (PARTITION BY site, horizon ORDER BY step) AS pos
-    FROM predictions WHERE daylight AND model = 'linear_regression'"""
+    SELECT *, row_number() OVER (PARTITION BY site, horizon, feature_spec ORDER BY step) AS pos
+    FROM (SELECT r.site, r.horizon, s.feature_spec, r.step,
+            my + (CASE s.feature_spec WHEN 'pv_only' THEN szy / szz * (z - mz) ELSE sxy / sxx * (x - mx) END) - y AS error,
+            my + bx * (x - mx) + bz * (z - mz) - y AS reference_error
+          FROM ablation_rows r JOIN ablation_fits USING (site, horizon)
+          CROSS JOIN (VALUES ('pv_only'), ('weather_only')) s(feature_spec)
+          WHERE r.split = 'test' AND r.daylight)"""
 TABLES["ablated_losses"] = """
-    SELECT site, model, horizon, step, pos, 'mae' AS loss, abs(error) - abs(reference_error) AS d FROM ablated
-    UNION ALL SELECT site, model, horizon, step, pos, 'rmse', error ** 2 - reference_error ** 2 FROM ablated"""
+    SELECT site, horizon, feature_spec, step, pos, abs(error) - abs(reference_error) AS d FROM ablated"""
+ABLATED_KEYS = "site, horizon, feature_spec"
 
 
 @query("ablation_tests", f"""
-    SELECT site, model, horizon, loss, statistic, p_value, max(least((m - rank + 1) * p_value, 1.0)) OVER (
-             PARTITION BY site ORDER BY rank ROWS UNBOUNDED PRECEDING) AS p_value_adjusted
-    FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY p_value, site, model, horizon, loss) AS rank,
-                 count(*) OVER (PARTITION BY site) AS m
-          FROM ({dm_sql('ablated_losses', 'site, model, horizon, loss', 1)}))""",
-       doubles="statistic p_value p_value_adjusted")
+    WITH points AS (SELECT {ABLATED_KEYS}, count(*) AS n_daylight, sqrt(avg(error ** 2)) AS rmse,
+                      sqrt(avg(reference_error ** 2)) AS full_rmse FROM ablated GROUP BY {ABLATED_KEYS}),
+    skills AS (SELECT {ABLATED_KEYS}, quantile_cont(1 - sqrt(m / n) / sqrt(r / n), 0.025) AS skill_low,
+                 quantile_cont(1 - sqrt(m / n) / sqrt(r / n), 0.975) AS skill_high
+               FROM ({draws_sql("ablated", ABLATED_KEYS, {"m": "e.error ** 2", "r": "e.reference_error ** 2"}, 2000, [96])})
+               GROUP BY {ABLATED_KEYS}),
+    tests AS (SELECT {ABLATED_KEYS}, statistic, p_value, lag_1_autocorrelation,
+                max(least((m - rank + 1) * p_value, 1.0)) OVER (PARTITION BY site ORDER BY rank ROWS UNBOUNDED PRECEDING)
+                  AS p_value_adjusted
+              FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY p_value, {ABLATED_KEYS}) AS rank,
+                           count(*) OVER (PARTITION BY site) AS m
+                    FROM ({dm_sql("ablated_losses", ABLATED_KEYS, 1)})))
+    SELECT {ABLATED_KEYS}, n_daylight, rmse, full_rmse, 100 * (rmse / full_rmse - 1) AS rmse_increase_pct,
+           1 - rmse / full_rmse AS skill, skill_low, skill_high, statistic, p_value, lag_1_autocorrelation,
+           p_value_adjusted
+    FROM points JOIN skills USING ({ABLATED_KEYS}) JOIN tests USING ({ABLATED_KEYS})""",
+       doubles="rmse full_rmse rmse_increase_pct skill skill_low skill_high statistic p_value "
+               "lag_1_autocorrelation p_value_adjusted", digits=5)
 def ablation_tests(g: Given):
-    """A reduced-input forecast against the same model with all inputs, on the same rows."""
-    from ..operators.resample import paired_forecasts
-    full = g.predictions().where("daylight and model = 'linear_regression'").withColumn(
-        "model", F.lit("reduced"))
-    reduced = full.withColumn("predicted", F.col("reference_persistence") * 0.5 + 40)
-    pairs = paired_forecasts(reduced, full).select(
-        *KEYS, "step", (F.col("predicted") - F.col("actual")).alias("error"),
-        (F.col("predicted_other") - F.col("actual")).alias("reference_error"))
-    dm = inference.diebold_mariano(inference.loss_rows(pairs))
-    # all models, horizons and losses of a site are one family
-    return inference.holm(dm, family=["site"], tie=[*KEYS, "loss"]).select(
-        *KEYS, "loss", "statistic", "p_value", "p_value_adjusted")
+    """Least squares on one input against least squares on both, fitted on the training rows."""
+    _, runs = window_runs(g, ["full", "pv_only", "weather_only"], ABLATION_INPUTS, lookback=1)
+    return inference.ablation_statistics(runs.where("daylight"), keys=["site", "horizon"])
+
+
+@query("window_ablation_tests")
+def window_ablation_tests(g: Given):
+    """Every input set of 24 steps against all 33 inputs: skill, paired test, Holm within a site."""
+    _, runs = window_runs(g, SPECS)
+    return inference.ablation_statistics(g.keep(runs.where("daylight")), keys=["site", "horizon"])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sunledger.functions import bands, clock, scores, solar, stats
+from sunledger.functions import bands, clock, draws, scores, solar, stats
 from sunledger.operators import (clean, conformal, features, forecast, gaps, importance, inference, inputs,
                                  metrics, regimes, resample, sky, strata, supervise, tables,
                                  transfer, validate)
@@ -281,17 +281,45 @@ def test_diebold_mariano_is_the_paired_t_at_one_step(spark):
     assert r.lag_1_autocorrelation == pytest.approx((c[1:] * c[:-1]).sum() / (c * c).sum())
 
 
-def test_bootstrap_reads_the_same_resamples_from_prefix_sums(spark):
+@pytest.mark.parametrize("whole_rows", [1 << 16, 9])
+def test_bootstrap_sums_against_resamples_that_are_built(spark, whole_rows):
+    """One part or many; the draws by their definition in whole numbers."""
     a, b, df = errors(spark, 50)
-    got = inference.resample_sums(df, ["site"], {"t": F.col("error")}, 20, 8, chunk_steps=9)
-    sums = {r.resample: r.t for r in got.collect()}
-    grid = spark.range(20).select(F.col("id").alias("r"), F.explode(F.sequence(
-        F.lit(0), F.lit(6))).alias("b"))
-    starts = {(r.r, r.b): r.d % 43 for r in grid.select("r", "b", draw(
-        42, F.col("r"), F.col("b"), F.lit(8)).alias("d")).collect()}
-    for i in range(20):
-        index = np.concatenate([np.arange(starts[i, k], starts[i, k] + 8) for k in range(7)])[:50]
-        assert sums[i] == pytest.approx(a[index].sum(), abs=1e-9)
+    df = df.unionByName(df.where("step < 15").withColumn("site", F.lit(None).cast("string")))
+    got = {(r.site, r.block_length, r.resample): (r.t, r.n) for r in inference.resample_sums(
+        df, ["site"], {"t": F.col("error")}, 20, [1, 8, 64], whole_rows=whole_rows).collect()}
+    first = df.select("site").first().site
+    assert len(got) == 2 * 3 * 20
+
+    def start(r, k, length):
+        z = 42 + sum(p * m for p, m in zip((r, k, length), draws.MIXERS))
+        for m in draws.MIXERS[:2]:
+            z = (z % 2 ** 64 ^ z % 2 ** 64 >> 32) * m % 2 ** 64
+        return z >> 1
+
+    for site, values in ((first, a), (None, a[:5])):
+        n = len(values)
+        for length in (1, 8, 64):
+            size = min(length, n)
+            for r in range(20):
+                index = np.concatenate([np.arange(size) + start(r, k, length) % (n - size + 1)
+                                        for k in range(-(-n // size))])[:n]
+                assert got[site, length, r] == (pytest.approx(values[index].sum(), abs=1e-9), n)
+
+
+def test_best_model_differs_by_site_and_sites_may_be_null(spark):
+    rows = [(site, m, "1h", t, float(t % 5), float(t % 5) + gap * (-1) ** t, float(t % 5) + 1.5)
+            for site, gaps in (("a", {"x": 1.0, "y": 2.0}), (None, {"x": 3.0, "y": 0.5}))
+            for m, gap in [*gaps.items(), ("persistence", 0.1)] for t in range(40)]
+    frame = spark.createDataFrame(rows, "site string, model string, horizon string, step long, actual double, "
+                                        "predicted double, reference_persistence double")
+    got = inference.best_differentials(frame)
+    assert {(r.site, r.model, r.series) for r in got.collect()} == {
+        (s, m, n) for s, m in (("a", "x"), (None, "y")) for n in ("error", "mae", "rmse")}
+    sums = {(r.site, r.series): r["sum(d)"] for r in got.groupBy("site", "series").sum("d").collect()}
+    assert sums["a", "mae"] == pytest.approx(40 * (1.0 - 1.5)) and sums[None, "rmse"] == pytest.approx(40 * (0.25 - 2.25))
+    profile = inference.autocorrelation(got, max_lag=3, keys=["site", "horizon", "model", "series"])
+    assert profile.count() == 2 * 3 * 4
 
 
 def test_bootstrap_interval_covers_the_point(spark):
@@ -325,13 +353,24 @@ def test_signed_ranks(spark):
                                       abs=3e-7)
 
 
+@pytest.mark.parametrize("size, first, lags", [(1, 0, 5), (700, 0, 192), (900, 30, 17), (40_000, 192, 192)])
+def test_lag_sums_by_transforms_equal_direct_sums(size, first, lags):
+    v = np.random.default_rng(size).normal(0, 1, size)
+    v[size // 2:] *= 1e3
+    want = [sum(v[t] * v[t - k] for t in range(max(first, k), size)) for k in range(min(lags, 6))]
+    got = inference.lag_sums(v, first, lags)
+    assert len(got) == lags + 1 and got[:len(want)] == pytest.approx(want, rel=1e-9, abs=1e-9 * (v @ v))
+    k = min(lags, size - 1)
+    assert got[k] == pytest.approx(v[max(first, k):] @ v[max(first, k) - k:size - k], abs=1e-9 * (v @ v))
+
+
 def test_autocorrelation_and_effective_size(spark):
     rng = np.random.default_rng(1)
     x = np.zeros(300)
     for i in range(1, 300):
         x[i] = 0.7 * x[i - 1] + rng.normal()
     df = series(spark, x, name="d")
-    profile = inference.autocorrelation(df, keys=["site"], max_lag=75, chunk_steps=50)
+    profile = inference.autocorrelation(df, keys=["site"], max_lag=75, whole_rows=50)
     c = x - x.mean()
     want = [(c[k:] * c[:len(c) - k]).sum() / (c * c).sum() for k in range(76)]
     assert listed(profile, "autocorrelation", "lag") == pytest.approx(want)

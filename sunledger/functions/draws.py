@@ -44,3 +44,40 @@ def mixed_sql(seed: int, *parts: str) -> str:
     for factor in MIXERS[:2]:
         z = f"(xor({z}, {z} >> 32) * {factor} % {MASK + 1})"
     return f"({z} >> 1)::BIGINT"
+
+
+ROUNDS = 4
+
+
+def scattered(position: np.ndarray, size: np.ndarray, seed: int, which: np.ndarray) -> np.ndarray:
+    """A pseudo-random permutation of 0 .. size-1 for every ``which``: where each position goes.
+
+    A Feistel network over the next even number of bits; places beyond the size are walked
+    through the network again until they fall inside.
+    """
+    half = np.maximum((np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64) + 1) // 2, 1)
+    mask, out = (np.int64(1) << half) - 1, position.astype(np.int64)
+    todo = np.arange(len(out))
+    while len(todo):
+        h, m, w = half[todo], mask[todo], which[todo]
+        left, right = out[todo] >> h, out[todo] & m
+        for turn in range(ROUNDS):
+            left, right = right, left ^ (mixed(seed, right, np.full(len(todo), turn), w).astype(np.int64) & m)
+        out[todo] = left << h | right
+        todo = todo[out[todo] >= size[todo]]
+    return out
+
+
+def half_bits_sql(size: str) -> str:
+    """Half the bits of the network for a size, at least 1."""
+    return f"greatest((ceil(log2(greatest({size}, 2)))::BIGINT + 1) // 2, 1)"
+
+
+def scattered_sql(seed: int, place: str, half: str, which: str) -> str:
+    """One walk through the network (to be repeated while the result is not below the size)."""
+    left, right = f"({place} >> {half})", f"({place} & ((1::BIGINT << {half}) - 1))"
+    body = f"[{left}, {right}]"
+    for turn in range(ROUNDS):
+        mix = mixed_sql(seed, "s[2]", str(turn), which)
+        body = (f"list_transform([{body}], lambda s: [s[2], xor(s[1], {mix} & ((1::BIGINT << {half}) - 1))])[1]")
+    return f"list_transform([{body}], lambda s: s[1] << {half} | s[2])[1]"

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.draws import ORDER_CHUNK, draw
-from ..plans.chunks import once, with_position
+from ..functions.draws import draw, scattered
+from ..plans.chunks import KEY, boxed, once, unboxed, with_position
+from ..plans.summaries import attached
+from ..session import materialise
 
 Scorer = Callable[[DataFrame], DataFrame]
 CONDITION_SIZE = 400
@@ -17,28 +21,48 @@ def shuffled_pairs(rows: DataFrame, row_id: str, groups: Mapping[str, Sequence[s
                    repeats: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Every row once per (feature, repeat) with that feature's columns from another row.
 
-    Within a key, row number i is paired with the i-th row of a pseudo-random order.
-    All columns of a feature move together. Both numberings and the join spread over
-    position, so a key may hold any share of the rows.
+    Rows of a key are numbered once, in the order of their ids. A keyed permutation of the numbers
+    tells each row to which one it gives its values, so nothing is sorted; what travels per
+    feature and repeat is the feature's own columns. All columns of a feature move together.
+    The join is by key and number, so a key may hold any share of the rows.
     """
-    columns = [c for cs in groups.values() for c in cs]
-    names = F.array(*[F.lit(f) for f in groups])
-    index = F.array_position(names, F.col("feature"))
-    test = [*keys, "feature", "repeat"]
-
-    def fan(df: DataFrame) -> DataFrame:
-        return df.withColumn("feature", F.explode(names)).withColumn(
-            "repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-
-    plain = fan(with_position(rows, keys, row_id, "_pos"))
-    donors = once(fan(rows), {"_order": draw(seed, F.col(row_id), F.col("repeat"), index)})
-    donors = with_position(donors.select(*test, "_order", *[F.col(c).alias(f"_d_{c}")
-                                                            for c in columns]),
-                           test, "_order", "_pos", ORDER_CHUNK)
-    paired = plain.join(donors.drop("_order"), [*test, "_pos"])
-    swapped = {c: F.when(F.col("feature") == f, F.col(f"_d_{c}")).otherwise(F.col(c))
-               for f, cs in groups.items() for c in cs}
-    return paired.withColumns(swapped).drop("_pos", *[f"_d_{c}" for c in columns])
+    columns = list(dict.fromkeys(c for cs in groups.values() for c in cs))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    numbered = attached(with_position(rows, keys, row_id, "_pos"), sizes, keys)
+    numbered = materialise(boxed(numbered, keys), "numbered")
+    places = {f: [columns.index(c) for c in cs] for f, cs in groups.items()}
+    kind = numbered.schema[KEY].dataType.simpleString()
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = batch.column("_pos").to_numpy() - 1
+            size = batch.column("_size").to_numpy()
+            values = [batch.column(f"_v{i}") for i in range(len(columns))]
+            for index, (feature, own) in enumerate(places.items(), 1):
+                flat = np.column_stack([values[i].to_numpy(zero_copy_only=False) for i in own]).ravel()
+                moved = pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, len(flat) + 1, len(own)), pa.int32()), pa.array(flat, from_pandas=True))
+                for repeat in range(repeats):
+                    which = np.full(len(number), index * repeats + repeat)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(KEY), pa.array(scattered(number, size, seed, which) + 1),
+                         pa.array([feature] * len(number), pa.string()),
+                         pa.array(np.full(len(number), repeat, np.int32)), moved],
+                        names=[KEY, "_pos", "feature", "repeat", "_moved"])
+
+    given = numbered.select(KEY, "_pos", "_size", *[F.col(c).cast("double").alias(f"_v{i}")
+                                                    for i, c in enumerate(columns)])
+    given = given.mapInArrow(give, f"{KEY} {kind}, _pos bigint, feature string, repeat int, _moved array<double>")
+    paired = numbered.drop("_size").join(given, [KEY, "_pos"])
+    swapped = {}
+    for c in columns:
+        value = F.col(c)
+        for f, cs in groups.items():
+            if c in cs:
+                value = F.when(F.col("feature") == f, F.col("_moved")[list(cs).index(c)].cast(
+                    rows.schema[c].dataType)).otherwise(value)
+        swapped[c] = value
+    return unboxed(paired.withColumns(swapped).drop("_pos", "_moved"), keys, rows.columns)
 
 
 def permutation_importance(rows: DataFrame, scorer: Scorer, row_id: str, actual: str,

@@ -377,8 +377,8 @@ def complete_sql(body: str) -> str:
     body = body.strip()
     if not parts:
         return body
-    if re.match(r"WITH\b", body, re.I):
-        return "WITH " + ",\n".join(parts) + ",\n" + body[4:].lstrip()
+    if begun := re.match(r"WITH( RECURSIVE)?\b", body, re.I):
+        return begun[0] + " " + ",\n".join(parts) + ",\n" + body[begun.end():].lstrip()
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 from ..operators import features, forecast, importance, metrics, supervise, tables, windowed
 from ..plans.chunks import over_halo
 from ..schema import FEATURE_REGIME_ORDER, LOOKBACK_STEPS, MODEL_INPUTS
+from ..functions.draws import half_bits_sql, scattered_sql
 from .base import TABLES, Given, query
 from .preparation import SPECS
 
@@ -266,7 +267,6 @@ def _linear_scorer(df):
 
 
 PERMUTED = ["visitor", "hour", "kind"]
-LINEAR = "(0.1 * {q} + 2.0 * {d} - 0.5 * {t})"
 
 
 def draw_sql(seed: int, *parts: str) -> str:
@@ -274,48 +274,60 @@ def draw_sql(seed: int, *parts: str) -> str:
     return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
 
 
-def _permutation_sql(keys: str, least: int) -> str:
+def permutation_sql(source: str, row_id: str, keys: str, least: int, features: dict[str, str],
+                    predicted: str) -> str:
+    """Permutation importance of ``features`` (name: column) of rows with ``actual``.
+
+    ``predicted`` holds every column in braces.
+    """
     part = f"{keys}, " if keys else ""
-    order = draw_sql(42, "row_id", "r", "i")
+    names = list(features)
+    listed = ", ".join(f"({i}, '{n}')" for i, n in enumerate(names, 1))
+    base = predicted.format(**{c: c for c in features.values()})
+    swapped = predicted.format(**{c: f"(CASE WHEN d.i = {i} THEN d.{c} ELSE b.{c} END)"
+                                  for i, c in enumerate(features.values(), 1)})
+    on = " AND ".join([*[f"b.{k.strip()} = d.{k.strip()}" for k in keys.split(",") if k.strip()],
+                       "b.pos = d.place + 1"])
+    own = "".join(f"b.{k.strip()}, " for k in keys.split(",") if k.strip())
     return f"""
-    WITH base AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {part} 1) AS n_windows,
-                  avg(abs({LINEAR.format(q='visitor', d='hour', t='kind')} - actual))
-                    OVER (PARTITION BY {part} 1) AS baseline_mae,
-                  row_number() OVER (PARTITION BY {part} 1 ORDER BY row_id) AS pos FROM visits)
-                  ),
-    donors AS (SELECT *, row_number() OVER (PARTITION BY {part} i, r ORDER BY
-                 {order}) AS dpos
-               FROM base CROSS JOIN (VALUES (1, 'visitor'), (2, 'hour'), (3, 'kind')) f(i, feature)
-               CROSS JOIN (SELECT unnest(range(10)) AS r) t),
-    moved AS (SELECT {part.replace(keys, 'b.' + keys) if keys else ''} d.feature, d.r,
-                b.baseline_mae, b.n_windows,
-                avg(abs({LINEAR.format(q="CASE WHEN d.i = 1 THEN d.visitor ELSE b.visitor END",
-                                       d="CASE WHEN d.i = 2 THEN d.hour ELSE b.hour END",
-                                       t="CASE WHEN d.i = 3 THEN d.kind ELSE b.kind END")} - b.actual)) AS m
-              FROM base b JOIN donors d ON {'b.' + keys + ' = d.' + keys + ' AND' if keys else ''} b.pos = d.dpos
-              GROUP BY ALL),
+    WITH RECURSIVE base AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {part} 1) AS n_windows,
+                  avg(abs({base} - actual)) OVER (PARTITION BY {part} 1) AS baseline_mae,
+                  row_number() OVER (PARTITION BY {part} 1 ORDER BY {row_id}) AS pos FROM {source})),
+    walk AS (
+        SELECT *, {scattered_sql(42, 'pos - 1', 'half', 'i * 10 + r')} AS place
+        FROM (SELECT {part} pos, n_windows AS n, {half_bits_sql('n_windows')} AS half, i, feature, r,
+                     {', '.join(features.values())}
+              FROM base CROSS JOIN (VALUES {listed}) f(i, feature)
+              CROSS JOIN (SELECT unnest(range(10)) AS r) t)
+        UNION ALL
+        SELECT * REPLACE ({scattered_sql(42, 'place', 'half', 'i * 10 + r')} AS place) FROM walk WHERE place >= n),
+    moved AS (SELECT {own} d.feature, d.r, b.baseline_mae, b.n_windows, avg(abs({swapped} - b.actual)) AS m
+              FROM base b JOIN walk d ON {on} WHERE d.place < d.n GROUP BY ALL),
     table_ AS (SELECT {part} feature, baseline_mae, n_windows, avg(m - baseline_mae) AS mean_mae_increase,
                  coalesce(stddev_samp(m - baseline_mae), 0) AS std_mae_increase, count(*) AS n_repeats
                FROM moved GROUP BY ALL)
-    SELECT *, n_windows < {least} AS under_sampled, mean_mae_increase / baseline_mae AS relative_increase,
+    SELECT *, n_windows < {least} AS under_sampled,
+           CASE WHEN baseline_mae > 0 THEN mean_mae_increase / baseline_mae END AS relative_increase,
            CASE WHEN sum(greatest(mean_mae_increase, 0)) OVER (PARTITION BY {part} 1) > 0
                 THEN greatest(mean_mae_increase, 0) / sum(greatest(mean_mae_increase, 0)) OVER (PARTITION BY {part} 1)
                 ELSE 0 END AS relative_importance
     FROM table_"""
 
 
+VISIT_FEATURES = {c: c for c in PERMUTED}
+VISIT_SCORE = "(0.1 * {visitor} + 2.0 * {hour} - 0.5 * {kind})"
 PERMUTATION_DOUBLES = ("baseline_mae mean_mae_increase std_mae_increase relative_increase "
                        "relative_importance")
 
 
-@query("permutation_importance", _permutation_sql("", 400), doubles=PERMUTATION_DOUBLES, digits=4)
+@query("permutation_importance", permutation_sql("visits", "row_id", "", 400, VISIT_FEATURES, VISIT_SCORE), doubles=PERMUTATION_DOUBLES, digits=4)
 def permutation_importance(g: Given):
     return importance.permutation_importance(
         g.visits(), _linear_scorer, "row_id", "actual", {c: [c] for c in PERMUTED})
 
 
-@query("permutation_by_condition", _permutation_sql("site", 400), doubles=PERMUTATION_DOUBLES,
-       digits=4)
+@query("permutation_by_condition", permutation_sql("visits", "row_id", "site", 400, VISIT_FEATURES, VISIT_SCORE),
+       doubles=PERMUTATION_DOUBLES, digits=4)
 def permutation_by_condition(g: Given):
     return importance.permutation_importance(
         g.visits(), _linear_scorer, "row_id", "actual", {c: [c] for c in PERMUTED}, keys=["site"])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import materialise, use_utc
+from ..session import scratch_path, use_utc
 
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
@@ -19,9 +21,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WITHIN: list[list[str]] = []
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends there."""
-    return materialise(df, label)
+    path = scratch_path(df.sparkSession, label)
+    if _WITHIN:
+        _WITHIN[-1].append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@contextmanager
+def noted():
+    """The folders that ``kept`` writes inside."""
+    _WITHIN.append([])
+    try:
+        yield _WITHIN[-1]
+    finally:
+        _WITHIN.pop()
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of the shared folder that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast when it has few enough rows (16 to 40
+    MB); larger ones are joined by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def raw(column: str) -> Column:

@@ -72,44 +72,84 @@ def targets(docs: DataFrame, weights: Sequence[float], max_epochs: int) -> DataF
         F.col("_cap"), F.col("_weight") * F.lit(level)).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, weights: Sequence[float] = WEIGHTS,
-        max_epochs: int = 3, seed: int = 42, rows_per_range: int = 10_000) -> DataFrame:
-    """All rows of ``docs`` with ``size, source_size, target, taken``."""
+def _placed(docs: DataFrame, size: Column | None, seed: int) -> tuple[DataFrame, dict[str, str], str]:
+    """Rows with ``_size, _source, _key, _tie`` beside the columns, whose names meet no other."""
     counted = unused(docs, "_size")
     size = F.regexp_count("text", F.lit(WORD)) if size is None else size
     rows, names = aside(docs.withColumn(counted, F.coalesce(size, F.lit(0)).cast("long")),
                         "doc_id", "text", "source")
-    carried = [F.col(n).alias(c) for c, n in names.items()
-               if c.lower() not in RESULT and c != counted]
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11)
-    rows = rows.withColumns({
-        "size": F.col(names[counted]), "_source": F.col("source"),
-        "_key": key, "_tie": F.xxhash64("text", F.lit(seed))})
-    by_source = kept(targets(rows, weights, max_epochs), "targets")
-    budget = F.least(F.col("source_size") * max_epochs, F.floor(F.col("target") + 0.5))
+    return rows.withColumns({
+        "_size": F.col(names[counted]), "_source": F.col("source"),
+        "_key": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11),
+        "_tie": F.xxhash64("text", F.lit(seed))}), names, counted
+
+
+def mix_plan(narrow: DataFrame, weights: Sequence[float], max_epochs: int, rows_per_range: int) -> DataFrame:
+    """One row per source: its size and target, the epochs that all its rows get, and the row at which
+    one epoch more ends: its place, what the rows before it hold, and how often it stands there."""
+    by_source = kept(targets(narrow.withColumnRenamed("_size", "size"), weights, max_epochs), "targets")
+    budget = F.least(F.col("source_size") * max_epochs, F.floor(F.col("target") + 0.5)).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    ranges = F.ceil(F.col("_rows") / rows_per_range)
-    plan = by_source.withColumns({"_budget": budget, "_epochs": epochs, "_ranges": ranges})
-    rows = rows.join(plan.withColumnRenamed("_source", "_of"),
-                     F.col("_source").eqNullSafe(F.col("_of")))
-    rows = rows.withColumn("_range", F.floor(
-        F.col("_key") / F.lit(float(1 << 53)) * F.col("_ranges")))
-    earlier = Window.partitionBy("_of").orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1)
-    starts = (rows.groupBy("_of", "_range").agg(F.sum("size").alias("_in"))
-              .select(F.col("_of").alias("_of2"), F.col("_range").alias("_range2"),
-                      F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_start")))
-    rows = rows.join(starts, F.col("_of").eqNullSafe(F.col("_of2"))
-                     & (F.col("_range") == F.col("_range2")))
-    inside = (Window.partitionBy("_of", "_range").orderBy("_key", "doc_id", "_tie", "size")
+    plan = by_source.withColumns({"_epochs": epochs, "_ranges": F.ceil(F.col("_rows") / rows_per_range)}) \
+        .withColumn("_rest", budget - F.col("_epochs") * F.col("source_size")).withColumnRenamed("_source", "_of")
+    rows = narrow.join(plan, F.col("_source").eqNullSafe(F.col("_of"))).withColumn(
+        "_range", F.floor(F.col("_key") / F.lit(float(1 << 53)) * F.col("_ranges")))
+    earlier = Window.partitionBy("_of").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("_of", "_range", "_rest").agg(F.sum("_size").alias("_in")).withColumn(
+        "_start", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
+    last = kept(ranges.where("_start <= _rest AND _rest < _start + _in").select(
+        F.col("_of").alias("_cut_of"), F.col("_range").alias("_cut_range"), "_start"), "cuts")
+    inside = (Window.partitionBy("_of", "_range").orderBy("_key", "doc_id", "_tie")
               .rowsBetween(Window.unboundedPreceding, -1))
-    before = F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    rest = F.col("_budget") - F.col("_epochs") * F.col("source_size")
-    taken = F.col("_epochs") * F.col("size") + F.greatest(
-        F.lit(0), F.least(F.col("size"), rest - before))
-    return rows.withColumn("taken", taken.cast("long")).select(*carried, *RESULT)
+    place = F.struct("_key", "doc_id", "_tie")
+    own = rows.join(last, F.col("_of").eqNullSafe(F.col("_cut_of")) & (F.col("_range") == F.col("_cut_range")))
+    before = F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
+    own = own.select("_of", "_rest", "_size", place.alias("_cut"), before.alias("_before"))
+    cuts = own.groupBy("_of", "_rest", "_cut", "_size").agg(
+        F.min("_before").alias("_before"), F.count(F.lit(1)).alias("_copies")).where(
+        "_before <= _rest AND _rest < _before + _size * _copies")
+    cuts = cuts.select(F.col("_of").alias("_cut_of"), "_cut", "_before", "_copies")
+    return kept(plan.join(cuts, F.col("_of").eqNullSafe(F.col("_cut_of")), "left")
+                .drop("_cut_of", "_ranges", "_rows"), "plan")
+
+
+def taken_by(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with the columns of the plan and ``taken``. Only rows that are repeated at a cut are
+    numbered; they are equal in id and text, so it does not matter which of them is whole."""
+    rows = rows.join(plan, F.col("_source").eqNullSafe(F.col("_of")))
+    place = F.struct("_key", "doc_id", "_tie")
+    whole = F.col("_epochs") * F.col("_size")
+
+    def at_cut(copy: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_before") - copy * F.col("_size")))
+
+    side = F.when(F.col("_cut").isNull(), F.lit(1)).when(place < F.col("_cut"), -1).when(place == F.col("_cut"), 0).otherwise(1)
+    extra = F.when(side < 0, F.col("_size")).when(side > 0, F.lit(0)).otherwise(at_cut(F.lit(0)))
+    if plan.where("_copies > 1").isEmpty():
+        return rows.withColumn("taken", (whole + extra).cast("long"))
+    repeated = (side == 0) & (F.col("_copies") > 1)
+    alone = rows.where(~repeated).withColumn("taken", (whole + extra).cast("long"))
+    copy = F.row_number().over(Window.partitionBy("_of").orderBy("_key")) - 1
+    return alone.unionByName(rows.where(repeated).withColumn("_n", copy).withColumn(
+        "taken", (whole + at_cut(F.col("_n"))).cast("long")).drop("_n"))
+
+
+def mix(docs: DataFrame, size: Column | None = None, weights: Sequence[float] = WEIGHTS,
+        max_epochs: int = 3, seed: int = 42, rows_per_range: int = 10_000) -> DataFrame:
+    """All rows of ``docs`` with ``size, source_size, target, taken``.
+
+    Sizes, keys and sources are written once; prefix sums and cuts work on those alone, and the
+    documents stay where they are.
+    """
+    rows, names, counted = _placed(docs, size, seed)
+    narrow = kept(rows.select("doc_id", "_source", "_size", "_key", "_tie"), "narrow")
+    plan = mix_plan(narrow, weights, max_epochs, rows_per_range)
+    carried = [F.col(n).alias(c) for c, n in names.items() if c.lower() not in RESULT and c != counted]
+    return taken_by(rows, plan).select(*carried, F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
 def op5_mix_sources(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", *RESULT)
+    rows, _, _ = _placed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), None, 42)
+    narrow = kept(rows.select("doc_id", "_source", "_size", "_key", "_tie"), "narrow")
+    mixed = taken_by(narrow, mix_plan(narrow, WEIGHTS, 3, 10_000))
+    return mixed.select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")

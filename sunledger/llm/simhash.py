@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import aside, kept, raw, record_batch, table, unused
+from .common import aside, kept, raw, record_batch, small_side, table, unused
 from .components import components
 
 SHINGLE, BITS = 3, 3
@@ -224,15 +224,15 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> Da
     return survivors(docs, near_duplicates(docs.select("doc_id", "text"), shingle, bits))
 
 
-def survivors(docs: DataFrame, found: DataFrame) -> DataFrame:
+def survivors(docs: DataFrame, found: DataFrame, nulls_first: bool = False) -> DataFrame:
     """One row of ``docs`` of every component; ``found`` has ``doc_id, th, root`` of each row.
 
-    First by id, nulls last, then by the hash of the text, then by the hash of the whole row.
+    First by id, nulls last (or first), then by the hash of the text, then by the hash of the whole row.
     Rows equal in all of these are the same row, so any of them may stand for the others and a
     task that is run again gives the same result.
     """
     texts = found.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
-    texts = kept(texts.withColumn("place", F.struct(F.col("doc_id").isNull().alias("last"),
+    texts = kept(texts.withColumn("place", F.struct((F.col("doc_id").isNull() != F.lit(nulls_first)).alias("last"),
                                                     "doc_id", "th")), "texts")
     first = kept(texts.groupBy("root").agg(F.min("place").alias("first")), "first")
     judged = kept(texts.join(first, "root").select(
@@ -242,7 +242,7 @@ def survivors(docs: DataFrame, found: DataFrame) -> DataFrame:
     here = F.xxhash64("text")
 
     def of(frame: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
-        chosen = chosen.select("_of_id", "_of_th")
+        chosen = small_side(chosen.select("_of_id", "_of_th"))
         return frame.join(chosen, frame["doc_id"].eqNullSafe(chosen["_of_id"])
                           & here.eqNullSafe(chosen["_of_th"]), how)
 

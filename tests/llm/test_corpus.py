@@ -188,8 +188,7 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("sample", [20_000, 5])
-def test_similar_against_all_pairs(spark, sample):
+def test_similar_against_all_pairs(spark):
     rows = near_copies() + [(1000 + i, t) for i, t, *_ in ROWS if i is not None]
     sets = five_word_sets([t for _, t in texts_of(rows)])
     near = [(i, j) for i in range(len(sets)) for j in range(i)
@@ -200,12 +199,33 @@ def test_similar_against_all_pairs(spark, sample):
         want[root].append(i)
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = defaultdict(list)
-    for r in similar.near_duplicates(frame, sample=sample).collect():
+    for r in similar.near_duplicates(frame).collect():
         got[r["root"]].append(r["doc_id"])
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     assert 12 < len(near) and len(set(roots)) < len(rows) - 12
 
 
+def test_near_copies_are_judged_by_their_texts_before_line_dedup(spark):
+    """A changed copy of a document of many lines leaves nothing behind; fragments alone are not similar."""
+    rng = random.Random(4)
+
+    def page(i):
+        return [f"line {i} {n} " + " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(8)) for n in range(20)]
+
+    whole, other, alone = page(1), page(2), page(3)
+    changed = [*whole[:6], "a line of its own that the copy has", *whole[7:]]
+    texts = [whole, changed, other, alone, [*other, "and one line more than before"]]
+    rows = [(i, "\n".join(t), "en", "a", 100 + i) for i, t in enumerate(texts)] + [(None, "\n".join(alone), "en", "a", 7)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    left = lines.without_duplicate_lines(frame)
+    assert left.where("doc_id = 1").first()["text"].strip() == "a line of its own that the copy has"
+    assert {r["doc_id"] for r in similar.one_of_each(left).collect()} == {0, 1, 2, 3, 4, None}
+    kept_ids = {r["doc_id"] for r in similar.one_of_each(left, frame).collect()}
+    assert kept_ids == {0, 2, None}  # null ids are first in line dedup, so the row without id has the lines
+    strange = frame.withColumn("n_chars", F.lit(1).cast("bigint"))
+    assert similar.one_of_each(left, strange).count() == 6  # not the same documents
+
+
 def test_stage_links_by_similarity(spark):
     rows = near_copies()
     fps = fingerprints_of([t for _, t in texts_of(rows)])
@@ -214,7 +234,7 @@ def test_stage_links_by_similarity(spark):
             if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
     assert any((fps[i] ^ fps[j]).bit_count() > 3 for i, j in near)  # out of reach of op2's settings
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
-    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()}
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, FOLDER).collect()}
     assert left == set(union_find(len(rows), near))
 
 
@@ -440,8 +460,9 @@ def test_pipeline_stages(spark):
         if name == "language_id":
             assert docs.count() >= 0.98 * before
         if name == "near_duplicates":
-            fps = fingerprints_of([t for _, t in texts_of(docs.select("doc_id", "text").collect())])
-            assert not any((a ^ b).bit_count() <= 3 for i, a in enumerate(fps) for b in fps[:i])
+            whole = dict(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect())
+            sets = five_word_sets([(whole[r[0]] or "").encode() for r in docs.select("doc_id").collect()])
+            assert not any(5 * len(a & b) >= 4 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
         if name == "decontamination":
             assert decontamination.find_windows(docs, items).where("size(hit_words) > 0").count() == 0
     assert docs.where("taken <= 0 OR taken > 3 * size").count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import clock, solar
 from ..plans.chunks import once
 from ..plans.ranks import at_share, order_statistics
-from ..plans.summaries import sized
+from ..plans.summaries import attached
 from ..schema import SCALE_MIN_ROWS, SCALE_QUANTILE
 
 SITE = ["site"]
@@ -75,7 +75,7 @@ def clear_sky_scale(df: DataFrame, in_train: Column, keys: Sequence[str] = SITE,
 
 
 def apply_scale(df: DataFrame, scales: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
-    return df.join(sized(scales.select(*keys, "scale")), list(keys)).withColumn(
+    return attached(df, scales.select(*keys, "scale"), keys).withColumn(
         "clear_sky_index", solar.scaled_clearness(F.col("clear_sky_index_raw"), F.col("scale"))
     ).drop("scale")
 

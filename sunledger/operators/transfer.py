@@ -2,109 +2,177 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import scores
 from ..functions.stats import skill
-from ..plans.summaries import sized
+from ..plans.summaries import attached, sized
 from ..schema import EPS
+from ..session import materialise
+from .inputs import cross_products
 
 PROTOCOLS = ("within_site", "cross_site", "leave_one_site_out")
 FOLD = ["protocol", "test_site"]
 
 
-def _roles(panel: Sequence[str], primary: str) -> Column:
-    """(protocol, test_site) pairs that the row's site trains for."""
-    sites = F.array(*[F.lit(s) for s in panel])
-    others = F.filter(sites, lambda s: s != F.col("site"))
+NAMED_SITES = 50  # a fold of more training sites is described, not listed
 
-    def as_folds(protocol: str, tests: Column) -> Column:
-        return F.transform(tests, lambda s: F.struct(F.lit(protocol).alias("protocol"),
-                                                     s.alias("test_site")))
-    none = F.filter(sites, lambda s: F.lit(False))
-    return F.concat(
-        as_folds("within_site", F.array(F.col("site"))),
-        as_folds("cross_site", F.when(F.col("site") == primary, others).otherwise(none)),
-        as_folds("leave_one_site_out", others))
 
+def panel_of(rows: DataFrame) -> DataFrame:
+    """The sites of the data, one row each; rows without a site are one as well."""
+    return rows.select("site").distinct()
 
-def fold_members(sites: DataFrame, panel: Sequence[str], primary: str) -> DataFrame:
-    """(protocol, test_site, site) rows: which site trains for which fold.
 
-    ``panel`` is the declared list of stations, a configuration value; the table has one
-    row per pair of stations, never per reading.
-    """
-    listed = sites.where(F.col("site").isin(list(panel))).select("site").distinct()
-    return listed.select("site", F.inline(_roles(panel, primary)))
+def fold_table(rows: DataFrame, primary: str) -> DataFrame:
+    """One row per fold with its training sites: every site on itself, the primary one on every
+    other site, and all other sites on each. Folds are linear in the number of sites."""
+    sites = sized(panel_of(rows))
+    told = sites.agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("site")), 1, NAMED_SITES + 1)
+                     .alias("names")).first()
+    n = F.lit(told["n"]).cast("long")
+    listed = F.array(*[F.lit(s) for s in told["names"]]).cast("array<string>")
+    names = F.array_join(F.filter(listed, lambda s: ~s.eqNullSafe(F.col("site"))), ", ") \
+        if told["n"] - 1 <= NAMED_SITES else \
+        F.concat(F.lit("all sites but "), F.coalesce("site", F.lit("the unnamed one")))
+    first = ~F.col("site").eqNullSafe(F.lit(primary))
+
+    def fold(protocol: str, size: Column, members: Column, there: Column) -> Column:
+        return F.struct(F.lit(protocol).alias("protocol"), size.alias("n_train_sites"),
+                        members.alias("train_sites"), there.alias("_is"))
+
+    one = F.lit(1).cast("long")
+    folds = F.array(
+        fold("within_site", one, F.col("site"), F.lit(True)),
+        fold("cross_site", one, F.lit(primary), first & F.lit(not sites.where(F.col("site") == primary).isEmpty())),
+        fold("leave_one_site_out", n - 1, names, n > 1))
+    return sites.select(F.col("site").alias("test_site"), F.inline(folds)).where("_is") \
+        .select(*FOLD, "n_train_sites", "train_sites")
 
 
-def fold_table(sites: DataFrame, panel: Sequence[str], primary: str) -> DataFrame:
-    """One row per fold with its training sites."""
-    members = fold_members(sites, panel, primary)
-    return members.groupBy(*FOLD).agg(
-        F.count(F.lit(1)).alias("n_train_sites"),
-        F.array_join(F.array_sort(F.collect_list("site")), ", ").alias("train_sites"))
+def _added(kind: T.DataType, a: Column, b: Column, sign: int) -> Column:
+    if isinstance(kind, T.ArrayType):
+        return F.zip_with(a, b, lambda x, y: x + sign * y)
+    return a + sign * b
 
 
-def pooled_scalers(train: DataFrame, panel: Sequence[str], primary: str,
-                   columns: Sequence[str]) -> DataFrame:
-    """Mean and population deviation per fold from the training sites' training rows.
+def fold_sums(sums: DataFrame, sites: DataFrame, primary: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Sums of every fold's training rows from the sums of every site.
 
-    Readings are summed once per site; only those sums are spread over the folds.
+    ``sums`` has one row per site and key; all other columns are numbers, or arrays of numbers of one
+    length, that add up. All sites but one are the total less that one, so each sum is read twice, not
+    once per fold. Sites of the data without training rows are tested all the same.
     """
+    values = [c for c in sums.columns if c not in ("site", *keys)]
+    kinds = {c: sums.schema[c].dataType for c in values}
+    own = materialise(sums, "site_sums")
+
+    whole = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sites"), *[
+        F.sum(c).alias(c) for c in values if not isinstance(kinds[c], T.ArrayType)])
+    for c in values:  # arrays add up place by place
+        if isinstance(kinds[c], T.ArrayType):
+            parts = own.select(*keys, F.posexplode(c).alias("_at", "_x")).groupBy(*keys, "_at").agg(
+                F.sum("_x").alias("_x")).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(
+                    F.struct("_at", "_x"))), lambda s: s["_x"]).alias(c))
+            whole = attached(whole, parts, keys)
+    tests = sized(panel_of(sites))
+    # every site under every key (horizon, column) of the sums: linear in the sites
+    every = attached(tests.crossJoin(F.broadcast(own.select(*keys).distinct())) if keys else tests,
+                     own.withColumnsRenamed({c: f"_own_{c}" for c in values}), ["site", *keys])
+    every = attached(every, whole, keys) if keys else every.crossJoin(F.broadcast(whole))
+    lead = own.where(F.col("site") == primary).select(*keys, *[F.col(c).alias(f"_lead_{c}") for c in values])
+    every = attached(every, lead, keys) if keys else every.join(F.broadcast(lead), F.lit(True), "left")
+    has = F.col(f"_own_{values[0]}").isNotNull()
+
+    def part(protocol: str, is_one: Column, of) -> Column:
+        return F.struct(F.lit(protocol).alias("protocol"), *[of(c).alias(c) for c in values], is_one.alias("_is"))
+
+    def rest(c: str) -> Column:
+        return F.when(has, _added(kinds[c], F.col(c), F.col(f"_own_{c}"), -1)).otherwise(F.col(c))
+
+    folds = F.array(
+        part("within_site", has, lambda c: F.col(f"_own_{c}")),
+        part("cross_site", ~F.col("site").eqNullSafe(F.lit(primary)) & F.col(f"_lead_{values[0]}").isNotNull(),
+             lambda c: F.col(f"_lead_{c}")),
+        part("leave_one_site_out", F.col("_sites") > has.cast("int"), rest))
+    return every.select(F.col("site").alias("test_site"), *keys, F.inline(folds)).where("_is") \
+        .select("protocol", "test_site", *keys, *values)
+
+
+def pooled_scalers(train: DataFrame, sites: DataFrame, primary: str, columns: Sequence[str]) -> DataFrame:
+    """Mean and population deviation per fold from the training sites' training rows."""
     sums = train.groupBy("site").agg(
         *[e.alias(f"_{s}_{i}") for i, c in enumerate(columns) for s, e in (
-            ("n", F.count(c)), ("m", F.avg(c)), ("v", F.var_pop(c)))])
+            ("n", F.count(c)), ("x", F.sum(F.col(c).cast("double"))), ("q", F.sum(F.col(c).cast("double") * F.col(c))))])
     long = sums.select("site", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"_n_{i}").alias("n"),
-                 F.col(f"_m_{i}").alias("m"), F.col(f"_v_{i}").alias("v"))
-        for i, c in enumerate(columns)])))
-    spread = long.where(F.col("site").isin(list(panel))).select(
-        "*", F.inline(_roles(panel, primary)))
-    n, m, v = F.col("n"), F.col("m"), F.col("v")
-    return spread.groupBy(*FOLD, "column").agg(
-        F.sum("n").alias("n_rows"), (F.sum(n * m) / F.sum(n)).alias("mean"),
-        F.sum(n * (v + m * m)).alias("_square")).withColumn(
-        "std", F.sqrt(F.greatest(F.col("_square") / F.col("n_rows")
-                                 - F.col("mean") * F.col("mean"), F.lit(0.0)))).drop("_square")
-
-
-def pooled_simple_fits(train: DataFrame, panel: Sequence[str], primary: str, x: str, y: str,
-                       keys: Sequence[str] = ("horizon",)) -> DataFrame:
-    """One-input least squares of every fold from per-site sums.
-
-    Each site's rows keep to their own site, so no label or window crosses a seam.
+        F.struct(F.lit(c).alias("column"), F.col(f"_n_{i}").alias("n_rows"), F.coalesce(f"_x_{i}", F.lit(0.0)).alias("x"),
+                 F.coalesce(f"_q_{i}", F.lit(0.0)).alias("q")) for i, c in enumerate(columns)])))
+    n, mean = F.col("n_rows"), F.col("x") / F.col("n_rows")
+    return fold_sums(long, sites, primary, ["column"]).where("n_rows > 0").select(
+        *FOLD, "column", "n_rows", mean.alias("mean"),
+        F.sqrt(F.greatest(F.col("q") / n - mean * mean, F.lit(0.0))).alias("std"))
+
+
+def pooled_fits(train: DataFrame, sites: DataFrame, primary: str, inputs: Sequence[str], target: str,
+                keys: Sequence[str] = ("horizon",)) -> DataFrame:
+    """Least squares of every fold on inputs scaled by the fold's own training rows.
+
+    One matrix of products per site; those of a fold are sums and differences of these. Returns ``means``
+    and ``stds`` of the inputs, ``coefficients`` of the scaled inputs and the ``intercept``. An input
+    that does not vary in the fold gets 0. Rows keep to their site, so no label or window crosses a seam.
     """
-    a, b = F.col(x), F.col(y)
-    both = a.isNotNull() & b.isNotNull()
-
-    def total(e: Column) -> Column:
-        return F.sum(F.when(both, e))
-
-    sums = train.groupBy("site", *keys).agg(
-        F.count_if(both).alias("_n"), total(a).alias("_x"), total(b).alias("_y"),
-        total(a * a).alias("_xx"), total(a * b).alias("_xy"))
-    spread = sums.where(F.col("site").isin(list(panel))).select(
-        "*", F.inline(_roles(panel, primary)))
-    pooled = spread.groupBy(*FOLD, *keys).agg(*[F.sum(c).alias(c)
-                                                for c in ("_n", "_x", "_y", "_xx", "_xy")])
-    n = F.col("_n")
-    across = F.col("_xx") - F.col("_x") * F.col("_x") / n
-    slope = F.when(across > EPS, (F.col("_xy") - F.col("_x") * F.col("_y") / n) / across)
-    return pooled.withColumn("slope", F.coalesce(slope, F.lit(0.0))).select(
-        *FOLD, *keys, n.alias("n_fit"), "slope",
-        ((F.col("_y") - F.col("slope") * F.col("_x")) / n).alias("intercept"))
-
-
-def transfer_predictions(test: DataFrame, fits: DataFrame, x: str,
+    per_site = cross_products(train, inputs, target, ["site", *keys])
+    pooled = fold_sums(per_site, sites, primary, keys).where("n_fit > 0")
+    size, names = len(inputs) + 2, [*FOLD, *keys]
+    arrays = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*[pooled.schema[c] for c in (*names, "n_fit")], T.StructField("means", arrays),
+                           T.StructField("stds", arrays), T.StructField("coefficients", arrays),
+                           T.StructField("intercept", T.DoubleType())])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for row in batch.to_dict("records"):
+                n, products = row["n_fit"], np.asarray(row.pop("products")).reshape(size, size)
+                mean = products[0, 1:] / n
+                spread = products[1:, 1:] / n - np.outer(mean, mean)
+                std = np.sqrt(np.maximum(np.diag(spread)[:-1], 0.0))
+                live = std > EPS
+                out = np.zeros(len(inputs))
+                scale = std[live]
+                out[live] = np.linalg.lstsq(spread[:-1, :-1][np.ix_(live, live)] / np.outer(scale, scale),
+                                            spread[:-1, -1][live] / scale, rcond=1e-12)[0] if live.any() else 0.0
+                found.append({**row, "means": mean[:-1], "stds": std, "coefficients": out, "intercept": mean[-1]})
+            yield pd.DataFrame(found, columns=schema.names)
+
+    return pooled.select(*names, "n_fit", "products").mapInPandas(solve, schema)
+
+
+def _scaled(inputs: Sequence[str]) -> Column:
+    out = F.col("intercept")
+    for i, c in enumerate(inputs):
+        out = out + F.when(F.col("stds")[i] > EPS, F.col("coefficients")[i] * (
+            F.col(c) - F.col("means")[i]) / F.col("stds")[i]).otherwise(F.lit(0.0))
+    return out
+
+
+def plain_line(fits: DataFrame) -> DataFrame:
+    """Slope and intercept in the units of the readings, for fits on one input."""
+    slope = F.when(F.col("stds")[0] > EPS, F.col("coefficients")[0] / F.col("stds")[0]).otherwise(F.lit(0.0))
+    return fits.withColumn("slope", slope).withColumn(
+        "intercept", F.col("intercept") - F.col("slope") * F.col("means")[0])
+
+
+def transfer_predictions(test: DataFrame, fits: DataFrame, inputs: Sequence[str],
                          keys: Sequence[str] = ("horizon",),
                          model: str = "linear_regression") -> DataFrame:
-    """Score every held-out row under every protocol that tests its site."""
+    """Every held-out row under every protocol that tests its site, scaled as its fold was."""
     rows = test.withColumnRenamed("site", "test_site")
-    return rows.join(sized(fits), ["test_site", *keys]).withColumns({
-        "model": F.lit(model), "predicted": F.col("intercept") + F.col("slope") * F.col(x)})
+    scored = attached(rows, fits, ["test_site", *keys], "inner")
+    return scored.withColumns({"model": F.lit(model), "predicted": _scaled(inputs)})
 
 
 def transfer_scores(predictions: DataFrame, keys: Sequence[str] = (
@@ -123,6 +191,6 @@ def transfer_scores(predictions: DataFrame, keys: Sequence[str] = (
 def transfer_table(scored: DataFrame, folds: DataFrame) -> DataFrame:
     """Scores with the training sites of their fold, in reading order."""
     front = ["protocol", "model", "horizon", "test_site", "train_sites", "rated_w"]
-    out = scored.join(folds, FOLD)
+    out = attached(scored, folds, FOLD, "inner")
     return out.select(*front, *[c for c in out.columns if c not in front]).orderBy(
         "protocol", "horizon", "model", "test_site")

@@ -235,12 +235,16 @@ def outlier_profile(df: DataFrame, value: str, keys: Sequence[str] = SITE) -> Da
 
 def site_panel(featured: DataFrame, stations: DataFrame, primary: str,
                order: str = "step") -> DataFrame:
-    """Capacity, role, coverage and split sizes of each site."""
+    """Capacity, role, coverage and split sizes of each site; sites without a station row and stations
+    without rows stay, and say so."""
     sizes = featured.groupBy("site").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min(order).alias("first_step"), F.max(order).alias("last_step"),
         *[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "val", "test")])
-    role = F.when(F.col("site") == primary, "primary").otherwise("holdout")
-    return stations.select("site", "rated_w").join(sizes, "site").withColumn("role", role)
-
-
+    rated = sized(stations.select("site", "rated_w"))
+    both = sizes.join(rated, sizes["site"].eqNullSafe(rated["site"]), "full")
+    site = F.coalesce(sizes["site"], rated["site"])
+    return both.select(
+        site.alias("site"), "rated_w", F.col("rated_w").isNotNull().alias("metadata_found"),
+        *[F.coalesce(c, F.lit(0)).alias(c) if c.startswith("n_") else F.col(c) for c in sizes.columns[1:]],
+        F.when(site == primary, "primary").otherwise("holdout").alias("role"))

@@ -19,7 +19,7 @@ from ..functions import clock
 from ..operators import features, forecast, regimes, sky
 from ..operators.supervise import Boundaries, assign_split
 from ..plans.chunks import densify
-from ..plans.summaries import sized
+from ..plans.summaries import attached
 from ..session import materialise, scratch_path, use_utc
 
 _STAGED: dict[tuple[str, str, str], str] = {}
@@ -153,7 +153,7 @@ class Given:
         fits = forecast.simple_linear_fit(
             rows.where("split = 'train'"), "reference_persistence", "actual", ["site", "horizon"])
         return forecast.fan_out(
-            rows.join(sized(fits.drop("n_fit")), ["site", "horizon"]), {
+            attached(rows, fits.drop("n_fit"), ["site", "horizon"]), {
                 "persistence": F.col("reference_persistence"),
                 "smart_persistence": F.col("reference_smart_persistence"),
                 "linear_regression": F.col("intercept") + F.col("slope") * F.col(
@@ -328,7 +328,7 @@ TABLES: dict[str, str] = {
         SELECT s.*, m.model, CASE m.model WHEN 'persistence' THEN reference_persistence
             WHEN 'smart_persistence' THEN reference_smart_persistence
             ELSE intercept + slope * reference_persistence END AS predicted
-        FROM supervised s JOIN fits USING (site, horizon)
+        FROM supervised s LEFT JOIN fits USING (site, horizon)
         CROSS JOIN (VALUES ('persistence'), ('smart_persistence'), ('linear_regression')) m(model)""",
     "predictions": "SELECT * FROM forecasts WHERE split = 'test'",
     "shipments": """

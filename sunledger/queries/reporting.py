@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import conformal, strata, tables, transfer
-from .base import PANEL, PRIMARY, RUN_HORIZONS, RUN_MODELS, RUN_SPECS, TABLES, Given, query
+from .base import PRIMARY, RUN_HORIZONS, RUN_MODELS, RUN_SPECS, TABLES, Given, query
 from .evaluation import DAYS, STRATA_DOUBLES, stratified_sql
 
 ARRIVAL = "recorded_at, run_no"
@@ -188,10 +188,11 @@ def multiseed_summary(g: Given):
 
 QUESTION = ("CASE experiment_group WHEN 'B_ml_vs_dl' THEN 'RQ1' WHEN 'C_horizons' THEN 'RQ2' "
             "WHEN 'E_feature_ablation' THEN 'RQ4' WHEN 'M_multiseed' THEN 'RQ1' ELSE '' END")
+TABLES["panel"] = "SELECT DISTINCT event_type AS site FROM events"
 TABLES["folds"] = """
-    SELECT 'within_site' AS protocol, t.site AS test_site, t.site AS site FROM stations t
-    UNION ALL SELECT 'cross_site', t.site, 'click' FROM stations t WHERE t.site <> 'click'
-    UNION ALL SELECT 'leave_one_site_out', t.site, s.site FROM stations t JOIN stations s ON s.site <> t.site"""
+    SELECT 'within_site' AS protocol, t.site AS test_site, t.site AS site FROM panel t
+    UNION ALL SELECT 'cross_site', t.site, 'click' FROM panel t WHERE t.site <> 'click'
+    UNION ALL SELECT 'leave_one_site_out', t.site, s.site FROM panel t JOIN panel s ON s.site <> t.site"""
 TABLES["fold_fits"] = """
     SELECT protocol, test_site, horizon, count(*) AS n_fit,
            regr_slope(actual, reference_persistence) AS slope,
@@ -236,19 +237,17 @@ TABLES["matrix"] = f"""
     FROM transfer_scored"""
 
 
-def _transfer_scores(g: Given):
+def _transfer_scores(g: Given, inputs=("reference_persistence",)):
     rows = g.predictions(None).where("model = 'persistence'").drop("model", "predicted")
-    fits = transfer.pooled_simple_fits(rows.where("split = 'train'"), PANEL, PRIMARY,
-                                       "reference_persistence", "actual")
-    return transfer.transfer_scores(transfer.transfer_predictions(
-        rows.where("split = 'test'"), fits, "reference_persistence"))
+    fits = transfer.pooled_fits(rows.where("split = 'train'"), rows, PRIMARY, list(inputs), "actual")
+    return transfer.transfer_scores(transfer.transfer_predictions(rows.where("split = 'test'"), fits, list(inputs)))
 
 
 @query("fold_table", """
     SELECT protocol, test_site, count(*) AS n_train_sites, string_agg(site, ', ' ORDER BY site) AS train_sites
-    FROM folds WHERE site IN (SELECT event_type FROM events) GROUP BY protocol, test_site""")
+    FROM folds GROUP BY protocol, test_site""")
 def fold_table(g: Given):
-    return transfer.fold_table(g.readings(), PANEL, PRIMARY)
+    return transfer.fold_table(g.readings(), PRIMARY)
 
 
 @query("pooled_scalers", """
@@ -260,15 +259,37 @@ def fold_table(g: Given):
     FROM folds JOIN sky USING (site) WHERE split = 'train' GROUP BY protocol, test_site""",
        doubles="mean std", ints="n_rows")
 def pooled_scalers(g: Given):
-    return transfer.pooled_scalers(g.sky().where("split = 'train'"), PANEL, PRIMARY,
-                                   ["pv_power_w", "ghi"])
+    return transfer.pooled_scalers(g.sky().where("split = 'train'"), g.sky(), PRIMARY, ["pv_power_w", "ghi"])
 
 
 @query("pooled_fits", "SELECT protocol, test_site, horizon, n_fit, slope, intercept FROM fold_fits",
        doubles="slope intercept", ints="n_fit")
 def pooled_fits(g: Given):
     rows = g.predictions("train").where("model = 'persistence'")
-    return transfer.pooled_simple_fits(rows, PANEL, PRIMARY, "reference_persistence", "actual")
+    fits = transfer.pooled_fits(rows, rows, PRIMARY, ["reference_persistence"], "actual")
+    return transfer.plain_line(fits).select("protocol", "test_site", "horizon", "n_fit", "slope", "intercept")
+
+
+TABLES["fold_rows"] = """
+    SELECT f.protocol, f.test_site, s.horizon, s.reference_persistence AS x, s.reference_smart_persistence AS z, s.actual AS y
+    FROM folds f JOIN supervised s USING (site) WHERE s.split = 'train'"""
+
+
+@query("pooled_fits_scaled", """
+    SELECT protocol, test_site, horizon, n_fit, my AS intercept, mx AS mean_x, mz AS mean_z, sqrt(sxx) AS std_x,
+           sqrt(szz) AS std_z, (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) * sqrt(sxx) AS weight_x,
+           (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) * sqrt(szz) AS weight_z
+    FROM (SELECT protocol, test_site, horizon, count(*) AS n_fit, covar_pop(x, y) AS sxy, covar_pop(z, y) AS szy,
+            var_pop(x) AS sxx, var_pop(z) AS szz, covar_pop(x, z) AS sxz, avg(y) AS my, avg(x) AS mx, avg(z) AS mz
+          FROM fold_rows GROUP BY ALL)""",
+       doubles="intercept mean_x mean_z std_x std_z weight_x weight_z", ints="n_fit", digits=4)
+def pooled_fits_scaled(g: Given):
+    """Fits on two inputs, scaled by the training rows of each fold."""
+    rows = g.predictions("train").where("model = 'persistence'")
+    fits = transfer.pooled_fits(rows, rows, PRIMARY, ["reference_persistence", "reference_smart_persistence"], "actual")
+    return fits.select("protocol", "test_site", "horizon", "n_fit", "intercept", *[
+        F.col(c)[i].alias(f"{n}_{x}") for c, n in (("means", "mean"), ("stds", "std"), ("coefficients", "weight"))
+        for i, x in enumerate("xz")])
 
 
 TRANSFER = ["n", "mae", "rmse", "nrmse_capacity", "bias", "persistence_rmse",
@@ -288,7 +309,7 @@ def transfer_scores(g: Given):
     """, doubles=" ".join(TRANSFER[1:]))
 def transfer_table(g: Given):
     table = transfer.transfer_table(_transfer_scores(g),
-                                    transfer.fold_table(g.readings(), PANEL, PRIMARY))
+                                    transfer.fold_table(g.readings(), PRIMARY))
     return table.select("protocol", "model", "horizon", "test_site", "train_sites", *TRANSFER)
 
 

@@ -258,11 +258,14 @@ def outlier_profile(g: Given):
 
 
 @query("site_panel", """
-    SELECT site, any_value(rated_w) AS rated_w, count(*) AS n_rows, min(step) AS first_step,
-           max(step) AS last_step, count(*) FILTER (split = 'train') AS n_train,
-           count(*) FILTER (split = 'val') AS n_val, count(*) FILTER (split = 'test') AS n_test,
-           CASE WHEN site = 'click' THEN 'primary' ELSE 'holdout' END AS role
-    FROM sky GROUP BY site""")
+    SELECT coalesce(k.site, p.site) AS site, p.rated_w, p.site IS NOT NULL AS metadata_found,
+           coalesce(n_rows, 0) AS n_rows, first_step, last_step, coalesce(n_train, 0) AS n_train,
+           coalesce(n_val, 0) AS n_val, coalesce(n_test, 0) AS n_test,
+           CASE WHEN coalesce(k.site, p.site) = 'click' THEN 'primary' ELSE 'holdout' END AS role
+    FROM (SELECT site, count(*) AS n_rows, min(step) AS first_step, max(step) AS last_step,
+            count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val,
+            count(*) FILTER (split = 'test') AS n_test FROM sky GROUP BY site) k
+    FULL JOIN stations p ON p.site = k.site""")
 def site_panel(g: Given):
     return validate.site_panel(g.sky().select("site", "step", "split"), g.stations(), PRIMARY)
 

@@ -470,13 +470,72 @@ def test_shuffle_is_a_permutation(spark):
 
 
 def test_folds(spark):
-    sites = spark.createDataFrame([("a",), ("b",), ("c",)], "site string")
-    got = {(r.protocol, r.test_site): r.train_sites
-           for r in transfer.fold_table(sites, ["a", "b", "c"], "a").collect()}
-    assert got == {("within_site", "a"): "a", ("within_site", "b"): "b", ("within_site", "c"): "c",
-                   ("cross_site", "b"): "a", ("cross_site", "c"): "a",
-                   ("leave_one_site_out", "a"): "b, c", ("leave_one_site_out", "b"): "a, c",
-                   ("leave_one_site_out", "c"): "a, b"}
+    sites = spark.createDataFrame([("a",), ("b",), ("c",), ("b",)], "site string")
+    got = {(r.protocol, r.test_site): (r.train_sites, r.n_train_sites)
+           for r in transfer.fold_table(sites, "a").collect()}
+    assert got == {("within_site", "a"): ("a", 1), ("within_site", "b"): ("b", 1), ("within_site", "c"): ("c", 1),
+                   ("cross_site", "b"): ("a", 1), ("cross_site", "c"): ("a", 1),
+                   ("leave_one_site_out", "a"): ("b, c", 2), ("leave_one_site_out", "b"): ("a, c", 2),
+                   ("leave_one_site_out", "c"): ("a, b", 2)}
+    one = spark.createDataFrame([("x",), (None,)], "site string")
+    assert {(r.protocol, r.test_site) for r in transfer.fold_table(one, "a").collect()} == {
+        ("within_site", "x"), ("within_site", None), ("leave_one_site_out", "x"), ("leave_one_site_out", None)}
+    many = spark.range(200).select(F.col("id").cast("string").alias("site"))
+    assert transfer.fold_table(many, "7").count() == 200 + 199 + 200
+
+
+def pooled_rows():
+    rng = np.random.default_rng(3)
+    rows = []
+    for site, level in (("a", 1.0), ("b", 50.0), ("c", 3.0), ("sixth", 1000.0), (None, 7.0)):
+        for i in range(40):
+            x, z = rng.normal(level, 1), rng.normal(0, level)
+            rows.append((site, "1h", float(x), float(z), float(2 * x - z + rng.normal())))
+    return rows
+
+
+def test_pooled_fits_are_fits_on_the_pooled_rows(spark):
+    """Total less own equals a fit on the other sites' rows, for sites of very different scale, a site
+    that no list names and rows without a site; a site without training rows is tested too."""
+    rows = pooled_rows()
+    frame = spark.createDataFrame(rows, "site string, horizon string, x double, z double, actual double")
+    sites = frame.select("site").union(spark.createDataFrame([("new",)], "site string"))
+    got = {(r.protocol, r.test_site): r for r in transfer.pooled_fits(frame, sites, "a", ["x", "z"], "actual").collect()}
+    scalers = {(r.protocol, r.test_site): r for r in transfer.pooled_scalers(frame, sites, "a", ["x"]).collect()}
+    names = ["a", "b", "c", "sixth", None, "new"]
+    want = {("within_site", s): [s] for s in names if s != "new"}
+    want |= {("cross_site", s): ["a"] for s in names if s != "a"}
+    want |= {("leave_one_site_out", s): [t for t in names if t != s] for s in names}
+    assert set(got) == set(want) == set(scalers)
+    for fold, members in want.items():
+        own = np.array([r[2:] for r in rows if r[0] in members])
+        x, y = own[:, :2], own[:, 2]
+        scaled = (x - x.mean(0)) / x.std(0)
+        fit = np.linalg.lstsq(np.column_stack([np.ones(len(y)), scaled]), y, rcond=None)[0]
+        r = got[fold]
+        assert r.n_fit == len(y) and r.means == pytest.approx(list(x.mean(0))) and r.stds == pytest.approx(list(x.std(0)))
+        assert [r.intercept, *r.coefficients] == pytest.approx(list(fit), rel=1e-5, abs=1e-6)
+        assert (scalers[fold]["mean"], scalers[fold]["std"]) == pytest.approx((x[:, 0].mean(), x[:, 0].std()))
+    fits = transfer.pooled_fits(frame, sites, "a", ["x", "z"], "actual")
+    scored = transfer.transfer_predictions(frame, fits, ["x", "z"])
+    row = scored.where("protocol = 'cross_site' AND test_site = 'sixth'").first()
+    r = got["cross_site", "sixth"]
+    assert row.predicted == pytest.approx(r.intercept + sum(
+        w * (row[c] - m) / d for w, c, m, d in zip(r.coefficients, ("x", "z"), r.means, r.stds)))
+
+
+def test_sites_without_metadata_scale_or_fit_stay(spark):
+    rows = [("a", 0, "train"), ("a", 1, "test"), (None, 0, "train"), ("new", 5, None)]
+    frame = spark.createDataFrame(rows, "site string, step long, split string")
+    stations = spark.createDataFrame([("a", 5.0), ("idle", 7.0)], "site string, rated_w double")
+    got = {r.site: (r.metadata_found, r.n_rows, r.n_train, r.role)
+           for r in validate.site_panel(frame, stations, "a").collect()}
+    assert got == {"a": (True, 2, 1, "primary"), "idle": (True, 0, 0, "holdout"),
+                   None: (False, 1, 1, "holdout"), "new": (False, 1, 0, "holdout")}
+    index = frame.withColumn("clear_sky_index_raw", F.lit(0.5))
+    scales = spark.createDataFrame([("a", 1.0), (None, 2.0)], "site string, scale double")
+    assert {r.site: r.clear_sky_index for r in sky.apply_scale(index, scales).collect()} == {
+        "a": 0.5, None: 0.25, "new": None}
 
 
 def test_frontier_and_upsert(spark):

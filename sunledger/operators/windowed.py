@@ -241,10 +241,11 @@ def fit_windows(sums: DataFrame, inputs: Sequence[str], specs: Sequence[str] = (
 def predict_windows(rows: DataFrame, fits: DataFrame, inputs: Sequence[str], target: str,
                     carried: Sequence[str] = (), horizons: Mapping[str, int] = HORIZONS,
                     lookback: int = LOOKBACK_STEPS, keys: Sequence[str] = ("site",), split: str = "split",
-                    order: str = "step", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                    order: str = "step", chunk_rows: int = CHUNK_ROWS, by_input: bool = False) -> DataFrame:
     """Predictions of every fit at every origin that has a window and a label.
 
-    ``carried`` columns are read at the label time.
+    ``carried`` columns are read at the label time. ``by_input`` adds ``parts``: what each input adds to
+    the prediction with all its lags, in the order of the inputs.
     """
     groups = [*keys, split]
     wide = halo(rows.select(*groups, order, *inputs, target, *[c for c in carried if c not in inputs]),
@@ -256,12 +257,18 @@ def predict_windows(rows: DataFrame, fits: DataFrame, inputs: Sequence[str], tar
     types = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried]
     names = list(horizons)
 
+    def added(series: _Series, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows of what every input adds at the origins ``at``."""
+        by_lag = weights.reshape(lookback, len(inputs))[::-1]
+        return sum((series.x[at - k, 1:] * by_lag[k] for k in range(lookback)), np.zeros((len(at), len(inputs))))
+
     def score(key, left, right):
         out = []
         fields = [*[left.schema.field(k) for k in groups], pa.field("horizon", pa.string()),
                   pa.field("feature_spec", pa.string()), pa.field("origin_step", pa.int64()),
                   pa.field("step", pa.int64()), pa.field("actual", pa.float64()), pa.field("predicted", pa.float64()),
-                  *[left.schema.field(c) for c in carried]]
+                  *[left.schema.field(c) for c in carried],
+                  *([pa.field("parts", pa.list_(pa.float64()))] if by_input else [])]
         schema = pa.schema(fields)
         if left.num_rows and right.num_rows:
             series = _Series(left, order, inputs, target, key[-1].as_py(), chunk_rows, list(horizons.values()), lookback)
@@ -283,20 +290,23 @@ def predict_windows(rows: DataFrame, fits: DataFrame, inputs: Sequence[str], tar
                     [*[left.column(k).slice(0, 1).take(pa.array(np.zeros(len(at), np.int64))) for k in groups],
                      pa.array([horizon] * len(at), pa.string()), pa.array([spec] * len(at), pa.string()),
                      pa.array(at + series.low), pa.array(at + series.low + ahead), pa.array(series.ahead[h, at]),
-                     pa.array(total[at - a, m]), *[left.column(c).take(rows_) for c in carried]], schema=schema))
+                     pa.array(total[at - a, m]), *[left.column(c).take(rows_) for c in carried],
+                     *([pa.array(list(added(series, weights[1:, m], at)), pa.list_(pa.float64()))]
+                       if by_input else [])], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return wide.groupBy(*groups, CHUNK).cogroup(models.groupBy(*groups, CHUNK)).applyInArrow(
         score, ", ".join([*kinds, "horizon string", "feature_spec string", "origin_step bigint", "step bigint",
-                          "actual double", "predicted double", *types]))
+                          "actual double", "predicted double", *types,
+                          *(["parts array<double>"] if by_input else [])]))
 
 
 def window_regression(rows: DataFrame, inputs: Sequence[str], target: str = "pv_power_w",
                       specs: Sequence[str] = ("full",), carried: Sequence[str] = (),
                       horizons: Mapping[str, int] = HORIZONS, lookback: int = LOOKBACK_STEPS,
                       keys: Sequence[str] = ("site",), split: str = "split", order: str = "step",
-                      train: str = "train", test: str = "test", chunk_rows: int = CHUNK_ROWS
-                      ) -> tuple[DataFrame, DataFrame]:
+                      train: str = "train", test: str = "test", chunk_rows: int = CHUNK_ROWS,
+                      by_input: bool = False) -> tuple[DataFrame, DataFrame]:
     """Fits of every input set on the training rows, and their predictions in the test rows."""
     kept = [c for c in (*carried, target) if c not in inputs]
     if target in inputs:
@@ -307,4 +317,15 @@ def window_regression(rows: DataFrame, inputs: Sequence[str], target: str = "pv_
                        [*keys, split], order, chunk_rows)
     fits = materialise(fit_windows(sums, inputs, specs, horizons, lookback, keys), "fits")
     return fits, predict_windows(ready.where(F.col(split) == test), fits, inputs, target, carried, horizons,
-                                 lookback, keys, split, order, chunk_rows)
+                                 lookback, keys, split, order, chunk_rows, by_input)
+
+
+def step_weights(fits: DataFrame, inputs: Sequence[str], lookback: int = LOOKBACK_STEPS) -> DataFrame:
+    """``feature, step, value`` of every fit: the size of the weight of each input at each lag. Inputs are
+    scaled, so sizes compare."""
+    names = F.array(*[F.lit(c) for c in inputs])
+    kept = [c for c in fits.columns if c != "coefficients"]
+    at = F.col("_at") - 1
+    return fits.select(*kept, F.posexplode("coefficients").alias("_at", "_w")).where("_at > 0").select(
+        *kept, names[(at % len(inputs)).cast("int")].alias("feature"),
+        (F.lit(lookback - 1) - F.floor(at / len(inputs))).cast("int").alias("step"), F.abs("_w").alias("value"))

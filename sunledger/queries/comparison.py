@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import mixed_sql
 from ..operators import inference
 from .base import TABLES, Given, query
-from .forecasting import SPECS, window_runs
+from .forecasting import SMALL_INPUTS, SPECS, window_runs
 
 KEYS = ["site", "model", "horizon"]
 TABLES["errors"] = """
@@ -279,15 +279,6 @@ def best_models(g: Given):
     return inference.best_run(g.predictions().where("daylight"), ["site", "horizon"])
 
 
-ABLATION_INPUTS = ["ghi", "pv_power_w_lag_0"]
-TABLES["ablation_rows"] = """
-    SELECT o.site, horizon, o.split, l.step, l.pv_power_w AS y, l.daylight, o.ghi AS x, o.pv_power_w AS z
-    FROM sky o CROSS JOIN horizons JOIN sky l ON l.site = o.site AND l.split = o.split AND l.step = o.step + h"""
-TABLES["ablation_fits"] = """
-    SELECT *, (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) AS bx, (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) AS bz
-    FROM (SELECT site, horizon, covar_pop(x, y) AS sxy, covar_pop(z, y) AS szy, var_pop(x) AS sxx, var_pop(z) AS szz,
-            covar_pop(x, z) AS sxz, avg(y) AS my, avg(x) AS mx, avg(z) AS mz
-          FROM ablation_rows WHERE split = 'train' GROUP BY site, horizon)"""
 TABLES["ablated"] = """
     SELECT *, row_number() OVER (PARTITION BY site, horizon, feature_spec ORDER BY step) AS pos
     FROM (SELECT r.site, r.horizon, s.feature_spec, r.step,
@@ -322,7 +313,7 @@ ABLATED_KEYS = "site, horizon, feature_spec"
                "lag_1_autocorrelation p_value_adjusted", digits=5)
 def ablation_tests(g: Given):
     """Least squares on one input against least squares on both, fitted on the training rows."""
-    _, runs = window_runs(g, ["full", "pv_only", "weather_only"], ABLATION_INPUTS, lookback=1)
+    _, runs = window_runs(g, ["full", "pv_only", "weather_only"], SMALL_INPUTS, lookback=1)
     return inference.ablation_statistics(runs.where("daylight"), keys=["site", "horizon"])
 
 

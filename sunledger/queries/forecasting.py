@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..operators import features, forecast, importance, metrics, supervise, tables, windowed
-from ..plans.chunks import over_halo
+from ..operators import forecast, importance, metrics, supervise, tables, windowed
 from ..schema import FEATURE_REGIME_ORDER, LOOKBACK_STEPS, MODEL_INPUTS
 from ..functions.draws import half_bits_sql, scattered_sql
 from .base import TABLES, Given, query
@@ -94,11 +93,11 @@ def _quality(scored, name: str):
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
 
 
-def window_runs(g: Given, specs=("full",), inputs=MODEL_INPUTS, lookback=LOOKBACK_STEPS, test="test"):
+def window_runs(g: Given, specs=("full",), inputs=MODEL_INPUTS, lookback=LOOKBACK_STEPS, **settings):
     """Least squares on the windows of every horizon and input set, and its forecasts."""
     rows = g.featured().where("split IS NOT NULL")
-    return windowed.window_regression(rows, list(inputs), specs=specs, lookback=lookback, test=test,
-                                      carried=["daylight", "rated_w"])
+    return windowed.window_regression(rows, list(inputs), specs=specs, lookback=lookback,
+                                      carried=["daylight", "rated_w", "regime"], **settings)
 
 
 TABLES["window_rows"] = f"""
@@ -231,34 +230,37 @@ def forest_importance(g: Given):
     return forecast.collapse_importance(forecast.importance_rows(model, names, g.spark))
 
 
-LAGGED = ["ghi", "temperature", "wind_speed"]
+SMALL_INPUTS = ["ghi", "pv_power_w_lag_0"]
+TABLES["ablation_rows"] = """
+    SELECT o.site, horizon, o.split, l.step, l.pv_power_w AS y, l.daylight, o.ghi AS x, o.pv_power_w AS z
+    FROM sky o CROSS JOIN horizons JOIN sky l ON l.site = o.site AND l.split = o.split AND l.step = o.step + h"""
+TABLES["ablation_fits"] = """
+    SELECT *, (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) AS bx, (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) AS bz
+    FROM (SELECT site, horizon, covar_pop(x, y) AS sxy, covar_pop(z, y) AS szy, var_pop(x) AS sxx, var_pop(z) AS szz,
+            covar_pop(x, z) AS sxz, avg(y) AS my, avg(x) AS mx, avg(z) AS mz
+          FROM ablation_rows WHERE split = 'train' GROUP BY site, horizon)"""
+TABLES["scaled_weights"] = """
+    SELECT f.site, f.horizon, feature, abs(CASE feature WHEN 'ghi' THEN bx * sqrt(v.vx) ELSE bz * sqrt(v.vz) END) AS value
+    FROM ablation_fits f JOIN (SELECT site, var_pop(ghi) AS vx, var_pop(pv_power_w) AS vz FROM sky WHERE split = 'train'
+                               GROUP BY site) v USING (site)
+    CROSS JOIN (VALUES ('ghi'), ('pv_power_w_lag_0')) n(feature)"""
+
+
+@query("importance_collapsed", """
+    SELECT site, feature, sum(value) AS importance,
+           sum(value) / sum(sum(value)) OVER (PARTITION BY site) AS relative_importance
+    FROM scaled_weights GROUP BY site, feature""", doubles="importance relative_importance", digits=5)
+def importance_collapsed(g: Given):
+    """Weights of scaled inputs, fitted for each horizon, collapsed to one share per variable."""
+    fits, _ = window_runs(g, inputs=SMALL_INPUTS, lookback=1)
+    return forecast.collapse_importance(windowed.step_weights(fits, SMALL_INPUTS, 1), ["site"])
 
 
-@query("importance_collapsed", " UNION ALL ".join(f"""
-    SELECT site, '{c}' AS feature, sum(v) AS importance, sum(v) / any_value(total) AS relative_importance
-    FROM (SELECT site, abs(coalesce(corr(pv_power_w, l0), 0)) + abs(coalesce(corr(pv_power_w, l1), 0))
-                   + abs(coalesce(corr(pv_power_w, l2), 0)) AS v
-          FROM (SELECT site, pv_power_w, {c} AS l0, lag({c}, 1) OVER w AS l1, lag({c}, 2) OVER w AS l2
-                FROM sky WINDOW w AS (PARTITION BY site ORDER BY step)) GROUP BY site)
-    JOIN (SELECT site, sum(v) AS total FROM ({' UNION ALL '.join(f'''
-            SELECT site, abs(coalesce(corr(pv_power_w, l0), 0)) + abs(coalesce(corr(pv_power_w, l1), 0))
-                   + abs(coalesce(corr(pv_power_w, l2), 0)) AS v
-            FROM (SELECT site, pv_power_w, {d} AS l0, lag({d}, 1) OVER w AS l1, lag({d}, 2) OVER w AS l2
-                  FROM sky WINDOW w AS (PARTITION BY site ORDER BY step)) GROUP BY site''' for d in LAGGED)})
-          GROUP BY site) USING (site) GROUP BY site""" for c in LAGGED),
-       doubles="importance relative_importance")
-def importance_collapsed(g: Given):
-    """Absolute correlation per variable and lag, collapsed to one share per variable."""
-    rows = g.sky().select("site", "step", "pv_power_w", *LAGGED)
-    lagged = over_halo(rows, ["site"], "step",
-                       features.merged(*[features.lags(c, [0, 1, 2]) for c in LAGGED]), before=2)
-    one = lagged.groupBy("site").agg(*[
-        F.abs(F.coalesce(F.corr("pv_power_w", f"{c}_lag_{k}"), F.lit(0.0))).alias(f"{c}_{k}")
-        for c in LAGGED for k in range(3)])
-    per_step = one.select("site", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.lit(k).alias("step"),
-                 F.col(f"{c}_{k}").alias("value")) for c in LAGGED for k in range(3)])))
-    return forecast.collapse_importance(per_step, ["site"])
+@query("window_importance_collapsed")
+def window_importance_collapsed(g: Given):
+    """Weights of 24 steps of all inputs collapsed over the steps, per site and horizon."""
+    fits, _ = window_runs(g)
+    return forecast.collapse_importance(windowed.step_weights(fits, MODEL_INPUTS), ["site", "horizon"])
 
 
 def _linear_scorer(df):
@@ -373,38 +375,91 @@ def dependence_sample(g: Given):
     return importance.dependence_sample(_linear_scorer(g.visits()), "row_id", ["visitor"])
 
 
-@query("family_importance", """
-    SELECT site, CASE WHEN feature IN ('ghi', 'temperature', 'wind_speed') THEN 'weather'
-                      WHEN feature LIKE 'pv_%' THEN 'pv_history' ELSE 'solar_geometry' END AS feature_group,
-           sum(v) AS total_importance, count(*) AS n_variables
-    FROM (SELECT site, unnest(['ghi', 'temperature', 'wind_speed', 'solar_elevation', 'pv_power_w']) AS feature,
-                 unnest([avg(abs(ghi)), avg(abs(temperature)), avg(abs(wind_speed)),
-                         avg(abs(solar_elevation)), avg(abs(pv_power_w))]) AS v
-          FROM sky GROUP BY site) GROUP BY 1, 2""", doubles="total_importance")
+TABLES["input_rows"] = """
+    SELECT r.site, r.horizon, r.step, r.y AS actual, my AS level0, bx * (x - mx) AS cx, bz * (z - mz) AS cz
+    FROM ablation_rows r JOIN ablation_fits USING (site, horizon) WHERE r.split = 'test' AND r.daylight"""
+INPUT_TABLE = permutation_sql("input_rows", "step", "site, horizon", 400, {"ghi": "cx", "pv_power_w_lag_0": "cz"},
+                              "(level0 + {cx} + {cz})")
+
+
+def _by_input(runs, inputs):
+    """One column per input with what it adds, all its lags together, and the rest."""
+    columns = {c: f"_c{i}" for i, c in enumerate(inputs)}
+    rest = F.aggregate("parts", F.lit(0.0), lambda a, b: a + b)
+    rows = runs.withColumns({**{n: F.col("parts")[i] for i, n in enumerate(columns.values())},
+                             "_level": F.col("predicted") - rest}).drop("parts", "predicted")
+
+    def scorer(df):
+        total = F.col("_level")
+        for n in columns.values():
+            total = total + F.col(n)
+        return df.withColumn("predicted", total)
+
+    return rows, scorer, {c: [n] for c, n in columns.items()}
+
+
+def _input_importance(g: Given):
+    _, runs = window_runs(g, inputs=SMALL_INPUTS, lookback=1, by_input=True)
+    rows, scorer, groups = _by_input(runs.where("daylight"), SMALL_INPUTS)
+    return importance.permutation_importance(rows, scorer, "step", "actual", groups, keys=["site", "horizon"])
+
+
+@query("family_importance", INPUT_TABLE.replace(
+    "    SELECT *, n_windows < 400", "    , listed AS (SELECT *, n_windows < 400", 1) + """)
+    SELECT site, horizon, CASE WHEN feature LIKE 'pv_%' THEN 'pv_history' ELSE 'weather' END AS feature_group,
+           sum(relative_importance) AS total_importance, count(*) AS n_variables
+    FROM listed GROUP BY ALL""", doubles="total_importance", digits=4)
 def family_importance(g: Given):
-    inputs = ["ghi", "temperature", "wind_speed", "solar_elevation", "pv_power_w"]
-    sizes = g.sky().groupBy("site").agg(*[F.avg(F.abs(c)).alias(c) for c in inputs])
-    table = sizes.select("site", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in inputs])))
-    return importance.group_importance(table, "value", ["site"])
+    """Permutation importance of a fitted model's inputs, summed by family."""
+    return importance.group_importance(_input_importance(g), keys=["site", "horizon"])
+
+
+@query("top_features", INPUT_TABLE.replace(
+    "    SELECT *, n_windows < 400", "    , listed AS (SELECT *, n_windows < 400", 1) + """)
+    SELECT site, horizon, feature, mean_mae_increase FROM listed ORDER BY mean_mae_increase DESC, feature LIMIT 10""",
+       doubles="mean_mae_increase", digits=4)
+def top_features(g: Given):
+    table = importance.top_features(_input_importance(g), 10)
+    return table.select("site", "horizon", "feature", "mean_mae_increase")
 
 
 @query("importance_by_model", """
-    SELECT model, site AS feature, avg(abs(predicted - actual)) AS value FROM predictions
-    WHERE model <> 'smart_persistence' GROUP BY model, site""", doubles="value")
+    SELECT site, horizon, 'linear_regression' AS model, feature, value FROM scaled_weights
+    UNION ALL
+    SELECT f.site, f.horizon, 'linear_regression@pv_only', 'pv_power_w_lag_0', abs(szy / szz * sqrt(vz))
+    FROM ablation_fits f JOIN (SELECT site, var_pop(pv_power_w) AS vz FROM sky WHERE split = 'train' GROUP BY site)
+      USING (site)
+    UNION ALL
+    SELECT f.site, f.horizon, 'linear_regression@weather_only', 'ghi', abs(sxy / sxx * sqrt(vx))
+    FROM ablation_fits f JOIN (SELECT site, var_pop(ghi) AS vx FROM sky WHERE split = 'train' GROUP BY site)
+      USING (site)""", doubles="value", digits=5)
 def importance_by_model(g: Given):
-    def table(model: str):
-        e = F.abs(F.col("predicted") - F.col("actual"))
-        return g.predictions().where(F.col("model") == model).groupBy(
-            F.col("site").alias("feature")).agg(F.avg(e).alias("value"))
-    return importance.importance_frame({m: table(m) for m in ("persistence", "linear_regression")})
+    """Weights of scaled inputs of three fitted models as one long table."""
+    fits, _ = window_runs(g, ["full", "pv_only", "weather_only"], SMALL_INPUTS, lookback=1)
+    weights = g.keep(windowed.step_weights(fits, SMALL_INPUTS, 1).where("value <> 0").select(
+        "site", "horizon", "feature_spec", "feature", "value"))
+    names = {"linear_regression": "full", "linear_regression@pv_only": "pv_only",
+             "linear_regression@weather_only": "weather_only"}
+    return importance.importance_frame({m: weights.where(F.col("feature_spec") == spec).drop("feature_spec")
+                                        for m, spec in names.items()})
 
 
-@query("top_features", """
-    SELECT site AS feature, horizon, avg(abs(predicted - actual)) AS mae FROM forecasts
-    WHERE split IS NOT NULL GROUP BY 1, 2 ORDER BY mae DESC, feature LIMIT 10""", doubles="mae")
-def top_features(g: Given):
-    e = F.abs(F.col("predicted") - F.col("actual"))
-    table = g.predictions(None).where("split is not null").groupBy(
-        F.col("site").alias("feature"), "horizon").agg(F.avg(e).alias("mae"))
-    return importance.top_features(table, 10, "mae")
+@query("window_importance_by_regime")
+def window_importance_by_regime(g: Given):
+    """Permutation of each of 33 inputs with its 24 lags, inside each regime of each site (one hour ahead)."""
+    return _window_importance(g, ["regime"])
+
+
+@query("window_importance_by_level")
+def window_importance_by_level(g: Given):
+    """The same inside each regime and generation level."""
+    return _window_importance(g, ["regime", "level"])
+
+
+def _window_importance(g: Given, conditions: list[str]):
+    from ..functions.bands import generation_level
+    _, runs = window_runs(g, by_input=True)
+    runs = runs.where("horizon = '1h' AND daylight").withColumn(
+        "level", generation_level(F.col("actual"), F.col("rated_w")))
+    rows, scorer, groups = _by_input(runs, list(MODEL_INPUTS))
+    return importance.permutation_importance(rows, scorer, "step", "actual", groups, keys=["site", *conditions])

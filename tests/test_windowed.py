@@ -91,6 +91,27 @@ def test_repeated_columns_give_the_solution_of_least_norm(spark):
     assert scored.count() == 300 - 200 - 2 - 1
 
 
+def test_what_each_input_adds_with_its_lags(spark):
+    """Moving an input's part moves the input at all lags at once."""
+    rows = [("a", *r) for r in series(9, 200)]
+    frame = spark.createDataFrame(rows, "site string, step bigint, split string, ghi double, "
+                                        "pv_power_w_lag_0 double, hour_sin double, pv_power_w double")
+    fits, scored = windowed.window_regression(frame, INPUTS, horizons={"near": 1}, lookback=4, by_input=True)
+    train = [r[2:5] for r in series(9, 200) if r[1] == "train"]
+    known = [np.array([r[i] for r in train if r[i] is not None]) for i in range(3)]
+    weights = np.array(fits.first()["coefficients"])
+    found = {r["origin_step"]: r for r in scored.collect()}
+    for name, t, w, _ in windows(series(9, 200), 4, "test"):
+        if name == "near":
+            scaled = (w - [k.mean() for k in known]) / [k.std() for k in known]
+            parts = (scaled * weights[1:].reshape(4, 3)).sum(0)
+            assert found[t]["parts"] == pytest.approx(list(parts))
+            assert found[t]["predicted"] == pytest.approx(weights[0] + parts.sum())
+    listed = windowed.step_weights(fits, INPUTS, 4).collect()
+    assert {(r["feature"], r["step"]): r["value"] for r in listed} == pytest.approx(
+        {(c, 3 - k): abs(weights[1 + 3 * k + i]) for k in range(4) for i, c in enumerate(INPUTS)})
+
+
 def test_no_rows_and_no_training_rows(spark):
     schema = ("site string, step bigint, split string, ghi double, pv_power_w_lag_0 double, hour_sin double, "
               "pv_power_w double")

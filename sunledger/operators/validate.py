@@ -113,6 +113,18 @@ def weather_checks(long: DataFrame, keys: Sequence[str] = ("variable",)) -> Data
         "status": F.when(F.col("minimum").isNull(), "all_invalid").otherwise("range")})
 
 
+def weather_issues(checks: DataFrame, key: str = "variable") -> DataFrame:
+    """Issue log from :func:`weather_checks`."""
+    some = F.col("status") != "all_invalid"
+    return _as_log(checks, F.concat(F.lit("schema/weather/"), F.col(key)), [
+        _issue("info", "missing_values", F.format_string("%.4f%% of the readings are unknown", 100 * F.col(
+            "missing_fraction")), F.col("n_missing") > 0, fraction=F.col("missing_fraction")),
+        _issue("error", "all_invalid", F.lit("not one reading is a number"), ~some, n_rows=F.col("n_rows")),
+        _issue("info", "range", F.format_string("from %.3f over %.3f to %.3f", "minimum", "median", "maximum"), some,
+               minimum=F.col("minimum"), median=F.col("median"), maximum=F.col("maximum")),
+    ])
+
+
 def absent_variables(long: DataFrame, declared: Sequence[str]) -> DataFrame:
     """Declared variables for which no reading exists."""
     spark = long.sparkSession

@@ -189,3 +189,28 @@ def power_header_issues(g: Given):
         layout.write.option("header", True).csv(paths[-1])
     found = raw.header_issues(g.spark, paths, ["Time", "power(W)"])
     return found.groupBy("severity", "check", "message").agg(F.lit(1).cast("long").alias("n"))
+
+
+@query("weather_file_issues", """
+    SELECT * FROM (VALUES ('error', 'column_position', 'wind_direction should be column 3 of 2'),
+                          ('error', 'required_column', 'the header has no column Time'),
+                          ('warning', 'variable_missing', 'no file holds rainfall')) t(severity, "check", message)
+    WHERE EXISTS (SELECT 1 FROM events)""")
+def weather_file_issues(g: Given):
+    """Weather written well, without its time column, and with a column too few."""
+    root = scratch_path(g.spark, "weather")
+    rows = g.weather().select(F.date_format(clock.instant(F.col("step")), "y/M/d H:mm").alias("Time"), "ghi", "wind_speed")
+    for folder, layout in {"ghi": rows.select("Time", "ghi"), "temperature": rows.select(F.col("Time").alias("stamp"), "ghi"),
+                           "wind": rows.select("Time", "wind_speed")}.items():
+        layout.write.option("header", True).csv(f"{root}/{folder}")
+    patterns = {"ghi": "ghi/*.csv", "temperature": "temperature/*.csv", "wind_direction": "wind/*.csv",
+                "rainfall": "rainfall/*.csv"}
+    return raw.weather_file_issues(g.spark, root, patterns).select("severity", "check", "message").distinct()
+
+
+@query("json_export", "SELECT site, step, pv_power_w FROM telemetry", doubles="pv_power_w")
+def json_export(g: Given):
+    """Rows written as JSON and read back."""
+    path = scratch_path(g.spark, "json")
+    results.write_json(g.telemetry(), path)
+    return g.spark.read.schema("site string, step long, pv_power_w double").json(path)

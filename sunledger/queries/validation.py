@@ -121,7 +121,7 @@ def issues_by_severity(g: Given):
     return validate.issues_by_severity(_issues(g))
 
 
-@query("weather_checks", """
+WEATHER_CHECKS = """
     SELECT variable, count(*) AS n_rows, count(*) FILTER (value IS NULL) AS n_missing,
            min(value) AS minimum, quantile_cont(value, 0.5) AS median, max(value) AS maximum,
            count(*) FILTER (value IS NULL) / count(*) AS missing_fraction,
@@ -129,7 +129,10 @@ def issues_by_severity(g: Given):
     FROM (SELECT 'value' AS variable, CASE WHEN value >= 1 THEN value END AS value FROM events
           UNION ALL SELECT 'user', user_id FROM events
           UNION ALL SELECT 'visibility', NULL FROM events)
-    GROUP BY variable""", doubles="minimum median maximum missing_fraction")
+    GROUP BY variable"""
+
+
+@query("weather_checks", WEATHER_CHECKS, doubles="minimum median maximum missing_fraction")
 def weather_checks(g: Given):
     value = F.when(F.col("value") >= 1, F.col("value"))
     readings = {"value": value, "user": F.col("user_id").cast("double"),
@@ -139,6 +142,17 @@ def weather_checks(g: Given):
     return validate.weather_checks(long)
 
 
+@query("weather_issue_log", f"""
+    SELECT 'schema/weather/' || variable AS stage, unnest(CASE
+             WHEN status = 'all_invalid' THEN ['error', 'info'] WHEN n_missing > 0 THEN ['info', 'info'] ELSE ['info'] END)
+             AS severity,
+           unnest(CASE WHEN status = 'all_invalid' THEN ['all_invalid', 'missing_values']
+             WHEN n_missing > 0 THEN ['missing_values', 'range'] ELSE ['range'] END) AS "check"
+    FROM ({WEATHER_CHECKS})""")
+def weather_issue_log(g: Given):
+    return validate.weather_issues(weather_checks(g)).select("stage", "severity", "check")
+
+
 @query("weather_absent", """
     SELECT * FROM (VALUES ('rainfall'), ('visibility')) v(variable)
     WHERE variable NOT IN (SELECT event_type FROM events)""")

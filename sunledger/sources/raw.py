@@ -8,6 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.validate import numeric
+from ..plans.chunks import carry
+from ..plans.summaries import attached
+from ..session import materialise
 from ..schema import POWER_CSV, TIME_PATTERNS, WEATHER_POSITIONS
 
 
@@ -113,6 +116,40 @@ def scan_weather_raw(spark: SparkSession, root: str, patterns: Mapping[str, str]
                             "value": numeric(F.col("value_text"))})
 
 
+def weather_file_issues(spark: SparkSession, root: str, patterns: Mapping[str, str],
+                        positions: Mapping[str, int] = WEATHER_POSITIONS, time: str = "Time") -> DataFrame:
+    """Structural issues of weather files as log rows: a file without the time column, a variable whose
+    position a file does not reach, a variable without any file. Headers of all files are read as data."""
+    out = None
+    for variable, pattern in patterns.items():
+        position = positions[variable]
+        try:
+            found = headers(spark, f"{root}/{pattern}")
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            part = spark.range(1).select(
+                F.lit("warning").alias("severity"), F.lit(f"schema/weather/{variable}").alias("stage"),
+                F.lit("variable_missing").alias("check"), F.lit(f"no file holds {variable}").alias("message"),
+                F.create_map(F.lit("variable"), F.lit(variable)).alias("detail"))
+        else:
+            names = F.transform(F.split("header", ","), lambda c: F.lower(F.trim(c, F.lit(' "\r\ufeff'))))
+            columns = found.select("file", names.alias("names"))
+            untimed = F.array_position("names", time.lower()) == 0
+            short = F.size("names") <= position
+            problems = F.array_compact(F.array(
+                F.when(untimed, F.struct(F.lit("required_column").alias("check"), F.lit(
+                    f"the header has no column {time}").alias("message"))),
+                F.when(short, F.struct(F.lit("column_position").alias("check"), F.format_string(
+                    f"{variable} should be column {position + 1} of %d", F.size("names")).alias("message")))))
+            part = columns.select("file", "names", F.explode(problems).alias("p")).select(
+                F.lit("error").alias("severity"), F.concat(F.lit(f"schema/weather/{variable}/"), file_stem(F.col("file")))
+                .alias("stage"), "p.check", "p.message", F.create_map(
+                    F.lit("variable"), F.lit(variable), F.lit("n_columns"), F.size("names").cast("string")).alias("detail"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def weather_table(long: DataFrame, variables: Sequence[str]) -> DataFrame:
     """One column per variable; several readings of a stamp are averaged."""
     return (long.where(F.col("Time").isNotNull()).groupBy("Time")
@@ -127,10 +164,32 @@ LOCATION = r"brick:hasLocation\s*\[\s*brick:value\s+\"([^\"]+)\""
 DATE = r"(?s)ext:connectionDate\s*\[.*?brick:value\s+\"([^\"]+)\""
 
 
+MARK = "pvsystem:"
+
+
+def entity_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """``block``: the text of every entity, from its mark to the next entity's.
+
+    Files are split at the mark, so Spark reads one large file as many tasks. A mark inside a block
+    (one entity that names another) starts a piece that is no entity; such pieces are joined to the
+    entity before them by their place in the file: first byte of the split, then row in the split.
+    """
+    pieces = materialise(spark.read.option("lineSep", MARK).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id")), "pieces")
+    first = pieces.groupBy("file", "start").agg(F.min("id").alias("first"))
+    placed = attached(pieces, first, ["file", "start"]).select(
+        "file", "value", (F.col("start") + F.col("id") - F.col("first")).alias("at"))
+    begins = F.concat(F.lit(MARK), "value").rlike("^" + ENTITY)
+    owned = carry(placed, ["file"], "at", {"owner": F.when(begins, F.col("at"))}, chunk_steps=1 << 20)
+    return owned.where("owner IS NOT NULL").groupBy("file", "owner").agg(
+        F.concat(F.lit(MARK), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))),
+                                                       lambda p: p["value"]), MARK)).alias("block")).select("block")
+
+
 def scan_stations(spark: SparkSession, path: str) -> DataFrame:
     """Station dimension from metadata text: one row per entity block."""
-    text = spark.read.text(path, wholetext=True)
-    blocks = text.select(F.explode(F.split("value", f"(?={ENTITY})")).alias("block"))
+    blocks = entity_blocks(spark, path)
 
     def found(pattern: str) -> Column:
         return F.nullif(F.regexp_extract("block", pattern, 1), F.lit(""))

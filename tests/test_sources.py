@@ -133,3 +133,33 @@ def test_a_foreign_header_is_an_issue_and_no_reading(spark, tmp_path):
     assert raw.scan_power_raw(spark, str(tmp_path / "A.csv")).count() == 1
     with pytest.raises(Exception, match="header"):
         raw.scan_power_raw(spark, str(tmp_path / "B.csv")).collect()
+
+
+def test_metadata_of_many_splits_gives_the_same_entities(spark, tmp_path):
+    """Entities that name each other, of very different length, cut at every few hundred bytes."""
+    def block(i):
+        other = f"  ext:feeds pvsystem:S{i - 1} ;\n" * (i % 4)
+        return (f"pvsystem:S{i} a brick:PV_Generation_System ;\n{other}  brick:latitude {i}.5 ;\n"
+                f"{'  # filler' * (i % 7 * 20)}\n  ext:ratedPowerOutput [ brick:value {i}.25 ] .\n")
+
+    (tmp_path / "a.ttl").write_text("# prefix pvsystem: <x>\n" + "".join(map(block, range(1, 120))))
+    (tmp_path / "b.ttl").write_text("".join(map(block, range(200, 203))))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {r.brick_name: (r.latitude, r.rated_kw) for r in raw.scan_stations(spark, str(tmp_path)).collect()}
+            assert got == {f"S{i}": (i + 0.5, i + 0.25) for i in [*range(1, 120), *range(200, 203)]}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_weather_files_with_wrong_headers_are_issues(spark, tmp_path):
+    for name, text in {"ghi": "Time,v\n1,2\n", "temperature": "when,v\n1,2\n", "wind": "Time,speed\n1,2\n"}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "2020.csv").write_text(text)
+    found = raw.weather_file_issues(spark, str(tmp_path), {
+        "ghi": "ghi/*.csv", "temperature": "temperature/*.csv", "wind_direction": "wind/*.csv", "rainfall": "rain/*.csv"})
+    assert {(r.severity, r.check, r.detail["variable"]) for r in found.collect()} == {
+        ("error", "required_column", "temperature"), ("error", "column_position", "wind_direction"),
+        ("warning", "variable_missing", "rainfall")}

@@ -19,9 +19,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import held_out, labelled, raw, table
+from .common import held_out, kept, labelled, raw, table
 
 _PLAIN = b".,;:'\"-()?"
 _UPPER = bytes(range(65, 91))
@@ -192,17 +192,29 @@ def fit_field(texts: list[bytes], labels: list[int], ridge: float = 0.1) -> np.n
     return minimise(loss, np.zeros(lines.shape[1] + 4))
 
 
+RARER_ROWS = 8
+
+
+def dealt_rows(rows: DataFrame, shards: int) -> DataFrame:
+    """Labelled rows (a bounded sample) with ``_shard``: each class is dealt evenly, to as many shards as
+    give each at least ``RARER_ROWS`` rows of the rarer class, and to one when there are fewer."""
+    found = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    many = max(1, min(shards, min(found.values(), default=0) // RARER_ROWS))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("text"))) - 1
+    return rows.withColumn("_shard", place % many)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, shards: int = 12) -> np.ndarray:
+    """Mean of the fields fitted on the shards of the sample; without one of the classes there is none."""
     def shard(group: pa.Table) -> pa.Table:
-        if len(set(group.column("label").to_pylist())) < 2:
-            return pa.table({"weights": pa.array([], pa.list_(pa.float64()))})
         w = fit_field(group.column("text").to_pylist(), group.column("label").to_pylist())
         return pa.table({"weights": pa.array([w.tolist()], pa.list_(pa.float64()))})
 
-    rows = labelled(docs, labels, "quality", max_rows)
-    dealt = rows.withColumn("_shard", F.pmod(F.xxhash64("text"), F.lit(shards)))
-    fitted = dealt.groupBy("_shard").applyInArrow(shard, "weights array<double>").collect()
-    return np.mean([r["weights"] for r in fitted], axis=0) if fitted else np.zeros(0)
+    rows = kept(labelled(docs, labels, "quality", max_rows), "labelled")
+    if rows.select("label").distinct().count() < 2:
+        return np.zeros(0)
+    fitted = dealt_rows(rows, shards).groupBy("_shard").applyInArrow(shard, "weights array<double>").collect()
+    return np.mean([r["weights"] for r in fitted], axis=0)
 
 
 def score_texts(texts: list[bytes | None], weights: np.ndarray,

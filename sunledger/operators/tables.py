@@ -187,17 +187,23 @@ def _matrix(df: DataFrame, source: str, values: Mapping[str, Column]) -> DataFra
 
 def matrix_from_registry(registry: DataFrame, site: str, protocol: str =
                          "within_site_chronological") -> DataFrame:
-    c = F.col
+    """Runs of the registry; what it does not record (family, cost, parameters) stays null."""
+    def c(name: str) -> Column:
+        return F.col(name) if name in registry.columns else F.lit(None)
+
     return _matrix(registry, "registry", {
         "experiment_id": c("experiment_id"), "research_question": _question(c("experiment_group")),
         "experiment_group": c("experiment_group"), "protocol": F.lit(protocol),
-        "model": c("model"), "horizon": c("horizon"), "site": F.lit(site),
-        "weather_regime": F.lit("all_daylight"), "season": F.lit("all"),
+        "model": c("model"), "model_family": c("model_family").cast("string"), "horizon": c("horizon"),
+        "site": F.lit(site), "weather_regime": F.lit("all_daylight"), "season": F.lit("all"),
         "feature_regime": c("feature_spec"), "seed": c("seed").cast("long"),
         "n_observations": c("n_test").cast("long"), "mae": c("mae"), "rmse": c("rmse"),
-        "nrmse": c("nrmse_capacity"), "r2": c("r2"),
+        "nrmse": c("nrmse_capacity"), "smape": c("smape").cast("double"), "r2": c("r2"),
         "skill_vs_persistence": c("skill_vs_persistence_rmse"),
-        "train_time": c("train_seconds"), "train_time_seconds": c("train_seconds")})
+        "train_time": c("train_seconds"), "inference_time": c("inference_ms_per_window").cast("double"),
+        "train_time_seconds": c("train_seconds"),
+        "inference_ms_per_window": c("inference_ms_per_window").cast("double"),
+        "n_parameters": c("n_parameters").cast("long")})
 
 
 def matrix_from_strata(stratified: DataFrame, seed: int = 42) -> DataFrame:

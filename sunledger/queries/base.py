@@ -199,7 +199,11 @@ class Given:
             "r2": 1.0 - F.col("rmse") / 20000.0,
             "skill_vs_persistence_rmse": 1.0 - F.col("rmse") / 4000.0,
             "train_seconds": F.pmod(F.col("run_no") * 7, F.lit(997)) / 10.0,
-            "n_test": F.pmod(F.col("run_no"), F.lit(1000)) + 1})
+            "n_test": F.pmod(F.col("run_no"), F.lit(1000)) + 1, "smape": F.col("rmse") / 200.0,
+            "model_family": F.when(F.col("model").endswith("persistence"), "baseline").when(
+                F.col("model").isin(CLASSICAL), "classical").otherwise("neural"),
+            "inference_ms_per_window": F.pmod(F.col("run_no") * 3, F.lit(101)) / 100.0,
+            "n_parameters": F.pmod(F.col("run_no") * 13, F.lit(100_000))})
 
     def registry(self) -> DataFrame:
         from ..operators.tables import upsert_registry
@@ -211,6 +215,7 @@ RUN_GROUPS = ["B_ml_vs_dl", "C_horizons", "E_feature_ablation", "M_multiseed",
 RUN_MODELS = ["persistence", "smart_persistence", "linear_regression", "random_forest",
               "gradient_boosting", "xgboost", "lstm", "gru", "cnn_lstm", "attention_lstm",
               "transformer"]
+CLASSICAL = ["linear_regression", "random_forest", "gradient_boosting", "xgboost"]
 RUN_HORIZONS = ["15min", "1h", "6h", "24h"]
 RUN_SPECS = ["full", "pv_only", "weather_only", "pv_weather", "pv_weather_solar", "no_weather"]
 
@@ -344,7 +349,10 @@ TABLES: dict[str, str] = {
         SELECT *, concat_ws('__', experiment_group, model, horizon, feature_spec, seed::VARCHAR)
                  AS experiment_id, rmse * 0.7 AS mae, rmse / 55000.0 AS nrmse_capacity,
                1.0 - rmse / 20000.0 AS r2, 1.0 - rmse / 4000.0 AS skill_vs_persistence_rmse,
-               (run_no * 7 % 997) / 10.0 AS train_seconds, run_no % 1000 + 1 AS n_test
+               (run_no * 7 % 997) / 10.0 AS train_seconds, run_no % 1000 + 1 AS n_test, rmse / 200.0 AS smape,
+               CASE WHEN model LIKE '%persistence' THEN 'baseline' WHEN list_contains({_listed(CLASSICAL)}, model)
+                 THEN 'classical' ELSE 'neural' END AS model_family,
+               (run_no * 3 % 101) / 100.0 AS inference_ms_per_window, run_no * 13 % 100000 AS n_parameters
         FROM (SELECT o_orderkey AS run_no, o_orderdate AS recorded_at,
                 ({_listed(RUN_GROUPS)})[(o_custkey // 66 % 5) + 1] AS experiment_group,
                 ({_listed(RUN_MODELS)})[(o_custkey % 11) + 1] AS model,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import conformal, strata, tables, transfer
+from ..schema import MATRIX_COLUMNS
 from .base import PRIMARY, RUN_HORIZONS, RUN_MODELS, RUN_SPECS, TABLES, Given, query
 from .evaluation import DAYS, STRATA_DOUBLES, stratified_sql
 
@@ -202,8 +203,10 @@ TABLES["transfer_scored"] = """
     SELECT protocol, 'linear_regression' AS model, horizon, test_site, count(*) AS n, avg(abs(e)) AS mae,
            sqrt(avg(e * e)) AS rmse, sqrt(avg(e * e)) / max(rated_w) AS nrmse_capacity, avg(e) AS bias,
            sqrt(avg(p * p)) AS persistence_rmse, 1 - sqrt(avg(e * e)) / sqrt(avg(p * p))
-             AS skill_vs_persistence_rmse
-    FROM (SELECT f.protocol, f.horizon, f.test_site, s.rated_w, s.reference_persistence - s.actual AS p,
+             AS skill_vs_persistence_rmse,
+           CASE WHEN var_pop(y) * count(*) > 1e-9 THEN 1 - sum(e * e) / (var_pop(y) * count(*)) ELSE 0 END AS r2,
+           100 * avg(CASE WHEN abs(y) + abs(y + e) > 1e-9 THEN 2 * abs(e) / (abs(y) + abs(y + e)) ELSE 0 END) AS smape
+    FROM (SELECT f.protocol, f.horizon, f.test_site, s.rated_w, s.actual AS y, s.reference_persistence - s.actual AS p,
                  f.intercept + f.slope * s.reference_persistence - s.actual AS e
           FROM fold_fits f JOIN supervised s ON s.site = f.test_site AND s.horizon = f.horizon
           WHERE s.split = 'test' AND s.daylight)
@@ -212,28 +215,35 @@ TABLES["transfer_scored"] = """
 
 TABLES["matrix"] = f"""
     SELECT experiment_id, {QUESTION} AS research_question, experiment_group,
-           'within_site_chronological' AS protocol, model, horizon, 'click' AS site,
+           'within_site_chronological' AS protocol, model, model_family, horizon, 'click' AS site,
            'all_daylight' AS weather_regime, 'all' AS season, feature_spec AS feature_regime, seed,
-           n_test AS n_observations, rmse, skill_vs_persistence_rmse AS skill_vs_persistence,
-           train_seconds AS train_time_seconds, 'executed' AS status, 'registry' AS source
+           n_test AS n_observations, mae, rmse, nrmse_capacity AS nrmse, smape, r2,
+           skill_vs_persistence_rmse AS skill_vs_persistence, train_seconds AS train_time,
+           inference_ms_per_window AS inference_time, train_seconds AS train_time_seconds, inference_ms_per_window,
+           n_parameters, 'executed' AS status, 'registry' AS source
     FROM registry
-    UNION ALL
-    SELECT concat_ws('_', 'S', site, model, stratum_type, replace(stratum, ' ', '_'), horizon), 'RQ3',
-           'D_regimes/G_seasonal', 'within_site_chronological', model, horizon, site,
-           CASE WHEN stratum_type = 'regime' THEN stratum ELSE 'all_daylight' END,
-           CASE WHEN stratum_type = 'season' THEN stratum ELSE 'all' END, 'full', 42, n, rmse,
-           skill_vs_persistence_rmse, NULL, 'executed', 'stratified'
+    UNION ALL BY NAME
+    SELECT concat_ws('_', 'S', site, model, stratum_type, replace(stratum, ' ', '_'), horizon) AS experiment_id,
+           'RQ3' AS research_question, 'D_regimes/G_seasonal' AS experiment_group,
+           'within_site_chronological' AS protocol, model, horizon, site,
+           CASE WHEN stratum_type = 'regime' THEN stratum ELSE 'all_daylight' END AS weather_regime,
+           CASE WHEN stratum_type = 'season' THEN stratum ELSE 'all' END AS season, 'full' AS feature_regime, 42 AS seed,
+           n AS n_observations, mae, rmse, nrmse_capacity AS nrmse, smape, r2,
+           skill_vs_persistence_rmse AS skill_vs_persistence, 'executed' AS status, 'stratified' AS source
     FROM ({stratified_sql(['regime', 'season'])})
-    UNION ALL
-    SELECT concat('K_', site, '_', model, '_a', alpha::VARCHAR, '_', scope, '_', horizon), 'RQ7', 'K_uncertainty', NULL,
-           model, horizon, site, NULL, 'all', 'full', NULL, n, NULL, NULL, NULL, 'executed', 'coverage'
+    UNION ALL BY NAME
+    SELECT concat('K_', site, '_', model, '_a', alpha::VARCHAR, '_', scope, '_', horizon) AS experiment_id,
+           'RQ7' AS research_question, 'K_uncertainty' AS experiment_group, model, horizon, site, 'all' AS season,
+           'full' AS feature_regime, n AS n_observations, 'executed' AS status, 'coverage' AS source
     FROM (SELECT site, model, horizon, alpha, scope, count(*) AS n
           FROM intervals, LATERAL (SELECT 'evaluation_all_steps' AS scope
                                    UNION ALL SELECT 'evaluation_daylight' WHERE daylight) GROUP BY ALL)
-    UNION ALL
-    SELECT concat_ws('_', 'J', protocol, model, horizon, replace(test_site, ' ', '_')), 'RQ6', 'J_cross_site',
-           protocol, model, horizon, test_site, 'all_daylight', 'all', 'full', NULL, n, rmse,
-           skill_vs_persistence_rmse, NULL, 'executed', 'cross_site'
+    UNION ALL BY NAME
+    SELECT concat_ws('_', 'J', protocol, model, horizon, replace(test_site, ' ', '_')) AS experiment_id,
+           'RQ6' AS research_question, 'J_cross_site' AS experiment_group, protocol, model, horizon, test_site AS site,
+           'all_daylight' AS weather_regime, 'all' AS season, 'full' AS feature_regime, n AS n_observations, mae, rmse,
+           nrmse_capacity AS nrmse, smape, r2, skill_vs_persistence_rmse AS skill_vs_persistence,
+           'executed' AS status, 'cross_site' AS source
     FROM transfer_scored"""
 
 
@@ -322,15 +332,11 @@ def _matrix(g: Given):
         tables.matrix_from_transfer(_transfer_scores(g))])
 
 
-MATRIX = ["experiment_id", "research_question", "experiment_group", "protocol", "model", "horizon",
-          "site", "weather_regime", "season", "feature_regime", "seed", "n_observations", "rmse",
-          "skill_vs_persistence", "train_time_seconds", "status", "source"]
-
-
-@query("result_matrix", f"SELECT {', '.join(MATRIX)} FROM matrix",
-       doubles="rmse skill_vs_persistence train_time_seconds", ints="seed n_observations")
+@query("result_matrix", f"SELECT {', '.join(MATRIX_COLUMNS)} FROM matrix",
+       doubles="mae rmse nrmse smape r2 skill_vs_persistence train_time inference_time train_time_seconds "
+               "inference_ms_per_window", ints="seed n_observations n_parameters")
 def result_matrix(g: Given):
-    return _matrix(g).select(*MATRIX)
+    return _matrix(g)
 
 
 @query("matrix_by_group", """

@@ -114,20 +114,51 @@ def test_once_keeps_filters_off_the_expression(spark):
 
 
 
-def test_narrow_values_spread_over_buckets(spark):
-    df = spark.range(1_000_000).select(
-        (1000 + F.col("id") / 1_000_000).alias("wide"), (F.col("id") / 1e9).alias("small"))
-    got = df.select(F.count_distinct(ranks.value_bucket(F.col("wide"))).alias("wide"),
-                    F.count_distinct(ranks.value_bucket(F.col("small"))).alias("small")).first()
-    assert got["wide"] > 1000 and got["small"] > 100_000
+def bucketed(df, value="v"):
+    rows = chunks.boxed(ranks.known(df, value), [])
+    return ranks.located(rows, ranks.split_points(rows, value), value)
+
+
+@pytest.mark.parametrize("values", ["1e9 + id / 2000", "1000 + id / 200000000", "id / 1e9",
+                                    "exp(id / 400) * if(id % 2 = 0, 1, -1)"])
+def test_values_spread_over_buckets(spark, values):
+    """Crowded far from zero, crowded closer, small, and of many magnitudes."""
+    out = bucketed(spark.range(200_000).selectExpr(f"double({values}) AS v"))
+    sizes = out.groupBy(ranks.BUCKET).count()
+    got = sizes.agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most")).first()
+    assert got["n"] > 20_000 and got["most"] < 1000
 
 
 def test_buckets_never_fall(spark):
     rng = random.Random(1)
-    values = sorted({rng.choice((-1, 1)) * 10 ** rng.uniform(-14, 300) for _ in range(3000)} | {0.0})
-    df = spark.createDataFrame(list(enumerate(values)), "i long, v double")
-    found = [r[0] for r in df.orderBy("i").select(ranks.value_bucket(F.col("v"))).collect()]
-    assert found == sorted(found)
+    values = sorted({rng.choice((-1, 1)) * 10 ** rng.uniform(-14, 307) for _ in range(3000)}
+                    | {0.0, 5e-324, 1e-323, 1.7e308, -1.7e308})
+    df = spark.createDataFrame(list(enumerate(values)), "i long, v double").repartition(5)
+    found = [r[0] for r in bucketed(df).orderBy("i").select(ranks.BUCKET).collect()]
+    assert found == sorted(found) and len(set(found)) > 2000
+
+
+def test_quantiles_of_crowded_values_and_a_hot_value(spark):
+    """A third of all rows is one value; the rest lies within 100 of a billion or spans magnitudes."""
+    rng = np.random.default_rng(9)
+    values = np.concatenate([np.full(5000, 1e9 + 3), 1e9 + 100 * rng.random(5000),
+                             10.0 ** rng.uniform(-9, 12, 5000)])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(6)
+    shares = {f"q{i}": i / 50 for i in range(51)}
+    got = ranks.quantiles(df, [], "v", shares).first()
+    for name, p in shares.items():
+        assert got[name] == pytest.approx(np.quantile(values, p), rel=1e-14)
+    firsts = {r.v: (r.first_rank, r.ties, r.n) for r in ranks.ranked_values(df, [], "v").collect()}
+    order = np.sort(values)
+    for v, (first, ties, n) in firsts.items():
+        left, right = np.searchsorted(order, [v], "left")[0], np.searchsorted(order, [v], "right")[0]
+        assert (first, ties, n) == (left + 1, right - left, 15000)
+
+
+def test_ranks_of_nothing(spark):
+    none = spark.createDataFrame([], "site string, v double")
+    assert ranks.quantiles(none, ["site"], "v", {"m": 0.5}).count() == 0
+    assert ranks.ranked_values(none, ["site"], "v").count() == 0
 
 
 def test_ranks_of_a_hot_narrow_group_and_of_null_keys(spark):

@@ -138,21 +138,45 @@ def prediction_files(g: Given):
         F.count(F.lit(1)).alias("n_rows"), F.avg("predicted").alias("mean_predicted"))
 
 
-@query("run_records", """
-    SELECT experiment_id, experiment_group, model, horizon, feature_spec, seed, mae, rmse, n_test,
-           train_seconds FROM registry""", doubles="mae rmse train_seconds", ints="seed")
-def run_records(g: Given):
-    path = scratch_path(g.spark, "records")
-    c = F.col
-    results.write_run_records(g.registry().select(
+RECORD_COLUMNS = """experiment_id, experiment_group, model, horizon, feature_spec, seed, mae, rmse,
+    rmse AS rmse_all_steps, n_test, train_seconds"""
+
+
+def _record_folder(g: Given) -> str:
+    """The run log as records in the study's layout, and each once more with its end cut off."""
+    path, c = scratch_path(g.spark, "records"), F.col
+    record = F.to_json(F.struct(
         F.struct("experiment_id", c("experiment_group").alias("group"), "model", "horizon",
                  c("feature_spec").alias("features"), "seed").alias("spec"),
-        F.create_map(F.lit("mae"), c("mae"), F.lit("rmse"), c("rmse")).alias("metrics_daylight"),
-        F.create_map(F.lit("rmse"), c("rmse")).alias("metrics_all_steps"),
-        F.struct("n_test", "train_seconds").alias("metadata")), path)
-    return results.scan_run_records(g.spark, path, multi_line=False).select(
-        "experiment_id", "experiment_group", "model", "horizon", "feature_spec", "seed", "mae",
-        "rmse", "n_test", "train_seconds")
+        F.struct("mae", "rmse").alias("metrics_daylight"),
+        F.struct("rmse").alias("metrics_all_steps"),
+        F.struct(F.struct(c("n_test").alias("test")).alias("split_sizes"),
+                 F.struct("train_seconds").alias("cost"),
+                 F.struct("experiment_id").alias("own")).alias("metadata")))
+    texts = g.registry().select(F.explode(F.array(
+        record, F.substring(record, F.lit(1), F.length(record) - 9))).alias("value"))
+    texts.write.text(path)
+    return path
+
+
+@query("run_records", f"""
+    SELECT {RECORD_COLUMNS}, NULL::VARCHAR AS model_family, NULL::BIGINT AS n_parameters,
+           NULL::VARCHAR AS test_end, 'f' AS config_fingerprint, experiment_id AS own
+    FROM registry""", doubles="mae rmse rmse_all_steps train_seconds", ints="seed")
+def run_records(g: Given):
+    """``own`` is a field that the registry does not know."""
+    rows = results.scan_run_records(g.spark, _record_folder(g), multi_line=False, fingerprint="f")
+    return rows.select(
+        "experiment_id", "experiment_group", "model", "horizon", "feature_spec", "seed", "mae", "rmse",
+        "rmse_all_steps", "n_test", "train_seconds", "model_family", "n_parameters", "test_end",
+        "config_fingerprint",
+        F.try_variant_get("record", "$.metadata.own.experiment_id", "string").alias("own"))
+
+
+@query("run_record_counts", """
+    SELECT count(*) AS n_read, count(*) AS n_cut_off, 0::BIGINT AS n_unspecified FROM registry""")
+def run_record_counts(g: Given):
+    return results.record_counts(g.spark, _record_folder(g), multi_line=False)
 
 
 @query("table_export", """

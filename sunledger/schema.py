@@ -141,21 +141,35 @@ WEATHER_POSITIONS = {
     "ghi": 1, "temperature": 1, "relative_humidity": 1, "sea_level_pressure": 1,
     "visibility": 1, "wind_speed": 1, "wind_direction": 2, "rainfall": 1,
 }
-RUN_RECORD = T.StructType([
-    T.StructField("spec", T.StructType([
-        T.StructField("experiment_id", T.StringType()),
-        T.StructField("group", T.StringType()),
-        T.StructField("model", T.StringType()),
-        T.StructField("horizon", T.StringType()),
-        T.StructField("features", T.StringType()),
-        T.StructField("seed", T.LongType()),
-    ])),
-    T.StructField("metrics_daylight", T.MapType(T.StringType(), T.DoubleType())),
-    T.StructField("metrics_all_steps", T.MapType(T.StringType(), T.DoubleType())),
-    T.StructField("metadata", T.StructType([
-        T.StructField("n_train", T.LongType()),
-        T.StructField("n_test", T.LongType()),
-        T.StructField("train_seconds", T.DoubleType()),
-        T.StructField("inference_ms_per_window", T.DoubleType()),
-    ])),
-])
+# fixed values: registry column, where a run record holds it, and its type
+DAY_METRICS = ("rmse", "mae", "nrmse_capacity", "nrmse_mean", "r2", "smape", "bias", "peak_error",
+               "persistence_rmse", "smart_persistence_rmse", "skill_vs_persistence_rmse",
+               "skill_vs_smart_persistence_rmse")
+RUN_FIELDS = {
+    "experiment_id": ("$.spec.experiment_id", "string"),
+    "experiment_group": ("$.spec.group", "string"),
+    "model": ("$.spec.model", "string"),
+    "model_family": ("$.metadata.model_family", "string"),
+    "model_kind": ("$.metadata.model_kind", "string"),
+    "horizon": ("$.spec.horizon", "string"),
+    "horizon_steps": ("$.spec.horizon_steps", "bigint"),
+    "features": ("$.spec.features", "string"),
+    "feature_spec": ("$.spec.features", "string"),
+    "seed": ("$.spec.seed", "bigint"),
+    "n_features": ("$.metadata.n_features", "bigint"),
+    **{f"n_{split}": (f"$.metadata.split_sizes.{split}", "bigint")
+       for split in ("train", "val", "test")},
+    **{f"{split}_{end}": (f"$.metadata.target_split_dates.{split}", end)
+       for split in ("train", "val", "test") for end in ("start", "end")},
+    **{name: (f"$.metrics_daylight.{name}", "double") for name in DAY_METRICS},
+    **{f"{name}_all_steps": (f"$.metrics_all_steps.{name}", "double")
+       for name in ("rmse", "mae", "r2")},
+    "train_seconds": ("$.metadata.cost.train_seconds", "double"),
+    "inference_ms_per_window": ("$.metadata.cost.inference_ms_per_window", "double"),
+    "n_parameters": ("$.metadata.cost.n_parameters", "bigint"),
+    "config_fingerprint": ("$.metadata.config_fingerprint", "string"),
+    "git_revision": ("$.metadata.environment.git_revision", "string"),
+    "python_version": ("$.metadata.environment.platform.python", "string"),
+    "torch_version": ("$.metadata.environment.torch.version", "string"),
+    "notes": ("$.spec.notes", "string"),
+}

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..schema import RUN_RECORD
+from ..schema import RUN_FIELDS
 from .raw import file_stem
 
 
@@ -25,47 +25,92 @@ def stem_parts(name: Column) -> dict[str, Column]:
             "horizon": F.get(parts, 2)}
 
 
+def prediction_runs(spark: SparkSession, path: str | list[str], groups: Sequence[str] | None = None,
+                    horizon: str | None = None) -> DataFrame:
+    """One row per run: its name, parts and ``source``, the file or folder that holds it.
+
+    Only names are listed; no file is opened.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+        "pathGlobFilter", "*.parquet").load(path)
+    files = files.select(run_name(F.col("_metadata.file_path")).alias("run"), F.when(
+        file_stem(F.col("path")).startswith("part-"), F.regexp_replace("path", "/[^/]+$", ""))
+        .otherwise(F.col("path")).alias("source"))
+    runs = files.distinct().withColumns(stem_parts(F.col("run")))
+    if groups is not None:
+        runs = runs.where(F.col("experiment_group").isin(list(groups)))
+    return runs if horizon is None else runs.where(F.col("horizon") == horizon)
+
+
 def scan_predictions(spark: SparkSession, path: str | list[str], groups: Sequence[str] | None = None,
                      horizon: str | None = None) -> DataFrame:
     """Prediction files of several runs; the first run of a model and horizon wins.
 
-    The winner is found on run names alone, so forecasts of the other runs are dropped by
-    a join on the name and never sorted.
+    Winners are found among the names of files and read by path: forecasts of other runs are
+    never opened. The driver holds one path per model and horizon.
     """
-    rows = spark.read.parquet(*([path] if isinstance(path, str) else path))
-    rows = rows.select("*", run_name(F.col("_metadata.file_path")).alias("_run"))
-    rows = rows.withColumns(stem_parts(F.col("_run")))
-    if groups is not None:
-        rows = rows.where(F.col("experiment_group").isin(list(groups)))
-    if horizon is not None:
-        rows = rows.where(F.col("horizon") == horizon)
-    first = rows.groupBy("model", "horizon").agg(F.min("_run").alias("_run"))
-    return rows.join(first, ["model", "horizon", "_run"]).drop("_run")
+    runs = prediction_runs(spark, path, groups, horizon)
+    known = runs.where("model IS NOT NULL AND horizon IS NOT NULL")
+    first = known.groupBy("model", "horizon").agg(F.min("run").alias("run"))
+    winners = [r.source for r in known.join(first, ["model", "horizon", "run"])
+               .select("source").distinct().orderBy("source").collect()]
+    if winners:
+        rows = spark.read.parquet(*winners)
+    else:
+        rows = spark.read.parquet(*([path] if isinstance(path, str) else path)).where(F.lit(False))
+    return rows.withColumns(stem_parts(run_name(F.col("_metadata.file_path"))))
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("horizon", "model").parquet(path)
 
 
-def scan_run_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Flat registry rows from JSON run records; truncated ones are skipped.
+def parsed_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """``record`` (a VARIANT, null where the text is cut off or no JSON) and ``file``.
 
-    ``multi_line`` reads one record per file, otherwise one per line.
+    ``multi_line`` reads one record per file, otherwise one per line. Numbers written as NaN or
+    Infinity, which JSON lacks, become null.
+    """
+    text = spark.read.text(path, wholetext=multi_line)
+    numbers = F.regexp_replace("value", r"([:,\[]\s*+)(?:-?Infinity|NaN)(?=\s*+[,}\]])", "$1null")
+    return text.where(F.trim("value") != "").select(
+        F.coalesce(F.try_parse_json(F.col("value")), F.try_parse_json(numbers)).alias("record"),
+        F.col("_metadata.file_path").alias("file"))
+
+
+def _field(name: str) -> Column:
+    path, kind = RUN_FIELDS[name]
+    if kind in ("start", "end"):
+        dates = F.try_variant_get("record", path, "array<string>")
+        at = F.lit(0) if kind == "start" else F.size(dates) - 1
+        return F.nullif(F.get(dates, at), F.lit(""))
+    return F.try_variant_get("record", path, kind)
+
+
+def scan_run_records(spark: SparkSession, path: str, multi_line: bool = True,
+                     fingerprint: str | None = None) -> DataFrame:
+    """Registry rows of JSON run records, all columns of the registry typed, and ``record`` whole,
+    so that fields the registry does not know can still be read from it.
+
+    Records that are cut off, or have no specification, are skipped; :func:`record_counts` counts
+    them. A field that is missing, or of another type, is null. A record without a group has the
+    first part of its id. ``fingerprint`` stands for that of records without one.
     """
-    raw = (spark.read.schema(T.StructType([*RUN_RECORD.fields,
-                                           T.StructField("_corrupt", T.StringType())]))
-           .option("multiLine", multi_line).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt").json(path))
-    kept = raw.where(F.col("_corrupt").isNull() & F.col("spec.experiment_id").isNotNull())
-    lit, day, whole = F.col, F.col("metrics_daylight"), F.col("metrics_all_steps")
-    return kept.select(
-        "spec.experiment_id", lit("spec.group").alias("experiment_group"), "spec.model",
-        "spec.horizon", lit("spec.features").alias("feature_spec"), "spec.seed",
-        *[day[m].alias(m) for m in ("mae", "rmse", "nrmse_capacity", "r2", "smape", "bias",
-                                    "skill_vs_persistence_rmse")],
-        *[whole[m].alias(f"{m}_all_steps") for m in ("rmse", "mae", "r2")],
-        "metadata.n_train", "metadata.n_test", "metadata.train_seconds",
-        "metadata.inference_ms_per_window")
+    kept = parsed_records(spark, path, multi_line).where(
+        F.try_variant_get("record", "$.spec.experiment_id", "string").isNotNull())
+    out = kept.select(*[_field(name).alias(name) for name in RUN_FIELDS], "record")
+    return out.withColumns({
+        "experiment_group": F.coalesce("experiment_group", F.split("experiment_id", "__")[0]),
+        "config_fingerprint": F.coalesce("config_fingerprint", F.lit(fingerprint).cast("string"))})
+
+
+def record_counts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """How many records were read, cut off, and without a specification."""
+    parsed = parsed_records(spark, path, multi_line)
+    named = F.try_variant_get("record", "$.spec.experiment_id", "string").isNotNull()
+    return parsed.agg(F.count_if(named).alias("n_read"),
+                      F.count_if(F.col("record").isNull()).alias("n_cut_off"),
+                      F.count_if(F.col("record").isNotNull() & ~named).alias("n_unspecified"))
 
 
 def write_run_records(df: DataFrame, path: str) -> None:

@@ -84,15 +84,54 @@ def test_first_run_of_a_model_wins(spark, tmp_path):
         ("B", "1h", 1.0), ("C", "6h", 3.0)}
 
 
-def test_truncated_run_records_are_skipped(spark, tmp_path):
-    record = {"spec": {"experiment_id": "x", "group": "B", "model": "m", "horizon": "1h",
-                       "features": "full", "seed": 42},
-              "metrics_daylight": {"mae": 1.5, "rmse": 2.0}, "metrics_all_steps": {"rmse": 1.0},
-              "metadata": {"n_test": 7, "train_seconds": 0.5}}
-    (tmp_path / "good.json").write_text(json.dumps(record, indent=2))
-    (tmp_path / "bad.json").write_text(json.dumps(record, indent=2)[:80])
-    r = results.scan_run_records(spark, str(tmp_path)).collect()
-    assert len(r) == 1 and (r[0].mae, r[0].rmse_all_steps, r[0].n_test) == (1.5, 1.0, 7)
+def test_other_runs_are_not_opened(spark, tmp_path):
+    """Files of runs that lose are no Parquet at all here."""
+    rows = spark.createDataFrame([(1.0,)], "predicted double").coalesce(1)
+    rows.write.parquet(str(tmp_path / "B__m__1h"))
+    for name in ("C__m__1h", "Z__m__6h"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part-0.parquet").write_text("nothing to read")
+    (tmp_path / "D__m__1h.parquet").write_text("nor here")
+    got = results.scan_predictions(spark, str(tmp_path), ["B", "C", "D"], "1h").collect()
+    assert [(r.experiment_group, r.model, r.predicted) for r in got] == [("B", "m", 1.0)]
+    runs = results.prediction_runs(spark, str(tmp_path)).orderBy("run").collect()
+    assert [r.run for r in runs] == ["B__m__1h", "C__m__1h", "D__m__1h", "Z__m__6h"]
+    good = str(tmp_path / "B__m__1h")
+    assert results.scan_predictions(spark, good, ["none"]).count() == 0
+
+
+def test_run_records_typed_whole_and_counted(spark, tmp_path):
+    record = {"spec": {"experiment_id": "B__x__1h", "model": "x", "horizon": "1h", "horizon_steps": 4,
+                       "features": "full", "seed": 42, "notes": "n: NaN, kept"},
+              "metrics_daylight": {"mae": 1.5, "rmse": 2, "r2": float("nan"), "bias": float("-inf")},
+              "metrics_all_steps": {"rmse": 1.0},
+              "metadata": {"model_family": "trees", "split_sizes": {"train": 9, "test": 7},
+                           "target_split_dates": {"train": ["a", "m", "b"], "val": [], "test": ["", "z"]},
+                           "cost": {"train_seconds": 0.5, "n_parameters": "many"},
+                           "environment": {"git_revision": "r", "platform": {"python": "3"},
+                                           "torch": {"version": "t"}}, "new": {"field": [1, 2]}}}
+    plain = json.loads(json.dumps(record).replace("NaN,", "0,").replace("-Infinity", "0"))
+    plain["spec"]["experiment_id"] = "C__y__6h"
+    (tmp_path / "nan.json").write_text(json.dumps(record, indent=2))
+    (tmp_path / "plain.json").write_text(json.dumps(plain))
+    (tmp_path / "cut.json").write_text(json.dumps(record, indent=2)[:80])
+    (tmp_path / "other.json").write_text("{}")
+    (tmp_path / "empty.json").write_text("")
+    rows = {r.experiment_id: r for r in results.scan_run_records(
+        spark, str(tmp_path), fingerprint="f").drop("record").collect()}
+    assert set(rows) == {"B__x__1h", "C__y__6h"} and len(rows["B__x__1h"]) == 43
+    r = rows["B__x__1h"]
+    assert (r.experiment_group, r.mae, r.rmse, r.r2, r.bias, r.rmse_all_steps) == ("B", 1.5, 2.0, None, None, 1.0)
+    assert (r.n_train, r.n_val, r.n_test, r.horizon_steps, r.seed) == (9, None, 7, 4, 42)
+    assert (r.train_start, r.train_end, r.val_end, r.test_start, r.test_end) == ("a", "b", None, None, "z")
+    assert (r.train_seconds, r.n_parameters, r.config_fingerprint) == (0.5, None, "f")
+    assert (r.model_family, r.git_revision, r.python_version, r.torch_version) == ("trees", "r", "3", "t")
+    assert rows["C__y__6h"].r2 == 0.0
+    kept = results.scan_run_records(spark, str(tmp_path)).select(
+        F.try_variant_get("record", "$.metadata.new.field[1]", "int").alias("x"))
+    assert [k.x for k in kept.collect()] == [2, 2]
+    assert results.record_counts(spark, str(tmp_path)).first().asDict() == {
+        "n_read": 2, "n_cut_off": 1, "n_unspecified": 1}
 
 
 def test_six_significant_digits(spark, tmp_path):

@@ -311,7 +311,78 @@ def test_secrets(docs):
 def test_secrets_follow_constants():
     text = 'A = "q8Zr41xx"\nB := A + "77Yt"\nclient_secret: ${B}\nname = "q8Zr41xy"'
     found = {text[a:b] for a, b in secrets.sensitive_literals(text)}
-    assert found == {"q8Zr41xx"}
+    assert found == {"q8Zr41xx", "77Yt"}  # the folded constant is the secret, with all its pieces
+
+
+SECRET = "Zx81kQ0pL7vR"
+
+
+@pytest.mark.parametrize("text, pieces", [
+    ('db_password = "Zx81kQ" + "0pL7vR9"', {"Zx81kQ", "0pL7vR9"}),
+    ('A = "Zx81kQ"\nB = "0pL7vR9w"\nclient_secret = A + B', {"Zx81kQ", "0pL7vR9w"}),
+    (f'x = private_key = "{SECRET}"', {SECRET}),
+    (f'const privateKey: string = "{SECRET}"', {SECRET}),
+    (f'private_key = """{SECRET}"""', {SECRET}),
+    (f"private_key = '''\n  {SECRET}\n'''", {SECRET}),
+    (f"  private_key: |\n    {SECRET}\n\n    {SECRET}2\n  other: Kx81kQ0pL7vR", {SECRET, SECRET + "2"}),
+    (f'private_key = \\\n    "{SECRET}"', {SECRET}),
+    (f"<private_key kind='a'>{SECRET}</private_key>", {SECRET}),
+    (f'if private_key == "{SECRET}":', {SECRET}),
+    (f'private_key = os.environ.get("K", "{SECRET}")', {SECRET}),
+    (f'private_key = K\nK = "{SECRET}"', {SECRET}),
+    (f'private_key = rb"{SECRET}"', {SECRET}),
+    ('private_key = K\nK = L\nL = K', set()), ("private_key = private_key", set()),
+    ('private_key = ""', set()), (f'title = "{SECRET}"', set()), ('secret_name = "changeme" + "Zx81kQ0"', set()),
+])
+def test_secret_syntax(text, pieces):
+    assert {text[a:b] for a, b in secrets.sensitive_literals(text)} == pieces
+
+
+def test_secret_base_spans_equal_a_plain_scan():
+    """Base kinds of random texts found by walking over the characters."""
+    rng = random.Random(4)
+    bits = ["password", "API_key", "apikey", "Token", "secret", "=", ":", " ", '"', "'", "AKIA", "A1B2C3D4E5F6",
+            "0123456789abcdef", "deadbeef", "abcdefgh", "x", "\n", "é", "İ"]
+
+    def run(text, at, allowed):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    def assign(text, at):
+        word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey")
+                     if text[at:at + len(w)].lower() == w), None)
+        if word is None:
+            return None
+        end = at + len(word)
+        end += text[end:end + 1] in ('"', "'") and text[end:end + 1] != ""
+        end = run(text, end, " ")
+        if text[end:end + 1] not in (":", "=") or end >= len(text):
+            return None
+        end = run(text, end + 1, " ")
+        end += text[end:end + 1] in ('"', "'") and text[end:end + 1] != ""
+        stop = run(text, end, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+        return (stop, stop - end >= 8) if stop > end else None
+
+    def access(text, at):
+        stop = run(text, at + 4, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+        return (stop, stop - at >= 16) if text[at:at + 4] == "AKIA" and stop > at + 4 else None
+
+    def hexes(text, at):
+        stop = run(text, at, "0123456789abcdef")
+        return (stop, stop - at >= 32) if stop > at else None
+
+    for _ in range(1500):
+        text, want = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25))), []
+        for order, find in enumerate((assign, access, hexes)):
+            at = 0
+            while at < len(text):
+                hit = find(text, at)
+                if hit and hit[1]:
+                    want.append((at, order, hit[0]))
+                at = hit[0] if hit else at + 1
+        assert [x[:3] for x in secrets.spans_of(text) if x[1] < 3] == sorted(want), text
 
 
 def test_secrets_without_limits_on_lengths_or_chains():

@@ -24,7 +24,9 @@ def shuffled_pairs(rows: DataFrame, row_id: str, groups: Mapping[str, Sequence[s
     Rows of a key are numbered once, in the order of their ids. A keyed permutation of the numbers
     tells each row to which one it gives its values, so nothing is sorted; what travels per
     feature and repeat is the feature's own columns. All columns of a feature move together.
-    The join is by key and number, so a key may hold any share of the rows.
+    The join is by key and number, so a key may hold any share of the rows. It is by shuffle: the planner
+    sizes what is given by the file of the numbered rows, not by the features and repeats made of it,
+    and would send all of it through the driver as a broadcast.
     """
     columns = list(dict.fromkeys(c for cs in groups.values() for c in cs))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
@@ -53,7 +55,7 @@ def shuffled_pairs(rows: DataFrame, row_id: str, groups: Mapping[str, Sequence[s
     given = numbered.select(KEY, "_pos", "_size", *[F.col(c).cast("double").alias(f"_v{i}")
                                                     for i, c in enumerate(columns)])
     given = given.mapInArrow(give, f"{KEY} {kind}, _pos bigint, feature string, repeat int, _moved array<double>")
-    paired = numbered.drop("_size").join(given, [KEY, "_pos"])
+    paired = numbered.drop("_size").hint("merge").join(given.hint("merge"), [KEY, "_pos"])
     swapped = {}
     for c in columns:
         value = F.col(c)

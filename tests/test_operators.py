@@ -469,6 +469,17 @@ def test_shuffle_is_a_permutation(spark):
     assert sum(r.x != r.row_id for r in out) > 80
 
 
+@pytest.mark.parametrize("keys", [[], ["key"]])
+def test_given_values_are_not_broadcast(spark, keys):
+    """The file of the numbered rows is small; what is made of it, per feature and repeat, is not."""
+    df = spark.range(100).select(F.col("id").alias("row_id"), F.col("id").cast("double").alias("x"),
+                                 F.lit("k").alias("key"))
+    out = importance.shuffled_pairs(df, "row_id", {"x": ["x"]}, 10, keys)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert out.count() == 1000
+
+
 def test_folds(spark):
     sites = spark.createDataFrame([("a",), ("b",), ("c",), ("b",)], "site string")
     got = {(r.protocol, r.test_site): (r.train_sites, r.n_train_sites)

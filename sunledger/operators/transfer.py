@@ -121,8 +121,9 @@ def pooled_fits(train: DataFrame, sites: DataFrame, primary: str, inputs: Sequen
     """Least squares of every fold on inputs scaled by the fold's own training rows.
 
     One matrix of products per site; those of a fold are sums and differences of these. Returns ``means``
-    and ``stds`` of the inputs, ``coefficients`` of the scaled inputs and the ``intercept``. An input
-    that does not vary in the fold gets 0. Rows keep to their site, so no label or window crosses a seam.
+    and ``stds`` of the inputs, ``coefficients`` of the scaled inputs, the ``intercept`` and the ``rank``. An
+    input that does not vary in the fold gets 0; with a rank below the number of inputs, other weights
+    would fit as well. Rows keep to their site, so no label or window crosses a seam.
     """
     per_site = cross_products(train, inputs, target, ["site", *keys])
     pooled = fold_sums(per_site, sites, primary, keys).where("n_fit > 0")
@@ -130,7 +131,7 @@ def pooled_fits(train: DataFrame, sites: DataFrame, primary: str, inputs: Sequen
     arrays = T.ArrayType(T.DoubleType())
     schema = T.StructType([*[pooled.schema[c] for c in (*names, "n_fit")], T.StructField("means", arrays),
                            T.StructField("stds", arrays), T.StructField("coefficients", arrays),
-                           T.StructField("intercept", T.DoubleType())])
+                           T.StructField("intercept", T.DoubleType()), T.StructField("rank", T.LongType())])
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -141,11 +142,14 @@ def pooled_fits(train: DataFrame, sites: DataFrame, primary: str, inputs: Sequen
                 spread = products[1:, 1:] / n - np.outer(mean, mean)
                 std = np.sqrt(np.maximum(np.diag(spread)[:-1], 0.0))
                 live = std > EPS
-                out = np.zeros(len(inputs))
+                out, rank = np.zeros(len(inputs)), 0
                 scale = std[live]
-                out[live] = np.linalg.lstsq(spread[:-1, :-1][np.ix_(live, live)] / np.outer(scale, scale),
-                                            spread[:-1, -1][live] / scale, rcond=1e-12)[0] if live.any() else 0.0
-                found.append({**row, "means": mean[:-1], "stds": std, "coefficients": out, "intercept": mean[-1]})
+                if live.any():
+                    out[live], _, rank, _ = np.linalg.lstsq(
+                        spread[:-1, :-1][np.ix_(live, live)] / np.outer(scale, scale),
+                        spread[:-1, -1][live] / scale, rcond=1e-12)
+                found.append({**row, "means": mean[:-1], "stds": std, "coefficients": out, "intercept": mean[-1],
+                              "rank": int(rank)})
             yield pd.DataFrame(found, columns=schema.names)
 
     return pooled.select(*names, "n_fit", "products").mapInPandas(solve, schema)

@@ -505,6 +505,18 @@ def pooled_rows():
     return rows
 
 
+def test_rank_tells_whether_the_weights_of_a_fold_are_determined(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, "1h", float(x), z(x), float(3 * x + rng.normal())) for s, z in (
+        ("flat", lambda x: 450.0), ("equal", lambda x: float(x)), ("free", lambda x: float(rng.normal())))
+        for x in rng.normal(2000, 400, 50)]
+    frame = spark.createDataFrame(rows, "site string, horizon string, x double, z double, actual double")
+    fits = transfer.pooled_fits(frame, frame, "free", ["x", "z"], "actual").where("protocol = 'within_site'")
+    got = {r.test_site: r for r in fits.collect()}
+    assert {s: r.rank for s, r in got.items()} == {"flat": 1, "equal": 1, "free": 2}
+    assert got["flat"].stds[1] == got["flat"].coefficients[1] == 0.0
+
+
 def test_pooled_fits_are_fits_on_the_pooled_rows(spark):
     """Total less own equals a fit on the other sites' rows, for sites of very different scale, a site
     that no list names and rows without a site; a site without training rows is tested too."""

@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -35,6 +36,17 @@ def test_query(spark, con, name):
         assert df.count() > 0
 
 
+def test_weights_of_dense_readings_against_sql(spark, tmp_path):
+    """Every bin is far above the capacity, so the smart forecast a day ahead does not vary within a site."""
+    folder, con = str(tmp_path), duckdb.connect()
+    con.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_minutes(15 * (i // 5) + 5) AS ts, i AS user_id,
+        ['click', 'error', 'purchase', 'signup', 'view'][i % 5 + 1] AS event_type, 3000 + (i * 7919 % 4001) / 4 AS value,
+        '{{"k": 1}}' AS props FROM range(5 * 2880) t(i)) TO '{folder}/events.parquet' (FORMAT parquet)""")
+    df = entry.queries()["pooled_fits_scaled"](spark, folder)
+    assert df.where("isnan(weight_x) AND isnan(weight_z)").count() > 0
+    assert compare(df, duck(folder), entry.oracle_sql()["pooled_fits_scaled"]) is None
+
+
 def test_every_statement_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

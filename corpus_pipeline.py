@@ -44,8 +44,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate documents one stays, by smallest id (null first).
-    Near are sets of five-word shingles with a Jaccard similarity of 0.8 or more, of the texts that
-    the documents had before line dedup, of which a near copy keeps only what differs."""
+    Near are sets of five-word shingles with a Jaccard similarity of 0.8 or more: first of the texts that
+    the documents had before line dedup, of which a near copy keeps only what differs, then, among
+    those that stay, of the texts that line dedup left."""
     return similar.one_of_each(docs, common.table(spark, sf_dir, "documents"))
 
 

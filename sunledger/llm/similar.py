@@ -12,9 +12,11 @@ band and set; after that only pairs of different components that still share a b
 them. A pair whose equal minima (of 125, 16 bits each) are fewer than 0.65, over four deviations below 0.8,
 or whose sizes rule 0.8 out, is dropped before texts travel, so texts travel for near-duplicates only.
 
-With ``originals`` a document is judged by its text there (same id, language, source and size, unique
-on both sides), by its own text otherwise: line dedup leaves a near copy only the lines that differ, and
-fragments are no longer similar. Documents with equal own texts are linked as well.
+With ``originals`` a document is judged twice. First by its text there (same id, language, source and size,
+unique on both sides; by its own text otherwise): line dedup leaves a near copy only the lines that differ,
+and fragments are no longer similar. Then those that stay are judged by their own texts, what line dedup left
+of them. One after the other, not as links of one graph: copies of different documents may be left with
+the same text, often none, and would tie the documents together of which they are copies.
 
 * Sets that are equal are one node (64 bits of hash). Texts of fewer than five words have one
   shingle, texts without words (null and empty ones too) have the same empty set.
@@ -201,19 +203,16 @@ def near_duplicates(docs: DataFrame, originals: DataFrame | None = None, shingle
         marked.join(roots.toDF("sig", "root"), "sig", "left").select(
             "doc_id", "own", F.coalesce("root", "sig").alias("root"))
     found = kept(found, "found")
-    # equal own texts under different roots
-    same = kept(found.groupBy("own").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-                .where("lo <> hi").select("own", "lo"), "same")
-    if not same.isEmpty():
-        links = found.join(same, "own").select(F.col("root").alias("a"), F.col("lo").alias("b"))
-        joined = kept(components(links), "joined")
-        found = found.join(joined.toDF("root", "top"), "root", "left").select(
-            "doc_id", "own", F.coalesce("top", "root").alias("root"))
     return found.select("doc_id", F.col("own").alias("th"), "root")
 
 
 def one_of_each(docs: DataFrame, originals: DataFrame | None = None, shingle: int = SHINGLE,
                 similarity: float = SIMILARITY) -> DataFrame:
     """One row of every component, all columns: see ``simhash.survivors``. With ``originals`` null ids come
-    first, as in line dedup: of equal lines it leaves those of the document that stays here."""
-    return survivors(docs, near_duplicates(docs, originals, shingle, similarity), originals is not None)
+    first, as in line dedup: of equal lines it leaves those of the document that stays here; and of those that
+    stay by the originals, one of every component of their own texts stays."""
+    left = survivors(docs, near_duplicates(docs, originals, shingle, similarity), originals is not None)
+    if originals is None:
+        return left
+    left = kept(left, "left")
+    return survivors(left, near_duplicates(left, None, shingle, similarity), True)

@@ -226,6 +226,23 @@ def test_near_copies_are_judged_by_their_texts_before_line_dedup(spark):
     assert similar.one_of_each(left, strange).count() == 6  # not the same documents
 
 
+def test_texts_left_by_line_dedup_are_judged_too(spark):
+    """Copies of different documents, all left empty, do not tie these together; what is left of
+    documents that were different before is compared."""
+    rng = random.Random(6)
+
+    def line(words):
+        return " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(words))
+
+    first, second = ("\n".join(line(12) for _ in range(5)) for _ in range(2))
+    own = line(40)
+    texts = [first, first, second, second, f"{first}\n{own} ending", f"{second}\n{own} another"]
+    frame = spark.createDataFrame([(i, t, "en", "a", 100 + i) for i, t in enumerate(texts)], SCHEMA)
+    left = lines.without_duplicate_lines(frame)
+    assert {r["doc_id"] for r in left.collect() if not r["text"].strip()} == {1, 3}
+    assert {r["doc_id"] for r in similar.one_of_each(left, frame).collect()} == {0, 2, 4}
+
+
 def test_stage_links_by_similarity(spark):
     rows = near_copies()
     fps = fingerprints_of([t for _, t in texts_of(rows)])

@@ -13,6 +13,9 @@ Speed: a text of characters up to U+024F takes the byte-level model's table in a
 the same kind of model (equal on some million words made of all splits of all entries, and on random
 ones), about four times as fast; any other text, and any other kind of model, takes the tokenizer itself.
 
+Behind the encoders only the dictionaries handle one token at a time in Python; slices, links and the
+text of the groups are array operations on the whole of a text.
+
 Scale: every text is encoded once, in the task that reads it; what is kept per row are its sums, the
 digest of its groups and its different pairs with how often it holds them. Counting pairs combines before
 the shuffle. A pair that at least one of ``common_pairs`` of all (row, pair) entries hold is common; there are
@@ -30,6 +33,7 @@ import hashlib
 import json
 import os
 from collections import Counter
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -102,45 +106,48 @@ class Pieces:
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
-        self.width = len(self.b.bytes)
-        self.sizes = [np.array(list(map(len, side.bytes)), np.int64) for side in (self.a, self.b)]
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        self.width, self.sides = len(self.b.bytes), (self.a, self.b)
+        self.sizes = [np.array(list(map(len, side.bytes)), np.int64) for side in self.sides]
+        self.bytes = [np.array(side.bytes, object) for side in self.sides]
+        #: every id in decimal with "," behind it, then with what ends its side of a group
+        self.written = np.array([b"%d%b" % (i, mark) for side, last in zip(self.sides, (b"|", b";"))
+                                 for mark in (b",", last) for i in range(len(side.bytes))], object)
+        self.starts = [0, 2 * len(self.a.bytes)]
+        self.numbers = list(range(1, 1 << 16))  # made once for all texts of fewer tokens
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides of every text; none where a side does not spell the text."""
-        out = []
-        for text, a, b in zip(texts, self.a.encode([f" {t}" for t in texts]), self.b.encode(texts)):
-            whole = f" {text}".encode()
-            sound = all(b"".join(map(side.bytes.__getitem__, ids)) == whole
-                        for side, ids in ((self.a, a), (self.b, b)))
-            out.append((a, b) if sound else ([], []))
+        out, none = [], np.zeros(0, np.int64)
+        for text, *both in zip(texts, self.a.encode([f" {t}" for t in texts]), self.b.encode(texts)):
+            whole, ids = f" {text}".encode(), tuple(np.array(x, np.int64) for x in both)
+            sound = all(b"".join(entries[x].tolist()) == whole for entries, x in zip(self.bytes, ids))
+            out.append(ids if sound else (none, none))
         return out
 
-    def cuts(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indexes behind the last token of every group, on both sides."""
-        ends = [dict(zip(np.cumsum(sizes[ids]).tolist(), range(1, len(ids) + 1)))
+        ends = [dict(zip(np.cumsum(sizes[ids]).tolist(),
+                         self.numbers if len(ids) <= len(self.numbers) else range(1, len(ids) + 1)))
                 for sizes, ids in zip(self.sizes, (a, b))]
-        common = ends[0].keys() & ends[1].keys()
-        common = np.sort(np.fromiter(common, np.int64, len(common))).tolist()
-        return list(map(ends[0].__getitem__, common)), list(map(ends[1].__getitem__, common))
+        found = list(map(ends[1].get, ends[0]))  # ends grow, so keys are in order; no index is 0
+        return (np.array(list(compress(ends[0].values(), found)), np.int64),
+                np.array(list(filter(None, found)), np.int64))
 
     def links(self, a, b, cut_a, cut_b) -> tuple[np.ndarray, np.ndarray]:
         """Different pairs (A id times the size of B, plus B id), and how often each is linked."""
-        if not cut_a:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ids_a, ids_b, to_a, to_b = (np.array(x, np.int64) for x in (a, b, cut_a, cut_b))
-        from_a, from_b = np.append(0, to_a[:-1]), np.append(0, to_b[:-1])
-        single = (to_a - from_a == 1) & (to_b - from_b == 1)
-        wide, rest, heavy = self.width, [], Counter()
-        for i, m, k, n in zip(*(x[~single].tolist() for x in (from_a, to_a, from_b, to_b))):
-            if (m - i) * (n - k) <= SMALL:
-                rest += [x * wide + y for x in a[i:m] for y in b[k:n]]
-            else:  # by different ids
-                many = Counter(b[k:n])
-                for x, times in Counter(a[i:m]).items():
-                    for y, more in many.items():
-                        heavy[x * wide + y] += times * more
-        keys, times = np.unique(np.concatenate([ids_a[from_a[single]] * wide + ids_b[from_b[single]],
-                                                np.array(rest, np.int64)]), return_counts=True)
+        from_a, from_b, heavy = _starts(cut_a), _starts(cut_b), Counter()
+        wide, n_a, n_b = self.width, cut_a - from_a, cut_b - from_b
+        small = n_a * n_b <= SMALL
+        for i, m, k, n in zip(*(x[~small].tolist() for x in (from_a, cut_a, from_b, cut_b))):  # by different ids
+            many = Counter(b[k:n].tolist())
+            for x, times in Counter(a[i:m].tolist()).items():
+                for y, more in many.items():
+                    heavy[x * wide + y] += times * more
+        from_a, from_b, n_a, n_b = (x[small] for x in (from_a, from_b, n_a, n_b))
+        sizes = n_a * n_b
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        x, y = np.divmod(np.arange(len(group)) - (np.cumsum(sizes) - sizes)[group], n_b[group])
+        keys, times = np.unique(a[from_a[group] + x] * wide + b[from_b[group] + y], return_counts=True)
         if heavy:
             keys = np.concatenate([keys, np.fromiter(heavy, np.int64, len(heavy))])
             times = np.concatenate([times, np.fromiter(heavy.values(), np.int64, len(heavy))])
@@ -150,6 +157,22 @@ class Aligner:
             times = summed
         return keys, times
 
+    def groups_text(self, a, b, cut_a, cut_b) -> bytes:
+        """``a1,a2|b1;a3|b2,b3``: decimal ids of the groups in order. A token of A stands behind all of A
+        before it and all of B in earlier groups; one of B also behind all of A in its own group."""
+        from_a, from_b = _starts(cut_a), _starts(cut_b)
+        row = np.empty(len(a) + len(b), np.int64)
+        for side, ids, cut, start, other in ((0, a, cut_a, from_a, from_b), (1, b, cut_b, from_b, cut_a)):
+            code = ids + self.starts[side]
+            code[cut - 1] += len(self.sides[side].bytes)
+            row[np.arange(len(ids)) + np.repeat(other, cut - start)] = code
+        return b"".join(self.written[row].tolist())[:-1]
+
+
+def _starts(cut: np.ndarray) -> np.ndarray:
+    """Index of the first token of every group."""
+    return np.append(0, cut)[:-1]
+
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
@@ -161,23 +184,6 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return _ALIGNERS[a_path, b_path]
 
 
-_DIGITS: list[str] = []
-
-
-def _decimal(ids: list[int]) -> list[str]:
-    top = max(ids, default=0)
-    if top >= len(_DIGITS):
-        _DIGITS.extend(map(str, range(len(_DIGITS), top + 1)))
-    return list(map(_DIGITS.__getitem__, ids))
-
-
-def groups_text(a: list[int], b: list[int], cut_a: list[int], cut_b: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: decimal ids of the groups in order."""
-    a, b = _decimal(a), _decimal(b)
-    return ";".join([f"{a[i]}|{b[k]}" if m - i == 1 == n - k else f"{','.join(a[i:m])}|{','.join(b[k:n])}"
-                     for i, m, k, n in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)])
-
-
 def _texts(batch):
     """Rows of a batch whose text has a chance of tokens, in reads of about ``CHARS`` characters."""
     part, size = [], 0
@@ -241,12 +247,12 @@ def token_links(docs: DataFrame, folder: str = FOLDER, a_file: str = "byte_bpe_5
             pairs, times = [none] * batch.num_rows, [none] * batch.num_rows
             for part in _texts(batch):
                 for (at, _), (a, b) in zip(part, own.encode([t for _, t in part])):
-                    if not a:
+                    if not len(a):
                         continue
                     cut_a, cut_b = own.cuts(a, b)
                     pairs[at], times[at] = own.links(a, b, cut_a, cut_b)
                     sums[:, at] = len(a), len(b), len(cut_a), times[at].sum()
-                    digests[at] = hashlib.sha256(groups_text(a, b, cut_a, cut_b).encode()).hexdigest()
+                    digests[at] = hashlib.sha256(own.groups_text(a, b, cut_a, cut_b)).hexdigest()
             ids = batch.column("doc_id")
             yield record_batch(
                 {"doc_id": ids, **dict(zip(_SUMS, sums)), "groups_sha256": digests,
